@@ -6,9 +6,9 @@ leading zeros (6 bits) and the MANTISSA bits after them.  Empty buckets borrow f
 order gives, so that short texts band as well as long ones.
 
 1. Equal word sequences collapse to their smallest doc_id; only these representatives go on.
-2. Bands of ROWS registers give keys; the members of a key are tied to its smallest member, by a partial
+2. Bands of registers, as many in a band as MISS allows, give keys; the members of a key are tied to its smallest member, by a partial
    aggregate and a join, never by pairs.  Components of these ties are the families inside which alone two
-   documents can be similar: at a Jaccard of 0.85 two documents share no band with a chance of 3 in a million.
+   documents can be similar: at the threshold two documents share no band with a chance of MISS at most.
 3. A family is compared in blocks.  Pairs whose registers, corrected for chance collisions, estimate a Jaccard
    far below the threshold are passed over (short sets never are), and the others are confirmed on their full sets,
    until the block's documents are tied by confirmed links; a spanning forest of these leaves the task.  Families
@@ -31,12 +31,13 @@ from marlstone.llm.common import bounded_batches, byte_texts, map_batches, mater
 from marlstone.llm.components import connected_components
 
 SHINGLE, THRESHOLD_PERCENT = 3, 85
-REGISTERS, ROWS, MANTISSA = 320, 8, 10
-BANDS = REGISTERS // ROWS
+REGISTERS, MANTISSA = 320, 10
+#: Chance that documents at the threshold share no band, at most.
+MISS = 5e-6
 #: Standard deviations by which an estimate may miss before a pair is passed over, and the set size from which estimates count.
 SLACK, ESTIMATE_FROM = 6.0, 64
 #: Documents and shingles in a block of a family.
-BLOCK_DOCS, BLOCK_SHINGLES = 512, 1_500_000
+BLOCK_DOCS, BLOCK_SHINGLES = 256, 1_000_000
 
 _U = np.uint64
 _ORDER = np.stack([np.random.RandomState(1000 + i).permutation(REGISTERS) for i in range(REGISTERS)])
@@ -95,11 +96,17 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def band_keys(signatures: np.ndarray) -> np.ndarray:
+def band_rows(percent: int) -> int:
+    """Registers in a band: the most that keep the chance to miss a pair at the threshold within MISS."""
+    return max(r for r in range(1, 33) if r == 1 or (1 - (percent / 100) ** r) ** (REGISTERS // r) <= MISS)
+
+
+def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
     """One 63-bit key a band, for each row of registers."""
-    acc = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(signatures), BANDS))
-    for k in range(ROWS):
-        acc = _mix(acc * _U(0x9E3779B97F4A7C15) + signatures[:, k::ROWS])
+    bands = REGISTERS // rows
+    acc = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(signatures), bands))
+    for k in range(rows):
+        acc = _mix(acc * _U(0x9E3779B97F4A7C15) + signatures[:, k : bands * rows : rows])
     return (acc >> _U(1)).astype(np.int64)
 
 
@@ -113,18 +120,20 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (equal - chance) / (1 - chance)
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, shingle: int = SHINGLE, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """doc_id, key (of the word sequence; null if empty), n_shingles and the band keys of each document."""
 
+    rows = band_rows(percent)
+
     def start():
         import xxhash
 
         def each(batch):
             words = [t.lower().split() for t in byte_texts(batch.column("text"))]
-            sets = shingle_sets(words)
+            sets = shingle_sets(words, shingle)
             full = [i for i, x in enumerate(sets) if len(x)]
             bands: list = [None] * len(sets)
-            for i, keys in zip(full, band_keys(registers([sets[i] for i in full]))):
+            for i, keys in zip(full, band_keys(registers([sets[i] for i in full]), rows)):
                 bands[i] = keys
             yield {
                 "doc_id": batch.column("doc_id"),
@@ -138,7 +147,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), "doc_id long, key binary, n_shingles long, bands array<long>", start)
 
 
-def family_links(members: DataFrame) -> DataFrame:
+def family_links(members: DataFrame, shingle: int = SHINGLE, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """Confirmed links a, b: a spanning forest of each pair of blocks of a family.  members: family, doc_id, text, blocks."""
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     spread = (
@@ -157,8 +166,8 @@ def family_links(members: DataFrame) -> DataFrame:
         found: list[tuple[int, int]] = []
         for (_, x, y), rows in sorted_groups(batches, keys):
             held = [(r["doc_id"], r["own"], (r["text"] or "").encode().lower().split()) for r in rows]
-            sets = shingle_sets([h[2] for h in held])
-            found += confirmed_forest([(*h[:2], s) for h, s in zip(held, sets)], x, y)
+            sets = shingle_sets([h[2] for h in held], shingle)
+            found += confirmed_forest([(*h[:2], s) for h, s in zip(held, sets)], x, y, percent)
             if len(found) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema)
                 found = []
@@ -204,9 +213,9 @@ def confirmed_forest(held: list[tuple[int, int, np.ndarray]], x: int, y: int, pe
     return links
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
-    sketches = materialize(sketch(docs), "sketch")
+    sketches = materialize(sketch(docs, shingle, percent), "sketch")
     classes = materialize(sketches.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
     bands = (
         sketches.join(classes.select(F.col("rep").alias("doc_id"), F.col("key").alias("rep_key")), "doc_id", "left_semi")
@@ -224,7 +233,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids = materialize(known.join(shape, "family").select("family", "doc_id", "blocks"), "members")
     texts = docs.select(F.col("doc_id").alias("text_id"), "text")
     members = ids.join(texts, F.col("doc_id") == F.col("text_id")).select("family", "doc_id", "blocks", "text").dropDuplicates(["doc_id"])
-    groups = connected_components(family_links(members))
+    groups = connected_components(family_links(members, shingle, percent))
     named = materialize(classes.join(groups, classes["rep"] == groups["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id")), "named")
     slim = sketches.select("doc_id", "n_shingles", F.coalesce("key", F.concat(F.lit("id"), F.col("doc_id").cast("string")).cast("binary")).alias("key"))
     return (
@@ -234,7 +243,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """One row of docs for each group of near-duplicates: the one with the group's smallest doc_id."""
-    dropped = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("dropped_id")).distinct()
+    dropped = near_duplicates(docs, shingle, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("dropped_id")).distinct()
     return docs.join(dropped, docs["doc_id"] == dropped["dropped_id"], "left_anti")

@@ -148,4 +148,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
     such an id stays only if no row with it is rejected."""
     verdicts = quality_verdicts(docs)
     bad = verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
