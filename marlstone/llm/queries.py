@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import chat_format, exact_topk, hmm_lm, html_text, near_dedup, packing, quality, secret_scan, sentencepieces, toxicity
+from marlstone.llm import chat_format, exact_topk, hmm_lm, html_text, near_dedup, oracles, packing, quality, secret_scan, sentencepieces, toxicity
 from marlstone.llm.common import table
 
 
@@ -22,7 +22,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_verdicts(table(spark, sf_dir, "documents"))
+    return quality.quality_verdicts(table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 6))
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()

@@ -248,7 +248,7 @@ def test_pipeline(spark, sf_dir):
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
         out = stage(spark, docs, sf_dir)
         assert out.columns == names
-        docs = out.localCheckpoint() if False else spark.createDataFrame(out.collect(), docs.schema)
+        docs = spark.createDataFrame(out.collect(), docs.schema)
         assert docs.count() > 0
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     rows = packed.collect()
