@@ -86,22 +86,29 @@ def search(vectors: DataFrame, query: list[float], k: int, kind: str = "kind", h
     return first.withColumn("below_floor", below).filter(F.col("score") >= floor)
 
 
-def projections(dims: int, bits: int, table: int) -> list[list[float]]:
-    """Random directions of one table, from a fixed seed."""
+def projections(dims: int, bits: int, tables: int) -> Column:
+    """Random directions, tables of bits of them, from a fixed seed, as one constant."""
+    import json
+
     import numpy as np
 
-    return np.random.RandomState(97 + table).standard_normal((bits, dims)).tolist()
+    return F.from_json(F.lit(json.dumps(np.random.RandomState(97).standard_normal((tables, bits, dims)).round(6).tolist())), "array<array<array<double>>>")
 
 
-def approximate_knn(vectors: DataFrame, queries: DataFrame, k: int, dims: int, tables: int = 16, bits: int = 5, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+def approximate_knn(vectors: DataFrame, queries: DataFrame, k: int, dims: int, tables: int = 48, bits: int = 5, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """query_id, key, similarity, rank over candidates that share the signs of `bits` random projections in any of `tables`
     tables with the query.  Hot buckets spread over tasks with AQE's skewed joins."""
-    dot = lambda v, p: F.aggregate(F.zip_with(v, F.array(*map(F.lit, p)), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-    sign = lambda v, p: F.when(dot(v, p) >= 0, "1").otherwise("0")
-    code = F.explode(F.array(*(F.concat(F.lit(f"{t}:"), *(sign(F.col(column), p) for p in projections(dims, bits, t))) for t in range(tables))))
+    matrix = projections(dims, bits, tables)
+
+    def sign(direction: Column) -> Column:
+        dot = F.aggregate(F.zip_with(F.col(column), direction, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+        return F.when(dot >= 0, "1").otherwise("0")
+
+    code = F.explode(F.transform(matrix, lambda rows, t: F.concat(t.cast("string"), F.lit(":"), F.array_join(F.transform(rows, sign), ""))))
     a = queries.select(F.col(key).alias("query_id"), F.col(column).alias("asked"), code.alias("code"))
     b = vectors.select(key, F.col(column).alias("held"), code.alias("code"))
-    pairs = a.join(b, "code").filter(F.col("query_id") != F.col(key)).select("query_id", key, T.cosine(F.col("asked"), F.col("held")).alias("similarity")).distinct()
+    pairs = a.join(b, "code").filter(F.col("query_id") != F.col(key)).groupBy("query_id", key).agg(F.first("asked").alias("asked"), F.first("held").alias("held"))
+    pairs = pairs.select("query_id", key, T.cosine(F.col("asked"), F.col("held")).alias("similarity"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), key))
     return pairs.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 

@@ -49,9 +49,9 @@ def _(v: Views):
 
 
 @query("win_6_near_ties", """SELECT grp, id, score, round(max(CASE WHEN place = 1 THEN score - nxt END) OVER (PARTITION BY grp), 6) AS runner_up_gap FROM (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS nxt, max(score) OVER (PARTITION BY grp) AS best
-    FROM (SELECT o_custkey AS grp, o_orderkey AS id, round(o_totalprice / 100000, 4) AS score FROM orders) WINDOW w AS (PARTITION BY grp ORDER BY score DESC, id)) QUALIFY best - score < 0.08""")
+    FROM (SELECT o_custkey AS grp, o_orderkey AS id, o_totalprice / 100000 AS score FROM orders) WINDOW w AS (PARTITION BY grp ORDER BY score DESC, id)) QUALIFY best - score < 0.08""")
 def _(v: Views):
-    rows = v.orders.select(F.col("o_custkey").alias("grp"), F.col("o_orderkey").alias("id"), F.round(F.col("o_totalprice") / 100000, 4).alias("score"))
+    rows = v.orders.select(F.col("o_custkey").alias("grp"), F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 100000).alias("score"))
     return R.near_ties(rows, "grp", "score", 0.08).withColumn("runner_up_gap", F.round("runner_up_gap", 6))
 
 
