@@ -97,3 +97,13 @@ def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterato
 def crc32_of_id(column: str = "doc_id"):
     """crc32 of an id as decimal text, the split all learning operators use."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def hash_sample(df: DataFrame, key: str, size: int, *ties: str) -> DataFrame:
+    """The `size` rows with the smallest hashes of key, or all if they are fewer.  A threshold on the hash, from the number of
+    rows, leaves little more than the sample before anything is sorted."""
+    n = df.count()
+    h = F.xxhash64(key)
+    if n > 2 * size:
+        df = df.filter(F.pmod(h, F.lit(1 << 30)) < int((1.5 * size + 200) / n * (1 << 30)))
+    return df.orderBy(F.pmod(h, F.lit(1 << 30)), h, key, *ties).limit(size)

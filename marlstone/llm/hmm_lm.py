@@ -10,7 +10,7 @@ Training: counts of all tokens of all training rows are aggregated by token.  Ba
 fitted to INIT_ROWS training texts (the smallest hashes, of at most INIT_TOKENS tokens each) and then takes ROUNDS
 rounds over all training rows: each partition sums its expected counts, and these are added up by class.
 
-Counts of the HEAVY most frequent tokens go to all workers; the rest, without bound, meets its tokens in a join.
+Counts of the most frequent tokens, HEAVY at most, go to all workers; the rest, without bound, meets its tokens in a join.
 
 Defined cases: null and empty texts are the end token alone; rows without doc_id train and are not held out;
 repeated rows count and are scored each; without training rows all counts are zero and the model has one class
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import bounded_batches, byte_texts, crc32_of_id, map_batches, materialize
+from marlstone.llm.common import bounded_batches, byte_texts, crc32_of_id, hash_sample, map_batches, materialize
 
 STATES, WORDS, SUFFIXES, HEAVY = 12, 8_000, 2_048, 200_000
 INIT_ROWS, INIT_TOKENS, INIT_ROUNDS, ROUNDS = 1_500, 4_000, 12, 3
@@ -67,10 +67,15 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def size_class():
+    """Sixteenths of powers of two of a token's count; classes are heavy or light as a whole."""
+    return F.floor(F.log2("c") * 16).cast("int")
+
+
 class Vocabulary:
     """Counts and classes of the HEAVY tokens, masses of the classes; class 0 is the end token."""
 
-    def __init__(self, heavy: list[tuple[str, int]], end: int, suffix_mass: dict[int, float], total: int, types: int):
+    def __init__(self, heavy: list[tuple[str, int]], end: int, suffix_mass: dict[int, float], total: int, types: int, least: int | None = None):
         tokens = [(b"", end)] + [(t.encode(), c) for t, c in heavy if t != END]
         self.index = {t: i for i, (t, _) in enumerate(tokens)}
         self.log_c = np.log10(np.asarray([c for _, c in tokens]) + 0.5)
@@ -85,7 +90,7 @@ class Vocabulary:
         for t, c in tokens[1 : self.words]:
             mass[self.words + suffix_class(t)] -= c + 0.5  # counted with their suffixes, but classes of their own
         mass[self.words :] = np.maximum(mass[self.words :], 0.5)
-        self.mass, self.total, self.types = mass, total, types
+        self.mass, self.total, self.types, self.least = mass, total, types, least  # least: the smallest size class of heavy tokens
 
     def encode(self, docs: list[list[bytes]]) -> dict[str, list]:
         """For each text its classes, sums over its heavy tokens, and its other tokens."""
@@ -239,16 +244,25 @@ def baum_welch_round(encoded: DataFrame, model: Model, mass: np.ndarray) -> Mode
 def fit_vocabulary(counts: DataFrame) -> Vocabulary:
     """counts: token, c of the training rows."""
     totals = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("token") == END, F.col("c"))).alias("end")).first()
-    heavy = counts.filter(F.col("token") != END).orderBy(F.desc("c"), "token").limit(HEAVY).collect()  # at most HEAVY rows
+    words = counts.filter(F.col("token") != END).withColumn("size", size_class())
+    sizes = words.groupBy("size").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("size")).collect()  # a few hundred rows
+    least, held = None, 0
+    for r in sizes:
+        held += r["n"]
+        if held > HEAVY:
+            break
+        least = r["size"]
+    heavy = [] if least is None else sorted(((r["token"], r["c"]) for r in words.filter(F.col("size") >= least).select("token", "c").collect()), key=lambda t: (-t[1], t[0]))  # at most HEAVY rows
     suffix = F.crc32(F.substring(F.col("token").cast("binary"), -3, 3)) % SUFFIXES
     mass = counts.filter(F.col("token") != END).groupBy(suffix.cast("int").alias("k")).agg(F.sum(F.col("c") + 0.5).alias("m")).collect()  # at most SUFFIXES rows
-    return Vocabulary([(r["token"], r["c"]) for r in heavy], totals["end"] or 0, {r["k"]: r["m"] for r in mass}, totals["n"] or 0, totals["v"] or 0)
+    return Vocabulary(heavy, totals["end"] or 0, {r["k"]: r["m"] for r in mass}, totals["n"] or 0, totals["v"] or 0, least)
 
 
 def fit(training: DataFrame, vocabulary: Vocabulary) -> Model:
     """training: encoded training rows (doc_id, n_tokens, classes)."""
     model = Model.initial(vocabulary.mass)
-    first = training.filter(F.col("n_tokens") <= INIT_TOKENS).orderBy(F.xxhash64("doc_id"), "doc_id", "classes").limit(INIT_ROWS).select("classes").collect()  # bounded rows of bounded length
+    short = training.filter(F.col("n_tokens") <= INIT_TOKENS).select("doc_id", "classes")
+    first = hash_sample(short, "doc_id", INIT_ROWS, "classes").collect()  # bounded rows of bounded length
     if not first:
         return model
     held = [np.frombuffer(r["classes"], np.uint16) for r in first]
@@ -280,8 +294,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
     model = fit(encoded.filter(~F.col("held_out")), vocabulary)
     shared_model = spark.sparkContext.broadcast(model)
 
-    least = float(10 ** vocabulary.log_c[-1] - 0.5)
-    light = counts.filter(F.col("c") <= round(least)).withColumnRenamed("token", "word")
+    light = counts.withColumnRenamed("token", "word")
+    if vocabulary.least is not None:
+        light = light.filter(size_class() < vocabulary.least)
     words = encoded.select("row", F.explode("rare").alias("word"))
     looked_up = words.join(light, "word", "left").select("row", F.coalesce("c", F.lit(0)).alias("c"))
     sums = looked_up.groupBy("row").agg(F.sum(F.log10(F.col("c") + 0.5)).alias("rare_log_c"), F.sum((F.col("c") > 0).cast("long")).alias("rare_known"))
