@@ -7,9 +7,9 @@ skip it: then it is out for good.  What is left over as single characters outsid
 With no dropout the result is the library's.
 
 Pieces never reach over a word mark that follows another character or over a line break, so a text's pieces are
-those of its words in a row.  Each word of a text draws one of VARIANTS variants by a hash keyed by the seed and
-doc_id, so that a word is split differently within a text and between epochs (seeds), while a worker can remember
-the splits of frequent words.
+those of its words in a row; marks after a word are apart where no piece holds both neighbours.  Each word of a text
+draws one of VARIANTS variants by a hash keyed by the seed and doc_id, so that a word is split differently within a text
+and between epochs (seeds), while a worker can remember the splits of frequent words.
 
 Decoding turns pieces back into bytes, byte pieces included, and is lossless for every text: a word mark that the
 text itself holds is kept apart from spaces by its byte pieces.
@@ -24,6 +24,7 @@ import heapq
 import re
 import zlib
 from array import array
+from operator import add
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,7 +33,7 @@ from marlstone.llm.common import map_batches, str_texts
 
 DROPOUT, SEED, VARIANTS = 0.1, 1234, 4
 #: Words a worker remembers for each variant.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
 MARK = "▁"
 _MASK = (1 << 64) - 1
 _WORD = re.compile(r" *[^ \n]+| +|\n")
@@ -53,7 +54,7 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = model.vocab_size()
         self.ids: dict[str, int] = {}
-        self.score: dict[str, float] = {}
+        score: dict[str, float] = {}
         self.bytes: list[bytes] = []
         self.byte_id = [0] * 256
         for i in range(self.size):
@@ -68,46 +69,51 @@ class Pieces:
                 if MARK in piece.lstrip(MARK) or "\n" in piece:
                     raise ValueError("pieces of this model reach over words")
                 self.ids[piece] = i
-                self.score[piece] = model.get_score(i)
+                score[piece] = model.get_score(i)
                 self.bytes.append(piece.replace(MARK, " ").encode())
+        order = {v: r for r, v in enumerate(sorted(set(score.values()), reverse=True))}
+        self.rank = {piece: order[v] for piece, v in score.items()}  # 0 for the best score; equal scores share a rank
+        self.neighbours = {piece[k : k + 2] for piece in self.ids for k in range(len(piece) - 1)}  # what no piece holds is never merged over
 
     def split(self, word: str, key: int, limit: int) -> list[str]:
-        """Symbols of a word after agenda processing; a pair is skipped where its keyed hash is below limit."""
+        """Symbols of a word after agenda processing; a pair is skipped where its keyed hash is below limit.
+
+        An agenda entry is one integer: the rank of the joined piece, then the place of the pair."""
         n = len(word)
-        if n == 1:
-            return [word]
-        score = self.score
-        text: list[str] = list(word)
+        rank = self.rank.get
+        text = list(word)
+        shift = max(20, n.bit_length())
+        agenda = [r << shift | i for i, r in enumerate(map(rank, map(add, word, word[1:]))) if r is not None]
+        if not agenda:
+            return text
+        place = (1 << shift) - 1
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        agenda = []
-        for i in range(n - 1):
-            joined = text[i] + text[i + 1]
-            s = score.get(joined)
-            if s is not None:
-                agenda.append((-s, i, joined))
         heapq.heapify(agenda)
         push, pop = heapq.heappush, heapq.heappop
         while agenda:
-            cost, i, joined = pop(agenda)
-            j = after[i]
-            left = text[i]
-            if not left or j >= n or left + text[j] != joined:
+            x = pop(agenda)
+            i, r = x & place, x >> shift
+            left, j = text[i], after[i]
+            if not left or j >= n:
+                continue
+            joined = left + text[j]
+            if rank(joined) != r:
                 continue  # one of its symbols has gone into another piece
-            if limit and _mix(key ^ (i * 0x9E3779B97F4A7C15 + len(joined) * 0xD6E8FEB86659FD93 + int(-cost) * 0xA0761D6478BD642F & _MASK)) < limit:
+            if limit and hash((key, i, r)) & _MASK < limit:
                 continue
             text[i], text[j] = joined, ""
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                s = score.get(joined + text[k])
-                if s is not None:
-                    push(agenda, (-s, i, joined + text[k]))
+                r = rank(joined + text[k])
+                if r is not None:
+                    push(agenda, r << shift | i)
             h = before[i]
             if h >= 0:
-                s = score.get(text[h] + joined)
-                if s is not None:
-                    push(agenda, (-s, h, text[h] + joined))
+                r = rank(text[h] + joined)
+                if r is not None:
+                    push(agenda, r << shift | h)
         return [t for t in text if t]
 
     def word_ids(self, word: str, key: int, limit: int) -> list[int]:
@@ -145,8 +151,12 @@ class Encoder:
 
         class Words(dict):
             def __missing__(self, word):
-                key = _mix(seed ^ zlib.crc32(word.encode())) if limit else 0
-                ids = array("I", pieces.word_ids(word, key, limit)).tobytes()
+                core = word.rstrip(".,;:!?")
+                if 0 < len(core) < len(word) and word[len(core) - 1 : len(core) + 1] not in pieces.neighbours:
+                    ids = self[core] + self[word[len(core) :]]
+                else:
+                    key = _mix(seed ^ zlib.crc32(word.encode())) if limit else 0
+                    ids = array("I", pieces.word_ids(word, key, limit)).tobytes()
                 if len(self) < CACHE_WORDS:
                     self[word] = ids
                 return ids
