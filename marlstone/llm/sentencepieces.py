@@ -20,6 +20,7 @@ repeated rows are encoded alike; extra columns are ignored; an empty table gives
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
 import zlib
@@ -186,11 +187,17 @@ class Encoder:
         return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
 
 
+@functools.lru_cache(maxsize=2)
+def worker_encoder(path: str, dropout: float, seed: int) -> Encoder:
+    """The encoder of a Python worker: the words it remembers serve all its tasks."""
+    return Encoder(path, dropout, seed)
+
+
 def encode_documents(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """doc_id, ids of each row: the real output."""
 
     def start():
-        encoder = Encoder(path, dropout, seed)
+        encoder = worker_encoder(path, dropout, seed)
 
         def each(batch):
             ids = batch.column("doc_id").to_pylist()
@@ -205,7 +212,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, text of rows of encode_documents; null ids decode to the empty text."""
 
     def start():
-        encoder = Encoder(path, 0.0)
+        encoder = worker_encoder(path, 0.0, SEED)
 
         def each(batch):
             yield {"doc_id": batch.column("doc_id"), "text": [encoder.decode(ids or ()) for ids in batch.column("ids").to_pylist()]}
@@ -219,7 +226,7 @@ def round_trips(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int
     """doc_id, n_pieces, ids_crc32, decoded_chars, lossless: each text encoded and decoded again."""
 
     def start():
-        encoder = Encoder(path, dropout, seed)
+        encoder = worker_encoder(path, dropout, seed)
 
         def each(batch):
             ids, texts = batch.column("doc_id").to_pylist(), str_texts(batch.column("text"))
