@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import crc32_of_id, map_batches, materialize, str_texts
+from marlstone.llm.common import crc32_of_id, hash_sample, map_batches, materialize, str_texts
 
 #: Labelled rows, lexicon entries and exception phrases at most.
 SAMPLE, ENTRIES, EXCEPTIONS = 20_000, 3_000, 3_000
@@ -127,8 +127,7 @@ class Lexicon:
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """label_id, text, toxic of the sampled training rows; the sample's ids are bounded, so they go to the scan of docs."""
     train = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("label_id").isNotNull() & F.col("toxic").isin(0, 1) & (crc32_of_id("label_id") % 5 != 0))
-    train = train.orderBy(F.xxhash64("label_id"), "label_id", "toxic").limit(sample)
-    train = materialize(train, "labels")
+    train = materialize(hash_sample(train, "label_id", sample, "toxic"), "labels")
     rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(train), F.col("doc_id") == F.col("label_id"))
     return materialize(rows.select("label_id", "text", "toxic"), "labelled")
 
@@ -209,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
 
         return each
 
-    points = map_batches(rows, "x1 double, x2 double, y int", start).orderBy("x1", "x2", "y").toPandas()  # at most sample rows of three numbers
+    points = map_batches(rows, "x1 double, x2 double, y int", start).toPandas().sort_values(["x1", "x2", "y"])  # at most sample rows of three numbers
     lexicon.curve = _logistic(points[["x1", "x2"]].to_numpy(), points["y"].to_numpy(float))
     return lexicon
 
