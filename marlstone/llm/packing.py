@@ -14,6 +14,7 @@ empty table packs into nothing; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -140,13 +141,19 @@ class WordIds(dict):
         return [self._whole(t.decode()) if b"<|" in t else b"".join(map(get, t.lower().split())) for t in texts]
 
 
+@functools.lru_cache(maxsize=1)
+def worker_ids(tokenizer_path: str) -> WordIds:
+    """The words a Python worker remembers serve all its tasks."""
+    return WordIds(tokenizer_path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, width: int = WIDTH) -> DataFrame:
     """PIECES: the full windows and the rest of each document; nth counts a partition's pieces of one length."""
 
     def start():
         from pyspark import TaskContext
 
-        ids, nth, part = WordIds(tokenizer_path), [0] * (width + 1), TaskContext.get().partitionId()
+        ids, nth, part = worker_ids(tokenizer_path), [0] * (width + 1), TaskContext.get().partitionId()
         end = array("I", [END_ID]).tobytes()
 
         def each(batch):
