@@ -2,14 +2,15 @@
 
 A text becomes symbols: each space is the word mark, a mark goes before the text, every other character is itself.
 An agenda holds the adjacent pairs whose joined string is a piece, best score first, leftmost first.  When a pair
-comes up it is joined, unless a hash keyed by the seed, the word's variant, the pair's place and the piece says to
-skip it: then it is out for good.  What is left over as single characters outside the vocabulary becomes byte pieces.
-With no dropout the result is the library's.
+comes up it is joined, unless a draw keyed by the seed, doc_id, the word's place in the text and the draws before it
+says to skip it: then it is out for good.  What is left over as single characters outside the vocabulary becomes byte
+pieces.  With no dropout the result is the library's.
 
 Pieces never reach over a word mark that follows another character or over a line break, so a text's pieces are
-those of its words in a row; marks after a word are apart where no piece holds both neighbours.  Each word of a text
-draws one of VARIANTS variants by a hash keyed by the seed and doc_id, so that a word is split differently within a text
-and between epochs (seeds), while a worker can remember the splits of frequent words.
+those of its words in a row; marks after a word are apart where no piece holds both neighbours.  Every occurrence of a
+word draws for itself how many pairs are joined before the next one is skipped, again and again: a geometric number, so
+that each pair is skipped with the dropout's chance, apart from all others.  A worker remembers the splits of words by
+these numbers, which decide a split in full.
 
 Decoding turns pieces back into bytes, byte pieces included, and is lossless for every text: a word mark that the
 text itself holds is kept apart from spaces by its byte pieces.
@@ -25,6 +26,9 @@ import heapq
 import re
 import zlib
 from array import array
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import repeat
 from operator import add
 
 import numpy as np
@@ -32,9 +36,13 @@ from pyspark.sql import DataFrame
 
 from marlstone.llm.common import map_batches, str_texts
 
-DROPOUT, SEED, VARIANTS = 0.1, 1234, 4
-#: Words a worker remembers for each variant.
-CACHE_WORDS = 300_000
+DROPOUT, SEED = 0.1, 1234
+#: Words a worker remembers without a skip, and splits with skips; the longest word of those, in pairs joined.
+CACHE_WORDS, CACHE_SPLITS, CACHE_PAIRS = 400_000, 800_000, 40
+#: The longest gap between skips that one draw gives, and a gap beyond any word.
+GAPS, FAR = 1023, 1 << 62
+#: Characters of the longest word whose agenda is a plain list.
+SHORT = 40
 MARK = "▁"
 _MASK = (1 << 64) - 1
 _WORD = re.compile(r" *[^ \n]+| +|\n")
@@ -76,17 +84,39 @@ class Pieces:
         self.rank = {piece: order[v] for piece, v in score.items()}  # 0 for the best score; equal scores share a rank
         self.neighbours = {piece[k : k + 2] for piece in self.ids for k in range(len(piece) - 1)}  # what no piece holds is never merged over
 
-    def split(self, word: str, key: int, limit: int) -> list[str]:
-        """Symbols of a word after agenda processing; a pair is skipped where its keyed hash is below limit.
+    def split(self, word: str, left: int, gaps: Iterator[int]) -> tuple[list[str], int]:
+        """Symbols of a word after agenda processing; left pairs are joined before one is skipped, then a number from
+        gaps before the next.  Also what is left of the last number.
 
-        An agenda entry is one integer: the rank of the joined piece, then the place of the pair."""
+        An agenda entry is one integer: the rank of the joined piece, then the place of the pair.  For short words the
+        agenda is the list of the ranks of all adjacent pairs."""
         n = len(word)
         rank = self.rank.get
+        if n <= SHORT:
+            text = list(word)
+            ranks = list(map(rank, map(add, word, word[1:]), repeat(FAR)))
+            while ranks:
+                r = min(ranks)
+                if r == FAR:
+                    break
+                i = ranks.index(r)
+                if not left:
+                    ranks[i] = FAR
+                    left = next(gaps)
+                    continue
+                left -= 1
+                text[i] += text.pop(i + 1)
+                del ranks[i]
+                if i < len(ranks):
+                    ranks[i] = rank(text[i] + text[i + 1], FAR)
+                if i:
+                    ranks[i - 1] = rank(text[i - 1] + text[i], FAR)
+            return text, left
         text = list(word)
         shift = max(20, n.bit_length())
         agenda = [r << shift | i for i, r in enumerate(map(rank, map(add, word, word[1:]))) if r is not None]
         if not agenda:
-            return text
+            return text, left
         place = (1 << shift) - 1
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
@@ -95,14 +125,16 @@ class Pieces:
         while agenda:
             x = pop(agenda)
             i, r = x & place, x >> shift
-            left, j = text[i], after[i]
-            if not left or j >= n:
+            first, j = text[i], after[i]
+            if not first or j >= n:
                 continue
-            joined = left + text[j]
+            joined = first + text[j]
             if rank(joined) != r:
                 continue  # one of its symbols has gone into another piece
-            if limit and hash((key, i, r)) & _MASK < limit:
+            if not left:
+                left = next(gaps)
                 continue
+            left -= 1
             text[i], text[j] = joined, ""
             k = after[i] = after[j]
             if k < n:
@@ -115,68 +147,120 @@ class Pieces:
                 r = rank(text[h] + joined)
                 if r is not None:
                     push(agenda, r << shift | h)
-        return [t for t in text if t]
+        return list(filter(None, text)), left
 
-    def word_ids(self, word: str, key: int, limit: int) -> list[int]:
+    def word_ids(self, word: str, left: int, gaps: Iterator[int]) -> tuple[bytes, int]:
         """word: spaces in front, then characters; a literal mark in it is split off, for it is no space."""
         ids: list[int] = []
-        get = self.ids.get
-        parts = word.split(MARK)
-        for nth, part in enumerate(parts):
+        for nth, part in enumerate(word.split(MARK)):
             if nth:
                 ids += [self.byte_id[b] for b in MARK.encode()]
             if part:
-                for symbol in self.split(part.replace(" ", MARK), key, limit):
-                    i = get(symbol)
+                symbols, left = self.split(part.replace(" ", MARK), left, gaps)
+                found = list(map(self.ids.get, symbols))
+                if None not in found:
+                    ids += found
+                    continue
+                for i, symbol in zip(found, symbols):
                     if i is None:
                         ids += [self.byte_id[b] for b in symbol.encode()]
                     else:
                         ids.append(i)
-        return ids
+        return array("I", ids).tobytes(), left
+
+
+class Gaps:
+    """The numbers of pairs joined between the skips of one occurrence, after its first draw."""
+
+    __slots__ = ("state", "chances", "taken")
+
+    def __init__(self, state: int, chances: list[int]):
+        self.state, self.chances, self.taken = state, chances, 0
+
+    def __iter__(self):
+        return self
+
+    def __next__(self) -> int:
+        self.taken += 1
+        gap, drawn = 0, GAPS
+        while drawn == GAPS:  # the draw says only that the gap is not shorter
+            self.state = self.state + 0xD1342543DE82EF95 & _MASK
+            drawn = GAPS - bisect_right(self.chances, _mix(self.state))
+            gap += drawn
+        return gap
 
 
 class Encoder:
-    """Ids of texts, words' splits remembered by variant."""
+    """Ids of texts, words' splits remembered by the gaps between skips."""
 
-    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
-        if not 0 <= dropout < 1 or not 1 <= variants <= 64:
-            raise ValueError("dropout lies in [0, 1), variants in 1..64")
+    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED):
+        if not 0 <= dropout < 1:
+            raise ValueError("dropout lies in [0, 1)")
         self.pieces = Pieces(path)
-        self.limit, self.seed = int(dropout * 2**64), seed
-        self.variants = variants if self.limit else 1
-        self.caches: list[dict[str, bytes]] = [self._cache(v) for v in range(self.variants)]
-        self._step = np.uint64(0x9E3779B97F4A7C15)
-
-    def _cache(self, variant: int) -> dict[str, bytes]:
-        pieces, limit, seed = self.pieces, self.limit, _mix(self.seed * 0x9E3779B97F4A7C15 + variant & _MASK)
-
-        class Words(dict):
-            def __missing__(self, word):
-                core = word.rstrip(".,;:!?")
-                if 0 < len(core) < len(word) and word[len(core) - 1 : len(core) + 1] not in pieces.neighbours:
-                    ids = self[core] + self[word[len(core) :]]
-                else:
-                    key = _mix(seed ^ zlib.crc32(word.encode())) if limit else 0
-                    ids = array("I", pieces.word_ids(word, key, limit)).tobytes()
-                if len(self) < CACHE_WORDS:
-                    self[word] = ids
-                return ids
-
-        return Words()
+        self.dropout, self.seed = dropout, seed
+        #: By word: pairs joined, ids, and where its end is split off for the parts' pairs never meet, or 0.
+        self.plain: dict[str, tuple[int, bytes, int]] = {}
+        #: By word and gaps before its skips: pairs joined after the last skip, ids.
+        self.skipped: dict[tuple, tuple[int, bytes]] = {}
+        #: A draw of 64 bits lies below as many of these as pairs are joined before the next skip.
+        self.chances = [int((1 - dropout) ** m * 2**64) for m in range(GAPS, 0, -1)] if dropout else []
+        self._table = np.asarray(self.chances, np.uint64)
+
+    def _occurrence(self, word: str, left: int, gaps: Gaps) -> tuple[bytes, int]:
+        """Ids of one occurrence of a word, and how many pairs are left to be joined before the next skip."""
+        known = self.plain.get(word)
+        if known is None:
+            taken, start, cut = gaps.taken, left, len(word.rstrip(".,;:!?"))
+            if 0 < cut < len(word) and word[cut - 1 : cut + 1] not in self.pieces.neighbours:
+                ids, left = self._occurrence(word[:cut], left, gaps)
+                end, left = self._occurrence(word[cut:], left, gaps)
+                ids += end
+            else:
+                cut = 0
+                ids, left = self.pieces.word_ids(word, left, gaps)
+            if gaps.taken == taken and len(self.plain) < CACHE_WORDS:
+                self.plain[word] = start - left, ids, cut
+            return ids, left
+        n, ids, cut = known
+        if left >= n:
+            return ids, left - n
+        if cut:
+            ids, left = self._occurrence(word[:cut], left, gaps)
+            end, left = self._occurrence(word[cut:], left, gaps)
+            return ids + end, left
+        if n > CACHE_PAIRS:
+            return self.pieces.word_ids(word, left, gaps)
+        key: tuple = (word,)
+        while left < n:
+            key += (left,)
+            found = self.skipped.get(key)
+            if found is None:
+                ids, end = self.pieces.word_ids(word, key[1], iter((*key[2:], FAR)))
+                found = FAR - end, ids
+                if len(self.skipped) < CACHE_SPLITS:
+                    self.skipped[key] = found
+            n, ids = found
+            left = next(gaps)
+        return ids, left - n
 
     def encode_bytes(self, text: str, doc_id: int = 0) -> bytes:
         """Ids as little-endian unsigned 32-bit bytes."""
         if not text:
             return b""
         words = _WORD.findall(" " + text)
-        if self.variants == 1:
-            return b"".join(map(self.caches[0].__getitem__, words))
-        start = np.uint64(_mix((self.seed << 32 ^ doc_id) & _MASK))
-        x = start + np.arange(len(words), dtype=np.uint64) * self._step
+        known = list(map(self.plain.get, words))
+        out = [k and k[1] for k in known]
+        pairs = np.fromiter((k[0] if k else FAR + 1 for k in known), np.int64, len(known))
+        x = np.uint64(_mix((self.seed << 32 ^ doc_id) & _MASK)) + np.arange(len(words), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        drawn = ((x >> np.uint64(40)) % np.uint64(self.variants)).tolist()
-        caches = self.caches
-        return b"".join([caches[v][w] for v, w in zip(drawn, words)])
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        left = GAPS - np.searchsorted(self._table, x, "right") if self.dropout else np.full(len(words), FAR)
+        at = np.flatnonzero(left < pairs)
+        for i, first, state in zip(at.tolist(), left[at].tolist(), x[at].tolist()):
+            gaps = Gaps(state, self.chances)
+            out[i] = self._occurrence(words[i], first + next(gaps) if first == GAPS else first, gaps)[0]
+        return b"".join(out)
 
     def encode(self, text: str, doc_id: int = 0) -> list[int]:
         return np.frombuffer(self.encode_bytes(text, doc_id), "<u4").tolist()

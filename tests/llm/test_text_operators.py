@@ -217,6 +217,54 @@ def test_sentencepiece_dropout():
     assert len(encoder.encode(t, 1)) > len(plain.encode(t))
 
 
+def dropped(rank, word, chance, random):
+    """Agenda merges by the definition: every pair that comes up is skipped for good with the given chance."""
+    symbols, out = [(c, i) for i, c in enumerate(word)], set()
+    while True:
+        found = [(rank[a + b], i, j) for (a, i), (b, j) in zip(symbols, symbols[1:]) if a + b in rank and (i, j, a + b) not in out]
+        if not found:
+            return [s for s, _ in symbols]
+        _, i, j = min(found)
+        at = next(k for k, (_, p) in enumerate(symbols) if p == i)
+        joined = symbols[at][0] + symbols[at + 1][0]
+        if random.random() < chance:
+            out.add((i, j, joined))
+        else:
+            symbols[at : at + 2] = [(joined, i)]
+
+
+def test_sentencepiece_dropout_is_drawn_for_each_occurrence():
+    import random
+
+    encoder, plain, n = sentencepieces.Encoder(tokenizer_path("piece_bpe_32k.model")), sentencepieces.Encoder(tokenizer_path("piece_bpe_32k.model"), 0.0), 4000
+    near = lambda share, chance: abs(share - chance) < 6 * (chance * (1 - chance) / n) ** 0.5
+    for word in ("nation", "international"):
+        whole, draws = plain.encode(word), random.Random(3)
+        assert len(whole) == 1
+        splits = [dropped(encoder.pieces.rank, "▁" + word, 0.1, draws) for _ in range(n)]
+        kept, pieces = sum(len(s) == 1 for s in splits) / n, sum(map(len, splits)) / n
+        for end in (" ", ", "):  # within one text
+            ids, after = encoder.encode((word + end) * n, 3), len(end.strip())
+            assert near(ids.count(whole[0]) / n, kept)
+            assert abs(len(ids) / n - pieces - after) < 0.15
+        drawn = [tuple(encoder.encode(word, i)) for i in range(n)]  # over texts
+        assert near(drawn.count(tuple(whole)) / n, kept)
+        assert len(set(drawn)) > 8
+    # long words, whose splits no worker remembers, at the same rate
+    long = "internationalization" * 20
+    assert plain.plain.get(" " + long) is None and len(plain.encode(long)) < len(encoder.encode(long, 1)) != len(long)
+    assert len({tuple(encoder.encode(long, i)) for i in range(50)}) == 50
+
+
+def test_sentencepiece_short_and_long_agendas_agree(monkeypatch):
+    words = ["international agreements", "don't, stop...", "a▁b▁▁c", "Straßenbahn-Ümläute", "xxxxxxxxxx", "0123456789", "https://a.b/c?d=e"]
+    encoder = lambda: sentencepieces.Encoder(tokenizer_path("piece_bpe_32k.model"), 0.3, 7)
+    short = [encoder().encode(w, i) for w in words for i in range(20)]
+    monkeypatch.setattr(sentencepieces, "SHORT", 0)
+    e = encoder()
+    assert [e.encode(w, i) for w in words for i in range(20)] == short  # and what is remembered changes nothing
+
+
 def test_sentencepiece_tables(spark):
     path, docs = tokenizer_path("piece_bpe_32k.model"), odd_documents(spark)
     rows = sentencepieces.round_trips(docs, path).collect()
