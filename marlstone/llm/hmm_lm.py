@@ -7,8 +7,8 @@ STATES states, by the scaled forward recursion over the whole sequence, times ea
 the add-half counts that the base score uses too.  Each class keeps half a count for tokens never seen.
 
 Training: counts of all tokens of all training rows are aggregated by token.  Baum-Welch starts from parameters
-fitted to INIT_ROWS training texts (the smallest hashes, of at most INIT_TOKENS tokens each) and then takes ROUNDS
-rounds over all training rows: each partition sums its expected counts, and these are added up by class.
+fitted to INIT_ROWS training texts (the smallest hashes; the first INIT_TOKENS tokens of each) and then takes ROUNDS
+rounds over all training rows, whole: each partition sums its expected counts, and these are added up by class.
 
 Counts of the most frequent tokens, HEAVY at most, go to all workers; the rest, without bound, meets its tokens in a join.
 
@@ -261,9 +261,9 @@ def fit_vocabulary(counts: DataFrame) -> Vocabulary:
 def fit(training: DataFrame, vocabulary: Vocabulary) -> Model:
     """training: encoded training rows (doc_id, n_tokens, classes)."""
     model = Model.initial(vocabulary.mass)
-    short = training.filter(F.col("n_tokens") <= INIT_TOKENS).select("doc_id", "classes")
-    first = hash_sample(short, "doc_id", INIT_ROWS, "classes").collect()  # bounded rows of bounded length
-    if not first:
+    begun = training.select("doc_id", F.substring("classes", 1, 2 * INIT_TOKENS).alias("classes"))  # two bytes a token
+    first = hash_sample(begun, "doc_id", INIT_ROWS, "classes").collect()  # bounded rows of bounded length
+    if not first:  # no training rows
         return model
     held = [np.frombuffer(r["classes"], np.uint16) for r in first]
     for _ in range(INIT_ROUNDS):

@@ -200,6 +200,19 @@ def test_language_odd_rows(spark):
     assert all(r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in hmm_lm.score_documents(only).collect())
 
 
+def test_language_trains_on_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(hmm_lm, "INIT_TOKENS", 10)  # every text is longer
+    end, red, blue = 0, 1, 2
+    sequences = [np.asarray([red, blue] * n + [end], np.uint16) for n in range(20, 60)]
+    of_suffix = {hmm_lm.suffix_class(t): 1600.5 for t in (b"red", b"blue")}
+    vocabulary = hmm_lm.Vocabulary([("red", 1580), ("blue", 1580)], 40, of_suffix, 3200, 3, 0)
+    training = spark.createDataFrame([(i, len(s), s.tobytes()) for i, s in enumerate(sequences)], "doc_id long, n_tokens long, classes binary")
+    untrained, trained = hmm_lm.Model.initial(vocabulary.mass), hmm_lm.fit(training, vocabulary)
+    tokens = sum(map(len, sequences))
+    assert trained.forward(sequences).sum() > untrained.forward(sequences).sum() + 0.1 * tokens
+    assert hmm_lm.fit(training.limit(0), vocabulary).emit.tolist() == untrained.emit.tolist()
+
+
 def test_toxicity_held_out(spark):
     sf_dir = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r["toxic"] for r in table(spark, sf_dir, "labels").collect()}
