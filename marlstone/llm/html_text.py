@@ -2,11 +2,12 @@
 
 Mark-up is stripped to lines, one for each block; runs of white space in a block become one space.  Text in
 menus, headers of a page, footers, sidebars, notices, adverts, forms, comment sections, scripts and styles keeps
-its line but weighs nothing, and so does a line that is mostly links.  The weights are summed over a sliding
-window of lines.  A surge is where the window sum leaves zero and a dive where it returns to zero; of the
-stretches between a surge and its dive the densest ones form the main text: every stretch inside an <article> or
-<main> element if the page has such an element with text, else every stretch whose weight is at least a set
-share of the heaviest one's.  The weighing lines of these stretches are the text.
+its line but weighs nothing, and so does a line that is mostly links unless it lies in an <article> or <main>
+element.  If the page has such an element with text, lines outside it weigh nothing.  The weights are summed over a
+sliding window of lines.  A surge is where the window sum leaves zero and a dive where it returns to zero; what lies
+between a surge and its dive is a stretch.  The lines of all stretches, without those of menus and the like, are the
+text: a run of at least WINDOW lines that weigh nothing ends a stretch, so that a run of link lines is navigation
+while fewer between lines of text belong to it.
 
 Defined cases: null or empty html gives an empty text; unclosed or stray tags are tolerated, an unclosed script,
 style or comment hides the rest of the page; repeated rows are each extracted; extra columns are ignored; an
@@ -22,8 +23,8 @@ from pyspark.sql import DataFrame
 
 from marlstone.llm.common import map_batches, str_texts
 
-#: Lines in the sliding window, and the share of the heaviest stretch that a stretch needs on a page without main element.
-WINDOW, SHARE = 3, 0.3
+#: Lines in the sliding window.
+WINDOW = 3
 #: Share of a line's characters in links from which it is navigation.
 LINK_SHARE = 0.6
 
@@ -64,8 +65,8 @@ def _is_noise(tag: str, attributes: str, in_main: bool) -> bool:
 
 
 def text_lines(html: str) -> list[tuple[str, int, int, bool]]:
-    """(text, weight, lies in the main element, first of its block) for each block line of the page, in order."""
-    lines: list[tuple[str, int, int]] = []
+    """(text, weight, number of its main element or 0, lies in a menu or the like) for each block line of the page, in order."""
+    lines: list[tuple[str, int, int, bool]] = []
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, bool]] = []  # tag, began noise, is main
@@ -77,8 +78,8 @@ def text_lines(html: str) -> list[tuple[str, int, int, bool]]:
         if parts:
             text = _SPACE.sub(" ", html_lib.unescape("".join(parts))).strip()
             if text:
-                heavy = 0 if noise or linked >= LINK_SHARE * len(text) else len(text)
-                lines.append((text, heavy, mains_seen if mains else 0))
+                heavy = 0 if noise or not mains and linked >= LINK_SHARE * len(text) else len(text)
+                lines.append((text, heavy, mains_seen if mains else 0, bool(noise)))
             parts.clear()
         linked = 0
 
@@ -166,14 +167,10 @@ def extract_text(html: str) -> str:
     if not html:
         return ""
     lines = text_lines(html)
-    if any(weight and main for _, weight, main in lines):
-        lines = [x if x[2] else (x[0], 0, 0) for x in lines]
-        found = stretches([w for _, w, _ in lines])
-    else:
-        found = stretches([w for _, w, _ in lines])
-        mass = [sum(w for _, w, _ in lines[a:b]) for a, b in found]
-        found = [s for s, m in zip(found, mass) if m >= SHARE * max(mass)]
-    return "\n".join(text for a, b in found for text, weight, _ in lines[a:b] if weight)
+    if any(weight and main for _, weight, main, _ in lines):
+        lines = [x if x[2] else (x[0], 0, 0, True) for x in lines]
+    found = stretches([w for _, w, _, _ in lines])
+    return "\n".join(text for a, b in found for text, _, _, noise in lines[a:b] if not noise)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -131,6 +131,17 @@ def test_html():
     assert html_text.extract_text(plain).split("\n")[1] == "more words here"
 
 
+def test_html_without_main_element_keeps_the_whole_article():
+    advert = "<div class='ad'>" + "<p>Buy now</p>" * 4 + "</div>"
+    links = "<div><a href=x>Some other page</a></div>"
+    body = ["Opening words.", "long " * 60, "more " * 60, "Closing words."]
+    page = links * 4 + f"<p>{body[0]}</p>{advert}<p>{body[1]}</p>{links}<p>{body[2]}</p>{advert}<p>{body[3]}</p>" + links * 4
+    want = [body[0], body[1].strip(), "Some other page", body[2].strip(), body[3]]
+    assert html_text.extract_text(page).split("\n") == want
+    within = f"<nav>{links}</nav><article><p>{body[0]}</p><p><a href=x>Source of it</a></p>{advert}<p>{body[3]}</p><p><a href=x>Full list</a></p></article>{links}"
+    assert html_text.extract_text(within).split("\n") == [body[0], "Source of it", body[3], "Full list"]
+
+
 def test_html_table(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     for r in html_text.extract_pages(pages.limit(40)).collect():
