@@ -1,17 +1,21 @@
 """Ranking, budgets and pages.
 
 Ranks are window functions over a key with a unique last sort column.  Budgets whose outcome depends on the order of
-admission (skip what does not fit, caps on both sides of a pair) are bounded, ordered lists by nature: they run as one
-grouped Arrow function over at most a few hundred rows a group, after a ranked limit.
+admission (skip what does not fit) are bounded, ordered lists by nature: they run as one grouped Arrow function over at
+most a few hundred rows a group, after a ranked limit.  Caps on both sides of a pair go in rounds over all pairs.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marlstone.work import materialize
+
 #: The constant of reciprocal-rank fusion.
 RRF = 60
 
@@ -65,23 +69,38 @@ def skip_to_fit(rows: DataFrame, cost: str, budget: int, order: list[str], group
 
 
 def capped_pairs(pairs: DataFrame, score: str, per_item: int, group: str, most: int = 2_000) -> DataFrame:
-    """Greedily, best score first, pairs (a, b) whose two items have fewer than per_item pairs so far; a group's list of
-    candidates is its best `most`, as the feature bounds it."""
-    names = pairs.columns
-    place = F.row_number().over(W.partitionBy(group).orderBy(F.desc(score), "a", "b"))
-    pairs = pairs.withColumn("place", place).filter(F.col("place") <= most).drop("place")
-
-    def admit(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: dict = {}
-        kept = []
-        for i, r in pdf.sort_values([score, "a", "b"], ascending=[False, True, True]).iterrows():
-            if used.get(r["a"], 0) < per_item and used.get(r["b"], 0) < per_item:
-                used[r["a"]] = used.get(r["a"], 0) + 1
-                used[r["b"]] = used.get(r["b"], 0) + 1
-                kept.append(i)
-        return pdf.loc[kept, names]
-
-    return pairs.groupBy(group).applyInPandas(admit, pairs.schema)
+    """Greedily, best score first, pairs (a, b) whose two items have fewer than per_item pairs so far, over all pairs of a
+    group; its first `most` admitted ones are kept, as the feature bounds it.  The pairs of a group are distinct.
+
+    In rounds: a pair is admitted where, for both items, fewer than what is left of per_item would be used up even if all
+    better pairs of the item were admitted; pairs of used-up items go.  The best pair is always admitted, so rounds end."""
+    key = [group, "a", "b"]
+    best = [F.desc(score), "a", "b"]
+    uses = F.when(F.col("a") == F.col("b"), 2).otherwise(1)  # a pair of an item with itself counts twice
+    open_pairs, admitted, used = materialize(pairs, "pairs"), [], None
+    while not open_pairs.isEmpty():
+        items = open_pairs.select(*key, score, uses.alias("uses"), F.explode(F.array_distinct(F.array("a", "b"))).alias("item"))
+        top = ranked(items, best, [group, "item"], per_item)
+        w = W.partitionBy(group, "item").orderBy(*best).rowsBetween(W.unboundedPreceding, -1)
+        top = top.withColumn("before", F.coalesce(F.sum("uses").over(w), F.lit(0)))
+        if used is not None:
+            top = top.join(used, [group, "item"], "left").withColumn("before", F.col("before") + F.coalesce("used", F.lit(0)))
+        sides = F.when(F.col("a") == F.col("b"), 1).otherwise(2)
+        chosen = top.filter(F.col("before") < per_item).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == sides).select(*key)
+        chosen = materialize(chosen, "chosen")
+        admitted.append(chosen)
+        now = chosen.select(group, uses.alias("used"), F.explode(F.array_distinct(F.array("a", "b"))).alias("item"))
+        now = now if used is None else now.unionByName(used)
+        used = materialize(now.groupBy(group, "item").agg(F.sum("used").alias("used")), "used")
+        full = used.filter(F.col("used") >= per_item).select(group, "item")
+        rest = open_pairs.join(chosen, key, "left_anti")
+        for side in ("a", "b"):
+            rest = rest.join(full.withColumnRenamed("item", side), [group, side], "left_anti")
+        open_pairs = materialize(rest.select(*pairs.columns), "pairs")
+    if not admitted:
+        return open_pairs
+    kept = pairs.join(reduce(DataFrame.unionByName, admitted), key, "left_semi")
+    return ranked(kept, best, [group], most).select(*pairs.columns)
 
 
 def clamp(value: int, low: int, high: int) -> int:

@@ -37,6 +37,28 @@ def test_cursor_is_bound_to_the_list(spark):
     assert last.count() == 2 and none is None
 
 
+def test_capped_pairs_go_over_the_whole_list(spark):
+    import random
+
+    draw = random.Random(4)
+    pairs = {(1, 0, i): 9000 - i for i in range(1, 2101)}  # a hot item's pairs fill the top
+    pairs |= {(1, draw.randrange(3000, 3040), draw.randrange(3000, 3080)): draw.randrange(5) for _ in range(600)}
+    pairs |= {(2, draw.randrange(12), draw.randrange(12)): draw.randrange(4) for _ in range(90)}
+    rows = spark.createDataFrame([(*k, s) for k, s in pairs.items()], "grp long, a long, b long, score long")
+    for per_item, most in ((2, 2000), (3, 7)):
+        want = []
+        for grp in (1, 2):
+            used, kept = {}, []
+            for (_, a, b), s in sorted((x for x in pairs.items() if x[0][0] == grp), key=lambda x: (-x[1], x[0])):
+                if len(kept) < most and used.get(a, 0) < per_item and used.get(b, 0) < per_item:
+                    used[a] = used.get(a, 0) + 1
+                    used[b] = used.get(b, 0) + 1
+                    kept.append((grp, a, b, s))
+            want += kept
+        assert sorted(map(tuple, ranking.capped_pairs(rows, "score", per_item, "grp", most).collect())) == sorted(want)
+    assert ranking.capped_pairs(rows.limit(0), "score", 2, "grp").count() == 0
+
+
 def test_skip_to_fit(spark):
     rows = spark.createDataFrame([("g", i, c) for i, c in enumerate([5, 9, 3, 1, 4])], "g string, id int, cost int")
     assert [r["id"] for r in ranking.skip_to_fit(rows, "cost", 10, ["id"], "g").collect()] == [0, 2, 3]
