@@ -56,7 +56,7 @@ def _(v: Views):
     SELECT code, severity, cast(source_id AS varchar) AS entity, type || ' ' || target_id AS message FROM (SELECT 'relation-type' AS code, 'error' AS severity, * FROM j WHERE type NOT IN ('derived_from', 'refines') UNION ALL SELECT 'relation-self', 'error', * FROM j WHERE source_id = target_id
     UNION ALL SELECT 'relation-missing', 'error', * FROM j WHERE status IS NULL UNION ALL SELECT 'relation-inactive', 'warning', * FROM j WHERE status = 'archived')""", ("relations", "entities"))
 def _(v: Views):
-    return W.all_issues(W.relation_issues(v.relations, v.entities, ALLOWED), W.contradictions(v.relations.filter("source_id < 0")))
+    return W.all_issues(W.relation_issues(v.relations, v.entities, ALLOWED), W.contradictions(v.relations))
 
 
 @query("wk_8_orphans", "SELECT 'orphan' AS code, 'info' AS severity, cast(position AS varchar) AS entity, type AS message FROM entities WHERE type IN ('spec', 'decision') AND position NOT IN (SELECT source_id FROM relations UNION SELECT target_id FROM relations)", ("entities", "relations"))

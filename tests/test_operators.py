@@ -59,6 +59,16 @@ def test_capped_pairs_go_over_the_whole_list(spark):
     assert ranking.capped_pairs(rows.limit(0), "score", 2, "grp").count() == 0
 
 
+def test_relation_query_reports_contradictions(spark):
+    from types import SimpleNamespace
+
+    relations = spark.createDataFrame([(1, 2, "supersedes"), (2, 1, "supersedes"), (3, 1, "supersedes")], "source_id long, target_id long, type string")
+    entities = spark.createDataFrame([(i, "active") for i in (1, 2, 3)], "position long, status string")
+    registry.queries()
+    rows = registry._FOUND["wk_8_relations"][0](SimpleNamespace(relations=relations, entities=entities)).collect()
+    assert [(r["entity"], r["message"]) for r in rows if r["code"] == "relation-contradiction"] == [("1", "and 2")]
+
+
 def test_skip_to_fit(spark):
     rows = spark.createDataFrame([("g", i, c) for i, c in enumerate([5, 9, 3, 1, 4])], "g string, id int, cost int")
     assert [r["id"] for r in ranking.skip_to_fit(rows, "cost", 10, ["id"], "g").collect()] == [0, 2, 3]
