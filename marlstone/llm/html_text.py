@@ -1,17 +1,26 @@
 """HTML extraction by line-block distribution.
 
-Mark-up is stripped to lines, one for each block; runs of white space in a block become one space.  Text in
-menus, headers of a page, footers, sidebars, notices, adverts, forms, comment sections, scripts and styles keeps
-its line but weighs nothing, and so does a line that is mostly links unless it lies in an <article> or <main>
-element.  If the page has such an element with text, lines outside it weigh nothing.  The weights are summed over a
-sliding window of lines.  A surge is where the window sum leaves zero and a dive where it returns to zero; what lies
-between a surge and its dive is a stretch.  The lines of all stretches, without those of menus and the like, are the
-text: a run of at least WINDOW lines that weigh nothing ends a stretch, so that a run of link lines is navigation
-while fewer between lines of text belong to it.
+Mark-up is stripped to lines, one for each block; runs of white space in a block become one space.  Lines in menus,
+headers of the page, footers, sidebars, notices, adverts, forms, comment sections and the like are noise and taken out.
+Any other line weighs as many characters as it has, or nothing if it is mostly links.  The weights are summed over a
+window of lines that slides over the page, and over each article or main element by itself.  A surge is where the
+window sum leaves zero and a dive where it returns to zero; what lies between a surge and its dive is a stretch, and the
+lines of stretches are the text.  So a run of at least WINDOW link lines ends a stretch: a long run of links is
+navigation, in an article too, while fewer between lines of text belong to it.
+
+Stretches of article and main elements are taken if there are any, with link lines at the ends of the element if they
+are fewer than WINDOW; else those of the page, which begin and end with a line that weighs.
+
+Elements are noise by their tag, or by a name in class, id, role or aria-label: a name that is one of the noise words,
+or made of noise words and words for parts of a page.  So `share-buttons` is noise and `share-price` is not.
+
+The scanner takes time linear in the page.  Attribute values end as HTML has it: at their quote, or unquoted at white
+space or `>`.
 
 Defined cases: null or empty html gives an empty text; unclosed or stray tags are tolerated, an unclosed script,
-style or comment hides the rest of the page; repeated rows are each extracted; extra columns are ignored; an
-empty table gives an empty result.
+style or comment hides the rest of the page, and a `<` whose tag never ends is text; a numeric character reference
+beyond Unicode is the replacement character; very long pages are read whole; repeated rows are each extracted; a null
+page_id or url stays null; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,85 +34,175 @@ from marlstone.llm.common import map_batches, str_texts
 
 #: Lines in the sliding window.
 WINDOW = 3
-#: Share of a line's characters in links from which it is navigation.
-LINK_SHARE = 0.6
+#: Share of a line's characters in links from which it weighs nothing: anywhere, and in an article or main element.
+LINK_SHARE, MAIN_LINK_SHARE = 0.6, 0.9
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "title", "xmp", "noembed", "noframes", "math", "object")}
+_OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z]|/)")
+_NAME = re.compile(r"[^\s/>]*")
+_ATTRIBUTE = re.compile(r"""[\s/]*(?:([^\s/>=][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?|=)""")
+_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "title", "xmp", "noembed", "noframes", "math", "object")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Tags whose end may be left out, and those that an open paragraph does not reach into.
+_CLOSING = frozenset("p li dt dd tr td th option".split())
+_PASSED = frozenset("p td th dt dd".split())
+_ENDS_PARAGRAPH = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
 _NOISE_TAGS = frozenset("nav footer aside form header menu dialog button head".split())
 _MAIN = frozenset(("article", "main"))
-_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|aria-label|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-#: Words of class, id or role that name something other than the article.
+_NAMED = frozenset(("class", "id", "role", "aria-label"))
+#: Words that name something other than the article.
 _NOISE_WORDS = frozenset(
-    """ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menus breadcrumb
-    breadcrumbs sidebar aside footer header masthead topbar comment comments disqus reply replies respond discussion cookie cookies consent gdpr notice
-    notices alert popup modal newsletter subscribe subscription share sharing social related recommended recommendations widget pagination pager login
-    signup search complementary contentinfo search-form toolbar teaser outbrain taboola""".split()
+    """ad ads adv advert adverts advertisement advertisements advertising adbox adslot adsbygoogle banner sponsor sponsored promo promotion promotions nav navbar
+    navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer header masthead topbar comment comments commentlist commentform disqus reply replies
+    respond discussion cookie cookies consent gdpr notice notices alert alerts popup modal newsletter subscribe subscription share sharing social related recommended
+    recommendations widget widgets pagination pager login signup search complementary contentinfo toolbar teaser teasers outbrain taboola""".split()
+)
+#: Words for parts of a page, which say nothing by themselves.
+_PART_WORDS = frozenset(
+    """site page main global primary secondary top bottom left right upper lower box block section wrap wrapper container holder list bar link links post posts story stories
+    article articles entry entries item items area content contents inner outer body text title heading button buttons icon icons form panel slot unit group row col column
+    module component region user users reader readers thread mobile desktop sticky fixed floating inline media policy message messages""".split()
 )
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
+_HIDDEN = re.compile(r"display\s*:\s*none", re.I)
+_LONG_REFERENCE = re.compile(r"&#(?:[0-9]{10,}|[xX][0-9a-fA-F]{10,});?")
+
+
+def _decoded(text: str) -> str:
+    """Character references decoded; the library's decoder does not take numbers of thousands of digits."""
+    return html_lib.unescape(_LONG_REFERENCE.sub("\ufffd", text)) if "&" in text else text
+
 
+def noise_name(name: str, in_main: bool = False) -> bool:
+    """Whether one name of a class, id or role stands for noise; a header in the article holds its title."""
+    words = [w for w in (w.lower() for w in _WORD.findall(name)) if len(w) > 2 or w == "ad"]
+    named = [w for w in words if w in _NOISE_WORDS and not (in_main and w == "header")]
+    return bool(named) and all(w in _NOISE_WORDS or w in _PART_WORDS for w in words)
 
-def _is_noise(tag: str, attributes: str, in_main: bool) -> bool:
+
+def _is_noise(tag: str, attributes: list[tuple[str, str]], in_main: bool) -> bool:
     """Header elements inside the article hold its title, so they count as noise only outside."""
     if tag in _NOISE_TAGS and not (tag == "header" and in_main):
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body"):
         return False
-    for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
+    for name, value in attributes:
+        name = name.lower()
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and _HIDDEN.search(value)):
+            return True
+        if name in _NAMED and any(noise_name(x, in_main) for x in value.split()):
             return True
-        if name == "style":
-            if re.search(r"display\s*:\s*none", value, re.I):
-                return True
-        elif any(w.lower() in _NOISE_WORDS for w in _WORD.findall(value)):
-            return not (in_main and {w.lower() for w in _WORD.findall(value)} & {"header", "entry", "post", "article"})
     return False
 
 
+class _Open:
+    """The open elements, with the places of each tag, of blocks and of what ends an open paragraph's reach."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, bool]] = []  # tag, began noise, is main
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.barriers: list[int] = []
+        self.noise = self.mains = 0
+
+    def links(self) -> bool:
+        return bool(self.places.get("a"))
+
+    def push(self, tag: str, noise: bool, main: bool) -> None:
+        at = len(self.stack)
+        self.places.setdefault(tag, []).append(at)
+        if tag not in _INLINE:
+            self.blocks.append(at)
+            if tag not in _PASSED:
+                self.barriers.append(at)
+        self.noise += noise
+        self.mains += main
+        self.stack.append((tag, noise, main))
+
+    def close(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            tag, noise, main = self.stack.pop()
+            self.places[tag].pop()
+            for held in (self.blocks, self.barriers):
+                if held and held[-1] == len(self.stack):
+                    held.pop()
+            self.noise -= noise
+            self.mains -= main
+
+    def end(self, tag: str) -> None:
+        """An end tag: a block's closes what is open in it, an inline tag's does not reach out of its block."""
+        places = self.places.get(tag)
+        if places and (tag not in _INLINE or not self.blocks or places[-1] > self.blocks[-1]):
+            self.close(places[-1])
+
+    def left_out(self, tag: str) -> None:
+        """The end of an element of this tag that may be left out."""
+        places = self.places.get(tag)
+        if places and (not self.barriers or places[-1] >= self.barriers[-1]):
+            self.close(places[-1])
+
+
+def _tag(html: str, at: int) -> tuple[list[tuple[str, str]], int, bool] | None:
+    """(attributes, place after the tag, closes itself) of a start tag whose name ends at this place; None if it never ends."""
+    found: list[tuple[str, str]] = []
+    while m := _ATTRIBUTE.match(html, at):
+        if m[1]:
+            value = m[2] or ""
+            found.append((m[1], value[1:-1] if value[:1] in ("'", '"') and len(value) > 1 and value[-1] == value[0] else value))
+        at = m.end()
+    end = html.find(">", at)
+    return None if end < 0 else (found, end + 1, html[at:end].endswith("/") or html[at - 1] == "/")
+
+
 def text_lines(html: str) -> list[tuple[str, int, int, bool]]:
-    """(text, weight, number of its main element or 0, lies in a menu or the like) for each block line of the page, in order."""
+    """(text, weight, number of its main element or 0, lies in noise) for each block line of the page, in order."""
     lines: list[tuple[str, int, int, bool]] = []
     parts: list[str] = []
-    linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # tag, began noise, is main
-    noise = mains = links = 0
-    mains_seen = 0
+    linked = mains_seen = 0
+    opened = _Open()
 
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = _SPACE.sub(" ", html_lib.unescape("".join(parts))).strip()
+            text = _SPACE.sub(" ", _decoded("".join(parts))).strip()
             if text:
-                heavy = 0 if noise or not mains and linked >= LINK_SHARE * len(text) else len(text)
-                lines.append((text, heavy, mains_seen if mains else 0, bool(noise)))
+                share = MAIN_LINK_SHARE if opened.mains else LINK_SHARE
+                weight = 0 if opened.noise or linked >= share * len(text) else len(text)
+                lines.append((text, weight, mains_seen if opened.mains else 0, bool(opened.noise)))
             parts.clear()
         linked = 0
 
-    def close(depth: int) -> None:
-        nonlocal noise, mains, links
-        while len(stack) > depth:
-            tag, began, main = stack.pop()
-            noise -= began
-            mains -= main
-            links -= tag == "a"
-
-    at = 0
-    for_next = _TOKEN.search
-    while m := for_next(html, at):
-        piece = html[at : m.start()]
+    at, size = 0, len(html)
+    while at < size:
+        m = _OPEN.search(html, at)
+        piece = html[at : m.start()] if m else html[at:]
         if piece:
             parts.append(piece)
-            if links:
-                linked += len(piece.strip())
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+            if opened.links():
+                linked += len(_SPACE.sub(" ", _decoded(piece)).strip())
+        if not m:
+            break
+        at, mark = m.end(), m[0]
+        if mark == "<!--":
+            end = html.find("-->", at)
+            at = size if end < 0 else end + 3
+            continue
+        if mark == "<![CDATA[":
+            end = html.find("]]>", at)
+            at = size if end < 0 else end + 3
             continue
-        tag, ending = tag.lower(), bool(m[1])
+        if not mark[-1].isalpha():
+            end = html.find(">", at)
+            at = size if end < 0 else end + 1
+            continue
+        name = _NAME.match(html, at - 1)
+        tag, ending = name[0].lower(), mark[1] == "/"
+        read = _tag(html, name.end())
+        if read is None:  # no tag ends from here on
+            parts.append(html[m.start() :])
+            break
+        attributes, at, itself = read
         if tag not in _INLINE:
             flush()
         elif tag in ("br", "img", "wbr"):
@@ -111,46 +210,32 @@ def text_lines(html: str) -> list[tuple[str, int, int, bool]]:
                 parts.append(" ")
             continue
         if ending:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    if tag not in _INLINE or not any(t not in _INLINE for t, _, _ in stack[depth + 1 :]):
-                        close(depth)
-                    break
+            opened.end(tag)
             continue
         if tag in _RAW:
             end = _RAW[tag].search(html, at)
-            at = end.end() if end else len(html)
+            at = end.end() if end else size
             continue
-        if tag in _VOID or m[3].endswith("/"):
+        if tag in _ENDS_PARAGRAPH:
+            opened.left_out("p")
+        if tag in _VOID or itself:
             continue
-        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):  # their end tags may be left out
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    if tag != "li" or not any(t in ("ul", "ol") for t, _, _ in stack[depth:]):
-                        close(depth)
-                    break
-                if stack[depth][0] not in _INLINE and stack[depth][0] not in ("p", "td", "th", "dt", "dd"):
-                    break
-        main = tag in _MAIN and not mains
-        began = _is_noise(tag, m[3], bool(mains))
-        if main:
-            mains_seen += 1
-        if tag == "a":
-            links += 1
-        noise += began
-        mains += main
-        stack.append((tag, began, main))
-    parts.append(html[at:])
+        if tag in _CLOSING:
+            opened.left_out(tag)
+        noise = _is_noise(tag, attributes, bool(opened.mains))
+        main = tag in _MAIN and not opened.mains and not opened.noise and not noise
+        mains_seen += main
+        opened.push(tag, noise, main)
     flush()
     return lines
 
 
 def stretches(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
-    """[surge, dive) of each stretch over which the sum of weights in the sliding window stays above zero, trimmed
-    to its first and last line with weight."""
+    """[surge, dive) of each stretch of lines: a window of lines ends (surge) or begins (dive) in it while its sum is above zero."""
     out, total, start = [], 0, None
-    for i in range(len(weights) + window - 1):
-        total += weights[i] if i < len(weights) else 0
+    n = len(weights)
+    for i in range(n + window - 1):  # the window ends at line i
+        total += weights[i] if i < n else 0
         total -= weights[i - window] if i >= window else 0
         if total and start is None:
             start = i
@@ -158,19 +243,33 @@ def stretches(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]
             out.append((start, i - window + 1))
             start = None
     if start is not None:
-        out.append((start, len(weights)))
+        last = max(i for i in range(n) if weights[i])
+        out.append((start, last + 1))
     return out
 
 
+def chosen(weights: list[int], around: bool) -> list[tuple[int, int]]:
+    """The stretches; with around, with the lines next to them that fewer than WINDOW lines without weight make."""
+    found = stretches(weights)
+    if not around:
+        return found
+    n, reach = len(weights), WINDOW - 1
+    return [(0 if a <= reach else a, n if n - b <= reach else b) for a, b in found]
+
+
 def extract_text(html: str) -> str:
     """The main text: its blocks in page order, joined by newlines."""
     if not html:
         return ""
-    lines = text_lines(html)
-    if any(weight and main for _, weight, main, _ in lines):
-        lines = [x if x[2] else (x[0], 0, 0, True) for x in lines]
-    found = stretches([w for _, w, _, _ in lines])
-    return "\n".join(text for a, b in found for text, _, _, noise in lines[a:b] if not noise)
+    lines = [x for x in text_lines(html) if not x[3]]
+    regions: dict[int, list] = {}
+    for line in lines:
+        if line[2]:
+            regions.setdefault(line[2], []).append(line)
+    kept = [line[0] for region in regions.values() for a, b in chosen([x[1] for x in region], True) for line in region[a:b]]
+    if not kept:
+        kept = [line[0] for a, b in chosen([x[1] for x in lines], False) for line in lines[a:b]]
+    return "\n".join(kept)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

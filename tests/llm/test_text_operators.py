@@ -142,12 +142,93 @@ def test_html_without_main_element_keeps_the_whole_article():
     assert html_text.extract_text(within).split("\n") == [body[0], "Source of it", body[3], "Full list"]
 
 
-def test_html_table(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    for r in html_text.extract_pages(pages.limit(40)).collect():
-        assert r["n_chars"] == len(r["text"]) > 0
-    odd = spark.createDataFrame([(1, None, None, "x"), (2, "u", "", "x"), (2, "u", PAGE, "x")], "page_id long, url string, html string, text string")
-    assert [r["n_chars"] for r in html_text.extract_pages(odd).collect()][:2] == [0, 0]
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>One.</p><p><a href=x>Only a link</a></p><p>Two.</p></article>", "One.\nOnly a link\nTwo."),
+        ("<p>" + "long " * 200 + "</p>" + "<div class=ad>Buy</div>" * 4 + "<p>Short end.</p>", "long " * 199 + "long\nShort end."),
+        ("<article><p>One.</p><p class='related-work'>Work.</p><p id=share-price>Price.</p><p class='share-buttons'>Tweet</p></article>", "One.\nWork.\nPrice."),
+        ("<article class='comment'><p>Nice post</p></article><article><p>One.</p></article>", "One."),
+        ("<section class='user-comments'><article><p>Nice post</p></article></section><p>One.</p>", "One."),
+        ("<article><p title=it's>One.</p><p title='a>b'>Two.</p><p title=\"it's\">Three.</p></article>", "One.\nTwo.\nThree."),
+        ("<article><p>One.</p>" + "<li><a href=x>Elsewhere</a></li>" * 3 + "<p>Two.</p></article>", "One.\nTwo."),
+        ("<article><header class=entry-header><h1>Title</h1></header><p>One.</p><div class=entry-footer>Tags</div></article>", "Title\nOne."),
+        ("<article><p class=ad>Buy<h2>Head</h2><p>One &#99999999999999999999; a &lt; b &amp;amp;</article>", "Head\nOne \ufffd a < b &amp;"),
+        ("<article><p>1 < 2 and <3 <b unclosed", "1 < 2 and <3 <b unclosed"),
+    ],
+)
+def test_html_contract(page, text):
+    assert html_text.extract_text(page) == text
+
+
+def test_html_takes_linear_time():
+    import time
+
+    begun = time.time()
+    for part in ("<a '", "<p ", "<a b='", "<div><b>", "</b>", "<p>x", "<!-", "&#9", "<i><div>"):
+        html_text.extract_text(part * 100_000)
+    html_text.extract_text("<b>" + "<div>" * 30_000 + "</b>" * 100_000)
+    html_text.extract_text("&#" + "9" * 10_000 + ";")
+    assert time.time() - begun < 20
+
+
+def test_stretches():
+    """Against the definition: windows of WINDOW lines with a sum above zero, from the line their run begins at to the last that weighs."""
+    rng = random.Random(4)
+    for _ in range(500):
+        weights = [rng.choice([0, 0, 0, 1, 5]) for _ in range(rng.randint(0, 14))]
+        heavy = [i for i, w in enumerate(weights) if w]
+        want: list = []
+        for i in heavy:
+            if want and i - want[-1][1] <= html_text.WINDOW:
+                want[-1][1] = i
+            else:
+                want.append([i, i])
+        assert html_text.stretches(weights) == [(a, b + 1) for a, b in want]
+
+
+def brute_article(html):
+    """Text of the article by the library's parser: block by block, without scripts."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.blocks, self.inside, self.hidden = [[]], False, False
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            self.hidden |= tag in ("script", "style")
+            if tag not in ("b", "a", "br"):
+                self.blocks.append([])
+            elif tag == "br":
+                self.blocks[-1].append(" ")
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "article"
+            self.hidden &= tag not in ("script", "style")
+            if tag not in ("b", "a"):
+                self.blocks.append([])
+
+        def handle_data(self, data):
+            if self.inside and not self.hidden:
+                self.blocks[-1].append(data)
+
+    reader = Reader()
+    reader.feed(html)
+    return "\n".join(filter(None, (re.sub(r"\s+", " ", "".join(b)).strip() for b in reader.blocks)))
+
+
+def test_html_table(spark):
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    texts = {r["page_id"]: brute_article(r["html"]) for r in pages.collect()}
+    got = {r["page_id"]: r for r in html_text.extract_pages(pages).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        assert got[i]["text"] == text and got[i]["n_chars"] == len(text) > 0
+    long = "<article>" + "<p>word " * 200_000 + "</article>"
+    odd = spark.createDataFrame([(1, None, None, "x"), (2, "u", "", "x"), (2, "u", PAGE, "x"), (None, None, long, "x")], "page_id long, url string, html string, text string")
+    assert [r["n_chars"] for r in html_text.extract_pages(odd).collect()] == [0, 0, len(html_text.extract_text(PAGE)), 5 * 200_000 - 1]
     assert html_text.extract_pages(odd.limit(0)).count() == 0
 
 
