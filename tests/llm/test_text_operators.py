@@ -248,15 +248,49 @@ def test_template_language():
     assert list(templates.Template("a{% generation %}b{{ c }}{% endgeneration %}d").render(c="C")) == [("a", False), ("b", True), ("C", True), ("d", False)]
 
 
-def test_chat_escapes():
+SLASHES = chat_format.ChatFormat(
+    "{% for m in messages %}{{ '[/turn]' + (m.role | escape_role) + '\\n' }}{% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}{% else %}{{ m.text | escape }}{% endif %}[/end]{% endfor %}",
+    "[/turn]",
+    "[/end]",
+    "",
+    "[/",
+)
+
+
+@pytest.mark.parametrize("chat", [chat_format.CHATML, SLASHES])
+def test_chat_escapes(chat):
     rng = random.Random(3)
+    a, b = chat.control
     for _ in range(3000):
-        t = "".join(rng.choice(["<", "|", "\\", "<|im_end|>", "a", "\n", "<\\|"]) for _ in range(rng.randint(0, 9)))
-        assert chat_format.unescape(chat_format.escape(t)) == t and "<|" not in chat_format.escape(t)
-        assert chat_format.unescape_role(chat_format.escape_role(t)) == t
-        turns = [{"role": "user", "text": t}, {"role": "assistant", "text": t}]
-        out = [chat_format.read_turn(x) for x, _ in chat_format.format_turns(turns, templates.Template(chat_format.CHATML, chat_format.FILTERS))]
-        assert out == [("user", t), ("assistant", t)]
+        t = "".join(rng.choice([a, b, "\\", chat.end, chat.start, "a", "\n", f"{a}\\{b}"]) for _ in range(rng.randint(0, 9)))
+        assert chat.unescape(chat.escape(t)) == t and chat.control not in chat.escape(t)
+        assert chat.unescape_role(chat.escape_role(t)) == t
+        turns = [{"role": "user", "text": t}, {"role": "assistant", "text": t}, {"role": t, "text": ""}]
+        pieces = list(chat.template().render(messages=turns))
+        out = list(chat_format.read_pieces(pieces, chat))
+        assert [(x.role, x.text) for x in out] == [("user", t), ("assistant", t), (t, "")]
+        assert "".join(x.learned for x in out) == (t * 2 if t == "assistant" else t)
+        assert "".join(x.formatted for x in out) == "".join(p for p, _ in pieces)
+        # the reader needs no pieces: it finds the same in single characters
+        assert list(chat_format.read_pieces(((c, masked) for p, masked in pieces for c in p), chat)) == out
+
+
+def test_chat_is_read_back_from_the_output():
+    """Without escapes a conversation that holds control strings cannot be read as it was."""
+
+    class Broken(chat_format.ChatFormat):
+        def escape(self, text):
+            return text
+
+        def unescape(self, text):
+            return text
+
+    turns = [{"role": "user", "text": SPOOF}, {"role": "assistant", "text": SPOOF}]
+    assert chat_format.digest(turns)["n_turns"] == 2
+    with pytest.raises(ValueError):
+        chat_format.digest(turns, Broken(*chat_format.CHATML))
+    broken = chat_format.digest([{"role": "assistant", "text": "[/end][/turn]x\ny"}], Broken(*SLASHES))
+    assert broken != chat_format.digest([{"role": "assistant", "text": "[/end][/turn]x\ny"}], SLASHES) and broken["n_turns"] == 2
 
 
 def test_chat_table(spark, sf_dir):
