@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: with long texts the bytes bound what a Python worker holds.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,6 +53,19 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
+def byte_slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts in column hold about most bytes; a longer text is a slice of its own."""
+    import pyarrow.compute as pc
+
+    first = held = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if held and held + n > most:
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += n
+    yield batch.slice(first)
+
+
 def str_texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 

@@ -7,14 +7,20 @@ STATES states, by the scaled forward recursion over the whole sequence, times ea
 the add-half counts that the base score uses too.  Each class keeps half a count for tokens never seen.
 
 Training: counts of all tokens of all training rows are aggregated by token.  Baum-Welch starts from parameters
-fitted to INIT_ROWS training texts (the smallest hashes; the first INIT_TOKENS tokens of each) and then takes ROUNDS
-rounds over all training rows, whole: each partition sums its expected counts, and these are added up by class.
+fitted to INIT_PARTS parts of training texts (all texts are cut into parts of INIT_TOKENS tokens; the parts with the
+smallest hashes serve) and then takes ROUNDS rounds over all training rows, whole: each partition sums its expected
+counts, and these are added up by class.
 
 Counts of the most frequent tokens, HEAVY at most, go to all workers; the rest, without bound, meets its tokens in a join.
 
-Defined cases: null and empty texts are the end token alone; rows without doc_id train and are not held out;
-repeated rows count and are scored each; without training rows all counts are zero and the model has one class
-distribution; an empty table gives an empty result; extra columns are ignored.
+Memory: texts are encoded CHUNK_BYTES at a time and sequences worked on in blocks of BLOCK_TOKENS.  A sequence over
+LONG tokens is cut into segments.  A segment is a matrix over states; chaining these gives the exact forward and
+backward vectors at its ends, and the segments then pass through the blocks as sequences of their own.
+
+Defined cases: null and empty texts are the end token alone; very long texts are scored and train whole; rows without
+doc_id train and are not held out; repeated rows, and different texts of one doc_id, count and are scored each; without
+training rows all counts are zero and the model has one class distribution; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,14 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import bounded_batches, byte_texts, crc32_of_id, hash_sample, map_batches, materialize
+from marlstone.llm.common import bounded_batches, byte_slices, byte_texts, crc32_of_id, hash_sample, map_batches, materialize
 
 STATES, WORDS, SUFFIXES, HEAVY = 12, 8_000, 2_048, 200_000
-INIT_ROWS, INIT_TOKENS, INIT_ROUNDS, ROUNDS = 1_500, 4_000, 12, 3
+INIT_PARTS, INIT_TOKENS, INIT_ROUNDS, ROUNDS = 3_000, 1_000, 12, 3
 #: Weight, in counts, of the class distribution mixed into each state's emissions, and of even transitions.
 EMISSION_PRIOR, TRANSITION_PRIOR = 20.0, 1.0
-#: Tokens of one flush of the count map, and of one block of sequences.
-FLUSH_TOKENS, BLOCK_TOKENS = 400_000, 1_500_000
+#: Tokens of one flush of the count map, and of one block of sequences; bytes of the texts encoded at once.
+FLUSH_TOKENS, BLOCK_TOKENS, CHUNK_BYTES = 200_000, 400_000, 2 << 20
+#: Tokens from which a sequence is cut, and tokens of a segment.
+LONG, SEGMENT = 20_000, 1_000
 END = ""
 
 
@@ -157,6 +165,16 @@ class Model:
 
     def forward(self, sequences: list[np.ndarray]) -> np.ndarray:
         """Natural logarithm of the likelihood of each sequence."""
+        short = [i for i, s in enumerate(sequences) if len(s) < LONG]
+        out = np.empty(len(sequences))
+        if short:
+            out[short] = self._forward([sequences[i] for i in short])
+        for i, s in enumerate(sequences):
+            if len(s) >= LONG:
+                out[i] = self._ends(s)[2]
+        return out
+
+    def _forward(self, sequences: list[np.ndarray]) -> np.ndarray:
         order, active, packed = self._pack(sequences)
         alpha, at, logs = None, 0, np.zeros(len(order))
         for a in active.tolist():
@@ -170,21 +188,89 @@ class Model:
         out[order] = logs
         return out
 
+    def _ends(self, sequence: np.ndarray, backward: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
+        """Of each segment of a sequence: the forward vector (adding up to 1) at the end of the segment before it, the backward vector
+        at its own end; and the logarithm of the sequence's likelihood.  The first segment's forward vector is not defined."""
+        k, n = len(self.start), -(-len(sequence) // SEGMENT)
+        size = np.full(n, SEGMENT)
+        size[-1] = len(sequence) - SEGMENT * (n - 1)
+        moved = np.empty((n, k, k), np.float32)  # from the vector that comes in to the one at the end, and its scale
+        logs = np.zeros(n)
+        for first in range(0, n, 2048):
+            here = slice(first, min(n, first + 2048))
+            at = np.arange(here.start, here.stop) * SEGMENT
+            m = np.eye(k, dtype=np.float32)[None] * self.emit[sequence[at]][:, None, :]
+            for t in range(SEGMENT):
+                a = int(np.searchsorted(-size[here], -t, "left"))  # segments longer than t: all but the last, perhaps
+                if t:
+                    m[:a] = (m[:a].reshape(-1, k) @ self.move).reshape(-1, k, k) * self.emit[sequence[at[:a] + t]][:, None, :]
+                scale = m[:a].sum((1, 2))
+                m[:a] /= scale[:, None, None]
+                logs[here][:a] += np.log(scale)
+            moved[here] = m
+        before, after = np.zeros((n, k), np.float32), np.ones((n, k), np.float32)
+        came, likelihood = self.start.astype(np.float64), 0.0
+        for j in range(n):
+            alpha = came @ moved[j]
+            scale = alpha.sum()
+            likelihood += float(np.log(scale)) + logs[j]
+            alpha /= scale
+            if j + 1 < n:
+                before[j + 1] = alpha
+            came = alpha @ self.move
+        if backward:
+            beta = np.ones(k)
+            for j in range(n - 1, 0, -1):
+                beta = self.move @ (moved[j] @ beta)
+                beta /= beta @ before[j]
+                after[j - 1] = beta
+        return before, after, likelihood
+
     def expected(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Expected counts (start, move, emit) and the log likelihood: the E step, forward and backward."""
-        _, active, packed = self._pack(sequences)
+        sums = None
+
+        def add(part: tuple) -> None:
+            nonlocal sums
+            sums = part if sums is None else tuple(x + y for x, y in zip(sums, part))
+
+        short = [s for s in sequences if len(s) < LONG]
+        if short:
+            add(self._expected(short))
+        for s in sequences:
+            if len(s) >= LONG:
+                before, after, _ = self._ends(s, backward=True)
+                each = BLOCK_TOKENS // SEGMENT
+                for first in range(0, len(before), each):
+                    parts = [s[i * SEGMENT : (i + 1) * SEGMENT] for i in range(first, min(len(before), first + each))]
+                    add(self._expected(parts, before[first : first + each], after[first : first + each], first))
+        return sums
+
+    def _expected(self, sequences: list[np.ndarray], before: np.ndarray | None = None, after: np.ndarray | None = None, number: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """The same for a block.  before and after: the vectors around segments, of which the first is that of this number."""
+        order, active, packed = self._pack(sequences)
         k, steps = len(self.start), active.tolist()
+        came = np.broadcast_to(self.start, (len(order), k))
+        if before is not None:
+            came = before[order] @ self.move
+            came[order + number == 0] = self.start
         alphas, scales = np.empty((len(packed), k), np.float32), np.empty(len(packed), np.float32)
         at, alpha = 0, None
         for a in steps:
-            came = np.broadcast_to(self.start, (a, k)) if alpha is None else alpha[:a] @ self.move
+            if alpha is not None:
+                came = alpha[:a] @ self.move
             alpha = alphas[at : at + a]
             np.multiply(came, self.emit[packed[at : at + a]], out=alpha)
             s = scales[at : at + a] = alpha.sum(1)
             alpha /= s[:, None]
             at += a
         move = np.zeros((k, k))
-        back = np.ones((steps[0], k), np.float32)  # of sequences that end at a later step this is read only once they are active
+        # of sequences that end at a later step this is read only once they are active
+        back = np.ones((steps[0], k), np.float32) if after is None else after[order].astype(np.float32)
+        if after is not None:  # their scale: a sequence's last forward vector and its backward vector give 1
+            sizes = np.asarray([len(s) for s in sequences])[order]
+            ends = alphas[(np.cumsum(active) - active)[sizes - 1] + np.arange(len(order))]
+            back /= (ends * back).sum(1, keepdims=True)
         following = 0
         transposed = np.ascontiguousarray(self.move.T)
         for t in range(len(steps) - 1, -1, -1):
@@ -197,8 +283,14 @@ class Model:
                 back[:following] = ahead @ transposed
             here *= back[:a]
             following = a
+        began = np.ones(len(order), bool)
+        if before is not None:
+            began = order + number == 0
+            inner = ~began
+            ahead = self.emit[packed[: steps[0]]] * back / scales[: steps[0], None]
+            move += before[order[inner]].T @ ahead[inner]
         emit = np.stack([np.bincount(packed, weights=alphas[:, j], minlength=len(self.emit)) for j in range(k)], axis=1)
-        return alphas[: steps[0]].sum(0, dtype=np.float64), move * self.move, emit, float(np.log(scales, dtype=np.float64).sum())
+        return alphas[: steps[0]][began].sum(0, dtype=np.float64), move * self.move, emit, float(np.log(scales, dtype=np.float64).sum())
 
 
 def blocks_of(sequences, most: int = BLOCK_TOKENS):
@@ -236,6 +328,7 @@ def baum_welch_round(encoded: DataFrame, model: Model, mass: np.ndarray) -> Mode
     bounded_batches(spark)
     parts = encoded.select("classes").mapInArrow(run, ", ".join(["row int", *(f"{n} double" for n in names)]))
     rows = parts.groupBy("row").agg(*(F.sum(n).alias(n) for n in names)).toPandas()
+    shared.destroy()
     sums = np.zeros((n_classes + 1 + k, k))
     sums[rows["row"].to_numpy()] = rows[names].to_numpy()
     return Model.of_counts(sums[n_classes], sums[n_classes + 1 :], sums[:n_classes], mass)
@@ -261,14 +354,16 @@ def fit_vocabulary(counts: DataFrame) -> Vocabulary:
 def fit(training: DataFrame, vocabulary: Vocabulary) -> Model:
     """training: encoded training rows (doc_id, n_tokens, classes)."""
     model = Model.initial(vocabulary.mass)
-    begun = training.select("doc_id", F.substring("classes", 1, 2 * INIT_TOKENS).alias("classes"))  # two bytes a token
-    first = hash_sample(begun, "doc_id", INIT_ROWS, "classes").collect()  # bounded rows of bounded length
+    size = 2 * INIT_TOKENS  # two bytes a token
+    parts = training.select("doc_id", F.posexplode(F.expr(f"transform(sequence(0, cast((length(classes) - 1) div {size} as int)), i -> substring(classes, 1 + {size} * i, {size}))")).alias("nth", "classes"))
+    parts = parts.select(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "nth").alias("part"), "classes")
+    first = hash_sample(parts, "part", INIT_PARTS, "classes").collect()  # bounded rows of bounded length
     if not first:  # no training rows
         return model
     held = [np.frombuffer(r["classes"], np.uint16) for r in first]
     for _ in range(INIT_ROUNDS):
-        start, move, emit, _ = model.expected(held)
-        model = Model.of_counts(start, move, emit, vocabulary.mass)
+        sums = [model.expected(block)[:3] for block in blocks_of(held)]
+        model = Model.of_counts(*(sum(x) for x in zip(*sums)), vocabulary.mass)
     for _ in range(ROUNDS):
         model = baum_welch_round(training, model, vocabulary.mass)
     return model
@@ -285,7 +380,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     def encode():
         def each(batch):
-            yield {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), **shared.value.encode([t.lower().split() for t in byte_texts(batch.column("text"))])}
+            for part in byte_slices(batch, "text", CHUNK_BYTES):
+                yield {"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), **shared.value.encode([t.lower().split() for t in byte_texts(part.column("text"))])}
 
         return each
 
@@ -303,8 +399,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sequences = [np.frombuffer(s, np.uint16) for s in batch.column("classes").to_pylist()]
-            logs = shared_model.value.forward(sequences) / np.log(10) if sequences else np.empty(0)
+            sequences = (np.frombuffer(s, np.uint16) for s in batch.column("classes").to_pylist())
+            logs = np.concatenate([np.empty(0), *(shared_model.value.forward(block) for block in blocks_of(sequences))]) / np.log(10)
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(logs)], names=[*names, "log_likelihood"])
 
     names = ["row", "doc_id", "held_out", "n_tokens", "n_heavy", "log_c", "share"]

@@ -164,6 +164,21 @@ def test_scaled_recursions_are_exact():
     assert got[3] == pytest.approx(sum(logs), rel=1e-4)
 
 
+def test_cut_sequences_give_the_same(monkeypatch):
+    """Segments chained by their matrices against the recursion over whole sequences."""
+    rng = np.random.RandomState(1)
+    model = hmm_lm.Model.initial(rng.gamma(1, 1, 50) + 0.1, 5)
+    sequences = [rng.randint(0, 50, n).astype(np.uint16) for n in (3, 700, 1, 2500, 999, 1000, 1001)]
+    logs, want = model.forward(sequences), model.expected(sequences)
+    monkeypatch.setattr(hmm_lm, "LONG", 500)
+    monkeypatch.setattr(hmm_lm, "SEGMENT", 100)
+    for block in (150, 10_000):
+        monkeypatch.setattr(hmm_lm, "BLOCK_TOKENS", block)
+        assert model.forward(sequences) == pytest.approx(logs, rel=1e-5)
+        for a, b in zip(model.expected(sequences), want):
+            assert a == pytest.approx(b, rel=1e-3, abs=1e-3)
+
+
 def check_language_scores(rows, docs):
     tokens = {i: [*(t or "").encode().lower().split(), None] for i, t in docs}
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
@@ -201,7 +216,10 @@ def test_language_odd_rows(spark):
 
 
 def test_language_trains_on_long_texts(spark, monkeypatch):
-    monkeypatch.setattr(hmm_lm, "INIT_TOKENS", 10)  # every text is longer
+    """Every text is cut for the start, and the rounds over all rows change the model too."""
+    monkeypatch.setattr(hmm_lm, "INIT_TOKENS", 10)
+    monkeypatch.setattr(hmm_lm, "LONG", 40)
+    monkeypatch.setattr(hmm_lm, "SEGMENT", 16)
     end, red, blue = 0, 1, 2
     sequences = [np.asarray([red, blue] * n + [end], np.uint16) for n in range(20, 60)]
     of_suffix = {hmm_lm.suffix_class(t): 1600.5 for t in (b"red", b"blue")}
@@ -211,6 +229,18 @@ def test_language_trains_on_long_texts(spark, monkeypatch):
     tokens = sum(map(len, sequences))
     assert trained.forward(sequences).sum() > untrained.forward(sequences).sum() + 0.1 * tokens
     assert hmm_lm.fit(training.limit(0), vocabulary).emit.tolist() == untrained.emit.tolist()
+    monkeypatch.setattr(hmm_lm, "ROUNDS", 0)
+    assert hmm_lm.fit(training, vocabulary).emit.tolist() != trained.emit.tolist()
+
+
+def test_language_scores_texts_over_4000_tokens(spark, monkeypatch):
+    rounds = []
+    once = hmm_lm.baum_welch_round
+    monkeypatch.setattr(hmm_lm, "baum_welch_round", lambda *a: rounds.append(1) or once(*a))
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 50}" for j in range(4100 + i))) for i in range(12)], "doc_id long, text string")
+    rows = hmm_lm.score_documents(docs).collect()
+    check_language_scores(rows, [(d["doc_id"], d["text"]) for d in docs.collect()])
+    assert len(rounds) == hmm_lm.ROUNDS and sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
 def test_toxicity_held_out(spark):
