@@ -40,9 +40,9 @@ INIT_PARTS, INIT_TOKENS, INIT_ROUNDS, ROUNDS = 3_000, 1_000, 12, 3
 #: Weight, in counts, of the class distribution mixed into each state's emissions, and of even transitions.
 EMISSION_PRIOR, TRANSITION_PRIOR = 20.0, 1.0
 #: Tokens of one flush of the count map, and of one block of sequences; bytes of the texts encoded at once.
-FLUSH_TOKENS, BLOCK_TOKENS, CHUNK_BYTES = 200_000, 400_000, 2 << 20
+FLUSH_TOKENS, BLOCK_TOKENS, CHUNK_BYTES = 200_000, 500_000, 2 << 20
 #: Tokens from which a sequence is cut, and tokens of a segment.
-LONG, SEGMENT = 20_000, 1_000
+LONG, SEGMENT = 2_000, 500
 END = ""
 
 
@@ -165,13 +165,10 @@ class Model:
 
     def forward(self, sequences: list[np.ndarray]) -> np.ndarray:
         """Natural logarithm of the likelihood of each sequence."""
-        short = [i for i, s in enumerate(sequences) if len(s) < LONG]
         out = np.empty(len(sequences))
-        if short:
-            out[short] = self._forward([sequences[i] for i in short])
-        for i, s in enumerate(sequences):
-            if len(s) >= LONG:
-                out[i] = self._ends(s)[2]
+        for picked, run in (([i for i, s in enumerate(sequences) if len(s) < LONG], self._forward), ([i for i, s in enumerate(sequences) if len(s) >= LONG], lambda x: self._ends(x)[3])):
+            if picked:
+                out[picked] = run([sequences[i] for i in picked])
         return out
 
     def _forward(self, sequences: list[np.ndarray]) -> np.ndarray:
@@ -188,72 +185,68 @@ class Model:
         out[order] = logs
         return out
 
-    def _ends(self, sequence: np.ndarray, backward: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
-        """Of each segment of a sequence: the forward vector (adding up to 1) at the end of the segment before it, the backward vector
-        at its own end; and the logarithm of the sequence's likelihood.  The first segment's forward vector is not defined."""
-        k, n = len(self.start), -(-len(sequence) // SEGMENT)
-        size = np.full(n, SEGMENT)
-        size[-1] = len(sequence) - SEGMENT * (n - 1)
+    def _ends(self, sequences: list[np.ndarray], backward: bool = False) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """The segments of sequences, one sequence after another; for each segment the forward vector (adding up to 1) at the end of
+        the segment before it, all zero for a first one, and the backward vector at its own end; and the logarithm of each
+        sequence's likelihood."""
+        segments = [s[at : at + SEGMENT] for s in sequences for at in range(0, len(s), SEGMENT)]
+        k, n = len(self.start), len(segments)
         moved = np.empty((n, k, k), np.float32)  # from the vector that comes in to the one at the end, and its scale
         logs = np.zeros(n)
         for first in range(0, n, 2048):
-            here = slice(first, min(n, first + 2048))
-            at = np.arange(here.start, here.stop) * SEGMENT
-            m = np.eye(k, dtype=np.float32)[None] * self.emit[sequence[at]][:, None, :]
-            for t in range(SEGMENT):
-                a = int(np.searchsorted(-size[here], -t, "left"))  # segments longer than t: all but the last, perhaps
-                if t:
-                    m[:a] = (m[:a].reshape(-1, k) @ self.move).reshape(-1, k, k) * self.emit[sequence[at[:a] + t]][:, None, :]
-                scale = m[:a].sum((1, 2))
-                m[:a] /= scale[:, None, None]
-                logs[here][:a] += np.log(scale)
-            moved[here] = m
-        before, after = np.zeros((n, k), np.float32), np.ones((n, k), np.float32)
-        came, likelihood = self.start.astype(np.float64), 0.0
-        for j in range(n):
-            alpha = came @ moved[j]
-            scale = alpha.sum()
-            likelihood += float(np.log(scale)) + logs[j]
-            alpha /= scale
-            if j + 1 < n:
-                before[j + 1] = alpha
-            came = alpha @ self.move
-        if backward:
-            beta = np.ones(k)
-            for j in range(n - 1, 0, -1):
-                beta = self.move @ (moved[j] @ beta)
-                beta /= beta @ before[j]
-                after[j - 1] = beta
-        return before, after, likelihood
+            order, active, packed = self._pack(segments[first : first + 2048])
+            m, scales, at = np.repeat(np.eye(k, dtype=np.float32)[None], len(order), 0), np.zeros(len(order)), 0
+            for t, a in enumerate(active.tolist()):
+                came = (m[:a].reshape(-1, k) @ self.move).reshape(-1, k, k) if t else m
+                came = came * self.emit[packed[at : at + a]][:, None, :]
+                scale = came.reshape(a, -1).sum(1)
+                m[:a] = came / scale[:, None, None]
+                scales[:a] += np.log(scale)
+                at += a
+            moved[first + order], logs[first + order] = m, scales
+        before, after, likelihood = np.zeros((n, k), np.float32), np.ones((n, k), np.float32), np.zeros(len(sequences))
+        j = 0
+        for i, s in enumerate(sequences):
+            begin, came = j, self.start.astype(np.float64)
+            for j in range(begin, begin - (-len(s) // SEGMENT)):
+                alpha = came @ moved[j]
+                scale = alpha.sum()
+                likelihood[i] += np.log(scale) + logs[j]
+                alpha /= scale
+                came = alpha @ self.move
+                if SEGMENT * (j + 1 - begin) < len(s):
+                    before[j + 1] = alpha
+            if backward:
+                beta = np.ones(k)
+                for last in range(j, begin, -1):
+                    beta = self.move @ (moved[last] @ beta)
+                    beta /= beta @ before[last]
+                    after[last - 1] = beta
+            j += 1
+        return segments, before, after, likelihood
 
     def expected(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Expected counts (start, move, emit) and the log likelihood: the E step, forward and backward."""
-        sums = None
-
-        def add(part: tuple) -> None:
-            nonlocal sums
-            sums = part if sums is None else tuple(x + y for x, y in zip(sums, part))
-
-        short = [s for s in sequences if len(s) < LONG]
+        parts = []
+        short, long = [s for s in sequences if len(s) < LONG], [s for s in sequences if len(s) >= LONG]
+        if long:
+            segments, before, after, _ = self._ends(long, backward=True)
+            each = BLOCK_TOKENS // SEGMENT
+            for at in range(0, len(segments), each):
+                parts.append(self._expected(segments[at : at + each], before[at : at + each], after[at : at + each]))
         if short:
-            add(self._expected(short))
-        for s in sequences:
-            if len(s) >= LONG:
-                before, after, _ = self._ends(s, backward=True)
-                each = BLOCK_TOKENS // SEGMENT
-                for first in range(0, len(before), each):
-                    parts = [s[i * SEGMENT : (i + 1) * SEGMENT] for i in range(first, min(len(before), first + each))]
-                    add(self._expected(parts, before[first : first + each], after[first : first + each], first))
-        return sums
-
-    def _expected(self, sequences: list[np.ndarray], before: np.ndarray | None = None, after: np.ndarray | None = None, number: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """The same for a block.  before and after: the vectors around segments, of which the first is that of this number."""
+            parts.append(self._expected(short))
+        return tuple(sum(x) for x in zip(*parts))
+
+    def _expected(self, sequences: list[np.ndarray], before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """The same for a block of sequences, or of segments with the vectors around them."""
         order, active, packed = self._pack(sequences)
         k, steps = len(self.start), active.tolist()
-        came = np.broadcast_to(self.start, (len(order), k))
+        came, began = np.broadcast_to(self.start, (len(order), k)), np.ones(len(order), bool)
         if before is not None:
-            came = before[order] @ self.move
-            came[order + number == 0] = self.start
+            before = before[order]
+            began = ~before.any(axis=1)
+            came = np.where(began[:, None], self.start, before @ self.move)
         alphas, scales = np.empty((len(packed), k), np.float32), np.empty(len(packed), np.float32)
         at, alpha = 0, None
         for a in steps:
@@ -265,9 +258,9 @@ class Model:
             alpha /= s[:, None]
             at += a
         move = np.zeros((k, k))
-        # of sequences that end at a later step this is read only once they are active
-        back = np.ones((steps[0], k), np.float32) if after is None else after[order].astype(np.float32)
-        if after is not None:  # their scale: a sequence's last forward vector and its backward vector give 1
+        back = np.ones((steps[0], k), np.float32)  # of sequences that end at a later step this is read only once they are active
+        if after is not None:  # their scale: a segment's last forward vector and its backward vector give 1
+            back = after[order].astype(np.float32)
             sizes = np.asarray([len(s) for s in sequences])[order]
             ends = alphas[(np.cumsum(active) - active)[sizes - 1] + np.arange(len(order))]
             back /= (ends * back).sum(1, keepdims=True)
@@ -283,12 +276,9 @@ class Model:
                 back[:following] = ahead @ transposed
             here *= back[:a]
             following = a
-        began = np.ones(len(order), bool)
-        if before is not None:
-            began = order + number == 0
-            inner = ~began
+        if before is not None:  # steps into segments
             ahead = self.emit[packed[: steps[0]]] * back / scales[: steps[0], None]
-            move += before[order[inner]].T @ ahead[inner]
+            move += before.T @ ahead
         emit = np.stack([np.bincount(packed, weights=alphas[:, j], minlength=len(self.emit)) for j in range(k)], axis=1)
         return alphas[: steps[0]][began].sum(0, dtype=np.float64), move * self.move, emit, float(np.log(scales, dtype=np.float64).sum())
 
