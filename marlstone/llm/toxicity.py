@@ -3,17 +3,17 @@
 Folding lower-cases, drops accents, turns look-alike letters of other alphabets and digits or marks used as letters
 into Latin letters, and joins what is left with single spaces, so that an entry matches at word starts (a stem) or as
 a whole word.  The lexicon is learned from labelled rows: words and word starts that toxic rows hold far more often
-than others, weighted by log odds.  Phrases of an entry and its neighbour that occur in clean rows are exceptions:
-their match takes the entry's weight back.  Two numbers of a text, the matched weight and the weight per word, go
-through a logistic curve fitted to the same rows.
+than others, weighted by log odds.  A word weighs as much as its heaviest entry.  Phrases of such a word and its
+neighbour that occur in clean rows are exceptions: in them the word weighs nothing, however many phrases hold it.  Two
+numbers of a text, the matched weight and the weight per word, go through a logistic curve fitted to the same rows.
 
 Labelled rows for the fit are a sample of at most SAMPLE rows (the smallest hashes of doc_id), read with the texts
 whole; everything else covers all rows.  Only the text enters a score.
 
-Defined cases: null and empty texts score as texts without a match; rows without label are scored alike; repeated
-labels count as rows each, null labels and labels without text do not; with no toxic or no clean label the lexicon is
-empty and every score is the share of toxic labels (0 without labels); extra columns are ignored; an empty table gives
-an empty result.
+Defined cases: null and empty texts score as texts without a match; very long texts are matched whole; rows without
+label are scored alike; of several labels or texts of one doc_id the smallest counts for the fit (each row is scored);
+null labels and labels without text do not count; with no toxic or no clean label the lexicon is empty and every score
+is the share of toxic labels (0 without labels); extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -73,49 +73,56 @@ def fold(text: str) -> str:
 
 def entries_of(word: str) -> list[str]:
     """The lexicon entries a word can hold: its starts and the whole word."""
-    return [f" {word[:n]}" for n in STEMS if len(word) > n] + [f" {word} "]
+    return [f" {word[:n]}" for n in STEMS if len(word) >= n] + [f" {word} "]
 
 
 class Lexicon:
-    """weights by entry, exception phrases, and the curve (bias, factor of the weight, factor of the weight per word)."""
+    """weights by entry, exceptions (phrases of two words, with the place of the word that weighs nothing in them), and the
+    curve (bias, factor of the weight, factor of the weight per word)."""
 
-    def __init__(self, weights: dict[str, float], exceptions: dict[str, float], curve: tuple[float, float, float]):
+    def __init__(self, weights: dict[str, float], exceptions: set[tuple[str, int]], curve: tuple[float, float, float]):
         self.weights, self.exceptions, self.curve = weights, exceptions, curve
 
     def matcher(self):
-        """An automaton of entries (positive) and exceptions (their entry's weight, negative), or None."""
+        """An automaton of entries and exceptions, or None."""
         import ahocorasick
 
-        found = ahocorasick.Automaton()
-        for k, w in self.weights.items():
-            found.add_word(k, (k, w, False))
-        for k, w in self.exceptions.items():
-            found.add_word(k, (k, -w, True))
-        if not len(found):
+        held: dict[str, tuple[float, list[int]]] = {k: (w, []) for k, w in self.weights.items()}
+        for phrase, place in sorted(self.exceptions):
+            held.setdefault(phrase, (0.0, []))[1].append(place)
+        if not held:
             return None
+        found = ahocorasick.Automaton()
+        for k, (w, places) in held.items():
+            found.add_word(k, (len(k), w, places))
         found.make_automaton()
         return found
 
-    def features(self, texts: list[str], matcher) -> np.ndarray:
-        """For each text log(1 + matched weight) and the same of the weight per hundred words.
+    @staticmethod
+    def matched(folded: str, matcher) -> dict[int, float]:
+        """Weight by the place of each word that weighs."""
+        at: dict[int, float] = {}
+        excused = set()
+        for end, (size, weight, places) in matcher.iter(folded):
+            start = end - size + 1
+            if weight > at.get(start, 0.0):
+                at[start] = weight
+            for place in places:
+                excused.add(start + place)
+        for place in excused:
+            at.pop(place, None)
+        return at
 
-        A word counts once, with its heaviest entry: nested starts do not add up."""
+    def features(self, texts: list[str], matcher) -> np.ndarray:
+        """For each text log(1 + matched weight) and the same of the weight per hundred words."""
         out = np.zeros((len(texts), 2))
         if matcher is None:
             return out
         for i, text in enumerate(texts):
             folded = fold(text)
-            at: dict[int, float] = {}
-            minus = 0.0
-            for end, (key, weight, exception) in matcher.iter(folded):
-                if exception:
-                    minus += weight
-                else:
-                    start = end - len(key) + 1
-                    if weight > at.get(start, 0.0):
-                        at[start] = weight
-            total = max(0.0, sum(at.values()) + minus)
-            if total:
+            at = self.matched(folded, matcher)
+            if at:
+                total = sum(w for _, w in sorted(at.items()))
                 out[i] = math.log1p(total), math.log1p(100 * total / (10 + folded.count(" ")))
         return out
 
@@ -129,7 +136,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     train = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("label_id").isNotNull() & F.col("toxic").isin(0, 1) & (crc32_of_id("label_id") % 5 != 0))
     train = materialize(hash_sample(train, "label_id", sample, "toxic"), "labels")
     rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(train), F.col("doc_id") == F.col("label_id"))
-    return materialize(rows.select("label_id", "text", "toxic"), "labelled")
+    one = rows.groupBy("label_id").agg(F.min(F.struct("toxic", "text")).alias("row"))  # so that there are at most sample rows
+    return materialize(one.select("label_id", "row.text", "row.toxic"), "labelled")
 
 
 def _entry_counts(sample: DataFrame) -> DataFrame:
@@ -149,7 +157,7 @@ def _entry_counts(sample: DataFrame) -> DataFrame:
 
 
 def _phrase_counts(sample: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """phrase (an entry's word and its right or left neighbour), entry, rows of either label."""
+    """phrase (a word that weighs and its right or left neighbour), place of the word in it, rows of either label."""
 
     def start():
         def each(batch):
@@ -157,17 +165,18 @@ def _phrase_counts(sample: DataFrame, weights: dict[str, float]) -> DataFrame:
             for text, toxic in zip(str_texts(batch.column("text")), batch.column("toxic").to_pylist()):
                 words, seen = fold(text).split(), set()
                 for i, w in enumerate(words):
-                    for e in entries_of(w):
-                        if e in weights:
-                            seen.add((f" {w} {words[i + 1]} ", e) if i + 1 < len(words) else None)
-                            seen.add((f" {words[i - 1]} {w} ", e) if i else None)
-                counts[toxic].update(seen - {None})
+                    if any(e in weights for e in entries_of(w)):
+                        if i + 1 < len(words):
+                            seen.add((f" {w} {words[i + 1]} ", 0))
+                        if i:
+                            seen.add((f" {words[i - 1]} {w} ", len(words[i - 1]) + 1))
+                counts[toxic].update(seen)
             keys = list(counts[0].keys() | counts[1].keys())
-            yield {"phrase": [k[0] for k in keys], "entry": [k[1] for k in keys], "n_toxic": [counts[1][k] for k in keys], "n_clean": [counts[0][k] for k in keys]}
+            yield {"phrase": [k[0] for k in keys], "place": [k[1] for k in keys], "n_toxic": [counts[1][k] for k in keys], "n_clean": [counts[0][k] for k in keys]}
 
         return each
 
-    return map_batches(sample, "phrase string, entry string, n_toxic long, n_clean long", start).groupBy("phrase", "entry").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
+    return map_batches(sample, "phrase string, place int, n_toxic long, n_clean long", start).groupBy("phrase", "place").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -186,17 +195,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
-        return Lexicon({}, {}, (math.log((toxic + 1e-9) / (clean + 1e-9)) if toxic or clean else -30.0, 0.0, 0.0))
+        return Lexicon({}, set(), (math.log((toxic + 1e-9) / (clean + 1e-9)) if toxic or clean else -30.0, 0.0, 0.0))
     odds = ((F.col("n_toxic") + 0.5) / (toxic - F.col("n_toxic") + 0.5)) / ((F.col("n_clean") + 0.5) / (clean - F.col("n_clean") + 0.5))
     least = min(MIN_ROWS, max(2, toxic // 20))
     counts = _entry_counts(rows).filter(F.col("n_toxic") >= least).withColumn("odds", odds).filter(F.col("odds") >= MIN_ODDS)
     top = counts.orderBy(F.desc(F.col("n_toxic") * F.log("odds")), "entry").limit(ENTRIES).collect()  # at most ENTRIES rows
     weights = {r["entry"]: math.log(r["odds"]) for r in top}
-    exceptions: dict[str, float] = {}
+    exceptions: set[tuple[str, int]] = set()
     if weights:
         phrases = _phrase_counts(rows, weights).filter((F.col("n_clean") >= 3) & (F.col("n_clean") * toxic > 4 * F.col("n_toxic") * clean))
-        for r in phrases.orderBy(F.desc("n_clean"), "phrase", "entry").limit(EXCEPTIONS).collect():  # at most EXCEPTIONS rows
-            exceptions[r["phrase"]] = max(exceptions.get(r["phrase"], 0.0), weights[r["entry"]])
+        exceptions = {(r["phrase"], r["place"]) for r in phrases.orderBy(F.desc("n_clean"), "phrase", "place").limit(EXCEPTIONS).collect()}  # at most EXCEPTIONS rows
     lexicon = Lexicon(weights, exceptions, (0.0, 0.0, 0.0))
 
     def start():
@@ -232,7 +240,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs not predicted toxic, with the columns of docs; one pass, nothing is shuffled."""
+    """The rows of docs not predicted toxic, with the columns of docs; one pass, nothing is shuffled.
+
+    Null and empty texts score as texts without a match; repeated rows share their fate; without labels all stay; an
+    empty table stays empty; columns of any name are kept as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))  # bounded by ENTRIES and EXCEPTIONS
     names = docs.columns
 

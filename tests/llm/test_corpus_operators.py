@@ -276,11 +276,52 @@ def test_toxicity_folds_and_exceptions(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, p in got.items() if not p}
 
 
+def naive_weight(lexicon, text):
+    """Words one by one, by substring comparison alone."""
+    words, total = toxicity.fold(text).split(), 0.0
+    for i, w in enumerate(words):
+        weight = max((x for e, x in lexicon.weights.items() if f" {w} ".startswith(e)), default=0.0)
+        left = i and (f" {words[i - 1]} {w} ", len(words[i - 1]) + 1) in lexicon.exceptions
+        right = i + 1 < len(words) and (f" {w} {words[i + 1]} ", 0) in lexicon.exceptions
+        total += 0.0 if left or right else weight
+    return total, len(words)
+
+
+def test_toxicity_matches_as_substring_search_does(spark):
+    lexicon = toxicity.Lexicon({" idio": 2.0, " idiot ": 3.0, " moron ": 1.5, " sav": 0.5}, {(" village idiot ", 8), (" idiot savant ", 0)}, (0.0, 0.0, 0.0))
+    assert naive_weight(lexicon, "village idiot savant moron") == (2.0, 4)
+    rng = random.Random(6)
+    texts = ["village idiot savant moron", "", "idiot", "savant idiot village", "idiot savant idiot"]
+    texts += [" ".join(rng.choice(["village", "idiot", "idiots", "savant", "moron", "m0r0n", "x"]) for _ in range(rng.randint(0, 12))) for _ in range(500)]
+    for (a, b), text in zip(lexicon.features(texts, lexicon.matcher()), texts):
+        total, n = naive_weight(lexicon, text)
+        assert a == pytest.approx(math.log1p(total)) and b == pytest.approx(math.log1p(100 * total / (11 + n)) if total else 0.0)
+    sf_dir = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    lexicon = toxicity.fit(docs, labels)
+    assert lexicon.weights
+    texts = [d["text"] or "" for d in docs.limit(150).collect()]
+    for (a, _), text in zip(lexicon.features(texts, lexicon.matcher()), texts):
+        assert a == pytest.approx(math.log1p(naive_weight(lexicon, text)[0]))
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i % 20, f"text {i % 20}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 20, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    rows = toxicity.labelled_sample(docs, labels, 10).collect()
+    assert 0 < len(rows) == len({r["label_id"] for r in rows}) <= 10
+    assert toxicity.score_documents(docs, labels).count() == 200
+
+
 def test_toxicity_odd_rows(spark, sf_dir):
     docs, labels = odd_documents(spark), table(spark, sf_dir, "labels")
     assert toxicity.score_documents(docs, labels).count() == docs.count()
     assert all(0 <= r["score"] <= 1 for r in toxicity.score_documents(docs, labels.limit(0)).collect())
     assert toxicity.score_documents(docs.limit(0), labels).count() == 0
+    kept = toxicity.keep_clean(docs, labels.limit(0))
+    key = lambda d: str(list(d))
+    assert kept.columns == docs.columns and sorted(kept.collect(), key=key) == sorted(docs.collect(), key=key)
+    assert toxicity.keep_clean(docs.limit(0), labels).count() == 0
 
 
 def test_pipeline(spark, sf_dir):
