@@ -1,13 +1,13 @@
 """Secret scans: three base patterns, and sliding-window Shannon entropy by character class with an allow-list.
 
 Candidates are runs of at least WINDOW token characters.  In each run the entropy of every window of WINDOW
-characters is followed by counts that change by two characters a step; a class (digits, lower-case hex, mixed
-letters and digits) has a limit of its own, and neighbouring windows over the limit grow into one span.  Spans
-that the allow-list matches (URLs, file paths, words, dates, plain numbers) or that overlap a base span are
-dropped; base spans always stay.
+characters is followed by counts that change by two characters a step.  The class of a run (digits, hexadecimal, letters
+of one case, letters of both cases, letters and digits) has a limit of its own; a run with a window that reaches it is a
+span as a whole.  Runs that the allow-list matches (words and numbers joined by marks, names of capitalised words,
+UUIDs) are dropped, and so are spans inside a base span; base spans always stay.
 
-Defined cases: null and empty texts have no spans; positions count code points; repeated rows are each scanned;
-extra columns are ignored; an empty table gives an empty result.
+Defined cases: null and empty texts have no spans; very long texts and runs are scanned whole; positions count code points;
+repeated rows are each scanned; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,15 +26,18 @@ _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*
 _ASSIGN_HINT = re.compile(r"(?ai:passw|secret|token|api_?key)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 WINDOW = 24
-#: Bits a character that a window of a class must reach.
-LIMITS = {"hex": 3.0, "mixed": 4.0}
+_DIGITS, _UPPER, _LOWER = set("0123456789"), set("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), set("abcdefghijklmnopqrstuvwxyz")
+_HEX_DIGITS = _DIGITS | set("abcdefABCDEF")
+#: Bits a character that a window of a class must reach; 24 random characters of a class mostly do.
+LIMITS = {"digits": 2.9, "hex": 3.0, "one case": 4.2, "letters": 4.1, "mixed": 3.9}
+_PART = "(?:[A-Z]?[a-z]+[0-9]{0,3}|[A-Z]+[0-9]{0,3}|[0-9]{1,17}|v[0-9.]+)"
 _ALLOWED = (
-    re.compile(r"[A-Za-z]+(?:[-_/][A-Za-z]+)*=*\Z"),  # words joined by marks
-    re.compile(r"[0-9=+/_-]+\Z"),  # numbers, dates, rules
-    re.compile(r"(?:[A-Za-z0-9]{1,12}[-_/]){2,}[A-Za-z0-9]{0,12}\Z"),  # paths, slugs, UUID-like ids
+    re.compile(rf"[-_/+]*(?:{_PART}(?:[-_/+]+{_PART})*)?[-_/+]*=*\Z"),  # words and numbers joined by marks, rules
+    re.compile(r"(?i:[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12})\Z"),  # UUIDs
 )
+_CAPITALISED = re.compile(r"[a-z]*(?:[A-Z][a-z]+|[A-Z]+(?=[A-Z][a-z]|[0-9]|\Z))+[0-9]{0,3}\Z")
 _GAIN = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 
 
@@ -67,39 +70,48 @@ def window_entropies(run: str, width: int = WINDOW) -> Iterator[float]:
 
 
 def _class(run: str) -> str | None:
-    digits, upper, lower = (any(f(c) for c in run) for f in (str.isdigit, str.isupper, str.islower))
-    if not digits or not (upper or lower):
-        return None
-    return "hex" if all(c in "0123456789abcdefABCDEF" for c in run) else "mixed"
+    """The class of a run; None for marks alone."""
+    held = set(run)
+    digits, upper, lower = (not held.isdisjoint(x) for x in (_DIGITS, _UPPER, _LOWER))
+    if digits and not (upper or lower):
+        return "digits"
+    if digits and not (held & _UPPER and held & _LOWER) and held <= _HEX_DIGITS:
+        return "hex"
+    if digits:
+        return "mixed"
+    if upper and lower:
+        return "letters"
+    return "one case" if upper or lower else None
+
+
+def _allowed(run: str) -> bool:
+    """Names of capitalised words have few capitals."""
+    if any(p.match(run) for p in _ALLOWED):
+        return True
+    return 4 * sum(c in _UPPER for c in run) <= len(run) and _CAPITALISED.match(run) is not None
 
 
 def entropy_spans(text: str) -> list[tuple[int, int, str]]:
-    """Spans of windows over their class's limit, allow-listed ones left out."""
+    """Runs with a window at their class's limit, allow-listed ones left out."""
     spans = []
     for m in _RUN.finditer(text):
         run, at = m[0], m.start()
         kind = _class(run)
-        if kind is None or any(p.match(run) for p in _ALLOWED):
+        if kind is None or _allowed(run):
             continue
-        start = end = None
-        for i, bits in enumerate(window_entropies(run)):
-            if bits >= LIMITS[kind]:
-                if start is not None and i > end:
-                    spans.append((at + start, at + end, "entropy"))
-                    start = None
-                start = i if start is None else start
-                end = i + WINDOW
-        if start is not None:
-            spans.append((at + start, at + end, "entropy"))
+        limit = LIMITS[kind] - 1e-9
+        if any(bits >= limit for bits in window_entropies(run)):
+            spans.append((at, m.end(), "entropy"))
     return spans
 
 
 def find_secrets(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """(base spans, all spans); an entropy span that touches a base span adds nothing and is dropped."""
+    """(base spans, all spans); an entropy span inside a base span adds nothing and is dropped."""
     base = base_spans(text)
-    if not _RUN.search(text):
+    extra = entropy_spans(text)
+    if not extra:
         return base, base
-    extra = [s for s in entropy_spans(text) if all(s[1] <= b[0] or b[1] <= s[0] for b in base)]
+    extra = [s for s in extra if not any(b[0] <= s[0] and s[1] <= b[1] for b in base)]
     return base, sorted(base + extra, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -139,7 +151,9 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """docs with the secrets in text masked and n_chars set to the new length; null texts stay null."""
+    """docs with the secrets in text masked and n_chars set to the new length; null texts stay null, with a null n_chars.
+
+    Empty texts stay empty; repeated rows are each masked; an empty table stays empty; columns of any name are kept as they are."""
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 
     names = docs.columns

@@ -115,6 +115,51 @@ def test_secret_windows_and_redaction(spark):
     assert {r["spans"] for r in secret_scan.scan_documents(docs).collect()} == {""}
 
 
+def brute_entropy_spans(text):
+    """Every candidate and every window by the definition."""
+    import math
+
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{24,}={0,2}", text):
+        run = m[0]
+        digits, upper, lower = (any(f(c) for c in run) for f in (str.isdigit, str.isupper, str.islower))
+        if digits and (upper or lower):
+            kind = "hex" if upper != lower and all(c in "0123456789abcdefABCDEF" for c in run) else "mixed"
+        elif digits:
+            kind = "digits"
+        elif upper or lower:
+            kind = "letters" if upper and lower else "one case"
+        else:
+            continue
+        windows = [Counter(run[i : i + 24]) for i in range(len(run) - 23)]
+        best = max(-sum(n / 24 * math.log2(n / 24) for n in w.values()) for w in windows)
+        if best >= secret_scan.LIMITS[kind] - 1e-9 and not secret_scan._allowed(run):
+            out.append((m.start(), m.end()))
+    return out
+
+
+def test_entropy_spans_by_brute_force(spark, sf_dir):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(rng.choice(["0123456789", "abcdef0123456789", "ABCDEFabcXYZxyz", "aB3-/_+=", " "])) for _ in range(rng.randint(0, 120))) for _ in range(800)]
+    texts += ["".join(rng.choice(kind) for _ in range(40)) for kind in ("0123456789", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(100)]
+    docs = [d["text"] or "" for d in table(spark, sf_dir, "documents").collect()]
+    for t in texts + docs:
+        base, spans = secret_scan.find_secrets(t)
+        extra = [s for s in brute_entropy_spans(t) if not any(b[0] <= s[0] and s[1] <= b[1] for b in base)]
+        assert spans == sorted([*base, *((a, b, "entropy") for a, b in extra)], key=lambda s: (s[0], secret_scan.KINDS.index(s[2])))
+    assert sum(bool(brute_entropy_spans(t)) for t in texts) > 100
+
+
+@pytest.mark.parametrize("text", ["QwErTyUiOpAsDfGhJkLzXcVbNmPoIu", "kJ8s-9dK2f-Lq03x-ZpT7w-Vb61n", "aB3/dE5/fG7/hI9/jK1/lM2/nO4", "xoxb-1234567-AbCdEfGhIjKlMnOpQrStUv8", "DEADBEEF0123456789ABCDEF01", "83920174-6529103847561029384+"])
+def test_entropy_finds(text):
+    assert secret_scan.find_secrets(f"see {text}, too")[1][-1] == (4, 4 + len(text), "entropy")
+
+
+@pytest.mark.parametrize("text", ["550e8400-e29b-41d4-a716-446655440000", "com/a-long/path-to/some-page-of-words", "getElementsByTagNameAndMoreStuffHere", "antidisestablishmentarianism", "2024-01-01/2025-02-02_11-22-33", "com/2024/01/01/some-Title-of-Words/page2", "------------------------------", "________________a_______________"])
+def test_entropy_leaves(text):
+    assert secret_scan.find_secrets(f"see {text}, too")[1] == []
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><h2>Site</h2></header><nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
 <!-- <p>hidden</p> --><div class="ad">Buy now</div><article><h1>Title &amp; more</h1><p>First   line<br>goes on.<p>Short.
@@ -382,6 +427,36 @@ def test_sentencepiece_dropout_is_drawn_for_each_occurrence():
     assert len({tuple(encoder.encode(long, i)) for i in range(50)}) == 50
 
 
+def test_sentencepiece_dropout_is_the_agenda_by_definition(spark, sf_dir):
+    """Whole texts, word by word, pair by pair, with the draws that the keyed hash gives."""
+    e = sentencepieces.Encoder(tokenizer_path("piece_bpe_32k.model"), 0.2, 99)
+    rank, byte_id, mask = e.pieces.rank, e.pieces.byte_id, 2**64 - 1
+    texts = [(d["doc_id"], d["text"] or "") for d in table(spark, sf_dir, "documents").limit(40).collect()] + [(7, "a▁b  ▁▁ç漢x,;:-) 'tis " + "long" * 30)]
+    for doc_id, text in texts:
+        want = []
+        start = sentencepieces._mix((99 << 32 ^ doc_id) & mask)
+        for nth, word in enumerate(e.pieces.words.findall(" " + text)):
+            gaps = sentencepieces.Gaps(start + nth * 0x9E3779B97F4A7C15 & mask, e.chances)
+            left = next(gaps)
+            for k, part in enumerate(word.split("▁")):
+                if k:
+                    want += [byte_id[b] for b in "▁".encode()]
+                    left = next(gaps) if part else left
+                symbols, out = [(c, i) for i, c in enumerate(part.replace(" ", "▁"))], set()
+                while found := [(rank[a + b], i, j, a + b) for (a, i), (b, j) in zip(symbols, symbols[1:]) if a + b in rank and (i, j, a + b) not in out]:
+                    _, i, j, joined = min(found)
+                    if not left:
+                        out.add((i, j, joined))
+                        left = next(gaps)
+                        continue
+                    left -= 1
+                    at = next(n for n, (_, p) in enumerate(symbols) if p == i)
+                    symbols[at : at + 2] = [(joined, i)]
+                for s, _ in symbols:
+                    want += [e.pieces.ids[s]] if s in e.pieces.ids else [byte_id[b] for b in s.encode()]
+        assert e.encode(text, doc_id) == want
+
+
 def test_sentencepiece_short_and_long_agendas_agree(monkeypatch):
     words = ["international agreements", "don't, stop...", "a▁b▁▁c", "Straßenbahn-Ümläute", "xxxxxxxxxx", "0123456789", "https://a.b/c?d=e"]
     encoder = lambda: sentencepieces.Encoder(tokenizer_path("piece_bpe_32k.model"), 0.3, 7)
