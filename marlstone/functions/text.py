@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words too common to search for.
-STOP_WORDS = tuple("a an and are as at be by for from has have how in into is it of on or that the this to was what when where which who why will with".split())
+# Keywords and literals that say nothing about a body.
+KEYWORDS = tuple(
+    """let mut fn pub return if else for while loop match in self this const var def class import from use crate impl struct enum trait async await true false none
+    null undefined some ok err as ref where type function new the and or not is of to a an pass super static export default unwrap clone to_string string str i32 i64
+    u32 u64 usize f32 f64 bool vec option result with try except catch break continue""".split()
+)
+# Paths of tests, and of tests, samples, generated and other code that does not ship (lower-cased paths).
+TEST_PATH = r"(^|/)(__tests?__|tests?|specs?)(/|$)|\.(test|spec)\.[^/]+$|(^|/)test_[^/]+\.[^/]+$|_test\.[^/]+$|(^|/)[^/]+Tests?\.cs$"
+LOW_VALUE_FOLDER = r"(^|/)(__tests?__|tests?|specs?|fixtures?|examples?|samples?|benchmarks?|benches|demos?|mocks?|testdata|integration|evaluate|generated|vendor)(/|$)"
+LOW_VALUE_FILE = r"(\.(test|spec)\.[^/]+$)|((^|/)test_[^/]+\.[^/]+$)|(_test\.[^/]+$)|(\.(generated|gen|pb)\.[^/]+$)"
 
 
 def identifier_components(name: Column, least: int = 2) -> Column:
@@ -28,8 +36,11 @@ def index_terms(text: Column) -> Column:
 
 
 def body_terms(text: Column, most: int = 256) -> Column:
-    """Distinct identifiers in first-seen order without stop words, at most `most` of them."""
-    return F.slice(F.array_except(index_terms(text), F.array(*map(F.lit, STOP_WORDS))), 1, most)
+    """Identifiers as first written, in first-seen order and distinct whatever their case, without keywords, single bytes and
+    what begins with a digit; at most `most` of them, joined by spaces."""
+    raw = F.filter(F.split(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}_]+"), lambda w: (F.octet_length(w) >= 2) & ~w.rlike(r"^\p{N}") & ~F.lower(w).isin(*KEYWORDS))
+    lower = F.transform(raw, lambda w: F.lower(w))
+    return F.array_join(F.transform(F.slice(F.array_distinct(lower), 1, most), lambda w: F.element_at(raw, F.array_position(lower, w).cast("int"))), " ")
 
 
 def stems(term: Column) -> Column:
@@ -65,12 +76,12 @@ def humanised(name: Column) -> Column:
 
 
 def is_test_path(path: Column) -> Column:
-    return path.rlike(r"(?i)(^|/)(tests?|__tests__|specs?)/|(^|/)test_[^/]*$|[._-](test|spec)\.[a-z]+$")
+    return path.rlike(TEST_PATH)
 
 
 def is_low_value_path(path: Column) -> Column:
-    """Tests, fixtures, vendored, generated and minified files."""
-    return is_test_path(path) | path.rlike(r"(?i)(^|/)(vendor|third_party|node_modules|dist|build|fixtures?|examples?|generated)/|\.min\.|(^|/)nation/")
+    """Tests, fixtures, samples, benchmarks, vendored and generated files."""
+    return F.lower(path).rlike(f"{LOW_VALUE_FOLDER}|{LOW_VALUE_FILE}")
 
 
 def glob_to_regex(glob: str) -> str:
@@ -110,6 +121,12 @@ def node_id(path: Column, kind: Column, name: Column) -> Column:
     return F.concat_ws(":", kind, F.substring(F.sha2(F.concat_ws("|", path, kind, name), 256), 1, 32))
 
 
+def relocated_ref(old_ref: Column, kind: Column, path: Column, name: Column) -> Column:
+    """The readable reference of a node that keeps the old reference's kind where it means the node's."""
+    old = F.regexp_extract(old_ref, r"^([a-z_]+):.+:.+$", 1)
+    return readable_ref(F.when((old != "") & kinds_equivalent(old, kind), old).otherwise(kind), path, name)
+
+
 def readable_ref(kind: Column, path: Column, name: Column) -> Column:
     return F.concat_ws(":", kind, path, name)
 

@@ -10,9 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What an issue takes off the score, and codes that take nothing.
+# What an issue takes off the score, and codes that take nothing.
 COSTS = {"error": 10, "warning": 3, "info": 1}
-UNSCORED = ("stale-soon", "todo")
+UNSCORED = ("GROUNDING_MOVED_BY_NEIGHBORS", "POPULATION_PENDING")
 
 
 def issue(rows: DataFrame, code: str, severity: str | Column, message: Column, file: str = "file", line: Column | None = None) -> DataFrame:

@@ -19,7 +19,11 @@ from marlstone.operators.ranking import RRF, ranked
 from marlstone.operators.structural import CONTAINERS
 
 # Words that ask for nothing, and words that say little about code.
-STOP = frozenset(T.STOP_WORDS) | frozenset("been but can could did do does each every give had i if its just may me might more my need no not only our out should show so some such tell than their them then there these they those up us used using want we would you work works your".split())
+STOP = frozenset(
+    """a an and are as at be been but by can could did do does each every for from give had has have how i if in into is it its just may me might more my need no not
+    of on only or our out should show so some such tell than that the their them then there these they this those to up us used using want was we what when where
+    which who why will with would you work works your""".split()
+)
 LOW_SIGNAL = frozenset("agent called class code declaration declarations file files function graph method node nodes object search source symbol symbols task".split())
 _TOKEN = re.compile(r"[#A-Za-z_$][#\w$.:/\\-]*", re.A)
 MAX_TOKENS, MAX_TERMS, MAX_IDENTIFIERS = 40, 32, 16

@@ -82,7 +82,8 @@ def overlapping(chunks: DataFrame, spans: DataFrame, most: int = 8, width: int =
     c = chunks.withColumn("bucket", bucket("first", "last"))
     s = spans.filter("end_line >= start_line").select("id", "kind", F.col("file_path").alias("span_file"), "start_line", "end_line", bucket("start_line", "end_line").alias("span_bucket"))
     hit = c.join(s, (F.col("file_path") == F.col("span_file")) & (F.col("bucket") == F.col("span_bucket")) & (F.col("start_line") <= F.col("last")) & (F.col("end_line") >= F.col("first")))
-    hit = hit.select("chunk_id", "id", "kind", (F.least("end_line", "last") - F.greatest("start_line", "first") + 1).alias("overlap"), (F.col("end_line") - F.col("start_line")).alias("span")).distinct()
+    hit = hit.filter(F.col("bucket") == F.floor(F.greatest("start_line", "first") / width))  # a pair counts in the bucket that its overlap begins in
+    hit = hit.select("chunk_id", "id", "kind", (F.least("end_line", "last") - F.greatest("start_line", "first") + 1).alias("overlap"), (F.col("end_line") - F.col("start_line")).alias("span"))
     order = W.partitionBy("chunk_id").orderBy(F.col("kind").isin(*CONTAINERS), F.desc("overlap"), "span", "id")
     return hit.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 

@@ -75,16 +75,20 @@ def file_context(events: DataFrame, path: str) -> DataFrame:
 
 
 def classify_commits(log: DataFrame) -> DataFrame:
-    """Commits (hash, ts, subject) as events: the kind by the subject, tags that keep a commit from being taken twice."""
+    """Commits (hash, ts, subject) as events: the kind by the subject, tags that keep a commit from being taken twice, and the tag of
+    its whole hash; lines without hash or subject are left out."""
     s = F.lower("subject")
-    kind = F.when(s.rlike(r"^(fix|hotfix|bug)|\brevert"), "incident").when(s.rlike(r"^(feat|add|release)"), "milestone").when(s.rlike(r"\b(adr|decide|adopt)"), "decision").otherwise("change")
-    return log.select(F.concat(F.lit("commit-"), "hash").alias("id"), "ts", kind.alias("kind"), F.col("subject").alias("summary"), F.array(F.concat(F.lit("commit:"), "hash")).alias("tags"))
+    kind = F.when(s.rlike("^fix|bug|resolve"), "decision").when(s.rlike("^(feat|add)"), "discovery").when(s.rlike("refactor|rfc|adr|breaking"), "decision").otherwise("note")
+    known = log.filter((F.trim("hash") != "") & (F.trim("subject") != ""))
+    tags = F.array(F.concat(F.lit("commit:"), F.substring("hash", 1, 8)), F.lit("harvested:git"))
+    return known.select(F.concat(F.lit("commit-"), "hash").alias("id"), "ts", kind.alias("kind"), F.col("subject").alias("summary"), tags.alias("tags"), F.concat(F.lit("commit:"), "hash").alias("whole"))
 
 
 def new_commits(events: DataFrame, known: DataFrame) -> DataFrame:
-    """Events whose commit tag no known event has."""
+    """Events whose commit no known event is tagged with, by its short or its whole hash."""
     have = known.select(F.explode("tags").alias("tag")).filter("tag like 'commit:%'").distinct()
-    return events.withColumn("tag", F.element_at("tags", 1)).join(have, "tag", "left_anti").drop("tag")
+    fresh = events.withColumn("tag", F.element_at("tags", 1)).join(have, "tag", "left_anti").drop("tag")
+    return fresh.join(have.withColumnRenamed("tag", "whole"), "whole", "left_anti").drop("whole")
 
 
 def file_ages(commits: DataFrame) -> DataFrame:

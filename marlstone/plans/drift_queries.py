@@ -123,15 +123,15 @@ def _(v: Views):
     return D.relocation_ladder(lost, nodes, none).select("ref_id", "state", "target", "confidence")
 
 
-ISSUES = "SELECT CASE WHEN p_partkey % 9 = 0 THEN 'todo' ELSE 'stale' END AS code, CASE p_partkey % 7 WHEN 0 THEN 'error' WHEN 1 THEN 'warning' ELSE 'info' END AS severity, p_brand AS file FROM part"
+ISSUES = "SELECT CASE WHEN p_partkey % 9 = 0 THEN 'POPULATION_PENDING' WHEN p_partkey % 9 = 1 THEN 'GROUNDING_MOVED_BY_NEIGHBORS' WHEN p_partkey % 9 = 2 THEN 'todo' ELSE 'stale' END AS code, CASE p_partkey % 7 WHEN 0 THEN 'error' WHEN 1 THEN 'warning' ELSE 'info' END AS severity, p_brand AS file FROM part"
 
 
 def _issues(v: Views):
     k = F.col("p_partkey")
-    return v.part.select(F.when(k % 9 == 0, "todo").otherwise("stale").alias("code"), F.when(k % 7 == 0, "error").when(k % 7 == 1, "warning").otherwise("info").alias("severity"), F.col("p_brand").alias("file"))
+    return v.part.select(F.when(k % 9 == 0, "POPULATION_PENDING").when(k % 9 == 1, "GROUNDING_MOVED_BY_NEIGHBORS").when(k % 9 == 2, "todo").otherwise("stale").alias("code"), F.when(k % 7 == 0, "error").when(k % 7 == 1, "warning").otherwise("info").alias("severity"), F.col("p_brand").alias("file"))
 
 
-@query("agg_13_drift_score", f"SELECT cast(greatest(0, least(100, 100 - sum(CASE WHEN code = 'todo' THEN 0 WHEN severity = 'error' THEN 10 WHEN severity = 'warning' THEN 3 ELSE 1 END))) AS bigint) AS score, count(*) FILTER (severity = 'error') AS n_error, count(*) FILTER (severity = 'warning') AS n_warning, count(*) FILTER (severity = 'info') AS n_info FROM ({ISSUES})")
+@query("agg_13_drift_score", f"SELECT cast(greatest(0, least(100, 100 - sum(CASE WHEN code IN ('POPULATION_PENDING', 'GROUNDING_MOVED_BY_NEIGHBORS') THEN 0 WHEN severity = 'error' THEN 10 WHEN severity = 'warning' THEN 3 ELSE 1 END))) AS bigint) AS score, count(*) FILTER (severity = 'error') AS n_error, count(*) FILTER (severity = 'warning') AS n_warning, count(*) FILTER (severity = 'info') AS n_info FROM ({ISSUES})")
 def _(v: Views):
     return D.score(_issues(v))
 

@@ -123,6 +123,11 @@ def _(v: Views):
     return W.all_issues(dup, old).groupBy("severity", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("x_25_body_terms")
+BODY_TERMS = "(SELECT doc_id, list_filter(regexp_split_to_array(text, '[^\\p{L}\\p{N}_]+'), lambda w: strlen(w) >= 2 AND NOT regexp_matches(w, '^\\p{N}') AND NOT list_contains([%s], lower(w))) AS raw FROM documents)" % ", ".join(f"'{k}'" for k in T.KEYWORDS)
+
+
+@query("x_25_body_terms", f"""SELECT doc_id, coalesce(string_agg(raw[pos], ' ' ORDER BY pos), '') AS terms FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nth FROM (
+    SELECT doc_id, raw, pos FROM (SELECT doc_id, raw, unnest(range(1, len(raw) + 1)) AS pos FROM {BODY_TERMS} WHERE len(raw) > 0) WHERE list_position(list_transform(raw, lambda w: lower(w)), lower(raw[pos])) = pos
+    UNION ALL SELECT doc_id, raw, NULL FROM {BODY_TERMS} WHERE len(raw) = 0)) WHERE nth <= 256 GROUP BY doc_id""")
 def _(v: Views):
-    return v.documents.select("doc_id", F.size(T.body_terms(F.col("text"))).alias("n"))
+    return v.documents.select("doc_id", T.body_terms(F.col("text")).alias("terms"))

@@ -47,9 +47,10 @@ def _(v: Views):
     return L.catch_up(items, cursors, "7", ["purchase", "error", "signup"])
 
 
-@query("src_15_commit_events", """SELECT 'commit-' || o_orderkey AS id, CASE WHEN o_orderpriority LIKE '1%' THEN 'incident' WHEN o_orderpriority LIKE '2%' THEN 'milestone' ELSE 'change' END AS kind FROM orders WHERE o_orderkey % 3 <> 0""")
+@query("src_15_commit_events", """SELECT 'commit-' || o_orderkey AS id, CASE o_orderkey % 9 WHEN 1 THEN 'decision' WHEN 2 THEN 'discovery' WHEN 4 THEN 'decision' WHEN 5 THEN 'discovery' WHEN 7 THEN 'decision' ELSE 'note' END AS kind FROM orders WHERE o_orderkey % 3 <> 0""")
 def _(v: Views):
-    subject = F.when(F.col("o_orderpriority").like("1%"), "fix: urgent").when(F.col("o_orderpriority").like("2%"), "feat: high").otherwise("tidy up")
+    subjects = ["tidy up", "Fix: urgent", "feat: high", "", "Debug the bugs", "Add a page", "fixes", "Breaking: new ADR", "say why"]
+    subject = F.element_at(F.array(*map(F.lit, subjects)), (F.col("o_orderkey") % 9).cast("int") + 1)
     log = v.orders.select(F.col("o_orderkey").cast("string").alias("hash"), F.col("o_orderdate").alias("ts"), subject.alias("subject"))
     known = L.classify_commits(log.filter("cast(hash as bigint) % 3 = 0"))
     return L.new_commits(L.classify_commits(log), known).select("id", "kind")

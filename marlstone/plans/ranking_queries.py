@@ -48,11 +48,11 @@ def _(v: Views):
     return R.capped_pairs(pairs, "score", 2, "grp")
 
 
-@query("win_6_near_ties", """SELECT grp, id, score, round(max(CASE WHEN place = 1 THEN score - nxt END) OVER (PARTITION BY grp), 6) AS runner_up_gap FROM (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS nxt, max(score) OVER (PARTITION BY grp) AS best
-    FROM (SELECT o_custkey AS grp, o_orderkey AS id, o_totalprice / 100000 AS score FROM orders) WINDOW w AS (PARTITION BY grp ORDER BY score DESC, id)) QUALIFY best - score < 0.08""")
+@query("win_6_near_ties", """SELECT grp, id, score, max(CASE WHEN place = 1 THEN score - nxt END) OVER (PARTITION BY grp) AS runner_up_gap FROM (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS nxt, max(score) OVER (PARTITION BY grp) AS best
+    FROM (SELECT o_custkey AS grp, o_orderkey AS id, cast(round(o_totalprice * 100) AS bigint) AS score FROM orders) WINDOW w AS (PARTITION BY grp ORDER BY score DESC, id)) QUALIFY best - score < 800000""")
 def _(v: Views):
-    rows = v.orders.select(F.col("o_custkey").alias("grp"), F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 100000).alias("score"))
-    return R.near_ties(rows, "grp", "score", 0.08).withColumn("runner_up_gap", F.round("runner_up_gap", 6))
+    rows = v.orders.select(F.col("o_custkey").alias("grp"), F.col("o_orderkey").alias("id"), F.round(F.col("o_totalprice") * 100).cast("long").alias("score"))
+    return R.near_ties(rows, "grp", "score", 800_000)
 
 
 @query("win_7_budget_prefix", """SELECT source, doc_id, cast(running AS bigint) AS running_cost FROM (SELECT source, doc_id, sum(ceil(length(text) / 4)) OVER (PARTITION BY source ORDER BY doc_id) AS running FROM documents) WHERE running <= 4500""")

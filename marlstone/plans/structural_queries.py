@@ -9,7 +9,7 @@ from marlstone.operators import structural as S
 from marlstone.plans.registry import query
 from marlstone.plans.views import Views
 
-LOW = r"regexp_matches(file_path, '(?i)((^|/)(tests?|__tests__|specs?)/|(^|/)test_[^/]*$|[._-](test|spec)\.[a-z]+$|(^|/)(vendor|third_party|node_modules|dist|build|fixtures?|examples?|generated)/|\.min\.|(^|/)nation/)')"
+LOW = f"regexp_matches(lower(file_path), '{T.LOW_VALUE_FOLDER}|{T.LOW_VALUE_FILE}')"
 CALLS = "('calls', 'calls_trait_method', 'possible_call', 'instantiates')"
 NODE = ("id", "kind", "name", "file_path", "start_line")
 

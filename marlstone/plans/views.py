@@ -7,7 +7,6 @@ lazy DataFrame, so that only the columns and rows a query needs are read.
 from __future__ import annotations
 
 import re
-from functools import cached_property  # noqa: F401  (re-exported for users who extend Views)
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,7 +29,7 @@ VIEWS: dict[str, str] = {
         union all
         select 'part:' || p_partkey, 'class', p_name, p_brand || '.' || p_name, cast(null as string), 'brand/' || p_brand, cast(p_partkey % 499 as bigint), cast(p_partkey % 499 + p_size as bigint) from {part}
         union all
-        select 'order:' || o_orderkey, 'variable', 'order_' || o_orderkey, o_orderpriority || '.order_' || o_orderkey, 'customer:' || o_custkey, 'tests/' || o_orderpriority, cast(o_orderkey % 1999 as bigint), cast(o_orderkey % 1999 + 5 as bigint)
+        select 'order:' || o_orderkey, 'variable', 'order_' || o_orderkey, o_orderpriority || '.order_' || o_orderkey, 'customer:' || o_custkey, 'tests/' || o_orderpriority || '/' || cast(floor(o_orderkey / 2000) as bigint), cast(o_orderkey % 1999 as bigint), cast(o_orderkey % 1999 + 5 as bigint)
         from {orders}""",
     "g_edges": """
         select 'order:' || o_orderkey as source, 'customer:' || o_custkey as target, 'calls' as kind, cast(null as bigint) as line, cast(1.0 as double) as confidence from {orders}

@@ -5,12 +5,13 @@ are skipped where a log is read tolerantly."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import glob_to_regex
 
-EVENT_KINDS = ("decision", "milestone", "incident", "note", "change")
+# Kinds of events.
+EVENT_KINDS = ("decision", "discovery", "note", "risk", "todo")
 EVENT = """id string, timestamp string, kind string, summary string, details string, tags array<string>, files array<string>, actor string, session_id string,
     supersedes string, superseded_by string, confidence double, provenance string, source string, status string, cwd string"""
 
@@ -36,12 +37,27 @@ def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path).filter("_bad is null").drop("_bad")
 
 
+def normal_kind(kind: Column) -> Column:
+    """A kind in lower case without white space around it; null for what is no kind, or longer than 16 bytes as written."""
+    clean = F.lower(F.trim(kind))
+    return F.when((F.octet_length(kind) <= 16) & clean.isin(*EVENT_KINDS), clean)
+
+
+def normal_file(file: Column) -> Column:
+    """A path below the project with forward slashes and without `.` segments; `.` for the project itself."""
+    parts = F.filter(F.split(F.regexp_replace(F.trim(file), r"\\", "/"), "/"), lambda p: ~p.isin("", "."))
+    # a `..` takes back the part before it, or stays where there is none
+    fold = F.aggregate(parts, F.array().cast("array<string>"), lambda out, p: F.when((p == "..") & (F.size(out) > 0) & (F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit("")) != ".."), F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.array_append(out, p)))
+    return F.when(F.size(fold) == 0, ".").otherwise(F.array_join(fold, "/"))
+
+
 def append_event(spark: SparkSession, path: str, events: DataFrame) -> None:
     """Append records; kinds outside the vocabulary are refused before anything is written."""
-    bad = events.filter(~F.col("kind").isin(*EVENT_KINDS)).select("kind").limit(1).collect()
+    bad = events.filter(normal_kind(F.col("kind")).isNull()).select("kind").limit(1).collect()
     if bad:
         raise ValueError(f"unknown kind {bad[0]['kind']!r}")
-    clean = events.withColumn("files", F.transform("files", lambda f: F.regexp_replace(F.regexp_replace(f, r"\\", "/"), r"^\./", "")))
+    events = events.withColumn("kind", normal_kind(F.col("kind")))
+    clean = events.withColumn("files", F.transform("files", normal_file))
     clean.write.mode("append").json(path)
 
 
