@@ -1,10 +1,14 @@
 """Exact top-k search by exhaustive term-at-a-time accumulation.
 
-Every vector is a sparse row of integer weights, floor(scale * x) by dimension.  Queries and candidates are packed
-into blocks of bounded size; each pair of a query block and a candidate block is one unit of work.  In it a
-dimension's posting list (the candidates with a weight there) is scattered, times the query's weight, into dense
-score arrays, dimension after dimension; the best k of the block are selected by partition, and the blocks'
-selections are merged by query.
+Every vector is a sparse row of integer weights, floor(scale * x) by dimension.  Candidates are dealt to tasks once and
+stream through them in blocks; a block is turned into posting lists, for each dimension the candidates with a weight
+there and these weights.  Queries come in groups of bounded size, which are broadcast.  For each query its terms, one
+after another, scatter their posting list times the query's weight into a dense array of scores, some queries at a
+time; the block's best k are selected by partition and merged into the task's best k, and the tasks' by query.  A
+posting list that holds most of a block is kept as a full row, zeros and all, so that its scatter is one run of memory.
+
+The work is queries times candidates, as an exhaustive search has it; a group of queries is one pass over the
+candidates, which are not shuffled again.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows without vec_id, take no part;
 missing dimensions weigh nothing; all candidates are returned where there are fewer than k; ties go to the smaller
@@ -15,17 +19,20 @@ are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import bounded_batches, materialize
+from marlstone.llm.common import bounded_batches, materialize, shared_dir
 
-QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 4096
-_BLOCK = "n long, dims int, ids binary, weights binary"
+#: Candidates in a block, queries that accumulate at once, and bytes of a group of queries.
+CANDIDATE_BLOCK, QUERIES_AT_ONCE, GROUP_BYTES = 4096, 256, 8 << 20
 _FAR = np.iinfo(np.int64)
+_FOUND = "query_id long, vec_id long, score long"
 
 
 def integer_rows(vectors: list, scale: int) -> np.ndarray:
@@ -40,108 +47,121 @@ def integer_rows(vectors: list, scale: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def _blocks(df: DataFrame, rows: int, scale: int) -> DataFrame:
-    """Blocks of at most rows vectors, by rising vec_id inside a block."""
-    bounded_batches(df.sparkSession)
-    schema = pa.schema([("n", pa.int64()), ("dims", pa.int32()), ("ids", pa.binary()), ("weights", pa.binary())])
-
-    def pack(held: list) -> pa.RecordBatch:
-        import pickle
+def largest(x: np.ndarray) -> int:
+    return int(np.abs(x).max()) if x.size else 0
 
-        held.sort(key=lambda r: r[0])
-        weights = integer_rows([v for _, v in held], scale)
-        if weights.dtype != object and (not weights.size or np.abs(weights).max() < 2**31):
-            weights = weights.astype(np.int32)
-        body = pickle.dumps(weights, protocol=5)
-        return pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int64()), pa.array([weights.shape[1]], pa.int32()), pa.array([np.asarray([i for i, _ in held], np.int64).tobytes()], pa.binary()), pa.array([body], pa.binary())], schema=schema)
-
-    def run(batches):
-        held: list = []
-        for batch in batches:
-            held += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            while len(held) >= rows:
-                yield pack(held[:rows])
-                held = held[rows:]
-        if held:
-            yield pack(held)
 
-    return df.mapInArrow(run, _BLOCK)
+def posting_lists(weights: np.ndarray, kind) -> list[tuple[np.ndarray | None, np.ndarray]]:
+    """For each dimension the rows with a weight there, None for a full row, and the weights."""
+    lists = []
+    for column in np.ascontiguousarray(weights.T).astype(kind):
+        at = np.flatnonzero(column)
+        lists.append((None, column) if 2 * len(at) > len(column) else (at, column[at]))
+    return lists
 
 
 def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Scores of all candidates for each query, a dimension at a time."""
+    """Scores of all candidates for each query, a term at a time."""
     dims = min(queries.shape[1], candidates.shape[1])
-    bound = lambda x: int(np.abs(x).max()) if x.size else 0
-    top = bound(queries) * bound(candidates) * max(dims, 1)
+    top = largest(queries) * largest(candidates) * max(dims, 1)
     kind = np.int32 if top < 2**31 else np.int64 if top < 2**63 else object
-    scores = np.zeros((len(queries), len(candidates)), kind)
-    columns = np.ascontiguousarray(candidates.T.astype(kind))
-    weights = queries.astype(kind)
-    buffer = np.empty((16, len(candidates)), kind)
-    for first in range(0, len(queries), 16):
-        part, asked = scores[first : first + 16], weights[first : first + 16]
-        for t in range(dims):
-            posting, terms = columns[t], asked[:, t]
-            if not terms.any():
+    return scatter(queries.astype(kind), posting_lists(candidates, kind), len(candidates))
+
+
+def scatter(queries: np.ndarray, lists: list[tuple[np.ndarray | None, np.ndarray]], n: int) -> np.ndarray:
+    scores = np.zeros((len(queries), n), queries.dtype)
+    buffer = np.empty((16, n), queries.dtype)
+    for first in range(0, len(queries), 16):  # scores of some queries stay in the processor's cache
+        part, asked = scores[first : first + 16], queries[first : first + 16]
+        for (at, weights), terms in zip(lists, asked.T):
+            if not len(weights) or not terms.any():
                 continue
-            at = np.flatnonzero(posting)
-            if 2 * len(at) > len(posting):  # a long list: its zeros add nothing
-                part += np.multiply.outer(terms, posting, out=buffer[: len(part)])
-            elif len(at):
-                part[:, at] += np.multiply.outer(terms, posting[at])
+            if at is None:
+                part += np.multiply.outer(terms, weights, out=buffer[: len(part)])
+            else:
+                part[:, at] += np.multiply.outer(terms, weights)
     return scores
 
 
-def select(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query index, candidate index, score) of each query's best k in the block; ids rise, own are the queries' ids."""
+def select(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, ids) of each query's best k in the block, in no order; ids rise, own are the queries' ids.  What is no candidate
+    has the least score."""
     n = len(ids)
     if scores.dtype == object:
-        scores = np.asarray([[min(max(int(s), _FAR.min + 1), _FAR.max) for s in row] for row in scores], np.int64)
+        scores = np.asarray([[min(max(int(s), _FAR.min + 1), _FAR.max) for s in row] for row in scores], np.int64).reshape(scores.shape)
     scores = scores.astype(np.int64)
-    mine = own[:, None] == ids[None, :]
-    if n and int(np.abs(scores).max()) < 2**62 // n:
-        key = scores * n + (n - 1 - np.arange(n))
-        key[mine] = _FAR.min
-        best = np.argpartition(key, n - k, axis=1)[:, n - k :] if k < n else np.broadcast_to(np.arange(n), key.shape)
+    scores[own[:, None] == ids[None, :]] = _FAR.min
+    if n <= k:
+        return scores, np.broadcast_to(ids, scores.shape)
+    if largest(np.where(scores == _FAR.min, 0, scores)) < 2**62 // n:
+        key = np.where(scores == _FAR.min, _FAR.min, scores * n + (n - 1 - np.arange(n)))
+        best = np.argpartition(key, n - k, axis=1)[:, n - k :]
     else:
-        best = np.stack([np.lexsort((ids, -s, m))[:k] for s, m in zip(scores, mine)]) if n else np.empty((len(own), 0), np.int64)
-    rows = np.repeat(np.arange(len(own)), best.shape[1])
-    best = best.ravel()
-    keep = ~mine[rows, best]
-    return rows[keep], best[keep], scores[rows[keep], best[keep]]
+        best = np.stack([np.lexsort((ids, ~s))[:k] for s in scores])  # ~s rises as s falls
+    return np.take_along_axis(scores, best, 1), ids[best]
+
+
+def merged(a: tuple[np.ndarray, np.ndarray] | None, b: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best k of two selections by query, by falling score, then rising id."""
+    scores, ids = b if a is None else (np.concatenate([x, y], axis=1) for x, y in zip(a, b))
+    order = np.lexsort((ids, ~scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+
+
+def _candidate_blocks(batches, rows: int):
+    """(ids, vectors) of at most rows candidates, ids rising."""
+    held: list = []
+    for batch in batches:
+        held += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        while len(held) >= rows:
+            yield sorted(held[:rows], key=lambda r: r[0])
+            held = held[rows:]
+    if held:
+        yield sorted(held, key=lambda r: r[0])
+
+
+def search_group(candidates: DataFrame, own: np.ndarray, asked: np.ndarray, k: int, scale: int) -> DataFrame:
+    """query_id, vec_id, score: the best k in each task's candidates for the queries own with weights asked."""
+    shared = candidates.sparkSession.sparkContext.broadcast((own, asked))  # about GROUP_BYTES
+    bounded_batches(candidates.sparkSession)
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+    def run(batches):
+        own, asked = shared.value
+        best: dict[int, tuple] = {}
+        bound = largest(asked)
+        for block in _candidate_blocks(batches, CANDIDATE_BLOCK):
+            ids = np.asarray([i for i, _ in block], np.int64)
+            weights = integer_rows([v for _, v in block], scale)
+            top = bound * largest(weights) * max(min(asked.shape[1], weights.shape[1]), 1)
+            kind = np.int32 if top < 2**31 else np.int64 if top < 2**63 else object
+            lists = posting_lists(weights, kind)
+            for at in range(0, len(own), QUERIES_AT_ONCE):
+                scores = scatter(asked[at : at + QUERIES_AT_ONCE].astype(kind), lists, len(ids))
+                best[at] = merged(best.get(at), select(scores, ids, own[at : at + QUERIES_AT_ONCE], k), k)
+        for at, (scores, ids) in best.items():
+            rows, columns = np.nonzero(scores != _FAR.min)
+            yield pa.RecordBatch.from_arrays([pa.array(own[at + rows]), pa.array(ids[rows, columns]), pa.array(scores[rows, columns])], schema=schema)
+
+    return candidates.select("vec_id", "embedding").mapInArrow(run, _FOUND)
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, scale: int = 64) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates among vectors for each row of vectors where is_query holds."""
+    spark = vectors.sparkSession
     usable = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     clean = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).filter(F.col("vec_id").isNotNull() & usable)
     clean = materialize(clean, "vectors")
-    asked = clean.filter(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    asked = materialize(asked, "asked")
-    parts = lambda df, rows: max(1, -(-df.count() // rows))
-    queries = _blocks(asked.repartition(parts(asked, QUERY_BLOCK)), QUERY_BLOCK, scale)
-    queries = materialize(queries.select(F.monotonically_increasing_id().alias("query_block"), F.col("ids").alias("query_ids"), F.col("weights").alias("query_weights")), "queries")
-    blocks = _blocks(clean.repartition(parts(clean, CANDIDATE_BLOCK)), CANDIDATE_BLOCK, scale)
-    blocks = materialize(blocks.select(F.monotonically_increasing_id().alias("block"), "ids", "weights"), "candidates")
-    # every query block meets every candidate block: the names of the blocks pair up first, then their contents follow
-    names = queries.select("query_block").withColumn("one", F.lit(1)).join(blocks.select("block").withColumn("one", F.lit(1)), "one").drop("one")
-    pairs = names.repartition("block", "query_block").join(blocks, "block").join(queries, "query_block")
-    bounded_batches(vectors.sparkSession)
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-
-    def run(batches):
-        import pickle
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                cell = lambda c: batch.column(c)[i].as_py()  # noqa: B023, E731
-                own, ids = np.frombuffer(cell("query_ids"), np.int64), np.frombuffer(cell("ids"), np.int64)
-                candidates, asking = pickle.loads(cell("weights")), pickle.loads(cell("query_weights"))
-                for at in range(0, len(own), 256):
-                    q = own[at : at + 256]
-                    rows, best, scores = select(accumulate(asking[at : at + 256], candidates), ids, q, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(q[rows]), pa.array(ids[best]), pa.array(scores)], schema=schema)
-
-    found = pairs.select("query_ids", "query_weights", "ids", "weights").mapInArrow(run, "query_id long, vec_id long, score long")
+    candidates = materialize(clean.repartition(max(1, -(-clean.count() // CANDIDATE_BLOCK))), "candidates")
+    asked = materialize(clean.filter(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "asked")
+    size = asked.agg(F.sum(8 * (F.size("embedding") + 1))).first()[0] or 0
+    groups = max(1, -(-size // GROUP_BYTES))
+    path = f"{shared_dir(spark)}/groups-{uuid.uuid4().hex}"
+    asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(groups))).write.partitionBy("part").parquet(path)
+    found = f"{shared_dir(spark)}/found-{uuid.uuid4().hex}"
+    for part in range(groups):
+        rows = sorted((r["vec_id"], r["embedding"]) for r in spark.read.schema("vec_id long, embedding array<double>, part long").parquet(path).filter(F.col("part") == part).collect())  # about GROUP_BYTES
+        own, weights = np.asarray([i for i, _ in rows], np.int64), integer_rows([v for _, v in rows], scale)
+        search_group(candidates, own, weights, k, scale).write.mode("append").parquet(found)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return spark.read.schema(_FOUND).parquet(found).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
