@@ -38,9 +38,16 @@ def index_terms(text: Column) -> Column:
 def body_terms(text: Column, most: int = 256) -> Column:
     """Identifiers as first written, in first-seen order and distinct whatever their case, without keywords, single bytes and
     what begins with a digit; at most `most` of them, joined by spaces."""
-    raw = F.filter(F.split(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}_]+"), lambda w: (F.octet_length(w) >= 2) & ~w.rlike(r"^\p{N}") & ~F.lower(w).isin(*KEYWORDS))
-    lower = F.transform(raw, lambda w: F.lower(w))
-    return F.array_join(F.transform(F.slice(F.array_distinct(lower), 1, most), lambda w: F.element_at(raw, F.array_position(lower, w).cast("int"))), " ")
+    word = F.lit(r"(?<![\p{L}\p{N}_])(?:[\p{L}_][\p{L}\p{N}_]+|[\p{L}&&[^\x00-\x7F]])")
+    raw = F.regexp_extract_all(F.coalesce(text, F.lit("")), word, F.lit(0))
+
+
+    def joined(both: Column) -> Column:
+        wanted = F.slice(F.array_except(both["lower"], F.array(*map(F.lit, KEYWORDS))), 1, most)
+        return F.array_join(F.transform(wanted, lambda w: F.element_at(both["raw"], F.array_position(both["lower"], w).cast("int"))), " ")
+
+    # the words are bound to a variable, so that they are found once
+    return F.element_at(F.transform(F.array(F.struct(raw.alias("raw"), F.transform(raw, lambda w: F.lower(w)).alias("lower"))), joined), 1)
 
 
 def stems(term: Column) -> Column:

@@ -1,59 +1,126 @@
 """Vectors: hashed embeddings, cosine search, the search policy, incremental sync, recall.
 
-The embedding is made of built-in functions alone: a token's hash gives a bucket and a sign, and a document's buckets are
-summed.  Exact search scans with a top-k; the approximate one looks only at vectors that share a bucket of random
-projections, and its recall is a query of its own.
+An embedding is one Arrow pass over the texts: a token's digest gives a bucket and a sign, and a document's buckets are
+summed in its row, so nothing is shuffled.  Exact search scans with a top-k; the approximate one compares short codes,
+signs of random projections, and looks only at the vectors whose codes lie near the query's; its recall is a query of its own.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
+from marlstone.work import materialize
 
 DIM = 128
 
 
-def _bucket(token: Column) -> Column:
-    """The low seven bits of the digest's first byte."""
-    return F.conv(F.substring(F.sha2(token, 256), 1, 2), 16, 10).cast("int").bitwiseAND(DIM - 1)
+#: Words and pairs of words whose digests a task remembers.
+KNOWN = 200_000
+_WORD = re.compile(r"[a-z0-9à-ÿ]+")
+
+
+class _Hasher:
+    """Sums of signed weights by bucket.  Tokens of a text are its words (1.5), their character trigrams (0.5) and pairs of
+    neighbouring words (1.2); a word and its trigrams go to the same places wherever it stands."""
+
+    def __init__(self):
+        self.words: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.pairs: dict[tuple[str, str], int] = {}
+
+    @staticmethod
+    def place(token: str) -> int:
+        """The low seven bits of the digest's first byte, and 128 more where the fifth byte is odd, for a negative sign."""
+        digest = hashlib.sha256(token.encode()).digest()
+        return (digest[0] & DIM - 1) + DIM * (digest[4] & 1)
+
+    def word(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+        found = self.words.get(word)
+        if found is None:
+            grams = [word[i : i + 3] for i in range(len(word) - 2)]
+            places = np.asarray([self.place(t) for t in (word, *grams)])
+            found = places, np.asarray([1.5] + [0.5] * len(grams))
+            if len(self.words) < KNOWN:
+                self.words[word] = found
+        return found
+
+    def pair(self, pair: tuple[str, str]) -> int:
+        found = self.pairs.get(pair)
+        if found is None:
+            found = self.place("|".join(pair))
+            if len(self.pairs) < KNOWN:
+                self.pairs[pair] = found
+        return found
+
+    def sums(self, fields: list[tuple[str | None, float]]) -> tuple[np.ndarray, np.ndarray]:
+        """(sum of each bucket, whether a token fell into it)."""
+        places, weights = [], []
+        for text, weight in fields:
+            words = _WORD.findall((text or "").lower())
+            counts = Counter(words)
+            for w, n in counts.items():
+                at, held = self.word(w)
+                places.append(at)
+                weights.append(held * (weight * n))
+            if len(words) > 1:
+                places.append(np.fromiter(map(self.pair, zip(words, words[1:])), np.int64, len(words) - 1))
+                weights.append(np.full(len(words) - 1, 1.2 * weight))
+        if not places:
+            return np.zeros(DIM), np.zeros(DIM, bool)
+        at, held = np.concatenate(places), np.concatenate(weights)
+        both = np.bincount(at, weights=held, minlength=2 * DIM)
+        return both[:DIM] - both[DIM:], np.bincount(at % DIM, minlength=DIM) > 0
+
+
+def _hashed(docs: DataFrame, key: str, fields: dict[str, float], schema: str, row) -> DataFrame:
+    """Columns that row(sums, met) gives for each document, in one pass; the key keeps its type."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    names, kept = list(fields), docs.select(key).schema
+    out = StructType(kept.fields + StructType.fromDDL(schema).fields)
+    arrow = to_arrow_schema(out)
+
+    def run(batches):
+        hasher = _Hasher()
+        for batch in batches:
+            texts = [batch.column(1 + i).to_pylist() for i in range(len(names))]
+            rows = [row(*hasher.sums([(t[i], fields[f]) for f, t in zip(names, texts)])) for i in range(batch.num_rows)]
+            columns = [pa.array(list(c), type=f.type) for c, f in zip(zip(*rows), list(arrow)[1:])] if rows else [pa.array([], type=f.type) for f in list(arrow)[1:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow[0].type), *columns], schema=arrow)
+
+    return docs.select(key, *(F.col(f).cast("string").alias(f"field_{i}") for i, f in enumerate(names))).mapInArrow(run, out)
 
 
-def _sign(token: Column) -> Column:
-    return F.when(F.conv(F.substring(F.sha2(token, 256), 9, 2), 16, 10).cast("int").bitwiseAND(1) == 0, 1.0).otherwise(-1.0)
-
-
-def tokens(docs: DataFrame, key: str, field: str, weight: float) -> DataFrame:
-    """key, token, weight of words (1.5), their character trigrams (0.5) and pairs of neighbouring words (1.2).
-
-    The words are split once and exploded with their followers; what is made of a word refers to its row alone."""
-    words = T.words(F.coalesce(F.col(field), F.lit("")))
-    rows = docs.select(key, F.explode(F.arrays_zip(words.alias("word"), F.slice(words, 2, 1 << 30).alias("next"))).alias("w")).select(key, "w.word", "w.next")
-    entry = lambda t, w: F.struct(t.alias("token"), F.lit(w * weight).alias("weight"))
-    none = F.array().cast("array<struct<token:string,weight:double>>")
-    grams = F.when(F.length("word") >= 3, F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda i: entry(F.col("word").substr(i, F.lit(3)), 0.5))).otherwise(none)
-    pair = F.when(F.col("next").isNotNull(), F.array(entry(F.concat("word", F.lit("|"), "next"), 1.2))).otherwise(none)
-    return rows.select(key, F.explode(F.concat(F.array(entry(F.col("word"), 1.5)), grams, pair)).alias("p")).select(key, "p.token", "p.weight")
+def buckets(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
+    """key, bucket, value: the summed signed weights of the buckets that tokens fell into, before normalisation."""
 
+    def row(sums, met):
+        at = np.flatnonzero(met)
+        return ([{"bucket": int(b), "value": float(v)} for b, v in zip(at, sums[at])],)
 
-def buckets(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
-    """key, bucket, value: the summed signed weights, before normalisation.  Tokens repeat within a document, so they are
-    counted before they are hashed."""
-    rows = reduce(DataFrame.unionByName, (tokens(docs, key, f, w) for f, w in fields.items())).groupBy(key, "token").agg(F.sum("weight").alias("weight"))
-    return rows.groupBy(key, _bucket(F.col("token")).alias("bucket")).agg(F.sum(_sign(F.col("token")) * F.col("weight")).alias("value"))
+    return _hashed(docs, key, fields, "at array<struct<bucket:int,value:double>>", row).select(key, F.inline("at"))
 
 
 def embed(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
     """key, vector (128 floats of length one; the first unit vector where there is nothing to embed)."""
-    sums = buckets(docs, key, fields).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("at"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    found = docs.select(key).join(sums, key, "left")
-    unit = F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: F.coalesce(F.element_at("at", i), F.lit(0.0)) / F.col("norm"))
-    return found.select(key, F.when(F.coalesce("norm", F.lit(0.0)) <= 1e-5, unit).otherwise(dense).cast("array<float>").alias("vector"))
+
+    def row(sums, met):
+        norm = float(np.sqrt((sums * sums).sum()))
+        if norm <= 1e-5:
+            return (np.eye(1, DIM, dtype=np.float32)[0],)
+        return ((sums / norm).astype(np.float32),)
+
+    return _hashed(docs, key, fields, "vector array<float>", row)
 
 
 def combine(vectors: list[tuple[Column, float]]) -> Column:
@@ -86,28 +153,43 @@ def search(vectors: DataFrame, query: list[float], k: int, kind: str = "kind", h
     return first.withColumn("below_floor", below).filter(F.col("score") >= floor)
 
 
-def projections(dims: int, bits: int, tables: int) -> Column:
-    """Random directions, tables of bits of them, from a fixed seed, as one constant."""
-    import json
+def codes(vectors: DataFrame, dims: int, words: int, key: str, column: str) -> DataFrame:
+    """key, code: the signs of 64 * words random projections (from a fixed seed) as that many longs; shorter vectors count as
+    ending in zeros."""
+    matrix = np.random.RandomState(97).standard_normal((64 * words, dims)).T
+
+    def run(batches):
+        for batch in batches:
+            x = np.zeros((batch.num_rows, dims))
+            for row, v in zip(x, batch.column(1).to_pylist()):
+                row[: len(v or [])] = (v or [])[:dims]
+            bits = np.packbits(x @ matrix >= 0, axis=1, bitorder="little").view("<i8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(bits), type=pa.list_(pa.int64()))], names=[key, "code"])
+
+    return vectors.select(F.col(key).cast("long").alias(key), column).mapInArrow(run, f"{key} long, code array<long>")
 
-    import numpy as np
 
-    return F.from_json(F.lit(json.dumps(np.random.RandomState(97).standard_normal((tables, bits, dims)).round(6).tolist())), "array<array<array<double>>>")
+def _distance(words: int) -> Column:
+    """Bits in which code and asked_code differ."""
+    return reduce(lambda a, b: a + b, (F.bit_count(F.col("code")[i].bitwiseXOR(F.col("asked_code")[i])) for i in range(words)))
 
 
-def approximate_knn(vectors: DataFrame, queries: DataFrame, k: int, dims: int, tables: int = 48, bits: int = 5, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """query_id, key, similarity, rank over candidates that share the signs of `bits` random projections in any of `tables`
-    tables with the query.  Hot buckets spread over tasks with AQE's skewed joins."""
-    matrix = projections(dims, bits, tables)
+def candidates(vectors: DataFrame, queries: DataFrame, dims: int, share: float = 0.15, words: int = 6, parts: int = 64, sample: int = 2_000, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """query_id, key of vectors whose codes differ from the query's in few bits: in as many as `share` of the pairs do, by a sample
+    of at most `sample` vectors and 64 queries.  Every vector's code is compared, 8 * words bytes of it; nothing else is shuffled."""
+    a = materialize(codes(queries, dims, words, key, column).select(F.col(key).alias("query_id"), F.col("code").alias("asked_code")), "asked")
+    b = materialize(codes(vectors, dims, words, key, column), "codes")
+    few = lambda df, k, n: df.orderBy(F.xxhash64(k), k).limit(n)
+    near = few(b, key, sample).withColumn("one", F.lit(1)).join(few(a, "query_id", 64).withColumn("one", F.lit(1)), "one").agg(F.percentile(_distance(words), F.lit(share))).first()[0]
+    dealt = a.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    pairs = b.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("long")).join(dealt, "part")
+    return pairs.filter((F.col("query_id") != F.col(key)) & (_distance(words) <= F.lit(-1.0 if near is None else float(near)))).select("query_id", key)
 
-    def sign(direction: Column) -> Column:
-        dot = F.aggregate(F.zip_with(F.col(column), direction, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-        return F.when(dot >= 0, "1").otherwise("0")
 
-    code = F.explode(F.transform(matrix, lambda rows, t: F.concat(t.cast("string"), F.lit(":"), F.array_join(F.transform(rows, sign), ""))))
-    a = queries.select(F.col(key).alias("query_id"), F.col(column).alias("asked"), code.alias("code"))
-    b = vectors.select(key, F.col(column).alias("held"), code.alias("code"))
-    pairs = a.join(b, "code").filter(F.col("query_id") != F.col(key)).groupBy("query_id", key).agg(F.first("asked").alias("asked"), F.first("held").alias("held"))
+def approximate_knn(vectors: DataFrame, queries: DataFrame, k: int, dims: int, key: str = "vec_id", column: str = "embedding", **shape) -> DataFrame:
+    """query_id, key, similarity, rank over the candidates; vectors are fetched for these alone."""
+    pairs = candidates(vectors, queries, dims, key=key, column=column, **shape)
+    pairs = pairs.join(vectors.select(F.col(key).cast("long").alias(key), F.col(column).alias("held")), key).join(queries.select(F.col(key).cast("long").alias("query_id"), F.col(column).alias("asked")), "query_id")
     pairs = pairs.select("query_id", key, T.cosine(F.col("asked"), F.col("held")).alias("similarity"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), key))
     return pairs.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)

@@ -63,5 +63,9 @@ def _(v: Views):
 
 @query("vec_10_recall")
 def _(v: Views):
+    """Recall, and the share of the table that a query looks at."""
     asked = v.embeddings.filter("vec_id % 50 = 0")
-    return E.recall(E.approximate_knn(v.embeddings, asked, 10, 64), E.exact_knn(v.embeddings, asked, 10))
+    looked = E.candidates(v.embeddings, asked, 64).agg(F.count(F.lit(1)).alias("looked"))
+    sizes = asked.agg(F.count(F.lit(1)).alias("asked")).join(v.embeddings.agg(F.count(F.lit(1)).alias("held")))
+    share = looked.join(sizes).select(F.round(F.col("looked") / (F.col("asked") * F.col("held")), 6).alias("share"))  # single rows
+    return E.recall(E.approximate_knn(v.embeddings, asked, 10, 64), E.exact_knn(v.embeddings, asked, 10)).join(share)
