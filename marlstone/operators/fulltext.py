@@ -1,7 +1,6 @@
 """Full text: source chunks, postings, BM25 with weighted fields, fused term lists, hybrid search.
 
-Postings are one row for each term and document; a query keeps only its terms' postings before anything is grouped, so
-what a search shuffles is the size of its answer lists.
+A query keeps only its terms' words inside each document's row, so what a search shuffles is the size of its answer lists.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
 from marlstone.operators.ranking import RRF
+from marlstone.work import materialize
 
 K1, B = 1.2, 0.75
 
@@ -29,36 +29,41 @@ def chunks(files: DataFrame, path: str, content: str, window: int = 80, stride:
     return rows.select("path", (F.col("offset") + 1).cast("long").alias("start_line"), F.least(n, F.col("offset") + window).cast("long").alias("end_line"), F.array_join(part, "\n").alias("text"))
 
 
-def postings(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
-    """doc, term, tf (weighted over fields), dl (the document's words, unweighted)."""
-    words = {f: T.words(F.coalesce(F.col(f), F.lit(""))) for f in fields}
-    length = reduce(lambda a, b: a + b, (F.size(w) for w in words.values())).cast("long")
+def matches(docs: DataFrame, key: str, fields: dict[str, float], terms: list[str], prefix: bool = False) -> DataFrame:
+    """doc, dl (its words, unweighted), hits (an array of term, w): one row a document.  Texts are split once, and words that no term
+    asks for are left out inside the array."""
+    wanted = list(dict.fromkeys(t.lower() for t in terms))
+    words = docs.select(F.col(key).alias("doc"), *(T.words(F.coalesce(F.col(f), F.lit(""))).alias(f"words_{i}") for i, f in enumerate(fields)))
+
+    def asked(w):
+        return reduce(lambda x, y: x | y, (w.startswith(t) for t in wanted), F.lit(False)) if prefix else w.isin(*wanted)
 
-    def tag(w, weight: float):
-        return F.transform(w, lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
+    def hits(i: int, weight: float):
+        held = F.filter(F.col(f"words_{i}"), asked)
+        if not prefix:
+            return F.transform(held, lambda w: F.struct(w.alias("term"), F.lit(float(weight)).alias("w")))
+        begun = F.flatten(F.transform(held, lambda w: F.filter(F.array(*map(F.lit, wanted)), lambda t: w.startswith(t))))
+        return F.transform(begun, lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
 
-    tagged = F.flatten(F.array(*(tag(w, fields[f]) for f, w in words.items())))
-    rows = docs.select(F.col(key).alias("doc"), length.alias("dl"), F.explode(tagged).alias("p"))
-    return rows.groupBy("doc", F.col("p.term").alias("term")).agg(F.sum("p.w").alias("tf"), F.first("dl").alias("dl"))
+    length = reduce(lambda a, b: a + b, (F.size(f"words_{i}") for i in range(len(fields)))).cast("long")
+    return words.select("doc", length.alias("dl"), F.flatten(F.array(*(hits(i, w) for i, w in enumerate(fields.values())))).alias("hits"))
 
 
-def corpus_size(docs: DataFrame, fields: list[str]) -> DataFrame:
-    """One row: n documents and their average length in words."""
-    length = reduce(lambda a, b: a + b, (F.size(T.words(F.coalesce(F.col(f), F.lit("")))) for f in fields))
-    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("avgdl"))
+def postings_of(matched: DataFrame) -> DataFrame:
+    """doc, term, tf (weighted over fields), dl of rows of matches; a document's terms are added up in its row."""
+    rows = matched.filter(F.size("hits") > 0).select("doc", "dl", "hits", F.explode(F.array_distinct(F.transform("hits", lambda h: h["term"]))).alias("term"))
+    tf = F.aggregate(F.filter("hits", lambda h: h["term"] == F.col("term")), F.lit(0.0), lambda s, h: s + h["w"])
+    return rows.select("doc", "term", tf.alias("tf"), "dl")
 
 
 def bm25(docs: DataFrame, key: str, fields: dict[str, float], terms: list[str], limit: int | None = None, prefix: bool = False) -> DataFrame:
-    """doc, score, matched of the documents that hold any of the terms (or words that begin with one); best first."""
-    wanted = list(dict.fromkeys(t.lower() for t in terms))
-    p = postings(docs, key, fields)
-    if prefix:
-        p = p.withColumn("asked", F.explode(F.filter(F.array(*map(F.lit, wanted)), lambda t: F.col("term").startswith(t))))
-        p = p.groupBy("doc", F.col("asked").alias("term")).agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
-    else:
-        p = p.filter(F.col("term").isin(*wanted))
+    """doc, score, matched of the documents that hold any of the terms (or words that begin with one); best first.
+
+    One pass over the texts leaves a short row a document, from which come the counts of the corpus and of the terms too."""
+    held = materialize(matches(docs, key, fields, terms, prefix), "matches")
+    p = postings_of(held)
     df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each asked term
-    size = corpus_size(docs, list(fields))  # one row
+    size = held.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
     scored = p.join(F.broadcast(df), "term").join(F.broadcast(size))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -70,7 +75,7 @@ def term_lists(docs: DataFrame, key: str, fields: dict[str, float], terms: dict[
     """doc, score: for each weighted term (32 at most) its best per_term documents by tf, fused by weight / (60 + rank)."""
     if len(terms) > 32:
         raise ValueError("at most 32 terms")
-    p = postings(docs, key, fields).filter(F.col("term").isin(*terms))
+    p = postings_of(matches(docs, key, fields, list(terms)))
     weight = reduce(lambda c, t: c.when(F.col("term") == t, float(terms[t])), list(terms), F.when(F.lit(False), 0.0))
     rank = F.row_number().over(W.partitionBy("term").orderBy(F.desc("tf"), "dl", "doc"))
     best = p.withColumn("rank", rank).filter(F.col("rank") <= per_term)
@@ -104,4 +109,4 @@ def file_rollup(evidence: DataFrame) -> DataFrame:
     0.2, the best two chunks at 1 and 0.35, exactness of any, and all matched terms."""
     rank = F.row_number().over(W.partitionBy("file", "chunk").orderBy(F.desc("score"), "id"))
     share = F.when(F.col("chunk"), F.when(F.col("rank") == 1, 1.0).when(F.col("rank") == 2, 0.35)).otherwise(F.when(F.col("rank") == 1, 1.0).when(F.col("rank") == 2, 0.45).when(F.col("rank") == 3, 0.2))
-    return evidence.withColumn("rank", rank).groupBy("file").agg(F.sum(F.coalesce(share, F.lit(0.0)) * F.col("score")).alias("score"), F.bool_or("exact").alias("exact"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"))
+    return evidence.withColumn("rank", rank).groupBy("file").agg(F.sum(F.coalesce(share, F.lit(0.0)) * F.col("score")).alias("score"), F.bool_or("exact").alias("exact"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("terms")))).alias("terms"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marlstone.work import materialize
+from marlstone.work import bucketed, materialize
 
 
 def bfs(edges: DataFrame, roots: DataFrame, max_depth: int, until: str | None = None) -> DataFrame:
@@ -45,20 +45,30 @@ def impact(edges: DataFrame, roots: DataFrame, depth: int = 3, most: int = 500,
 
 def pagerank(links: DataFrame, theta: float = 0.85, iterations: int = 20) -> DataFrame:
     """id, rank over links(src, dst), by power iteration: start 1/N; each round (1 - theta)/N + theta * (what comes in + what
-    nodes without links hold / N)."""
+    nodes without links hold / N).
+
+    Nodes and links are numbered, and written in buckets of their first column once; ranks are too, so that a round shuffles
+    the contributions alone."""
+    spark = links.sparkSession
     links = materialize(links.distinct(), "links")
-    nodes = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
-    degrees = links.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    nodes = materialize(nodes.join(degrees, F.col("id") == F.col("src"), "left").select("id", "out"), "nodes")
-    n = nodes.count()
-    ranks = nodes.withColumn("rank", F.lit(1.0 / max(1, n)))
-    for _ in range(iterations):
-        came = links.join(ranks.select(F.col("id").alias("src"), (F.col("rank") / F.col("out")).alias("share")), "src").groupBy(F.col("dst").alias("to")).agg(F.sum("share").alias("came"))
-        loose = ranks.filter(F.col("out").isNull()).agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))  # one row
-        fresh = nodes.join(came, F.col("id") == F.col("to"), "left").join(F.broadcast(loose))
-        fresh = fresh.select("id", "out", (F.lit((1 - theta) / max(1, n)) + theta * (F.coalesce("came", F.lit(0.0)) + F.col("loose") / max(1, n))).alias("rank"))
-        ranks = materialize(fresh, "ranks")  # read twice by the next round
-    return ranks.select("id", "rank").orderBy(F.desc("rank"), "id")
+    names = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
+    names = materialize(names.select("id", F.monotonically_increasing_id().alias("node")), "names")
+    n = max(1, names.count())
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbered = links.join(names.select(F.col("id").alias("src"), F.col("node").alias("a")), "src").join(names.select(F.col("id").alias("dst"), F.col("node").alias("b")), "dst")
+    with bucketed(spark, parts) as keep:
+        out = numbered.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("out"))
+        edges = keep(numbered.select(F.col("a").alias("node"), F.col("b").alias("to")).join(out, "node"), "node")
+        nodes = keep(names.join(out.select("node", F.lit(False).alias("ends")), "node", "left").select("node", F.coalesce("ends", F.lit(True)).alias("ends")), "node")
+        ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+        for _ in range(iterations):
+            sent = edges.join(ranks, "node").select("to", (F.col("rank") / F.col("out")).alias("share"))
+            came = sent.groupBy("to").agg(F.sum("share").alias("came"))
+            loose = ranks.filter("ends").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))  # one row
+            fresh = nodes.join(came, F.col("node") == F.col("to"), "left").join(F.broadcast(loose))
+            ranks = keep(fresh.select("node", "ends", (F.lit((1 - theta) / n) + theta * (F.coalesce("came", F.lit(0.0)) + F.col("loose") / n)).alias("rank")), "node")
+        last = materialize(ranks, "ranks")
+    return last.join(names, "node").select("id", "rank").orderBy(F.desc("rank"), "id")
 
 
 def shortest_path(links: DataFrame, start: str, target: str, max_depth: int = 32) -> DataFrame:

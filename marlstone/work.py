@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder of our own only where the session names none."""
+    """spark.checkpoint.dir; a temporary folder of our own only where the session names none and all its tasks run on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get().rstrip("/")
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -25,3 +28,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def bucketed(spark: SparkSession, parts: int):
+    """A function that writes a DataFrame in `parts` buckets of a column to the shared folder and reads it back, so that joins on that
+    column need no shuffle; the catalog forgets these tables at the end, the files stay."""
+    names: list[str] = []
+
+    def keep(df: DataFrame, by: str) -> DataFrame:
+        names.append(f"marlstone_{uuid.uuid4().hex}")
+        df.repartition(parts, by).write.bucketBy(parts, by).option("path", f"{shared_dir(spark)}/{names[-1]}").format("parquet").saveAsTable(names[-1])
+        return spark.table(names[-1])
+
+    try:
+        yield keep
+    finally:
+        for name in names:
+            spark.sql(f"drop table if exists {name}")
