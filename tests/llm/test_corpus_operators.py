@@ -48,6 +48,7 @@ def test_near_duplicates(spark, sf_dir):
 def test_near_duplicate_families(spark, n, percent, monkeypatch):
     """A large family of graded copies, in several blocks, with chains of links."""
     monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 40)
+    monkeypatch.setattr(near_dedup, "STAR_DOCS", 7)
     rng = random.Random(5)
     base = [f"w{rng.randint(0, 300)}" for _ in range(120)]
     docs = {}
@@ -73,6 +74,39 @@ def test_near_duplicates_odd_rows(spark):
     assert len(rows) == docs.count()
     assert {r["component_id"] for r in rows if r["doc_id"] == 5} == {5}
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = b + " end"
+    frame = spark.createDataFrame([(5, a), (5, b), (5, b), (3, a), (9, near), (12, c), (None, a), (None, None), (14, ""), (14, c), (20, "c0 c1"), (20, a)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(frame).collect()), key=str)
+    want = [(5, 38, 3, False), (5, 38, 3, False), (5, 38, 3, False), (3, 38, 3, True), (9, 39, 3, False), (12, 38, 12, True), (None, 38, None, True), (None, 0, None, True)]
+    want += [(14, 0, 14, True), (14, 38, 12, False), (20, 1, 3, False), (20, 38, 3, False)]
+    assert got == sorted(want, key=str)
+    assert sorted((r["doc_id"], r["text"]) for r in near_dedup.keep_one(frame).collect() if r["doc_id"]) == [(3, a), (12, c)]
+
+
+def test_bands_miss_no_pair_at_the_threshold():
+    """Small sets too: their registers are no copies of each other."""
+    rng = np.random.RandomState(3)
+    rows = near_dedup.band_rows(85)
+    for union in (20, 100, 300, 900):
+        sets = []
+        for _ in range(600):
+            x = rng.randint(0, 2**62, union).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
+            own = union * 15 // 100
+            sets += [np.sort(x[: union - own // 2]), np.sort(np.r_[x[: union - own], x[union - own // 2 :]])]
+        signs = near_dedup.registers(sets)
+        keys = near_dedup.band_keys(signs, rows)
+        assert (keys[::2] == keys[1::2]).any(axis=1).all()
+        share = (signs[::2] == signs[1::2]).mean(axis=1)
+        spread = (0.85 * 0.15 / near_dedup.REGISTERS) ** 0.5
+        assert abs(share.mean() - (union - own) / union) < 0.01 and share.std() < 1.2 * spread
+
+
+def test_common_counts():
+    rng = np.random.RandomState(4)
+    sets = [np.unique(rng.randint(0, 300, rng.randint(1, 200)).astype(np.uint64)) for _ in range(30)]
+    got = near_dedup.common_counts(sets[:12], sets[12:], 37)
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[12:]] for a in sets[:12]]
 
 
 def test_sketches():
@@ -123,7 +157,7 @@ def test_topk(spark, sf_dir):
 
 def test_topk_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(exact_topk, "CANDIDATE_BLOCK", 3)
-    monkeypatch.setattr(exact_topk, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(exact_topk, "GROUP_BYTES", 60)
     vectors = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [1.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [-1.0, 3.0, 9.0]), (7, [-1.0, 3.0, 9.0]), (20, [1e9, -1e9]), (40, []), (None, [1.0, 1.0])]
     frame = spark.createDataFrame([(i, v, 1) for i, v in vectors], "vec_id long, embedding array<float>, score long")
     from pyspark.sql import functions as F
@@ -134,6 +168,12 @@ def test_topk_odd_rows(spark, monkeypatch):
     usable = [(i, [float(np.float32(x)) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     assert got == brute_search(usable, [v for v in usable if v[0] % 20 == 0], 4)
     assert exact_topk.search(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    sparse = [(i, [random.Random(f"{i} {j}").choice([0.0] * 9 + [1.5, -0.7]) for j in range(30)]) for i in range(60)]
+    frame = spark.createDataFrame(sparse, "vec_id long, embedding array<double>")
+    got = {}
+    for r in exact_topk.search(frame, F.col("vec_id") % 20 == 0, k=7).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == brute_search(sparse, [v for v in sparse if v[0] % 20 == 0], 7)
     huge = spark.createDataFrame([(0, [1e30]), (1, [1e30]), (2, [2.0])], "vec_id long, embedding array<double>")
     assert [r["vec_id"] for r in exact_topk.search(huge, F.col("vec_id") == 0).orderBy("rank").collect()] == [1, 2]
 
