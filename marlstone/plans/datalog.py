@@ -8,7 +8,11 @@
 Atoms over base tables name their columns; atoms over rules go by position.  Several rules with one head are a union;
 heads have set semantics.  A recursive rule is evaluated semi-naively: each round joins only the rows that are new, and
 writes them as a work table.  Head aggregates are count, sum, min, max.  Two fixed rules exist: PageRank(edges) and
-ShortestPath(edges, from, to), as `?(…) <~ PageRank(rule)`.  Programs read tables only; there is no way to write one.
+ShortestPath(edges, from, to), as `?(…) <~ PageRank(rule)`, and Nearest(vectors, asked, k) gives the k rows (id, similarity) of
+a relation (id, vector) nearest to a vector, for other rules to join.
+
+Programs read tables.  Only run_mutable takes one with `:put relation key, key` or `:rm relation key, key`, which writes the
+answer's rows to a stored relation, or removes those with its keys.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.operators.graph import pagerank, shortest_path
+from marlstone.operators.vectors import knn
+from marlstone.sources.relations import Relations
 from marlstone.work import materialize
 
 
@@ -123,6 +129,7 @@ class _Parser:
 
     def program(self) -> tuple[list[Rule], list[tuple[str, bool]], int | None]:
         rules, order, limit = [], [], None
+        self.write: tuple[str, str, list[str]] | None = None  # put or rm, relation, keys
         while self.peek()[0] != "end":
             if self.take(":"):
                 word = self.name()
@@ -134,6 +141,13 @@ class _Parser:
                         order.append((self.name(), down))
                         if not self.take(","):
                             break
+                elif word in ("put", "rm"):
+                    if self.write:
+                        raise DatalogError("a program writes once")
+                    relation, keys = self.name(), [self.name()]
+                    while self.take(","):
+                        keys.append(self.name())
+                    self.write = word, relation, keys
                 else:
                     raise DatalogError(f"unknown option :{word}")
                 continue
@@ -298,6 +312,11 @@ class _Engine:
         if not given or not isinstance(given[0], Var):
             raise DatalogError(f"{name} needs a relation")
         edges = self.relation(given[0].name)
+        if name == "Nearest":
+            if len(given) != 3 or not all(isinstance(t, Const) for t in given[1:]):
+                raise DatalogError("Nearest needs a relation, a vector and a number")
+            key, column = edges.columns[:2]
+            return knn(edges, given[1].value, given[2].value, key, column).toDF(*(v for _, v in rule.args))
         links = edges.select(F.col(edges.columns[0]).alias("src"), F.col(edges.columns[1]).alias("dst"))
         if name == "PageRank":
             out = pagerank(links, *(t.value for t in given[1:]))
@@ -308,12 +327,29 @@ class _Engine:
         return out.toDF(*(v for _, v in rule.args))
 
 
-def run(program: str, tables: dict[str, DataFrame], params: dict[str, Any] | None = None) -> DataFrame:
-    """The rows of the rule `?`."""
-    rules, order, limit = _Parser(program, params or {}).program()
+def _answer(program: str, tables: dict[str, DataFrame], params: dict[str, Any] | None) -> tuple[DataFrame, tuple[str, str, list[str]] | None]:
+    parser = _Parser(program, params or {})
+    rules, order, limit = parser.program()
     if not any(r.head == "?" for r in rules):
         raise DatalogError("there is no rule ?")
     out = _Engine(rules, tables).relation("?")
     if order:
         out = out.orderBy(*(F.desc(n) if down else F.col(n) for n, down in order))
-    return out if limit is None else out.limit(limit)
+    return out if limit is None else out.limit(limit), parser.write
+
+
+def run(program: str, tables: dict[str, DataFrame], params: dict[str, Any] | None = None) -> DataFrame:
+    """The rows of the rule `?`; a program that writes is refused."""
+    out, write = _answer(program, tables, params)
+    if write:
+        raise DatalogError(f"the program writes to {write[1]}; reading alone is allowed here")
+    return out
+
+
+def run_mutable(program: str, store: Relations, params: dict[str, Any] | None = None, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The rows of the rule `?` over stored relations and tables, after what the program writes."""
+    out, write = _answer(program, {**{n: store.table(n) for n in store.names()}, **(tables or {})}, params)
+    if write:
+        word, relation, keys = write
+        (store.put if word == "put" else store.remove)(relation, out, keys)
+    return out

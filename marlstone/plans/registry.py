@@ -30,6 +30,7 @@ def _load() -> None:
         graph_queries,
         knowledge_queries,
         log_queries,
+        lookup_queries,
         ranking_queries,
         resolution_queries,
         scope_queries,
