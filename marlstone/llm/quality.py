@@ -31,7 +31,7 @@ LIMITS = {"trusted": (25, 30), "normal": (10, 30), "suspect": (2, 10)}
 _NOT_POINTS = SPACES + bytes(range(0x80, 0xC0))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
-METRICS = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+METRICS = "doc_id long, host string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
 def repeated_words(docs: list[list[bytes]], window: int = WINDOW) -> np.ndarray:
@@ -87,6 +87,7 @@ def document_metrics(docs: DataFrame, host: Column | None = None) -> DataFrame:
             yield {
                 "doc_id": batch.column("doc_id"),
                 "host": batch.column("host"),
+                "text_hash": batch.column("text_hash"),
                 "n_words": [len(w) for w in words],
                 "word_chars": [len(t.translate(None, _NOT_POINTS)) for t in texts],
                 "n_symbols": [len(t) - len(t.translate(None, SYMBOLS)) for t in texts],
@@ -96,7 +97,7 @@ def document_metrics(docs: DataFrame, host: Column | None = None) -> DataFrame:
 
         return each
 
-    return map_batches(docs.select("doc_id", host.cast("string").alias("host"), "text"), METRICS, start)
+    return map_batches(docs.select("doc_id", host.cast("string").alias("host"), F.xxhash64("text").alias("text_hash"), "text"), METRICS, start)
 
 
 def base_failed() -> Column:
@@ -134,18 +135,24 @@ def host_verdicts(metrics: DataFrame) -> DataFrame:
     )
 
 
-def quality_verdicts(docs: DataFrame, host: Column | None = None) -> DataFrame:
-    """doc_id, the base metrics, base_failed, kept, host_rate and host_class for each row of docs."""
+def _judged(docs: DataFrame, host: Column | None) -> DataFrame:
     metrics = materialize(document_metrics(docs, host), "quality")
     judged = metrics.join(host_verdicts(metrics).select(F.col("host").alias("judged_host"), F.col("shrunk_rate").alias("host_rate"), "host_class"), F.col("host").eqNullSafe(F.col("judged_host")), "left")
     limit = lambda k: F.element_at(F.create_map(*[F.lit(x) for c, v in LIMITS.items() for x in (c, v[k])]), F.col("host_class"))
     passes = (100 * F.col("n_symbols") <= limit(0) * F.col("n_words")) & (100 * F.col("n_repeat_words") <= limit(1) * F.col("n_words"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & passes).alias("kept"), "host_rate", "host_class")
+    return judged.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & passes})
+
+
+def quality_verdicts(docs: DataFrame, host: Column | None = None) -> DataFrame:
+    """doc_id, the base metrics, base_failed, kept, host_rate and host_class for each row of docs."""
+    return _judged(docs, host).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate", "host_class")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose verdict is kept, with the columns of docs.  Rows with one doc_id share their fate:
-    such an id stays only if no row with it is rejected."""
-    verdicts = quality_verdicts(docs)
-    bad = verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    """The rows of docs whose verdict is kept, with the columns of docs.  A row is found again by its doc_id, source and the hash of its
+    text, so that rows of one doc_id, or without one, are judged each; equal rows share their fate."""
+    bad = _judged(docs, None).filter(~F.col("kept")).select(F.col("doc_id").alias("bad_id"), F.col("host").alias("bad_host"), F.col("text_hash").alias("bad_text")).distinct()
+    key = {"bad_id": docs["doc_id"], "bad_host": docs["source"].cast("string"), "bad_text": F.xxhash64(docs["text"])}
+    names = [f"__{n}" for n in key]
+    marked = docs.select(*(docs[c] for c in docs.columns), *(k.alias(n) for k, n in zip(key.values(), names)))
+    return marked.join(bad.toDF(*(f"{n}_" for n in names)), [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names], "left_anti").drop(*names)

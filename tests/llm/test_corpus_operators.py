@@ -385,3 +385,37 @@ def test_pipeline(spark, sf_dir):
     assert not any(find_secrets(d["text"])[1] for d in docs.collect())
     sets = {d["doc_id"]: shingles(d["text"], 5) for d in docs.collect()}
     assert not any(100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for a, b in itertools.combinations(sets, 2) if sets[a])
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf_dir, tmp_path):
+    import corpus_pipeline
+
+    docs = odd_documents(spark)
+    clean = " ".join(f"word{i}" for i in range(60))
+    more = spark.createDataFrame([(90, clean, "en", None, 9, "k", 1, "r"), (91, clean + " end", "en", "a", 9, "k", 1, "r"), (92, clean + " password=hunter22 more", None, "a", None, None, None, None), (92, clean + " password=hunter22 more", None, "a", None, None, None, None), (None, clean, "en", "a", 1, "k", 1, "r")], docs.schema)
+    docs = docs.unionByName(more)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.schema.names == docs.schema.names and stage(spark, docs.limit(0), sf_dir).count() == 0
+        got = out.collect()
+        ids = [r["doc_id"] for r in got]
+        if name == "quality rules":
+            assert {90, 91, 92, None} <= set(ids) and ids.count(92) == 2 and ids.count(None) == 1 and not {1, 2, 3} & set(ids)
+        elif name == "toxicity":
+            assert len(got) == docs.count()
+        elif name == "MinHash near-dedup":
+            assert 90 in ids and not {91, 92} & set(ids) and {1, 2, 3, None} <= set(ids) and ids.count(5) == 2 and 5 in ids
+        else:
+            assert len(got) == docs.count() and all("hunter22" not in (r["text"] or "") for r in got)
+            assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in docs.collect()}
+    assert all(r["doc_tokens"] == 1 for r in packed if r["doc_id"] in (1, 2)) and sum(r["doc_id"] == 92 for r in packed) == 2
+    folder = str(tmp_path)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    table(spark, sf_dir, "labels").limit(0).write.parquet(f"{folder}/labels.parquet")
+    whole = corpus_pipeline.run(spark, f"file://{folder}").collect()
+    assert {r["doc_id"] for r in whole} >= {90, None} and not {1, 2, 3, 91, 92} & {r["doc_id"] for r in whole}
+    docs.limit(0).write.parquet(f"{folder}/none/documents.parquet")
+    table(spark, sf_dir, "labels").write.parquet(f"{folder}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"file://{folder}/none").count() == 0
