@@ -33,6 +33,7 @@ def _load() -> None:
         lookup_queries,
         ranking_queries,
         resolution_queries,
+        retrieval_queries,
         scope_queries,
         source_queries,
         structural_queries,
