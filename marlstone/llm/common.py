@@ -2,37 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of one Arrow batch: with long texts the bytes bound what a Python worker holds.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+from marlstone.work import materialize, shared_dir  # noqa: F401  (for the operators)
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; one of our own only where the session names none (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            base = known.get()
-        else:
-            base = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
-            spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write a work table to the shared folder and read it back: the lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows and bytes of one Arrow batch, and bytes of the texts that an operator works on at once: these bound what a Python worker holds.
+BATCH_ROWS, BATCH_BYTES, CHUNK_BYTES = 2000, 4 << 20, 2 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -71,19 +50,22 @@ def str_texts(column: pa.Array) -> list[str]:
 
 
 def map_batches(df: DataFrame, schema: str, per_batch: Callable[[], Callable[[pa.RecordBatch], Iterable[dict]]]) -> DataFrame:
-    """mapInArrow with state for a task: per_batch() runs once in each task and returns a function from a batch to columns."""
+    """mapInArrow with state for a task: per_batch() runs once in each task and returns a function from a batch to columns.  Batches
+    come in slices of CHUNK_BYTES of the column text or html, where there is one."""
     bounded_batches(df.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     out = to_arrow_schema(StructType.fromDDL(schema))
+    long = next((c for c in ("text", "html") if c in df.columns), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = per_batch()
         for batch in batches:
-            if batch.num_rows:
-                for columns in each(batch):
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in out], schema=out)
+            for part in byte_slices(batch, long, CHUNK_BYTES) if long else (batch,):
+                if part.num_rows:
+                    for columns in each(part):
+                        yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
 

@@ -1,30 +1,15 @@
-"""Connected components of an edge table by repeated contraction."""
+"""Connected components of an edge table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import materialize
+from marlstone.operators import graph
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """node, component (the smallest node reachable) for each node of an edge; edges: a long, b long.
-
-    Each round sends every node to the smallest among itself and its neighbours and rewrites the edges to these;
-    the graph stays connected where it was and loses most of its nodes, so that few rounds are needed.  Each
-    round's tables are written to the shared folder.  Edges need no order; loops, repeats and nulls are dropped."""
-    edges = materialize(edges.filter("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    labels = None
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("low")), "step")
-        moved = edges.join(step.select(F.col("node").alias("a"), F.col("low").alias("a2")), "a").join(step.select(F.col("node").alias("b"), F.col("low").alias("b2")), "b")
-        edges = materialize(moved.filter("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "edges")
-        if labels is None:
-            labels = step.select("node", F.col("low").alias("component"))
-        else:
-            labels = materialize(labels.join(step.select(F.col("node").alias("component"), "low"), "component", "left").select("node", F.coalesce("low", "component").alias("component")), "labels")
-    if labels is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return labels
+    """node, component (the smallest node reachable) for each node of an edge; edges: a long, b long.  Edges need no order; loops,
+    repeats and nulls are dropped."""
+    found = graph.components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return found.select(F.col("id").alias("node"), "component")

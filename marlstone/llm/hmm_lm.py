@@ -13,7 +13,7 @@ counts, and these are added up by class.
 
 Counts of the most frequent tokens, HEAVY at most, go to all workers; the rest, without bound, meets its tokens in a join.
 
-Memory: texts are encoded CHUNK_BYTES at a time and sequences worked on in blocks of BLOCK_TOKENS.  A sequence over
+Memory: texts are encoded some MB at a time and sequences worked on in blocks of BLOCK_TOKENS.  A sequence over
 LONG tokens is cut into segments.  A segment is a matrix over states; chaining these gives the exact forward and
 backward vectors at its ends, and the segments then pass through the blocks as sequences of their own.
 
@@ -33,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import bounded_batches, byte_slices, byte_texts, crc32_of_id, hash_sample, map_batches, materialize
+from marlstone.llm.common import bounded_batches, byte_texts, crc32_of_id, hash_sample, map_batches, materialize
 
 STATES, WORDS, SUFFIXES, HEAVY = 12, 8_000, 2_048, 200_000
 INIT_PARTS, INIT_TOKENS, INIT_ROUNDS, ROUNDS = 3_000, 1_000, 12, 3
 #: Weight, in counts, of the class distribution mixed into each state's emissions, and of even transitions.
 EMISSION_PRIOR, TRANSITION_PRIOR = 20.0, 1.0
-#: Tokens of one flush of the count map, and of one block of sequences; bytes of the texts encoded at once.
-FLUSH_TOKENS, BLOCK_TOKENS, CHUNK_BYTES = 200_000, 500_000, 2 << 20
+#: Tokens of one flush of the count map, and of one block of sequences.
+FLUSH_TOKENS, BLOCK_TOKENS = 200_000, 500_000
 #: Tokens from which a sequence is cut, and tokens of a segment.
 LONG, SEGMENT = 2_000, 500
 END = ""
@@ -370,8 +370,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     def encode():
         def each(batch):
-            for part in byte_slices(batch, "text", CHUNK_BYTES):
-                yield {"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), **shared.value.encode([t.lower().split() for t in byte_texts(part.column("text"))])}
+            yield {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), **shared.value.encode([t.lower().split() for t in byte_texts(batch.column("text"))])}
 
         return each
 

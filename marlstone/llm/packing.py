@@ -30,8 +30,8 @@ from marlstone.llm.common import byte_texts, map_batches, materialize
 
 WIDTH = 2048
 END_ID = 1
-#: Words whose ids a worker remembers, about 200 bytes each.
-CACHE_WORDS = 800_000
+#: Words whose ids a worker remembers, about 200 bytes each, and bytes of the longest of these.
+CACHE_WORDS, CACHE_BYTES = 300_000, 40
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
 
 
@@ -132,7 +132,7 @@ class WordIds(dict):
             ids = self._whole(text)
         else:
             ids = array("I", [t.id for part in plain.groups() if part for t in self.model.tokenize(part.translate(self.letters))]).tobytes()
-        if len(self) < CACHE_WORDS:
+        if len(word) <= CACHE_BYTES and len(self) < CACHE_WORDS:
             self[word] = ids
         return ids
 

@@ -35,13 +35,11 @@ from operator import add
 import numpy as np
 from pyspark.sql import DataFrame
 
-from marlstone.llm.common import byte_slices, map_batches, str_texts
+from marlstone.llm.common import map_batches, str_texts
 
 DROPOUT, SEED = 0.1, 1234
 #: Words a worker remembers without a skip, about 250 bytes each, and characters of the longest of these.
 CACHE_WORDS, SHORT = 300_000, 40
-#: Bytes of the texts encoded at once.
-CHUNK_BYTES = 1 << 20
 #: The longest gap between skips that one draw gives, and a gap beyond any word.
 GAPS, FAR = 1023, 1 << 62
 NONE = np.iinfo(np.int32).max
@@ -371,9 +369,8 @@ def encode_documents(docs: DataFrame, path: str, dropout: float = DROPOUT, seed:
         encoder = worker_encoder(path, dropout, seed)
 
         def each(batch):
-            for part in byte_slices(batch, "text", CHUNK_BYTES):
-                ids = part.column("doc_id").to_pylist()
-                yield {"doc_id": ids, "ids": [np.frombuffer(x, "<u4").astype(np.int32) for x in encoder.encode_many(str_texts(part.column("text")), drawn_ids(ids))]}
+            ids = batch.column("doc_id").to_pylist()
+            yield {"doc_id": ids, "ids": [np.frombuffer(x, "<u4").astype(np.int32) for x in encoder.encode_many(str_texts(batch.column("text")), drawn_ids(ids))]}
 
         return each
 
@@ -401,17 +398,16 @@ def round_trips(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int
         encoder = worker_encoder(path, dropout, seed)
 
         def each(batch):
-            for part in byte_slices(batch, "text", CHUNK_BYTES):
-                ids, texts = part.column("doc_id").to_pylist(), str_texts(part.column("text"))
-                packed = encoder.encode_many(texts, drawn_ids(ids))
-                decoded = [encoder.decode(memoryview(p).cast("I")) for p in packed]
-                yield {
-                    "doc_id": ids,
-                    "n_pieces": [len(p) // 4 for p in packed],
-                    "ids_crc32": [zlib.crc32(p) for p in packed],
-                    "decoded_chars": [len(d) for d in decoded],
-                    "lossless": [d == t for d, t in zip(decoded, texts)],
-                }
+            ids, texts = batch.column("doc_id").to_pylist(), str_texts(batch.column("text"))
+            packed = encoder.encode_many(texts, drawn_ids(ids))
+            decoded = [encoder.decode(memoryview(p).cast("I")) for p in packed]
+            yield {
+                "doc_id": ids,
+                "n_pieces": [len(p) // 4 for p in packed],
+                "ids_crc32": [zlib.crc32(p) for p in packed],
+                "decoded_chars": [len(d) for d in decoded],
+                "lossless": [d == t for d, t in zip(decoded, texts)],
+            }
 
         return each
 
