@@ -110,6 +110,35 @@ def glob_to_regex(glob: str) -> str:
     return f"^{out}$"
 
 
+def ignore_rule(line: str) -> tuple[str, bool] | None:
+    """An ignore file's line as (regular expression of paths, whether it takes paths back); None for comments and blank lines.
+
+    A pattern with a slash inside or in front is bound to the root, others match at any depth; a match covers all that lies below, and
+    with a slash at its end only what lies below."""
+    line = line.rstrip("\n").rstrip(" ")
+    if not line or line.startswith("#"):
+        return None
+    back = line.startswith("!")
+    pattern = line[1:] if back else line
+    pattern = pattern[1:] if pattern.startswith("\\") else pattern
+    folder = pattern.endswith("/")
+    pattern = pattern.rstrip("/")
+    rooted = "/" in pattern
+    body = glob_to_regex(pattern.lstrip("/"))[1:-1]
+    return f"^{'' if rooted else '(?:.*/)?'}{body}{'/.*' if folder else '(?:/.*)?'}$", back
+
+
+def ignored(path: Column, rules: list[str]) -> Column:
+    """Whether an ignore file leaves a path out: the last line that matches decides, but nothing below a folder that is left out by
+    itself can be taken back."""
+    out = F.lit(False)
+    for line in rules:
+        if (rule := ignore_rule(line)) is not None:
+            pattern, back = rule
+            out = F.when(path.rlike(pattern), F.lit(not back)).otherwise(out)
+    return out
+
+
 def token_estimate(text: Column, by_bytes: bool = False) -> Column:
     """A quarter of the characters, or of the bytes, rounded up."""
     return F.ceil((F.octet_length(text) if by_bytes else F.length(text)) / 4).cast("long")

@@ -145,6 +145,23 @@ def relocation_ladder(lost: DataFrame, nodes: DataFrame, sketched: DataFrame) ->
     return out.select("ref_id", state.alias("state"), "b.rung", "b.target", "b.confidence")
 
 
+def stale_content(files: DataFrame, today: Column, most_days: int = 7) -> DataFrame:
+    """path, age_days, source of files(path, last_updated, modified) older than most_days: by the date they give themselves, or else by when
+    they were written.  A date that is none counts as missing, one in the future as today."""
+    own = F.to_date(F.when(F.col("last_updated").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("last_updated")))
+    days = F.coalesce(F.greatest(F.datediff(today, own), F.lit(0)), F.floor((F.unix_timestamp(today) - F.unix_timestamp("modified")) / 86_400))
+    rows = files.select("path", days.cast("long").alias("age_days"), F.when(own.isNotNull(), "last_updated").otherwise("mtime").alias("source"))
+    return rows.filter(F.col("age_days") > most_days).orderBy(F.desc("age_days"), "path")
+
+
+def cleanup_candidates(files: DataFrame, now: Column, least_minutes: int = 60) -> DataFrame:
+    """path, reason, age_minutes of temporary files and, in `local`, lock files that have lain for an hour; the stores' own are left."""
+    name, first = F.regexp_extract("path", r"([^/]+)$", 1), F.split("path", "/")[0]
+    reason = F.when(first.rlike(r"^(graph|wiki|cozo)\.db"), None).when(name.rlike(r"\.te?mp$|~$"), "temporary").when((first == "local") & name.rlike(r"\.(lock|pid)$"), "lock")
+    age = F.floor((F.unix_timestamp(now) - F.unix_timestamp("modified")) / 60)
+    return files.select("path", reason.alias("reason"), age.cast("long").alias("age_minutes")).filter(F.col("reason").isNotNull() & (F.col("age_minutes") >= least_minutes)).orderBy("path")
+
+
 def score(issues: DataFrame) -> DataFrame:
     """One row: 100 less every scored issue's cost, within 0 and 100, and the issues by severity."""
     scored = ~F.col("code").isin(*UNSCORED)

@@ -107,6 +107,68 @@ def resolve_references(refs: DataFrame, symbols: DataFrame, imports: DataFrame,
     return decide(refs, [here, bound, near])
 
 
+def _near(hits: DataFrame) -> DataFrame:
+    """Of a call's candidates (file: the call's, at: the candidate's) those in the call's own file, if any is."""
+    own = hits.withColumn("own", F.col("at") == F.col("file")).withColumn("any", F.max("own").over(W.partitionBy("call_id")))
+    return own.filter(F.col("own") | ~F.coalesce("any", F.lit(False))).drop("own", "any")
+
+
+def _members(asked: DataFrame, symbols: DataFrame) -> DataFrame:
+    """call_id, file, id, at of the members `name` of the type `type`."""
+    s = symbols.filter("container is not null").select("id", "name", F.col("container").alias("type"), F.col("file").alias("at"))
+    return asked.join(s, ["type", "name"]).select("call_id", "file", "id", "at")
+
+
+def _tops(asked: DataFrame, symbols: DataFrame) -> DataFrame:
+    """call_id, id of the only declaration `name` at the top of the file `target_file`."""
+    s = symbols.filter("container is null").select("id", "name", F.col("file").alias("target_file"))
+    return _only(asked.join(s, ["target_file", "name"]))
+
+
+def _imported_types(imports: DataFrame) -> DataFrame:
+    return imports.filter("not is_module").groupBy("file", F.col("local").alias("last")).agg(F.min("imported").alias("imported"))
+
+
+def path_qualifiers(calls: DataFrame, symbols: DataFrame, imports: DataFrame, modules: DataFrame) -> DataFrame:
+    """call_id, state, target, candidates, method of calls (call_id, file, qualifier, name) through a path `a::b::name`: members of the
+    type its last segment names (under its imported name), then what the module that a lone segment is bound to holds, then the
+    module at the path from the crate's root (modules: path, file), then a function in a module written inline (qualified_name
+    `b::name`).  What none of these knows is unresolved: the name alone is never looked for.
+
+    imports: file, local, imported, is_module, target_file."""
+    c = calls.withColumn("parts", F.filter(F.split("qualifier", "::"), lambda s: s != "")).withColumn("last", F.element_at("parts", -1))
+    c = c.join(_imported_types(imports), ["file", "last"], "left").withColumn("type", F.coalesce("imported", "last"))
+    members = _near(_members(c.select("call_id", "file", "name", "type"), symbols))
+    bound = imports.filter("target_file is not null").groupBy("file", F.col("local").alias("last")).agg(F.min("target_file").alias("target_file"))
+    alias = _tops(c.filter(F.size("parts") == 1).join(bound, ["file", "last"]).select("call_id", "name", "target_file"), symbols)
+    inner = F.filter("parts", lambda s: ~s.isin("crate", "self", "super"))
+    path = c.withColumn("path", F.array_join(inner, "::"))
+    crate = _tops(path.join(modules.select("path", F.col("file").alias("target_file")), "path").select("call_id", "name", "target_file"), symbols)
+    inline = symbols.filter("kind = 'function'").select("id", F.col("qualified_name").alias("full"), F.col("file").alias("at"))
+    written = _near(path.filter("path <> ''").select("call_id", "file", F.concat_ws("::", "path", "name").alias("full")).join(inline, "full").select("call_id", "file", "id", "at"))
+    rungs = [_rung(members, 1, 1.0, "qualifier_type"), _rung(alias, 2, 1.0, "qualifier_module"), _rung(crate, 3, 1.0, "qualifier_module"), _rung(written, 4, 1.0, "inline_module")]
+    return decide(calls, rungs).select("call_id", "state", "target", "candidates", "method")
+
+
+def receivers(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """call_id, state, target, candidates, method of calls (call_id, file, qualifier, receiver_type, name) on a receiver: what the module it
+    is bound to holds at its top (nothing else then), static members of the class it imports, what a namespace of the file
+    declares (qualified_name `ns.name`), the one member of the type it is annotated with, members of a type with a capital."""
+    c = calls.withColumn("last", F.col("qualifier"))
+    bound = imports.filter("is_module").groupBy("file", F.col("local").alias("last")).agg(F.min("target_file").alias("target_file"))
+    spaces = c.join(bound, ["file", "last"])
+    held = spaces.select("call_id").join(_tops(spaces.select("call_id", "name", "target_file"), symbols), "call_id", "left")  # a module without it stops
+    typed = _imported_types(imports)
+    static = _near(_members(c.join(typed, ["file", "last"]).select("call_id", "file", "name", F.col("imported").alias("type")), symbols))
+    inside = symbols.filter("kind = 'function' and container is null").select("id", "file", F.col("qualified_name").alias("full"))
+    member = _only(c.select("call_id", "file", F.concat_ws(".", "qualifier", "name").alias("full")).join(inside, ["file", "full"]))
+    noted = c.filter("receiver_type is not null").join(typed.withColumnRenamed("last", "receiver_type"), ["file", "receiver_type"], "left")
+    noted = _only(_near(_members(noted.select("call_id", "file", "name", F.coalesce("imported", "receiver_type").alias("type")), symbols)))
+    capital = _near(_members(c.filter(F.col("qualifier").rlike("^[A-Z][A-Za-z0-9_]*$")).select("call_id", "file", "name", F.col("qualifier").alias("type")), symbols))
+    rungs = [_rung(held, 1, 1.0, "import_namespace"), _rung(static, 2, 1.0, "qualifier_type"), _rung(member, 3, 1.0, "namespace_member"), _rung(noted, 4, 1.0, "type_annotation"), _rung(capital, 5, 1.0, "qualifier_type")]
+    return decide(calls, rungs).select("call_id", "state", "target", "candidates", "method")
+
+
 def provenance(method: Column) -> Column:
     return F.when(method.isin("self", "type", "same-file", "import"), "resolved").when(method == "imported-file", "inferred").when(method.isin("unique", "method"), "guessed")
 

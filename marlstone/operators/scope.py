@@ -110,7 +110,7 @@ def exact_channel(nodes: DataFrame, plan: Plan) -> DataFrame:
 
 def text_channel(nodes: DataFrame, plan: Plan) -> DataFrame:
     """The whole task by BM25 over names."""
-    found = X.bm25(nodes.filter(~F.col("kind").isin(*CONTAINERS)), "id", FIELDS, list(plan.terms) or [""], 80).withColumnRenamed("doc", "id")
+    found = X.bm25(nodes.filter(~F.col("kind").isin(*CONTAINERS)), "id", FIELDS, list(plan.terms) or [""]).select(F.col("doc").alias("id"), F.round("score", 9).alias("score"))
     return _channel(found, "text", 1.0, [F.desc("score"), "id"], "matches the task", 80)
 
 
@@ -119,7 +119,7 @@ def concept_channels(nodes: DataFrame, plan: Plan) -> DataFrame | None:
     concepts = list(plan.concepts.items())[:16]
     if not concepts:
         return None
-    p = X.postings(nodes.filter(~F.col("kind").isin(*CONTAINERS)), "id", FIELDS)
+    p = X.postings_of(X.matches(nodes.filter(~F.col("kind").isin(*CONTAINERS)), "id", FIELDS, [t for _, terms in concepts for t in terms]))
     of = F.lit(None).cast("string")
     for name, terms in concepts:
         of = F.when(F.col("term").isin(*terms), name).otherwise(of)

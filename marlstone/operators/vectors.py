@@ -123,6 +123,23 @@ def embed(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
     return _hashed(docs, key, fields, "vector array<float>", row)
 
 
+def static_embed(docs: DataFrame, key: str, column: str, matrix: DataFrame, most: int = 512) -> DataFrame:
+    """key, vector: the normalised mean of the rows of matrix(token, vector) for a text's first `most` words that it has, identifiers
+    split into their parts; null where it has none."""
+    words = F.filter(F.split(F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(column), F.lit("")), r"([a-z0-9])([A-Z])", "$1 $2"), r"[^A-Za-z0-9À-ɏ]+", " ")), " "), lambda w: w != "")
+    tokens = docs.select(key, F.posexplode(F.slice(words, 1, most)).alias("at", "token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
+    cells = tokens.join(matrix.select("token", F.posexplode("vector").alias("dim", "x")), "token").groupBy(key, "dim").agg(F.sum(F.col("n") * F.col("x").cast("double")).alias("x"))
+    total = cells.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda c: c["x"]).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    return docs.select(key).join(total.select(key, F.when(norm > 1e-6, F.transform("v", lambda x: (x / norm).cast("float"))).alias("vector")), key, "left")
+
+
+def sync_entities(stored: DataFrame, entities: DataFrame, fields: dict[str, float]) -> tuple[DataFrame, DataFrame]:
+    """(id, vector of all entities(id, file, position, …) that no other of the same id comes before; ids of stored(id) to remove)."""
+    first = entities.withColumn("nth", F.row_number().over(W.partitionBy("id").orderBy("file", "position"))).filter("nth = 1").drop("nth")
+    return embed(first, "id", fields), stored.select("id").join(first.select("id"), "id", "left_anti")
+
+
 def combine(vectors: list[tuple[Column, float]]) -> Column:
     """The normalised weighted sum of vectors of one length."""
 

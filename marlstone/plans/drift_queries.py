@@ -123,6 +123,22 @@ def _(v: Views):
     return D.relocation_ladder(lost, nodes, none).select("ref_id", "state", "target", "confidence")
 
 
+@query("dr_19_stale_content", """SELECT path, age_days, source FROM (SELECT 'doc/' || o_orderkey AS path, CASE WHEN o_orderkey % 4 = 0 THEN 'last_updated' ELSE 'mtime' END AS source, cast(CASE WHEN o_orderkey % 4 = 0 THEN greatest(date_diff('day', cast(o_orderdate AS date), date '1998-01-01'), 0) ELSE floor((epoch(timestamp '1998-01-01') - epoch(o_orderdate)) / 86400) END AS bigint) AS age_days FROM orders) WHERE age_days > 1200""")
+def _(v: Views):
+    own = F.when(F.col("o_orderkey") % 4 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(F.col("o_orderkey") % 4 == 1, "soon")
+    files = v.orders.select(F.concat(F.lit("doc/"), "o_orderkey").alias("path"), own.alias("last_updated"), F.col("o_orderdate").alias("modified"))
+    return D.stale_content(files, F.lit("1998-01-01").cast("timestamp"), 1200)
+
+
+@query("dr_19_cleanup", """SELECT path, reason, age_minutes FROM (SELECT path, CASE WHEN path LIKE 'graph.db%' THEN NULL WHEN path LIKE '%.tmp' THEN 'temporary' WHEN path LIKE 'local/%.lock' THEN 'lock' END AS reason, cast(floor((epoch(timestamp '2024-01-20') - floor(epoch(ts))) / 60) AS bigint) AS age_minutes FROM (
+    SELECT ts, CASE event_id % 5 WHEN 0 THEN 'a/x' || event_id || '.tmp' WHEN 1 THEN 'local/y' || event_id || '.lock' WHEN 2 THEN 'graph.db/z' || event_id || '.tmp' WHEN 3 THEN 'b/y' || event_id || '.lock' ELSE 'doc.md' END AS path FROM events)) WHERE reason IS NOT NULL AND age_minutes >= 60""")
+def _(v: Views):
+    i = F.col("event_id")
+    name = lambda a, b: F.concat(F.lit(a), i, F.lit(b))
+    path = F.when(i % 5 == 0, name("a/x", ".tmp")).when(i % 5 == 1, name("local/y", ".lock")).when(i % 5 == 2, name("graph.db/z", ".tmp")).when(i % 5 == 3, name("b/y", ".lock")).otherwise("doc.md")
+    return D.cleanup_candidates(v.events.select(path.alias("path"), F.col("ts").alias("modified")), F.lit("2024-01-20").cast("timestamp"))
+
+
 ISSUES = "SELECT CASE WHEN p_partkey % 9 = 0 THEN 'POPULATION_PENDING' WHEN p_partkey % 9 = 1 THEN 'GROUNDING_MOVED_BY_NEIGHBORS' WHEN p_partkey % 9 = 2 THEN 'todo' ELSE 'stale' END AS code, CASE p_partkey % 7 WHEN 0 THEN 'error' WHEN 1 THEN 'warning' ELSE 'info' END AS severity, p_brand AS file FROM part"
 
 

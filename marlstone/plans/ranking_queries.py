@@ -62,13 +62,20 @@ def _(v: Views):
     return R.within_budget(v.documents, token_estimate(F.col("text")), 4500, ["doc_id"], ["source"]).select("source", "doc_id", "running_cost")
 
 
-@query("win_8_skip_to_fit")
+def _in_turn(rows: str, group: str, key: str, cost: str, order: str, budget: int, most: int = 200) -> str:
+    """Rows of a group one by one: what still fits is taken, the rest skipped."""
+    return f"""WITH RECURSIVE src AS ({rows}), r AS (SELECT {group} AS g, {key} AS k, {cost} AS c, row_number() OVER (PARTITION BY {group} ORDER BY {order}) AS n FROM src),
+    run AS (SELECT DISTINCT g, 0::bigint AS n, 0::bigint AS spent, NULL::bigint AS k, NULL::bigint AS c FROM r UNION ALL SELECT run.g, r.n, spent + CASE WHEN spent + r.c <= {budget} THEN r.c ELSE 0 END, CASE WHEN spent + r.c <= {budget} THEN r.k END, r.c FROM run JOIN r ON r.g = run.g AND r.n = run.n + 1 WHERE r.n <= {most})
+    SELECT g AS {group}, k AS {key}, c AS {cost} FROM run WHERE k IS NOT NULL"""
+
+
+@query("win_8_skip_to_fit", _in_turn("SELECT source, doc_id, n_chars FROM documents", "source", "doc_id", "n_chars", "doc_id", 20_000))
 def _(v: Views):
     rows = v.documents.select("source", "doc_id", "n_chars")
     return R.skip_to_fit(rows, "n_chars", 20_000, ["doc_id"], "source").select("source", "doc_id", "n_chars")
 
 
-@query("win_9_flow_budget")
+@query("win_9_flow_budget", _in_turn("SELECT o_custkey, o_orderkey, count(*) AS steps FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL", "o_custkey", "o_orderkey", "steps", "o_orderkey", 8))
 def _(v: Views):
     flows = v.orders.join(v.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey", "o_orderkey").agg(F.count(F.lit(1)).alias("steps"))
     return R.skip_to_fit(flows, "steps", 8, ["o_orderkey"], "o_custkey").select("o_custkey", "o_orderkey", "steps")

@@ -40,12 +40,61 @@ def _(v: Views):
     return N.resolve_calls(calls, symbols, imports).select("call_id", "state", "target", F.size("candidates").alias("n"), "kind", "confidence", "method")
 
 
-@query("res_10_references")
+REFS = """, prop AS (SELECT c.call_id, s.id AS target, 1 AS p, 'same-file' AS method FROM calls c JOIN symbols s ON s.name = c.name AND s.file = c.file AND s.kind = 'class' WHERE c.qualifier IS NULL
+    UNION ALL SELECT c.call_id, s.id, 2, 'import' FROM calls c JOIN imports i ON i.file = c.file AND i.local = c.name LEFT JOIN symbols s ON s.name = coalesce(i.symbol, i.local) AND s.file = i.target_file AND s.kind = 'class' WHERE c.qualifier IS NULL
+    UNION ALL SELECT call_id, min(id), 3, 'imported-file' FROM (SELECT c.call_id, s.id FROM calls c JOIN (SELECT DISTINCT file, target_file FROM imports) i ON i.file = c.file JOIN symbols s ON s.name = c.name AND s.file = i.target_file AND s.kind = 'class' WHERE c.qualifier IS NULL) GROUP BY call_id HAVING count(DISTINCT id) = 1),
+    best AS (SELECT call_id, len(list_distinct(list(target) FILTER (target IS NOT NULL))) AS n, min(method) AS method FROM (SELECT *, min(p) OVER (PARTITION BY call_id) AS first FROM prop) WHERE p = first GROUP BY call_id)"""
+
+
+@query("res_10_references", CTE[2:].join(["WITH ", ""]) + REFS + " SELECT state, method, count(*) AS n FROM (SELECT CASE WHEN n = 1 THEN 'edge' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS state, CASE WHEN n = 1 THEN method END AS method FROM calls LEFT JOIN best USING (call_id)) GROUP BY ALL")
 def _(v: Views):
     calls, symbols, imports = _inputs(v)
     return N.resolve_references(calls, symbols.dropDuplicates(["id", "name", "container", "file"]), imports, ("class",)).groupBy("state", "method").agg(F.count(F.lit(1)).alias("n"))
 
 
+Q_SYMBOLS = """SELECT 'part:' || p_partkey AS id, 'm' || (p_partkey % 23) AS name, CASE WHEN p_size % 3 = 0 THEN 'method' ELSE 'function' END AS kind, CASE WHEN p_size % 3 = 0 THEN 'T' || (p_size % 7) END AS container, 'f' || (p_partkey % 11) AS file,
+    CASE WHEN p_size % 3 = 1 THEN 'in' || (p_size % 2) || CASE WHEN p_size % 2 = 0 THEN '::' ELSE '.' END || 'm' || (p_partkey % 23) ELSE 'm' || (p_partkey % 23) END AS qualified_name FROM part"""
+Q_IMPORTS = "SELECT DISTINCT 'f' || (p_partkey % 11) AS file, 'L' || (p_size % 4) AS local, 'T' || (p_size % 5) AS imported, p_size % 4 = 1 AS is_module, 'f' || (p_size % 9) AS target_file FROM part WHERE p_size < 12"
+Q_CALLS = """SELECT DISTINCT concat_ws('|', file, qualifier, receiver_type, name) AS call_id, file, qualifier, receiver_type, name FROM (SELECT 'f' || (l_partkey % 11) AS file, CASE l_orderkey % 6 WHEN 0 THEN 'T' || (l_suppkey % 9) WHEN 1 THEN 'L' || (l_suppkey % 5) WHEN 2 THEN 'crate{0}mod' || (l_suppkey % 4) WHEN 3 THEN 'in' || (l_suppkey % 2) WHEN 4 THEN 'v' ELSE 'T' || (l_suppkey % 3) || '{0}T1' END AS qualifier,
+    CASE WHEN l_orderkey % 6 = 4 THEN CASE WHEN l_suppkey % 2 = 0 THEN 'T' || (l_suppkey % 8) ELSE 'L' || (l_suppkey % 4) END END AS receiver_type, 'm' || (l_partkey % 23) AS name FROM lineitem)"""
+Q_MODULES = "SELECT 'mod' || i AS path, 'f' || (i * 2) AS file FROM (VALUES (0), (1), (2)) t(i)"
+Q_TYPES = "SELECT file, local AS last, min(imported) AS imported FROM imports WHERE NOT is_module GROUP BY ALL"
+NEAREST = "SELECT call_id, id FROM (SELECT *, bool_or(its_file = file) OVER (PARTITION BY call_id) AS any_own FROM ({0})) WHERE its_file = file OR NOT any_own"
+ONLY = "SELECT call_id, min(id) AS id FROM ({0}) GROUP BY call_id HAVING count(DISTINCT id) = 1"
+DECIDED = """best AS (SELECT call_id, list_sort(list_distinct(list(id) FILTER (id IS NOT NULL))) AS cand, min(method) AS method FROM (SELECT *, min(p) OVER (PARTITION BY call_id) AS first FROM prop) WHERE p = first GROUP BY call_id)
+    SELECT call_id, CASE WHEN coalesce(len(cand), 0) = 1 THEN 'edge' WHEN len(cand) > 1 THEN 'ambiguous' ELSE 'unresolved' END AS state, CASE WHEN len(cand) = 1 THEN cand[1] END AS target, CASE WHEN len(cand) = 1 THEN method END AS method FROM calls LEFT JOIN best USING (call_id)"""
+
+
+def _tables(mark: str) -> str:
+    return f"WITH symbols AS ({Q_SYMBOLS}), imports AS ({Q_IMPORTS}), calls AS ({Q_CALLS.format(mark)}), modules AS ({Q_MODULES}), types AS ({Q_TYPES})"
+
+
+def _qualified(v: Views, mark: str):
+    named = lambda sql: v._spark.sql(sql.replace("FROM part", "FROM {part}").replace("FROM lineitem", "FROM {lineitem}"), part=v.part, lineitem=v.lineitem)
+    modules = v._spark.createDataFrame([(f"mod{i}", f"f{i * 2}") for i in range(3)], "path string, file string")
+    return named(Q_CALLS.format(mark)), named(Q_SYMBOLS), named(Q_IMPORTS), modules
+
+
+@query("res_3_path_qualifiers", f"""{_tables('::')}, c AS (SELECT call_id, file, name, parts, parts[-1] AS last, array_to_string(list_filter(parts, lambda s: s NOT IN ('crate', 'self', 'super')), '::') AS path FROM (SELECT *, list_filter(string_split(qualifier, '::'), lambda s: s <> '') AS parts FROM calls)),
+    prop AS (SELECT call_id, id, 1 AS p, 'qualifier_type' AS method FROM ({NEAREST.format("SELECT c.call_id, c.file, s.id, s.file AS its_file FROM c LEFT JOIN types t USING (file, last) JOIN symbols s ON s.container = coalesce(imported, last) AND s.name = c.name")})
+    UNION ALL SELECT call_id, id, 2, 'qualifier_module' FROM ({ONLY.format("SELECT c.call_id, s.id FROM c JOIN (SELECT file, local AS last, min(target_file) AS target_file FROM imports GROUP BY ALL) i USING (file, last) JOIN symbols s ON s.file = i.target_file AND s.name = c.name AND s.container IS NULL WHERE len(parts) = 1")})
+    UNION ALL SELECT call_id, id, 3, 'qualifier_module' FROM ({ONLY.format("SELECT c.call_id, s.id FROM c JOIN modules m USING (path) JOIN symbols s ON s.file = m.file AND s.name = c.name AND s.container IS NULL")})
+    UNION ALL SELECT call_id, id, 4, 'inline_module' FROM ({NEAREST.format("SELECT c.call_id, c.file, s.id, s.file AS its_file FROM c JOIN symbols s ON s.qualified_name = c.path || '::' || c.name AND s.kind = 'function' WHERE path <> ''")})), {DECIDED}""")
+def _(v: Views):
+    return N.path_qualifiers(*_qualified(v, "::")).select("call_id", "state", "target", "method")
+
+
+@query("res_8_receivers", f"""{_tables('.')}, c AS (SELECT *, qualifier AS last FROM calls), spaces AS (SELECT c.call_id, c.name, i.target_file FROM c JOIN (SELECT file, local AS last, min(target_file) AS target_file FROM imports WHERE is_module GROUP BY ALL) i USING (file, last)),
+    prop AS (SELECT s.call_id, t.id, 1 AS p, 'import_namespace' AS method FROM spaces s LEFT JOIN ({ONLY.format("SELECT p.call_id, s.id FROM spaces p JOIN symbols s ON s.file = p.target_file AND s.name = p.name AND s.container IS NULL")}) t USING (call_id)
+    UNION ALL SELECT call_id, id, 2, 'qualifier_type' FROM ({NEAREST.format("SELECT c.call_id, c.file, s.id, s.file AS its_file FROM c JOIN types t USING (file, last) JOIN symbols s ON s.container = imported AND s.name = c.name")})
+    UNION ALL SELECT call_id, id, 3, 'namespace_member' FROM ({ONLY.format("SELECT c.call_id, s.id FROM c JOIN symbols s ON s.file = c.file AND s.qualified_name = c.qualifier || '.' || c.name AND s.kind = 'function' AND s.container IS NULL")})
+    UNION ALL SELECT call_id, id, 4, 'type_annotation' FROM ({ONLY.format(NEAREST.format("SELECT c.call_id, c.file, s.id, s.file AS its_file FROM c LEFT JOIN types t ON t.file = c.file AND t.last = c.receiver_type JOIN symbols s ON s.container = coalesce(imported, receiver_type) AND s.name = c.name WHERE receiver_type IS NOT NULL"))})
+    UNION ALL SELECT call_id, id, 5, 'qualifier_type' FROM ({NEAREST.format("SELECT c.call_id, c.file, s.id, s.file AS its_file FROM c JOIN symbols s ON s.container = c.qualifier AND s.name = c.name WHERE regexp_full_match(c.qualifier, '[A-Z][A-Za-z0-9_]*')")})), {DECIDED}""")
+def _(v: Views):
+    calls, symbols, imports, _ = _qualified(v, ".")
+    return N.receivers(calls, symbols, imports).select("call_id", "state", "target", "method")
+
+
 @query("res_15_provenance", CTE[2:].join(["WITH ", ""]) + LADDER + " SELECT CASE WHEN method IN ('self', 'type', 'same-file', 'import') THEN 'resolved' WHEN method = 'imported-file' THEN 'inferred' ELSE 'guessed' END AS provenance, count(*) AS n FROM best WHERE len(cand) = 1 GROUP BY 1")
 def _(v: Views):
     calls, symbols, imports = _inputs(v)

@@ -8,6 +8,7 @@ from marlstone.operators import scope as S
 from marlstone.plans.registry import query
 from marlstone.plans.views import Views
 
+NAMES = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9à-ÿ]+'), lambda w: w <> '')"
 TASK = "Where does the cold widget get its Supplier#000000007 and who orders small widgets"
 
 
@@ -22,7 +23,6 @@ def _(v: Views):
     return S.exact_channel(v.g_nodes, S.plan_query(TASK)).select("id", "rank")
 
 
-NAMES = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9à-ÿ]+'), lambda w: w <> '')"
 
 
 @query("sc_5_concepts", f"""SELECT id, rank FROM (SELECT id, row_number() OVER (ORDER BY sum(w) DESC, any_value(dl), id) AS rank FROM (SELECT id, len(a) + len(b) AS dl, unnest(list_concat(a, b)) AS term, unnest(list_concat([10.0 FOR x IN a], [4.0 FOR x IN b])) AS w FROM (SELECT id, {NAMES.format('name')} AS a, {NAMES.format('qualified_name')} AS b FROM g_nodes WHERE kind NOT IN ('file', 'module')))
@@ -31,12 +31,22 @@ def _(v: Views):
     return S.concept_channels(v.g_nodes, S.plan_query(TASK)).filter("channel = 'concept:cold'").select("id", "rank")
 
 
-@query("sc_3_text_channel")
+TERMS = "(" + ", ".join(f"'{t}'" for t in S.plan_query(TASK).terms) + ")"
+SEARCHED = f"""w AS (SELECT id, {NAMES.format('name')} AS a, {NAMES.format('qualified_name')} AS b FROM g_nodes WHERE kind NOT IN ('file', 'module')), dl AS (SELECT id, len(a) + len(b) AS dl FROM w),
+    post AS (SELECT id, term, sum(x) AS tf FROM (SELECT id, unnest(a) AS term, 10.0::double AS x FROM w UNION ALL SELECT id, unnest(b), 4.0 FROM w) WHERE term IN {TERMS} GROUP BY ALL),
+    score AS (SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM post JOIN dl USING (id) JOIN (SELECT term, count(*) AS df FROM post GROUP BY term) USING (term), (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl) GROUP BY id)"""
+
+
+@query("sc_3_text_channel", f""", {SEARCHED} SELECT id, rank, 1.0::double AS weight FROM (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM score) WHERE rank <= 80""", ("g_nodes",))
 def _(v: Views):
     return S.text_channel(v.g_nodes, S.plan_query(TASK)).select("id", "rank", "weight")
 
 
-@query("sc_10_path_channel")
+PATH_TERMS = "[" + ", ".join(f"'{t}'" for t in S.plan_query("brand 13 nation 3").terms) + "]"
+PARTS = "list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(regexp_replace(file_path, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) >= 2))"
+
+
+@query("sc_10_path_channel", f"""SELECT id, rank, 0.4::double AS weight FROM (SELECT id, row_number() OVER (ORDER BY len(list_intersect({PARTS}, {PATH_TERMS})) DESC, file_path, id) AS rank FROM g_nodes WHERE kind NOT IN ('file', 'module') AND len(list_intersect({PARTS}, {PATH_TERMS})) > 0) WHERE rank <= 40""", ("g_nodes",))
 def _(v: Views):
     return S.path_channel(v.g_nodes, S.plan_query("brand 13 nation 3")).select("id", "rank", "weight")
 

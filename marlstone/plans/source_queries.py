@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from marlstone.functions import text as T
 from marlstone.plans.registry import query
 from marlstone.plans.views import Views
 from marlstone.sources import extract as E
@@ -58,6 +59,29 @@ def _(v: Views):
     return L.coverage(v.pages.select(F.concat(F.regexp_replace("url", "[?#].*", ""), ending).alias("path")), "path", ("py",))
 
 
+IGNORE = ["# built", "build/", "*.min.js", "/vendor", "docs/**/draft*", "!docs/keep/draft7", "src1*"]
+
+
+@query("src_1_ignore_file", r"""SELECT path, CASE WHEN path LIKE 'src1%' OR regexp_matches(path, '(^|/)src1[^/]*(/|$)') THEN true WHEN regexp_full_match(path, 'docs/keep/draft7(/.*)?') THEN false WHEN regexp_full_match(path, 'docs/(.*/)?draft[^/]*(/.*)?') THEN true WHEN regexp_full_match(path, 'vendor(/.*)?') THEN true WHEN regexp_matches(path, '(^|/)[^/]*\.min\.js(/|$)') THEN true WHEN regexp_matches(path, '(^|/)build/') THEN true ELSE false END AS ignored FROM (
+    SELECT DISTINCT CASE doc_id % 7 WHEN 0 THEN 'a/build/' || source WHEN 1 THEN 'js/x' || doc_id || '.min.js' WHEN 2 THEN 'vendor/' || source WHEN 3 THEN 'docs/' || lang || '/draft' || doc_id WHEN 4 THEN 'docs/keep/draft' || (doc_id % 9) WHEN 5 THEN source || '/main.c' ELSE 'lib/vendor/' || doc_id END AS path FROM documents)""")
+def _(v: Views):
+    i = F.col("doc_id")
+    path = (
+        F.when(i % 7 == 0, F.concat(F.lit("a/build/"), "source")).when(i % 7 == 1, F.concat(F.lit("js/x"), i, F.lit(".min.js"))).when(i % 7 == 2, F.concat(F.lit("vendor/"), "source")).when(i % 7 == 3, F.concat(F.lit("docs/"), "lang", F.lit("/draft"), i))
+        .when(i % 7 == 4, F.concat(F.lit("docs/keep/draft"), i % 9)).when(i % 7 == 5, F.concat("source", F.lit("/main.c"))).otherwise(F.concat(F.lit("lib/vendor/"), i))
+    )
+    return v.documents.select(path.alias("path")).distinct().select("path", T.ignored(F.col("path"), IGNORE).alias("ignored"))
+
+
+@query("src_14_discovery", """SELECT path, bytes FROM (SELECT path, bytes, sum(bytes) OVER (ORDER BY path ROWS UNBOUNDED PRECEDING) AS running FROM (SELECT path, bytes FROM (SELECT CASE doc_id % 6 WHEN 0 THEN '.git/' WHEN 1 THEN 'local/' WHEN 2 THEN 'skip/' ELSE 'docs/' || lang || '/' END || doc_id || CASE WHEN doc_id % 5 = 0 THEN '.txt' ELSE '.md' END AS path, n_chars AS bytes FROM documents)
+    WHERE path LIKE '%.md' AND path NOT LIKE '.git/%' AND path NOT LIKE 'local/%' AND path NOT LIKE 'skip/%' AND bytes <= 4000 ORDER BY path LIMIT 60)) WHERE running <= 60000""")
+def _(v: Views):
+    i = F.col("doc_id")
+    folder = F.when(i % 6 == 0, ".git/").when(i % 6 == 1, "local/").when(i % 6 == 2, "skip/").otherwise(F.concat(F.lit("docs/"), "lang", F.lit("/")))
+    files = v.documents.select(F.concat(folder, i.cast("string"), F.when(i % 5 == 0, ".txt").otherwise(".md")).alias("path"), F.col("n_chars").alias("bytes"))
+    return L.discover(files, ("skip/**",), 60, 64, 4000, 60_000)[0]
+
+
 @query("src_2_languages", _values("path, lang", *sorted({p: E.LANGUAGES.get(p.rsplit(".", 1)[-1]) for p in FILES}.items())))
 def _(v: Views):
     return _files(v).select("path", E.language(F.col("path")).alias("lang"))

@@ -44,6 +44,23 @@ def _(v: Views):
     return vectors.select("doc_id", F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), 4).alias("length"))
 
 
+@query("vec_5_static", """SELECT p_partkey, round(x / sqrt(sum(x * x) OVER (PARTITION BY p_partkey)), 6) AS first FROM (SELECT p_partkey, dim, sum(x) AS x FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS token FROM part) JOIN (SELECT 'w' || 0 AS none, * FROM (SELECT token, unnest(embedding)::double AS x, unnest(range(1, 65)) AS dim FROM (SELECT row_number() OVER (ORDER BY token) - 1 AS vec_id, token FROM (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS token FROM part) WHERE token <> 'widget') JOIN embeddings USING (vec_id))) USING (token) GROUP BY ALL) QUALIFY dim = 1""")
+def _(v: Views):
+    from pyspark.sql import Window as W
+
+    tokens = v.part.select(F.explode(F.split(F.lower("p_name"), " ")).alias("token")).distinct().filter("token <> 'widget'")
+    matrix = tokens.withColumn("vec_id", F.row_number().over(W.orderBy("token")) - 1).join(v.embeddings, "vec_id").select("token", F.col("embedding").alias("vector"))
+    out = E.static_embed(v.part, "p_partkey", "p_name", matrix)
+    return out.filter("vector is not null").select("p_partkey", F.round(F.col("vector")[0].cast("double"), 6).alias("first"))
+
+
+@query("vec_8_entity_sync", """SELECT id, 'put' AS action FROM entities GROUP BY id UNION ALL SELECT 'gone' || p_partkey, 'remove' FROM part WHERE p_partkey <= 5""", ("entities",))
+def _(v: Views):
+    stored = v.entities.select("id").union(v.part.filter("p_partkey <= 5").select(F.concat(F.lit("gone"), "p_partkey")))
+    put, remove = E.sync_entities(stored, v.entities, {"title": 3.0, "summary": 2.0, "body": 1.0})
+    return put.filter(F.size("vector") == E.DIM).select("id", F.lit("put").alias("action")).unionByName(remove.select("id", F.lit("remove").alias("action")))
+
+
 @query("vec_6_combined", """SELECT vec_id, round(x / sqrt(list_sum(list_transform(c, lambda y: y * y))), 6) AS first FROM (SELECT vec_id, c, c[1] AS x FROM (SELECT vec_id, [3 * a.embedding[i]::double + b.embedding[i]::double FOR i IN range(1, 65)] AS c FROM embeddings a JOIN (SELECT vec_id - 1 AS vec_id, embedding FROM embeddings) b USING (vec_id)))""")
 def _(v: Views):
     b = v.embeddings.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import glob_to_regex
+from marlstone.functions.text import glob_to_regex, ignored
 
 # Kinds of events.
 EVENT_KINDS = ("decision", "discovery", "note", "risk", "todo")
@@ -21,14 +21,20 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVENT).option("mode", "DROPMALFORMED").json(path).filter(F.col("id").isNotNull())
 
 
-def read_recent_events(spark: SparkSession, path: str, most_lines: int = 10_000) -> DataFrame:
+def read_recent_events(spark: SparkSession, path: str, most_lines: int = 10_000, most_bytes: int = 8 << 20) -> DataFrame:
     """The newest lines of a log that parse, in log order, with `source_truncated`: older lines were not looked at.
 
-    Lines are numbered by file and place; the newest ones are a top-k, not a sort of the log."""
+    Lines are numbered by file and place; the newest ones are a top-k, not a sort of the log, and of these as many as lie whole within
+    the newest most_bytes."""
+    from pyspark.sql import Window as W
+
     lines = spark.read.text(path).filter(F.trim("value") != "").select("value", F.struct(F.col("_metadata.file_modification_time").alias("file_time"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")).alias("at"))
     total = lines.agg(F.count(F.lit(1)).alias("lines"))  # one row
     newest = lines.orderBy(F.desc("at")).limit(most_lines)
-    parsed = newest.join(F.broadcast(total)).select("at", F.from_json("value", EVENT).alias("e"), (F.col("lines") > most_lines).alias("source_truncated"))
+    running = F.sum(F.octet_length("value") + 1).over(W.partitionBy(F.lit(1)).orderBy(F.desc("at")).rowsBetween(W.unboundedPreceding, 0))  # over at most most_lines rows
+    newest = newest.withColumn("running", running).filter(F.col("running") <= most_bytes)
+    held = F.count(F.lit(1)).over(W.partitionBy(F.lit(1)))
+    parsed = newest.withColumn("held", held).join(F.broadcast(total)).select("at", F.from_json("value", EVENT).alias("e"), (F.col("lines") > F.col("held")).alias("source_truncated"))
     return parsed.filter("e.id is not null").orderBy("at").select("e.*", "source_truncated")
 
 
@@ -71,14 +77,15 @@ class CorpusLimit(ValueError):
     """The corpus has more files or bytes than its policy admits."""
 
 
-def scan_corpus(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), max_files: int = 20_000, max_file_bytes: int = 2 << 20, max_total_bytes: int = 512 << 20) -> DataFrame:
-    """path, bytes, content of the text files under root: ignored globs, oversized and binary files drop out; too many files
+def scan_corpus(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), ignore_lines: tuple[str, ...] = (), max_files: int = 20_000, max_file_bytes: int = 2 << 20, max_total_bytes: int = 512 << 20) -> DataFrame:
+    """path, bytes, content of the text files under root: ignored globs, what the lines of an ignore file leave out, oversized and binary files drop out; too many files
     or bytes in all are an error.  Sizes are judged on file metadata before any content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     relative = F.regexp_replace(F.col("path"), F.concat(F.lit("^.*?"), F.lit(_quoted(root.rstrip("/").split("://")[-1].lstrip("/"))), F.lit("/")), "")
     files = files.withColumn("relative", relative)
     for glob in ignore:
         files = files.filter(~F.col("relative").rlike(glob_to_regex(glob)))
+    files = files.filter(~ignored(F.col("relative"), list(ignore_lines)))
     sized = files.filter(F.col("length") <= max_file_bytes)
     n, total = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
     if n > max_files or total > max_total_bytes:
@@ -87,6 +94,24 @@ def scan_corpus(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), ma
     return text.select(F.col("relative").alias("path"), F.col("length").alias("bytes"), F.decode("content", "UTF-8").alias("content"))
 
 
+def discover(files: DataFrame, exclude: tuple[str, ...] = (), max_files: int = 10_000, max_depth: int = 64, max_file_bytes: int = 8 << 20, max_total_bytes: int = 256 << 20) -> tuple[DataFrame, DataFrame]:
+    """(corpus, one row of limits) of files(path, bytes): Markdown below no folder that begins with a dot and not in `local`, without
+    excluded globs, not too deep and not too large; past the bounds on files and bytes in all, by path, nothing more is taken and
+    limit_exceeded says so.  Too large files are counted as skipped."""
+    from pyspark.sql import Window as W
+
+    parts = F.split("path", "/")
+    kept = files.filter(F.lower("path").rlike(r"\.mdx?$") & ~F.exists(parts, lambda p: p.startswith(".")) & (parts[0] != "local") & (F.size(parts) <= max_depth))
+    for glob in exclude:
+        kept = kept.filter(~F.col("path").rlike(glob_to_regex(glob)))
+    kept = kept.withColumn("large", F.col("bytes") > max_file_bytes)
+    top = kept.filter(~F.col("large")).orderBy("path").limit(max_files)
+    w = W.partitionBy(F.lit(1)).orderBy("path").rowsBetween(W.unboundedPreceding, 0)  # over at most max_files rows
+    corpus = top.withColumn("running", F.sum("bytes").over(w)).filter(F.col("running") <= max_total_bytes).select("path", "bytes")
+    sizes = kept.agg(F.count(F.when(~F.col("large"), 1)).alias("files"), F.coalesce(F.sum(F.when(~F.col("large"), F.col("bytes"))), F.lit(0)).alias("total"), F.count(F.when(F.col("large"), 1)).alias("skipped"))
+    return corpus, sizes.select("files", "skipped", ((F.col("files") > max_files) | (F.col("total") > max_total_bytes)).alias("limit_exceeded"))
+
+
 def _quoted(text: str) -> str:
     import re
 

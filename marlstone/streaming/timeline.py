@@ -38,6 +38,11 @@ def append_to(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def refresh(sources: DataFrame, cache_path: str, extract: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
     """Incremental refresh: each batch of sources(path, content) is extracted only where its content hash is not in the cache
     (path, hash, extracted columns) yet."""
@@ -45,12 +50,9 @@ def refresh(sources: DataFrame, cache_path: str, extract: Callable[[DataFrame],
 
     def each(batch: DataFrame, number: int) -> None:
         fresh = batch.withColumn("hash", F.sha2("content", 256))
-        try:
+        if _exists(spark, cache_path):  # not before the first batch
             known = spark.read.parquet(cache_path).select("path", "hash")
             fresh = fresh.join(known, ["path", "hash"], "left_anti")
-        except Exception as error:  # the cache is empty before the first batch
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER" not in str(error):
-                raise
         extract(fresh).write.mode("overwrite").parquet(f"{cache_path}/batch={number}")
 
     return run_to_end(sources, checkpoint, each)
