@@ -5,11 +5,12 @@ places pieces by falling length into the tightest open window.  Pieces of one le
 driver runs it on counts of lengths alone (at most WIDTH of them): a segment tree indexed by remaining capacity
 holds how many windows are open at each capacity and finds the tightest that fits, and one step places as many
 pieces as all windows of that capacity take.  The resulting plan has some steps for each length, whatever the
-number of documents; every piece finds its window from its rank among the pieces of its length.
+number of documents; every piece finds its window from its rank among the pieces of its length by doc_id, start and
+checksum, so that neither partitions nor files decide where it goes.
 
 Defined cases: null and empty texts are one piece holding the end token; a very long text is cut into full
-windows; repeated rows are packed each; ties go by partition, then by row order, of the written piece table; an
-empty table packs into nothing; extra columns are ignored.
+windows; repeated rows are packed each; pieces without doc_id come first among those of their length; an empty table
+packs into nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ WIDTH = 2048
 END_ID = 1
 #: Words whose ids a worker remembers, about 200 bytes each, and bytes of the longest of these.
 CACHE_WORDS, CACHE_BYTES = 300_000, 40
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class FitTree:
@@ -148,23 +149,20 @@ def worker_ids(tokenizer_path: str) -> WordIds:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, width: int = WIDTH) -> DataFrame:
-    """PIECES: the full windows and the rest of each document; nth counts a partition's pieces of one length."""
+    """PIECES: the full windows and the rest of each document."""
 
     def start():
-        from pyspark import TaskContext
-
-        ids, nth, part = worker_ids(tokenizer_path), [0] * (width + 1), TaskContext.get().partitionId()
+        ids = worker_ids(tokenizer_path)
         end = array("I", [END_ID]).tobytes()
 
         def each(batch):
-            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth")}
+            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
             for doc_id, packed in zip(batch.column("doc_id").to_pylist(), ids.encode(byte_texts(batch.column("text")))):
                 packed += end
                 tokens = len(packed) // 4
                 for at in range(0, tokens, width):
                     n = min(width, tokens - at)
-                    row = (doc_id, at, n, zlib.crc32(packed[4 * at : 4 * (at + n)]), tokens, part, nth[n])
-                    nth[n] += 1
+                    row = (doc_id, at, n, zlib.crc32(packed[4 * at : 4 * (at + n)]), tokens)
                     for column, x in zip(out.values(), row):
                         column.append(x)
             yield out
@@ -176,15 +174,18 @@ def pieces(docs: DataFrame, tokenizer_path: str, width: int = WIDTH) -> DataFram
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, width: int = WIDTH) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for each piece."""
-    cut = materialize(pieces(docs, tokenizer_path, width), "pieces")
-    counts = materialize(cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    order = ["length", "doc_id", "start", "ids_crc32"]
+    cut = materialize(pieces(docs, tokenizer_path, width), "pieces").repartitionByRange(*order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()  # the partition above 33 bits, the place in it below
+    cut = materialize(cut.withColumn("at", at).withColumns({"part": F.shiftright("at", 33), "nth": F.col("at").bitwiseAND((1 << 33) - 1)}).drop("at"), "sorted")
+    counts = materialize(cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"), F.min("nth").alias("first")), "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most width rows
     steps = best_fit_plan(histogram, width)
     by_length = {}
     for s in steps:
         by_length.setdefault(s[0], []).append(s[1:])
     plan = {k: np.asarray(v, np.int64).T for k, v in by_length.items()}
-    before = counts.select("length", "part", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
+    before = counts.select("length", "part", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n") - F.col("first")).alias("before"))
     ranked = cut.join(before, ["length", "part"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("nth") + F.col("before")).alias("rank"))
     shared = docs.sparkSession.sparkContext.broadcast(plan)
 

@@ -530,3 +530,11 @@ def test_packing(spark, sf_dir, width):
         assert sum(n for _, n in held) <= width
     assert sorted(width - sum(n for _, n in h) for h in sequences.values()) == best_fit([r["length"] for r in rows], width)
     assert packing.pack_documents(docs.limit(0), path).count() == 0
+
+
+def test_packing_does_not_depend_on_partitions(spark, sf_dir):
+    path = tokenizer_path("word_bpe_49k.json")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(odd_documents(spark).select("doc_id", "text"))
+    key = lambda r: str(list(r))
+    one, many = (sorted(packing.pack_documents(d, path, 256).collect(), key=key) for d in (docs.coalesce(1), docs.repartition(9, "text")))
+    assert one == many and sum(r["doc_id"] is None for r in one) == 1
