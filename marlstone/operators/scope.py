@@ -141,7 +141,7 @@ def path_channel(nodes: DataFrame, plan: Plan) -> DataFrame:
 def vector_channel(vectors: DataFrame, query: list[float], k: int = 40) -> DataFrame:
     """Nearest vectors (id, vector): half the weight of a text list, and a share of the similarity that fades with rank."""
     q = F.array(*(F.lit(float(x)) for x in query))
-    near = vectors.select("id", T.cosine(F.col("vector"), q).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    near = vectors.select("id", F.round(T.cosine(F.col("vector"), q), 9).alias("score")).orderBy(F.desc("score"), "id").limit(k)
     return _channel(near, "vector", 0.5, [F.desc("score"), "id"], "similar meaning", k)
 
 

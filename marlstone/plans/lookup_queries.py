@@ -112,6 +112,46 @@ def _(v: Views):
     return L.explained(v.g_nodes.select("id"), evidence)
 
 
+@query("x_12_whole_entities", """SELECT position, id, type, title, matched FROM (SELECT e.*, count(*) OVER (PARTITION BY e.position) AS n, matched FROM entities e JOIN (SELECT entity_id AS position, count(DISTINCT node_id) AS matched FROM groundings WHERE node_id IN ('supplier:3', 'part:39') GROUP BY 1) USING (position)) WHERE status <> 'archived'""", ("entities", "groundings"))
+def _(v: Views):
+    from marlstone.operators import structural as S
+
+    wanted = v._spark.createDataFrame([("supplier:3",), ("part:39",)], "node_id string")
+    visible = v.entities.filter("status <> 'archived'")
+    found = S.for_code(v.groundings, visible.select(F.col("position").alias("entity_id")), wanted, F.lit(0))
+    return visible.join(found, F.col("position") == F.col("entity_id")).select("position", "id", "type", "title", "matched")
+
+
+@query("x_27_relocated_refs", """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'function' WHEN p_partkey % 3 = 1 THEN 'method' ELSE 'class' END || ':brand/' || p_brand || ':' || p_name AS ref FROM part""")
+def _(v: Views):
+    from marlstone.functions import text as T
+
+    k = F.col("p_partkey")
+    old = F.when(k % 3 == 0, "function:old.rs:f").when(k % 3 == 1, "struct:old.rs:f").otherwise("deadbeef")
+    kind = F.when(k % 3 == 0, "method").when(k % 3 == 1, "method").otherwise("class")
+    return v.part.select("p_partkey", T.relocated_ref(old, kind, F.concat(F.lit("brand/"), "p_brand"), F.col("p_name")).alias("ref"))
+
+
+@query("x_28_event_arguments", r"""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'note' WHEN 1 THEN 'todo' WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE 'risk' END AS kind, CASE event_id % 4 WHEN 0 THEN 'src/a' || event_id || '.py' WHEN 1 THEN 'b.py' WHEN 2 THEN '.' ELSE '../up/' || user_id END AS file FROM events""")
+def _(v: Views):
+    from marlstone.sources import logs
+
+    i = F.col("event_id")
+    kind = F.when(i % 5 == 0, " Note ").when(i % 5 == 1, "TODO").when(i % 5 == 2, "milestone").when(i % 5 == 3, F.lit("note" + " " * 20)).otherwise("risk")
+    file = F.when(i % 4 == 0, F.concat(F.lit(".\\src\\x\\..\\a"), i, F.lit(".py"))).when(i % 4 == 1, "./a/../b.py").when(i % 4 == 2, "./").otherwise(F.concat(F.lit("a/../../up/"), "user_id"))
+    return v.events.select("event_id", logs.normal_kind(kind).alias("kind"), logs.normal_file(file).alias("file"))
+
+
+@query("src_12_json_documents", "SELECT event_id AS id, event_type AS kind, value FROM events WHERE event_id % 200 = 0 AND event_id % 600 <> 0")
+def _(v: Views):
+    from marlstone.sources import logs
+
+    path = f"{shared_dir(v._spark)}/records-{uuid.uuid4().hex}"
+    few = v.events.filter("event_id % 200 = 0").select(F.when(F.col("event_id") % 600 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), "value"))).alias("text"), F.pmod(F.xxhash64("event_id"), F.lit(1 << 40)).alias("part"))
+    few.write.partitionBy("part").text(path)  # a file a record
+    return logs.read_documents(v._spark, f"{path}/*", "id long, kind string, value double")
+
+
 REFERENCE = "SELECT doc_id AS doc, 'r' || (doc_id % 40) AS ref FROM documents"
 BASELINE = f"""base AS (SELECT DISTINCT doc, d.ref, CASE WHEN p_partkey % 3 = 0 THEN 'h' || p_partkey ELSE sha256(p_name) END AS body_hash, 'part:' || p_partkey AS fingerprint FROM ({REFERENCE}) d JOIN part ON 'r' || p_partkey = d.ref)"""
 

@@ -40,6 +40,16 @@ def _(v: Views):
     return N.resolve_calls(calls, symbols, imports).select("call_id", "state", "target", F.size("candidates").alias("n"), "kind", "confidence", "method")
 
 
+@query("res_14_checker_facts", CTE[2:].join(["WITH ", ""]) + LADDER + """, facts AS (SELECT call_id, 'checked:' || length(call_id) AS fact FROM calls WHERE length(call_id) % 3 = 0) SELECT c.call_id, CASE WHEN fact IS NOT NULL OR coalesce(len(cand), 0) = 1 THEN 'edge' WHEN len(cand) > 1 THEN 'ambiguous' ELSE 'unresolved' END AS state, CASE WHEN fact IS NOT NULL THEN fact WHEN len(cand) = 1 THEN cand[1] END AS target,
+    CASE WHEN fact IS NOT NULL THEN 'checker' WHEN len(cand) = 1 THEN method END AS method FROM calls c LEFT JOIN best b USING (call_id) LEFT JOIN facts USING (call_id)""")
+def _(v: Views):
+    calls, symbols, imports = _inputs(v)
+    decided = N.resolve_calls(calls, symbols.dropDuplicates(["id", "name", "container", "file"]), imports)
+    one = calls.filter(F.length("call_id") % 3 == 0).select("call_id", F.concat(F.lit("checked:"), F.length("call_id")).alias("target"))
+    two = calls.filter(F.length("call_id") % 3 == 1).select("call_id", F.explode(F.array(F.lit("x"), F.lit("y"))).alias("target"))
+    return N.with_facts(decided, one.unionByName(two)).select("call_id", "state", "target", "method")
+
+
 REFS = """, prop AS (SELECT c.call_id, s.id AS target, 1 AS p, 'same-file' AS method FROM calls c JOIN symbols s ON s.name = c.name AND s.file = c.file AND s.kind = 'class' WHERE c.qualifier IS NULL
     UNION ALL SELECT c.call_id, s.id, 2, 'import' FROM calls c JOIN imports i ON i.file = c.file AND i.local = c.name LEFT JOIN symbols s ON s.name = coalesce(i.symbol, i.local) AND s.file = i.target_file AND s.kind = 'class' WHERE c.qualifier IS NULL
     UNION ALL SELECT call_id, min(id), 3, 'imported-file' FROM (SELECT c.call_id, s.id FROM calls c JOIN (SELECT DISTINCT file, target_file FROM imports) i ON i.file = c.file JOIN symbols s ON s.name = c.name AND s.file = i.target_file AND s.kind = 'class' WHERE c.qualifier IS NULL) GROUP BY call_id HAVING count(DISTINCT id) = 1),

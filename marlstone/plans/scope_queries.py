@@ -51,6 +51,20 @@ def _(v: Views):
     return S.path_channel(v.g_nodes, S.plan_query("brand 13 nation 3")).select("id", "rank", "weight")
 
 
+@query("sc_2_concepts", """SELECT * FROM (VALUES ('cold', 'cold', 1.0::double), ('widget', 'widget', 1.0), ('get', 'get', 1.0), ('orders', 'orders', 1.0), ('orders', 'order', 0.55), ('small', 'small', 1.0), ('widgets', 'widgets', 1.0), ('widgets', 'widget', 1.0),
+    ('supplier#000000007', 'supplier', 1.15), ('supplier#000000007', '000000007', 1.15)) t(concept, term, weight) WHERE (SELECT count(*) FROM part) > 0""")
+def _(v: Views):
+    plan = S.plan_query(TASK)
+    return v._spark.createDataFrame([(k, t, float(plan.terms[t])) for k, ts in plan.concepts.items() for t in ts], "concept string, term string, weight double")
+
+
+@query("sc_6_vector_channel", """SELECT id, rank, 0.5::double AS weight FROM (SELECT 'v' || vec_id AS id, row_number() OVER (ORDER BY round(list_cosine_similarity(embedding::double[], (SELECT embedding FROM embeddings WHERE vec_id = 11)::double[]), 9) DESC, 'v' || vec_id) AS rank FROM embeddings) WHERE rank <= 40""")
+def _(v: Views):
+    asked = [float(x) for x in v.embeddings.filter("vec_id = 11").first()["embedding"]]
+    vectors = v.embeddings.select(F.concat(F.lit("v"), "vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return S.vector_channel(vectors, asked).select("id", "rank", "weight")
+
+
 @query("sc_13_file_scores")
 def _(v: Views):
     plan = S.plan_query(TASK)
