@@ -201,7 +201,7 @@ def gated_expansion(edges: DataFrame, seeds: DataFrame, hops: int = 2, per_node:
     return found
 
 
-def path_expansion(edges: DataFrame, seeds: DataFrame, hops: int = 3, branch: int = 8, trust: float = 0.8) -> DataFrame:
+def path_expansion(edges: DataFrame, seeds: DataFrame, hops: int = 7, branch: int = 8, trust: float = 0.8) -> DataFrame:
     """path (array), hops: simple directed paths over trusted edges from seeds(id), each node's best `branch` followers."""
     follow_up = edges.filter(F.col("confidence") >= trust).groupBy("source", "target").agg(F.max("confidence").alias("confidence"))
     now = seeds.select(F.array("id").alias("path"))
@@ -216,34 +216,6 @@ def path_expansion(edges: DataFrame, seeds: DataFrame, hops: int = 3, branch: in
     return found
 
 
-def flows(paths: DataFrame, weight_of: DataFrame, steps: int = 8) -> DataFrame:
-    """The flows to show: paths by total weight of their nodes (weight_of: id, weight), longer first, that are not part of
-    a longer path and share no step with one chosen before, as long as `steps` steps last.
-
-    Candidates are ranked and cut to a few hundred before the greedy choice."""
-    import pandas as pd
-
-    scored = paths.withColumn("key", F.array_join("path", ">")).withColumn("id", F.explode("path")).join(weight_of, "id", "left")
-    scored = scored.groupBy("key", "hops").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("weight"))
-    top = scored.orderBy(F.desc("weight"), F.desc("hops"), "key").limit(256).withColumn("all", F.lit(1))
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, used, kept = steps, set(), []
-        keys = list(pdf["key"])
-        for i, r in pdf.sort_values(["weight", "hops", "key"], ascending=[False, False, True]).iterrows():
-            if any(r["key"] != k and f">{r['key']}>" in f">{k}>" for k in keys):
-                continue
-            nodes = r["key"].split(">")
-            pairs = set(zip(nodes, nodes[1:]))
-            if r["hops"] <= left and not pairs & used:
-                left -= int(r["hops"])
-                used |= pairs
-                kept.append(i)
-        return pdf.loc[kept, ["key", "hops", "weight"]]
-
-    return top.groupBy("all").applyInPandas(choose, "key string, hops int, weight double")
-
-
 def trace_closure(relations: DataFrame, types: DataFrame, chain: list[tuple[str, str, str]]) -> DataFrame:
     """hop, source, target along a chain of typed relations [(source type, relation, target type)]; targets of one hop that
     the next hop does not start from are its gaps (target null)."""

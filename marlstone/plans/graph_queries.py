@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marlstone.operators import flows as FL
 from marlstone.operators import graph as G
 from marlstone.plans.registry import query
 from marlstone.plans.views import Views
@@ -159,7 +160,7 @@ def _(v: Views):
 
 
 @query("gr_18_paths", """, nxt AS (SELECT source, target FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY confidence DESC, target) AS nth FROM (SELECT source, target, max(confidence) AS confidence FROM g_edges WHERE confidence >= 0.8 GROUP BY ALL)) WHERE nth <= 8),
-    walk(path, hops) AS (SELECT [source, target], 1 FROM nxt WHERE source IN ('order:1', 'order:2', 'order:3') AND source <> target UNION ALL SELECT list_append(path, n.target), hops + 1 FROM walk JOIN nxt n ON n.source = path[-1] WHERE hops < 3 AND NOT list_contains(path, n.target))
+    walk(path, hops) AS (SELECT [source, target], 1 FROM nxt WHERE source IN ('order:1', 'order:2', 'order:3') AND source <> target UNION ALL SELECT list_append(path, n.target), hops + 1 FROM walk JOIN nxt n ON n.source = path[-1] WHERE hops < 7 AND NOT list_contains(path, n.target))
     SELECT array_to_string(path, '>') AS path, hops FROM walk""", ("g_edges",))
 def _(v: Views):
     return G.path_expansion(v.g_edges, _ids(v, "order:1", "order:2", "order:3")).select(F.array_join("path", ">").alias("path"), "hops")
@@ -167,9 +168,12 @@ def _(v: Views):
 
 @query("gr_18_flows")
 def _(v: Views):
-    paths = G.path_expansion(v.g_edges, _ids(v, *(f"order:{i}" for i in range(8))))
-    weights = v.g_nodes.select("id", F.when(F.col("kind") == "class", 2.0).when(F.col("kind") == "module", 0.5).otherwise(1.0).alias("weight"))
-    return G.flows(paths, weights)
+    """Flows from eight orders; lines of orders are the call sites of the query, classes its relevant declarations."""
+    kind = F.col("kind")
+    edges = v.g_edges.withColumns({"rank": F.when(kind == "calls", F.col("line")), "weight": F.when(F.col("line") <= 3, 1.0).otherwise(0.25)})
+    nodes = v.g_nodes.select("id", "file_path", "name", kind.isin("class", "module").alias("exported"), F.when(kind == "class", 1.0).when(kind == "method", 0.6).otherwise(0.1).alias("relevance"), (kind == "variable").alias("selected"), F.array("kind").alias("terms"))
+    seeds = v._spark.createDataFrame([(f"order:{i}", i) for i in range(8)], "id string, place long")
+    return FL.flows(edges, nodes, seeds, [("order:1", "part:5")], {"class": 2.0, "method": 1.0, "module": 0.5})
 
 
 @query("agg_17_components", """, e AS (SELECT source_id AS a, target_id AS b FROM relations WHERE type = 'refines' AND source_id <> target_id), sym AS (SELECT a, b FROM e UNION SELECT b, a FROM e),

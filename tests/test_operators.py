@@ -165,3 +165,35 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_flows():
+    from marlstone.operators import flows as FL
+
+    def known(edges, **more):
+        nodes = {x for e in edges for x in (e.source, e.target)}
+        out = FL.Known({n: n[0] for n in nodes}, set(), {n for n in nodes if n.startswith("_")}, set(), set(), dict.fromkeys(nodes, 0.0), {n: frozenset([n]) for n in nodes})
+        for e in edges:
+            out.out.setdefault(e.source, []).append(e)
+        for k, v in more.items():
+            setattr(out, k, v)
+        return out
+
+    call = lambda a, b, rank=None, weight=0.0, kind="calls": FL.Step(a, b, kind, 1, rank, weight)
+    chain = known([call(a, b) for a, b in zip("abcdefghi", "bcdefghij")] + [call("c", "a")])
+    found = FL.paths(chain, ["a"])
+    assert [len(p) for p in found] == [1, 2, 3, 4, 5, 6, 7] and all(p[0].source == "a" for p in found)
+    assert len(FL.paths(chain, ["a"], work=4)) == 2  # open a, take b, open b, take c
+    assert {p[0].source for p in FL.paths(known([call("a", x) for x in "bcdefgh"] + [call("z", "y")]), ["a", "z"], work=5)} == {"a"}  # a unit was kept for z, whose branch it does not pay
+    assert [len(p) for p in FL.paths(known([call("a", "_x"), call("_x", "_y"), call("_x", "b")]), ["a"])] == [1, 2]
+    best = FL.admit(chain, sorted(found, key=lambda p: FL.ranking(chain, p)), [], {}, 8)
+    assert [len(p) for p in best] == [7]  # the shorter ones lie inside
+    two = known([call("a", "b", 1, 0.5), call("a", "c", 2, 0.9), call("b", "d"), call("c", "d")], relevance={"d": 1.0})
+    ranked = sorted(FL.paths(two, ["a"]), key=lambda p: FL.ranking(two, p))
+    assert ranked[0][0].target == "c"  # the heavier call site
+    chosen = FL.admit(two, ranked, [], {}, 4)
+    assert [[s.target for s in p] for p in chosen] == [["b"], ["c"], ["c", "d"]]  # call sites first, then the best; the other no longer fits
+    handed = known([call("a", "b"), call("b", "_f", kind="contains"), call("_f", "g")])
+    assert [s.target for s in FL.completion(handed, [("a", "b")])] == ["b", "_f", "g"]
+    owned = known([call("o", "_f", kind="contains"), call("_f", "g", 3)])
+    assert [s.source for s in FL.representatives(owned, FL.paths(owned, ["_f"]), 2)[0]] == ["o", "_f"]
