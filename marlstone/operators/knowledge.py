@@ -69,7 +69,7 @@ def duplicate_ids(entities: DataFrame) -> DataFrame:
 
 def relation_issues(relations: DataFrame, entities: DataFrame, allowed: tuple[str, ...], active: tuple[str, ...] = ("active", "draft")) -> DataFrame:
     """Unknown types, relations to oneself, repeats, missing and inactive targets.  relations: source_id, target_id, type."""
-    e = entities.select(F.col("position").alias("target_id"), "status").dropDuplicates(["target_id"])
+    e = entities.groupBy(F.col("position").alias("target_id")).agg(F.min_by("status", F.struct(~F.col("status").isin(*active), "status")).alias("status"))  # an active one counts
     arrow = F.concat_ws(" ", "type", F.col("target_id").cast("string"))
     joined = relations.join(e, "target_id", "left")
     return reduce(

@@ -125,10 +125,22 @@ def for_code(groundings: DataFrame, entities: DataFrame, wanted: DataFrame, rank
     return hits.join(entities, "entity_id")
 
 
-def candidate_pairs(members: DataFrame, key: str, item: str) -> DataFrame:
-    """Unordered pairs of items that share a key, with how many keys they share (pairs a < b).  For keys of bounded size."""
-    a, b = members.select(key, F.col(item).alias("a")), members.select(key, F.col(item).alias("b"))
-    return a.join(b, key).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+def hot_members(members: DataFrame, key: str, item: str, most: int) -> DataFrame:
+    """key, item of keys with more than `most` items: what stands for the pairs of such a key, whose number would be its square."""
+    m = members.select(key, item).distinct()
+    return m.join(m.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select(key), key)
+
+
+def candidate_pairs(members: DataFrame, key: str, item: str, most: int = 64) -> DataFrame:
+    """Unordered pairs of items (a < b) that share a key of at most `most` items, with how many keys they share in all.  Keys of more
+    items count through the items' memberships; pairs that share nothing else are in hot_members, as classes."""
+    m = members.select(key, item).distinct()
+    few = m.join(m.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most).select(key), key)
+    pairs = few.select(key, F.col(item).alias("a")).join(few.select(key, F.col(item).alias("b")), key).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    hot = hot_members(members, key, item, most).groupBy(item).agg(F.collect_set(key).alias("hot"))
+    pairs = pairs.join(hot.select(F.col(item).alias("a"), F.col("hot").alias("hot_a")), "a", "left").join(hot.select(F.col(item).alias("b"), F.col("hot").alias("hot_b")), "b", "left")
+    more = F.coalesce(F.size(F.array_intersect("hot_a", "hot_b")), F.lit(0))
+    return pairs.select("a", "b", (F.col("n") + F.when(F.col("hot_a").isNotNull() & F.col("hot_b").isNotNull(), more).otherwise(0)).alias("shared"))
 
 
 def undirected(edges: DataFrame) -> DataFrame:

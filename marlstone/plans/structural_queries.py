@@ -193,9 +193,18 @@ def _(v: Views):
     return v.documents.join(v.labels, "doc_id", "left_anti").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("join_18_grounded_pairs", """SELECT a.entity_id AS a, b.entity_id AS b, count(*) AS shared FROM groundings a JOIN groundings b ON a.node_id = b.node_id AND a.entity_id < b.entity_id WHERE a.ordinal = 0 AND b.ordinal = 0 GROUP BY ALL""", ("groundings",))
+MEMBERS = ", m AS (SELECT DISTINCT node_id, entity_id FROM groundings), n AS (SELECT node_id, count(*) AS n FROM m GROUP BY node_id)"
+
+
+@query("join_18_grounded_pairs", f"""{MEMBERS}, p AS (SELECT a.entity_id AS a, b.entity_id AS b FROM m a JOIN m b ON a.node_id = b.node_id AND a.entity_id < b.entity_id JOIN n ON n.node_id = a.node_id WHERE n.n <= 33 GROUP BY ALL)
+    SELECT p.a, p.b, count(*) AS shared FROM p JOIN m x ON x.entity_id = p.a JOIN m y ON y.entity_id = p.b AND y.node_id = x.node_id GROUP BY ALL""", ("groundings",))
+def _(v: Views):
+    return S.candidate_pairs(v.groundings, "node_id", "entity_id", 33)
+
+
+@query("join_18_hot_members", f"{MEMBERS} SELECT m.node_id, m.entity_id FROM m JOIN n USING (node_id) WHERE n.n > 33", ("groundings",))
 def _(v: Views):
-    return S.candidate_pairs(v.groundings.filter("ordinal = 0"), "node_id", "entity_id")
+    return S.hot_members(v.groundings, "node_id", "entity_id", 33)
 
 
 @query("agg_1_first_call_line", f"SELECT target AS id, min(line) AS line, count(*) AS n FROM g_edges WHERE kind IN {CALLS} GROUP BY 1", ("g_edges",))

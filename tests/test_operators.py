@@ -197,3 +197,155 @@ def test_flows():
     assert [s.target for s in FL.completion(handed, [("a", "b")])] == ["b", "_f", "g"]
     owned = known([call("o", "_f", kind="contains"), call("_f", "g", 3)])
     assert [s.source for s in FL.representatives(owned, FL.paths(owned, ["_f"]), 2)[0]] == ["o", "_f"]
+
+
+def test_capped_pairs_are_the_greedy_choice(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    pairs = {(rng.randint(0, 25), rng.randint(0, 25)): rng.randint(0, 40) for _ in range(260)}
+    rows = [(g, a, b, s) for g in (1, 2) for (a, b), s in pairs.items()]
+    frame = spark.createDataFrame(rows, "grp int, a long, b long, score long")
+    for most in (30, 2000):
+        got = {tuple(r) for r in ranking.capped_pairs(frame, "score", 2, "grp", most).collect()}
+        want = set()
+        for g in (1, 2):
+            used, kept = {}, 0
+            for (a, b), s in sorted(pairs.items(), key=lambda p: (-p[1], *p[0])):
+                items = {a, b}
+                if kept < most and all(used.get(i, 0) < 2 for i in items):
+                    kept += 1
+                    want.add((g, a, b, s))
+                    for i in items:
+                        used[i] = used.get(i, 0) + (2 if a == b else 1)
+        assert got == want
+    assert ranking.capped_pairs(frame.filter(F.lit(False)), "score", 2, "grp").count() == 0
+
+
+def test_timeline_takes_what_fits(spark, sf_dir):
+    from marlstone.operators import timeline as L
+    from marlstone.plans.views import Views
+
+    rows = L.newest(L.matching(Views(spark, sf_dir).timeline, kinds=("error",)), 200).collect()
+    from pyspark.sql import functions as F
+
+    sizes = {r["event_id"]: r["n"] for r in L.newest(L.matching(Views(spark, sf_dir).timeline, kinds=("error",)), 200).select("event_id", F.octet_length(F.to_json(F.struct("*"))).alias("n")).collect()}
+    left, want = 10_000, []
+    for r in sorted(rows, key=lambda r: (r["ts"], r["event_id"]), reverse=True):
+        if sizes[r["event_id"]] <= left:
+            left -= sizes[r["event_id"]]
+            want.append(r["event_id"])
+    got = [r["event_id"] for r in registry.queries()["x_19_timeline_bytes"](spark, sf_dir).collect()]
+    assert sorted(got) == sorted(want) and len(got) < len(rows)
+
+
+def test_scope_scores_and_admission_by_hand(spark, sf_dir):
+    from marlstone.functions import text as T
+    from marlstone.operators import scope as S
+    from marlstone.plans.scope_queries import TASK
+    from marlstone.plans.views import Views
+
+    nodes = Views(spark, sf_dir).g_nodes
+    plan = S.plan_query(TASK)
+    low = {r["id"]: (r["file_path"], r["low"]) for r in nodes.select("id", "file_path", T.is_low_value_path(nodes["file_path"]).alias("low")).collect()}
+    score, exact = {}, set()
+    for r in S.evidence(nodes, plan).collect():
+        score[r["id"]] = score.get(r["id"], 0.0) + r["weight"] / (60 + r["rank"])
+        exact |= {r["id"]} if r["channel"] == "exact" else set()
+    files = {}
+    for i, s in score.items():
+        files.setdefault(low[i][0], []).append((-round(s, 12), i))
+    want = {}
+    for f, held in files.items():
+        held.sort()
+        total = sum(w * -s for w, (s, _) in zip((1.0, 0.45, 0.2), held)) * (0.55 if low[held[0][1]][1] else 1.0)
+        want[f] = (total, any(i in exact for _, i in held))
+    got = {r["file_path"]: (r["score"], r["exact"]) for r in registry.queries()["sc_13_file_scores"](spark, sf_dir).collect()}
+    assert set(got) == set(want) and all(abs(got[f][0] - want[f][0]) < 1e-5 and got[f][1] == want[f][1] for f in want)
+    admitted = registry.queries()["sc_15_admission"](spark, sf_dir).collect()
+    top = sorted(want, key=lambda f: (not want[f][1], -round(want[f][0], 9), f))[:6]
+    assert {r["file_path"] for r in admitted} <= set(top) and len(admitted) <= 24
+    assert all(sum(r["file_path"] == f for r in admitted) == min(4, len(files[f])) for f in top)
+    assert [r["place"] for r in sorted(admitted, key=lambda r: r["place"])] == list(range(1, len(admitted) + 1))
+
+
+def test_stream_lifecycles(spark, tmp_path):
+    import time
+
+    from marlstone.streaming import jobs
+
+    log = jobs.JobLog(4)
+    spark.streams.addListener(log)
+    try:
+        spark.range(5).write.parquet(f"{tmp_path}/in")
+        seen = []
+        query = spark.readStream.schema("id long").parquet(f"{tmp_path}/in").writeStream.trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").foreachBatch(lambda df, n: seen.append(df.count())).start()
+        query.awaitTermination()
+        end = time.time() + 20
+        while time.time() < end and not any(e[2] == "finished" for e in log.since(0, 1.0)[0]):
+            pass
+        events, following, missed = log.since(0)
+        assert seen == [5] and {e[2] for e in events} >= {"progress", "finished"} and following >= 3 and missed == max(0, following - 4)
+        assert sum(e[3] or 0 for e in events) == 5 and log.since(following)[0] == []
+        beats = []
+        beat = jobs.heartbeat(spark, lambda df, n: beats.append(n), 0.2)
+        end = time.time() + 20
+        while time.time() < end and len(beats) < 2:
+            time.sleep(0.1)
+        beat.stop()
+        assert len(beats) >= 2
+    finally:
+        spark.streams.removeListener(log)
+
+
+def test_cursors_and_json():
+    from marlstone.operators import lookup as L
+
+    one = L.Request("list", ("a", 1), "r1")
+    assert one.offset(None) == one.offset("") == 0 and one.offset(one.cursor(40)) == 40
+    for other in (L.Request("search", ("a", 1), "r1"), L.Request("list", ("b", 1), "r1"), L.Request("list", ("a", 1), "r2")):
+        with pytest.raises(L.BadCursor):
+            other.offset(one.cursor(40))
+    for bad in ("?", "e30", "x" * 5000, one.cursor(-1), one.cursor(10**9)):
+        with pytest.raises(L.BadCursor):
+            one.offset(bad)
+    assert L.canonical_json({"b": [1, None], "a": "é"}) == '{"a":"é","b":[1,null]}'
+    import json
+
+    assert json.loads(L.without_comments('{"a": "x // no", /* c */ "b": [1, 2,], // d\n "e": "/*,]*/",}')) == {"a": "x // no", "b": [1, 2], "e": "/*,]*/"}
+
+
+def test_relations_and_writes(spark, tmp_path):
+    from marlstone.plans import datalog
+    from marlstone.sources.relations import RelationError, Relations, upsert_stream
+
+    store = Relations(spark, f"file://{tmp_path}/rel")
+    assert store.names() == [] and store.create("pairs", "a long, b long") and not store.create("pairs", "a long, b long")
+    with pytest.raises(RelationError):
+        store.create("pairs", "a long", tolerant=False)
+    with pytest.raises(RelationError):
+        store.table("none")
+    store.put("pairs", spark.createDataFrame([(1, 1), (1, 5), (2, 2)], "a long, b long"), ["a"])
+    before = store.table("pairs")
+    with pytest.raises(datalog.DatalogError):
+        datalog.run("?(a, b) :- pairs(a, b). :put pairs a", {"pairs": before})
+    datalog.run_mutable("?(a, b) :- pairs(a: a), b = 9, a > 1. :put pairs a", store)
+    assert sorted(map(tuple, store.table("pairs").collect())) == [(1, 5), (2, 9)] and sorted(map(tuple, before.collect())) == [(1, 5), (2, 2)]
+    upsert_stream(store, "pairs", ["a"])(spark.createDataFrame([(3, 3)], "a long, b long"), 0)
+    store.remove("pairs", spark.createDataFrame([(1,)], "a long"), ["a"])
+    assert sorted(map(tuple, store.table("pairs").collect())) == [(2, 9), (3, 3)]
+    assert store.columns("pairs") == {"a": "bigint", "b": "bigint"} and store.drop("pairs") and store.names() == []
+
+
+def test_ignore_rules():
+    import re
+
+    from marlstone.functions.text import ignore_rule
+
+    match = lambda line, path: bool(re.match(ignore_rule(line)[0], path))
+    assert ignore_rule("# c") is None and ignore_rule("  ") is None and ignore_rule("!a")[1]
+    assert match("build/", "x/build/y") and not match("build/", "x/build") and match("build", "x/build") and match("build", "build/a/b")
+    assert match("/a", "a/b") and not match("/a", "x/a") and match("a/b", "a/b/c") and not match("a/b", "x/a/b")
+    assert match("*.js", "x/y.js") and not match("*.js", "x/y.jsx") and match("**/z", "p/q/z") and match("\\#a", "#a")
