@@ -25,6 +25,7 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
 
 def _load() -> None:
     from marlstone.plans import (  # noqa: F401
+        corpus_queries,
         delta_queries,
         drift_queries,
         graph_queries,
