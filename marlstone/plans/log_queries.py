@@ -88,7 +88,7 @@ def _(v: Views):
     files = v.documents.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
     extract = lambda fresh: fresh.select("path", "hash", F.length("content").alias("chars"))
     for half in (files.filter("cast(path as int) % 2 = 0"), files):
-        half.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        half.write.mode("append").parquet(f"{base}/in")
         S.refresh(S.event_stream(v._spark, f"{base}/in", "path string, content string", "parquet"), f"{base}/cache", extract, f"{base}/checkpoint")
     cached = materialize(v._spark.read.parquet(f"{base}/cache").drop("batch"), "cache")
     return cached.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("hash").alias("hashes"))
