@@ -24,7 +24,7 @@ from marlstone.work import materialize
 DIM = 128
 
 
-#: Words and pairs of words whose digests a task remembers.
+#: Words whose digests a task remembers.
 KNOWN = 200_000
 _WORD = re.compile(r"[a-z0-9à-ÿ]+")
 
@@ -35,7 +35,6 @@ class _Hasher:
 
     def __init__(self):
         self.words: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        self.pairs: dict[tuple[str, str], int] = {}
 
     @staticmethod
     def place(token: str) -> int:
@@ -53,13 +52,13 @@ class _Hasher:
                 self.words[word] = found
         return found
 
-    def pair(self, pair: tuple[str, str]) -> int:
-        found = self.pairs.get(pair)
-        if found is None:
-            found = self.place("|".join(pair))
-            if len(self.pairs) < KNOWN:
-                self.pairs[pair] = found
-        return found
+    @staticmethod
+    def pairs(words: list[str]) -> np.ndarray:
+        """The places of all pairs of neighbours; few pairs come again, so that none is remembered."""
+        digest = hashlib.sha256
+        held = b"".join([digest(p.encode()).digest()[:5] for p in map("|".join, zip(words, words[1:]))])
+        first = np.frombuffer(held, np.uint8).reshape(-1, 5).astype(np.int64)
+        return (first[:, 0] & DIM - 1) + DIM * (first[:, 4] & 1)
 
     def sums(self, fields: list[tuple[str | None, float]]) -> tuple[np.ndarray, np.ndarray]:
         """(sum of each bucket, whether a token fell into it)."""
@@ -72,7 +71,7 @@ class _Hasher:
                 places.append(at)
                 weights.append(held * (weight * n))
             if len(words) > 1:
-                places.append(np.fromiter(map(self.pair, zip(words, words[1:])), np.int64, len(words) - 1))
+                places.append(self.pairs(words))
                 weights.append(np.full(len(words) - 1, 1.2 * weight))
         if not places:
             return np.zeros(DIM), np.zeros(DIM, bool)
