@@ -157,7 +157,7 @@ def stale_content(files: DataFrame, today: Column, most_days: int = 7) -> DataFr
 def cleanup_candidates(files: DataFrame, now: Column, least_minutes: int = 60) -> DataFrame:
     """path, reason, age_minutes of temporary files and, in `local`, lock files that have lain for an hour; the stores' own are left."""
     name, first = F.regexp_extract("path", r"([^/]+)$", 1), F.split("path", "/")[0]
-    reason = F.when(first.rlike(r"^(graph|wiki|cozo)\.db"), None).when(name.rlike(r"\.te?mp$|~$"), "temporary").when((first == "local") & name.rlike(r"\.(lock|pid)$"), "lock")
+    reason = F.when(first.rlike(r"^\w+\.db"), None).when(name.rlike(r"\.te?mp$|~$"), "temporary").when((first == "local") & name.rlike(r"\.(lock|pid)$"), "lock")
     age = F.floor((F.unix_timestamp(now) - F.unix_timestamp("modified")) / 60)
     return files.select("path", reason.alias("reason"), age.cast("long").alias("age_minutes")).filter(F.col("reason").isNotNull() & (F.col("age_minutes") >= least_minutes)).orderBy("path")
 
