@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import chat_format, exact_topk, hmm_lm, html_text, near_dedup, oracles, packing, quality, secret_scan, sentencepieces, toxicity
+from marlstone.llm import alignment, chat_format, exact_topk, hmm_lm, html_text, near_dedup, oracles, packing, quality, secret_scan, sentencepieces, toxicity
 from marlstone.llm.common import table
 
 
@@ -63,8 +63,13 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return found.select("doc_id", *alignment.NUMBERS, F.when(F.col("groups").isNull(), "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_exact_topk, op4_minhash_dedup, op5_html_text, op6_chat_format, op7_hmm_lm, op8_packing, op9_toxicity, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_exact_topk, op4_minhash_dedup, op5_html_text, op6_chat_format, op7_hmm_lm, op8_packing, op9_toxicity, op10_secret_scan, op11_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
