@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import alignment, chat_format, exact_topk, hmm_lm, html_text, near_dedup, oracles, packing, quality, secret_scan, sentencepieces, toxicity, whitening
+from marlstone.llm import alignment, chat_format, exact_topk, hmm_lm, html_text, language_id, near_dedup, oracles, packing, quality, secret_scan, sentencepieces, toxicity, whitening
 from marlstone.llm.common import table
 
 
@@ -72,8 +72,12 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), most=4, scale=256)
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_exact_topk, op4_minhash_dedup, op5_html_text, op6_chat_format, op7_hmm_lm, op8_packing, op9_toxicity, op10_secret_scan, op11_token_alignment, op12_embedding_whitening)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_exact_topk, op4_minhash_dedup, op5_html_text, op6_chat_format, op7_hmm_lm, op8_packing, op9_toxicity, op10_secret_scan, op11_token_alignment, op12_embedding_whitening, op13_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
