@@ -1,10 +1,11 @@
 """Alignment of two tokenizers: which tokens of one cover the same bytes as which tokens of the other.
 
 Both tokenizers split at spaces and line breaks behind a visible character, so that the tokens of a text are those of its segments in a
-row.  The relational work is done once for each distinct segment of the corpus: tokens are exploded with their positions, a window sums
-their byte lengths (from the vocabularies) to ends, a full equi-join on segment and end lays both sides together, a running count of the
-cuts (ends of both sides) numbers the groups, and every end of either side names one link, for the byte before it lies in exactly one
-token of each side: the range join of the two sides is a running fill over the joined ends, linear in them however long a group is.
+row.  The relational work is done once for each distinct segment of the corpus: tokens of both sides are exploded with their positions,
+a window sums their byte lengths (from the vocabularies) to ends, equal ends of the two sides are joined by segment and end (as one
+grouping of both sides, which needs no second shuffle), a running count of the cuts (ends of both sides) numbers the groups, and every
+end of either side names one link, for the byte before it lies in exactly one token of each side: the range join of the two sides is a
+running fill over the joined ends, linear in them however long a group is.  All of it runs on segments dealt once into buckets.
 Links weigh as often as their segment occurs; their sums are the counts of id pairs.  Documents then take the results of their segments
 in order: those of the HEAVY most frequent segments travel to the workers (a documented bound), the others are joined to their documents.
 
@@ -18,6 +19,7 @@ gives an empty result; other columns than doc_id and text are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 from collections import Counter
@@ -25,14 +27,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import CHUNK_BYTES, bounded_batches, byte_slices, materialize, str_texts
+from marlstone.work import bucketed
 
-#: Segments whose results travel to the workers at most, and segments that a task counts before it hands them on.
-HEAVY, HELD = 300_000, 400_000
+#: Segments whose results travel to the workers at most, id pairs whose counts do, and segments that a task counts before it hands them on.
+HEAVY, HEAVY_PAIRS, HELD = 1_000_000, 200_000, 400_000
+#: Segments of a bucket.
+BUCKET_ROWS = 150_000
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 RESULT = "doc_id long, " + ", ".join(f"{c} long" for c in NUMBERS) + ", groups string"
 
@@ -148,16 +154,10 @@ def encoded(segments: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return segments.mapInArrow(run, "segment string, n long, a array<int>, b array<int>")
 
 
-def token_lengths(spark: SparkSession, a_path: str, b_path: str) -> tuple[DataFrame, DataFrame]:
-    """id, size of every token of either vocabulary; as many rows as the vocabularies have."""
+def token_sizes(spark: SparkSession, a_path: str, b_path: str) -> DataFrame:
+    """side (0 or 1), id, size in bytes of every token; as many rows as the two vocabularies have."""
     pair = tokenizer_pair(a_path, b_path)
-    return tuple(spark.createDataFrame([(i, len(b)) for i, b in enumerate(found)], "id int, size int") for found in (pair.a_bytes, pair.b_bytes))
-
-
-def ends(segments: DataFrame, ids: str, sizes: DataFrame) -> DataFrame:
-    """uid, end and the id of each token of one side; sizes has a row for each id of its vocabulary, which bounds the broadcast."""
-    tokens = segments.select("uid", F.posexplode(ids).alias("pos", "id")).join(F.broadcast(sizes), "id")
-    return tokens.select("uid", F.sum("size").over(W.partitionBy("uid").orderBy("pos")).alias("end"), F.col("id").alias(ids))
+    return spark.createDataFrame([(side, i, len(b)) for side, found in enumerate((pair.a_bytes, pair.b_bytes)) for i, b in enumerate(found)], "side int, id int, size int")
 
 
 def _joined(items: str, value: str, separator: str) -> Column:
@@ -165,15 +165,20 @@ def _joined(items: str, value: str, separator: str) -> Column:
     return F.array_join(F.transform(F.array_sort(items), lambda x: x[value].cast("string")), separator)
 
 
-def align(segments: DataFrame, a_sizes: DataFrame, b_sizes: DataFrame) -> DataFrame:
-    """For segments (uid, a, b): uid, n_a, n_b, n_groups, groups, links (structs of ids a, b)."""
-    both = ends(segments, "a", a_sizes).join(ends(segments, "b", b_sizes), ["uid", "end"], "full")
+def align(segments: DataFrame, sizes: DataFrame) -> DataFrame:
+    """For segments (uid, a, b): uid, n_a, n_b, n_groups, n_links, groups, links (structs of ids a, b).  Every step is by uid, so that
+    segments in buckets of uid are not shuffled; sizes has a row for each id of the vocabularies, which bounds its broadcast."""
+    sides = F.array(*(F.struct(F.lit(k).alias("side"), F.col(c).alias("ids")) for k, c in enumerate("ab")))
+    tokens = segments.select("uid", F.explode(sides).alias("x")).select("uid", "x.side", F.posexplode("x.ids").alias("pos", "id"))
+    tokens = tokens.join(F.broadcast(sizes), ["side", "id"]).select("uid", "side", "id", F.sum("size").over(W.partitionBy("uid", "side").orderBy("pos")).alias("end"))
+    ends = tokens.groupBy("uid", "end").agg(*(F.max(F.when(F.col("side") == k, F.col("id"))).alias(c) for k, c in enumerate("ab")))
     from_the_end = W.partitionBy("uid").orderBy(F.desc("end")).rowsBetween(W.unboundedPreceding, 0)
     cut = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
-    over = both.select("uid", "end", "a", "b", F.sum(cut).over(from_the_end).alias("later"), *(F.last(c, ignorenulls=True).over(from_the_end).alias(f"over_{c}") for c in "ab"))
-    tokens = {c: F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", c))).alias(f"{c}s") for c in "ab"}
-    groups = over.groupBy("uid", "later").agg(*tokens.values(), F.collect_list(F.struct(F.col("over_a").alias("a"), F.col("over_b").alias("b"))).alias("links"))
-    groups = groups.select("uid", F.size("as").alias("n_a"), F.size("bs").alias("n_b"), "links", F.struct((-F.col("later")).alias("at"), F.concat_ws("|", _joined("as", "a", ","), _joined("bs", "b", ",")).alias("ids")).alias("group"))
+    over = ends.select("uid", "end", "a", "b", F.sum(cut).over(from_the_end).alias("later"), *(F.last(c, ignorenulls=True).over(from_the_end).alias(f"over_{c}") for c in "ab"))
+    own = [F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", c))).alias(f"{c}s") for c in "ab"]
+    groups = over.groupBy("uid", "later").agg(*own, F.collect_list(F.struct(F.col("over_a").alias("a"), F.col("over_b").alias("b"))).alias("links"))
+    text = F.concat_ws("|", _joined("as", "a", ","), _joined("bs", "b", ","))
+    groups = groups.select("uid", F.size("as").alias("n_a"), F.size("bs").alias("n_b"), "links", F.struct((-F.col("later")).alias("at"), text.alias("ids")).alias("group"))
     whole = groups.groupBy("uid").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.collect_list("group").alias("groups"), F.flatten(F.collect_list("links")).alias("links"))
     return whole.select("uid", "n_a", "n_b", F.size("groups").cast("long").alias("n_groups"), F.size("links").cast("long").alias("n_links"), _joined("groups", "ids", ";").alias("groups"), "links")
 
@@ -185,29 +190,58 @@ def pair_counts(links: DataFrame) -> DataFrame:
     return materialize(counts.join(highest, "b").select("a", "b", "count", (F.col("count") == F.col("highest")).cast("long").alias("best")), "pairs")
 
 
-def aligned_segments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """segment, n, NUMBERS and groups of every segment with tokens."""
-    counted = encoded(segment_counts(docs, a_path, b_path), a_path, b_path).filter(F.size("a") > 0)
-    segments = materialize(counted.withColumn("uid", F.monotonically_increasing_id()), "segments")
-    found = align(segments.select("uid", "a", "b").repartition("uid"), *token_lengths(docs.sparkSession, a_path, b_path))
-    found = materialize(segments.select("uid", "segment", "n").join(found, "uid"), "aligned")
-    links = found.select("uid", "n", F.explode("links").alias("link")).select("uid", "n", "link.*")
-    held = links.groupBy("uid", "n", "a", "b").agg(F.count(F.lit(1)).alias("times"))
-    pairs = pair_counts(held.select("a", "b", (F.col("n") * F.col("times")).alias("n")))
-    sums = held.join(pairs, ["a", "b"]).groupBy("uid").agg(F.sum(F.col("best") * F.col("times")).alias("n_best"), F.sum(F.col("count") * F.col("times")).alias("count_sum"))
-    return materialize(found.drop("links").join(sums, "uid").select("segment", "n", *NUMBERS, "groups"), "results")
-
-
-def heavy_segments(results: DataFrame, most: int) -> DataFrame:
-    """The rows of the most frequent segments, at most `most`: whole classes of counts, a quarter of a power of two wide."""
-    size_class = F.floor(4 * F.log2("n"))
-    sizes = sorted(((r["c"], r["k"]) for r in results.groupBy(size_class.alias("c")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)  # some 250 at most
+def heaviest(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """The rows with the highest values of by, at most `most`: whole classes of values, a quarter of a power of two wide."""
+    size_class = F.floor(4 * F.log2(by))
+    sizes = sorted(((r["c"], r["k"]) for r in rows.groupBy(size_class.alias("c")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)  # some 250 at most
     least, room = None, most
     for c, k in sizes:
         if k > room:
             break
         least, room = c, room - k
-    return results.filter(size_class >= least) if least is not None else results.limit(0)
+    return rows.filter(size_class >= least) if least is not None else rows.limit(0)
+
+
+def aligned_segments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """segment, n, NUMBERS and groups of every segment with tokens."""
+    spark = docs.sparkSession
+    counted = materialize(segment_counts(docs, a_path, b_path), "counted")
+    with bucketed(spark, max(4, -(-counted.count() // BUCKET_ROWS))) as keep:
+        segments = keep(encoded(counted, a_path, b_path).filter(F.size("a") > 0).withColumn("uid", F.monotonically_increasing_id()), "uid")
+        found = materialize(align(segments, token_sizes(spark, a_path, b_path)).join(segments.select("uid", "segment", "n"), "uid"), "aligned")
+        links = found.select("uid", "n", F.explode("links").alias("link")).select("uid", "n", "link.*")
+        pairs = pair_counts(links)
+        frequent = F.broadcast(heaviest(pairs, "count", HEAVY_PAIRS))
+        counted_links = links.join(frequent, ["a", "b"]).unionByName(links.join(frequent, ["a", "b"], "left_anti").join(pairs, ["a", "b"]))
+        sums = counted_links.groupBy("uid").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+        return materialize(found.drop("links").join(sums, "uid").select("segment", "n", *NUMBERS, "groups"), "results")
+
+
+class Laid:
+    """Results of segments as Arrow columns, found for many segments at once."""
+
+    def __init__(self, rows: pa.Table):
+        self.rows = rows.combine_chunks()
+
+    def places(self, segments: pa.Array) -> pa.Array:
+        """The row of each segment, or null."""
+        return pc.index_in(segments, value_set=self.rows.column("segment"))
+
+    def with_rows(self, more: pa.Table) -> Laid:
+        return Laid(pa.concat_tables([self.rows, more])) if more.num_rows else self
+
+    def sums_and_groups(self, found: list[list[str]]) -> tuple[np.ndarray, pa.Array]:
+        """NUMBERS summed over the segments of each text, and their groups joined."""
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        at = self.places(pa.array(itertools.chain.from_iterable(found), pa.string()))
+        some = np.flatnonzero(sizes)
+        sums = np.zeros((len(found), len(NUMBERS)), np.int64)
+        if len(some):
+            for k, c in enumerate(NUMBERS):
+                sums[some, k] = np.add.reduceat(pc.take(self.rows.column(c), at).to_numpy(), offsets[some])
+        texts = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pc.take(self.rows.column("groups"), at).combine_chunks())
+        return sums, pc.if_else(pa.array(sizes > 0), pc.binary_join(texts, ";"), pa.scalar(None, pa.string()))
 
 
 def align_documents(docs: DataFrame, a_path: str, b_path: str, heavy: int = HEAVY) -> DataFrame:
@@ -216,49 +250,34 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, heavy: int = HEAV
     bounded_batches(spark)
     docs = docs.select("doc_id", "text")
     results = aligned_segments(docs, a_path, b_path)
-    rows = heavy_segments(results, heavy).select("segment", *NUMBERS, "groups").toArrow()
-    shared = spark.sparkContext.broadcast((rows.column("segment").to_pylist(), np.stack([rows.column(c).to_numpy() for c in NUMBERS], 1), rows.column("groups").to_pylist()))
-    key = {"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", "doc_id", F.lit("second"))}
+    columns = ["segment", *NUMBERS, "groups"]
+    shared = spark.sparkContext.broadcast(Laid(heaviest(results, "n", heavy).select(columns).toArrow()))
+    row_type = pa.struct([("segment", pa.string()), *((c, pa.int64()) for c in NUMBERS), ("groups", pa.string())])
+    key = [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", "doc_id", F.lit("second")).alias("k2")]
     rare_schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("segment", pa.string())])
 
     def rare_of(batches):
-        pair, frequent = tokenizer_pair(a_path, b_path), set(shared.value[0])
+        pair = tokenizer_pair(a_path, b_path)
         for batch in _text_slices(batches):
-            k1, k2, out = [], [], []
-            for x, y, text in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), str_texts(batch.column("text"))):
-                missing = set(pair.segments(text)) - frequent
-                k1.extend([x] * len(missing))
-                k2.extend([y] * len(missing))
-                out.extend(missing)
-            yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(out, pa.string())], schema=rare_schema)
-
-    rare = docs.select("text", *(c.alias(k) for k, c in key.items())).mapInArrow(rare_of, "k1 long, k2 long, segment string")
-    rare = rare.join(results.select("segment", F.struct("segment", *NUMBERS, "groups").alias("found")), "segment")
-    rare = materialize(rare.groupBy("k1", "k2").agg(F.collect_set("found").alias("rare")), "rare")
+            found = [pair.segments(text) for text in str_texts(batch.column("text"))]
+            segments = pa.array(itertools.chain.from_iterable(found), pa.string())
+            row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            missing = pc.is_null(shared.value.places(segments)).to_numpy(zero_copy_only=False)
+            own = sorted(set(zip(row[missing].tolist(), segments.filter(pa.array(missing)).to_pylist())))
+            at = pa.array([r for r, _ in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("k1").take(at), batch.column("k2").take(at), pa.array([s for _, s in own], pa.string())], schema=rare_schema)
+
+    rare = docs.select("text", *key).mapInArrow(rare_of, "k1 long, k2 long, segment string")
+    rare = rare.join(results.select("segment", F.struct(*columns).alias("found")), "segment")
+    rare = rare.groupBy("k1", "k2").agg(F.collect_set("found").alias("rare"))
     out_schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in NUMBERS), ("groups", pa.string())])
 
     def laid_out(batches):
         pair = tokenizer_pair(a_path, b_path)
-        names, numbers, groups = shared.value
-        place = {s: i for i, s in enumerate(names)}
         for batch in _text_slices(batches):
-            sums, texts = np.zeros((batch.num_rows, len(NUMBERS)), np.int64), []
-            for row, (text, own) in enumerate(zip(str_texts(batch.column("text")), batch.column("rare").to_pylist())):
-                found = pair.segments(text)
-                own = {r["segment"]: r for r in own or ()}
-                if own:
-                    at = [place.get(s, -1) for s in found]
-                    parts = [groups[i] if i >= 0 else own[s]["groups"] for i, s in zip(at, found)]
-                    for i, s in zip(at, found):
-                        if i < 0:
-                            sums[row] += [own[s][c] for c in NUMBERS]
-                    at = [i for i in at if i >= 0]
-                else:
-                    at = [place[s] for s in found]
-                    parts = [groups[i] for i in at]
-                sums[row] += numbers[at].sum(0)
-                texts.append(";".join(parts) if parts else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(sums[:, i]) for i in range(len(NUMBERS))), pa.array(texts, pa.string())], schema=out_schema)
-
-    laid = docs.select("doc_id", "text", *(c.alias(k) for k, c in key.items())).join(rare, ["k1", "k2"], "left").select("doc_id", "text", "rare")
-    return laid.mapInArrow(laid_out, RESULT)
+            own = {r["segment"]: r for r in batch.column("rare").flatten().to_pylist()}
+            laid = shared.value.with_rows(pa.Table.from_struct_array(pa.array(own.values(), row_type)))
+            sums, groups = laid.sums_and_groups([pair.segments(text) for text in str_texts(batch.column("text"))])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(sums[:, i]) for i in range(len(NUMBERS))), groups], schema=out_schema)
+
+    return docs.select("doc_id", "text", *key).join(rare, ["k1", "k2"], "left").select("doc_id", "text", "rare").mapInArrow(laid_out, RESULT)
