@@ -87,5 +87,5 @@ def test_no_rows_and_heavy_bound(spark):
     assert alignment.align_documents(empty, A, B).collect() == []
     results = spark.createDataFrame([(str(i), 1 << (i % 5)) for i in range(50)], "segment string, n long")
     for most in (0, 9, 10, 35, 50):
-        kept = alignment.heavy_segments(results, most).collect()
+        kept = alignment.heaviest(results, "n", most).collect()
         assert len(kept) <= most and len(kept) > most - 10
