@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import CHUNK_BYTES, bounded_batches, byte_slices, crc32_of_id, map_batches, materialize
+from marlstone.llm.common import CHUNK_BYTES, bounded_batches, byte_slices, crc32_of_id, map_batches
+from marlstone.work import bucketed
 
 #: Characters of an n-gram, hashed columns (a power of two), and the factor that brings shares of n-grams near one.
 ORDERS, FEATURES, SHARE = (1, 2, 3), 1 << 16, 30.0
@@ -144,23 +145,27 @@ def balanced_sample(training: DataFrame, counts: dict[str, int], size: int) -> D
     return ranked.filter(F.col("nth") <= quota).select("label", "text", "h")
 
 
-def feature_rows(sample: DataFrame, idf: np.ndarray) -> DataFrame:
-    """label, h, columns, shares: the features of each sampled text that holds a letter."""
-    shared = sample.sparkSession.sparkContext.broadcast(idf)
+def feature_rows(sample: DataFrame) -> DataFrame:
+    """label, h, columns, counts: the n-grams of each sampled text that holds a letter."""
 
     def start():
         def each(batch):
-            out = {"label": [], "h": [], "columns": [], "shares": []}
+            out = {"label": [], "h": [], "columns": [], "counts": []}
             for label, h, (columns, has) in zip(batch.column("label").to_pylist(), batch.column("h").to_pylist(), text_features(batch.column("text").to_pylist())):
                 if has:
-                    at, n = np.unique(columns, return_counts=True)
-                    for k, x in zip(out, (label, h, at, SHARE * n / len(columns) * shared.value[at])):
+                    for k, x in zip(out, (label, h, *np.unique(columns, return_counts=True))):
                         out[k].append(x)
             yield out
 
         return each
 
-    return map_batches(sample, "label int, h long, columns array<int>, shares array<double>", start)
+    return map_batches(sample, "label int, h long, columns array<int>, counts array<int>", start)
+
+
+def values_of(columns: pa.Scalar, counts: pa.Scalar, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of a text and their TF-IDF values."""
+    at, n = np.asarray(columns.values), np.asarray(counts.values)
+    return at, SHARE * n / n.sum() * idf[at]
 
 
 class Leader:
@@ -198,19 +203,19 @@ def softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(rows: DataFrame, languages: int) -> Leader:
-    """ROUNDS of online updates in shards, their changes averaged; rows: label, h, shard, columns, shares."""
+def train(rows: DataFrame, idf: np.ndarray, languages: int) -> Leader:
+    """ROUNDS of online updates in shards, their changes averaged; rows: label, h, shard, columns, counts."""
     spark, state = rows.sparkSession, Leader.empty(languages)
     schema = pa.schema([("shard", pa.int32()), ("cell", pa.int64()), ("z", pa.float64()), ("n", pa.float64())])
     for _ in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((state.z, state.n))
+        shared = spark.sparkContext.broadcast((state.z, state.n, idf))
 
         def learned(group: pa.Table) -> pa.Table:
-            z, n = shared.value
+            z, n, idf = shared.value
             own = Leader(z.copy(), n.copy())
             group = group.sort_by([("h", "ascending"), ("label", "ascending")])  # at most SAMPLE rows in all shards
-            for label, columns, shares in zip(group.column("label").to_pylist(), group.column("columns"), group.column("shares")):
-                own.learn(np.asarray(columns.values), np.asarray(shares.values), label)
+            for label, columns, counts in zip(group.column("label").to_pylist(), group.column("columns"), group.column("counts")):
+                own.learn(*values_of(columns, counts, idf), label)
             dz, dn = (own.z - z).ravel(), (own.n - n).ravel()
             at = np.flatnonzero((dz != 0) | (dn != 0))
             shard = np.full(len(at), group.column("shard")[0].as_py(), np.int32)
@@ -229,23 +234,24 @@ def train(rows: DataFrame, languages: int) -> Leader:
     return state
 
 
-def temperature(rows: DataFrame, weights: np.ndarray) -> float:
-    """The temperature with the least log loss over rows (label, columns, shares); 1 without rows."""
-    shared = rows.sparkSession.sparkContext.broadcast(weights)
+def temperature(rows: DataFrame, idf: np.ndarray, weights: np.ndarray) -> float:
+    """The temperature with the least log loss over rows (label, columns, counts); 1 without rows."""
+    shared = rows.sparkSession.sparkContext.broadcast((weights, idf))
     schema = pa.schema([("at", pa.int32()), ("loss", pa.float64())])
 
     def run(batches):
         losses = np.zeros(len(TEMPERATURES))
-        w = shared.value
+        w, idf = shared.value
         for batch in batches:
-            for label, columns, shares in zip(batch.column("label").to_pylist(), batch.column("columns"), batch.column("shares")):
-                logits = np.asarray(shares.values) @ w[np.asarray(columns.values)] + w[-1]
+            for label, columns, counts in zip(batch.column("label").to_pylist(), batch.column("columns"), batch.column("counts")):
+                at, values = values_of(columns, counts, idf)
+                logits = values @ w[at] + w[-1]
                 scaled = logits[None] / TEMPERATURES[:, None]
                 top = scaled.max(1)
                 losses += top + np.log(np.exp(scaled - top[:, None]).sum(1)) - scaled[:, label]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(TEMPERATURES)), pa.int32()), pa.array(losses)], schema=schema)
 
-    found = rows.select("label", "columns", "shares").mapInArrow(run, "at int, loss double").groupBy("at").agg(F.round(F.sum("loss"), 6).alias("loss")).collect()
+    found = rows.select("label", "columns", "counts").mapInArrow(run, "at int, loss double").groupBy("at").agg(F.round(F.sum("loss"), 6).alias("loss")).collect()
     if not any(r["loss"] for r in found):
         return 1.0
     return float(TEMPERATURES[min(found, key=lambda r: (r["loss"], abs(np.log(TEMPERATURES[r["at"]]))))["at"]])
@@ -272,11 +278,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
         return None
     texts, held = document_frequencies(training)
     idf = np.log((1 + texts) / (1 + held)) + 1
-    rows = feature_rows(balanced_sample(training, counts, sample), idf)
-    rows = materialize(rows.withColumn("shard", F.pmod(F.shiftright("h", 8), F.lit(SHARDS)).cast("int")).withColumn("set", F.pmod(F.shiftright("h", 24), F.lit(HELD_FOR_TEMPERATURE))), "sample")
-    state = train(rows.filter("set > 0").drop("set"), len(counts))
-    weights = state.weights()
-    return Model(sorted(counts), weights[:-1] * idf[:, None], weights[-1], temperature(rows.filter("set = 0"), weights))
+    shard, part = F.pmod(F.shiftright("h", 8), F.lit(SHARDS)).cast("int"), F.pmod(F.shiftright("h", 24), F.lit(HELD_FOR_TEMPERATURE))
+    with bucketed(docs.sparkSession, SHARDS) as keep:
+        rows = keep(feature_rows(balanced_sample(training, counts, sample)).withColumns({"shard": shard, "set": part}), "shard")
+        weights = train(rows.filter("set > 0").drop("set"), idf, len(counts)).weights()
+        heat = temperature(rows.filter("set = 0"), idf, weights)
+    return Model(sorted(counts), weights[:-1] * idf[:, None], weights[-1], heat)
 
 
 def held_out():
