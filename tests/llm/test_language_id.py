@@ -68,6 +68,7 @@ def test_temperature_finds_the_scale(spark):
     weights = np.zeros((language_id.FEATURES + 1, 2))
     weights[0] = 8, -8
     p = 1 / (1 + np.exp(-2 * 1.0))  # logits of +-8 that should be +-1
-    rows = [(int(rng.random() >= p), [0], [1.0]) for _ in range(4000)]
-    heat = language_id.temperature(spark.createDataFrame(rows, "label int, columns array<int>, shares array<double>"), weights)
+    rows = [(int(rng.random() >= p), [0], [1]) for _ in range(4000)]
+    idf = np.full(language_id.FEATURES, 1 / language_id.SHARE)
+    heat = language_id.temperature(spark.createDataFrame(rows, "label int, columns array<int>, counts array<int>"), idf, weights)
     assert 6 < heat < 10.5
