@@ -28,15 +28,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import CHUNK_BYTES, bounded_batches, byte_slices, materialize, str_texts
+from marlstone.llm.common import CHUNK_BYTES, bounded_batches, byte_slices, byte_texts, materialize, str_texts
 from marlstone.work import bucketed
 
 #: Segments whose results travel to the workers at most, id pairs whose counts do, and segments that a task counts before it hands them on.
-HEAVY, HEAVY_PAIRS, HELD = 1_000_000, 200_000, 400_000
+HEAVY, HEAVY_PAIRS, HELD = 500_000, 200_000, 400_000
 #: Segments of a bucket.
 BUCKET_ROWS = 150_000
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -140,18 +141,19 @@ def segment_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
 
 def encoded(segments: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """segment, n, a, b: the ids of both sides."""
-    schema = pa.schema([("segment", pa.string()), ("n", pa.int64()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
+    """uid, segment, n, a, b of segments (uid, segment, n): the ids of both sides."""
+    held = [("uid", pa.int64()), ("segment", pa.string()), ("n", pa.int64())]
+    schema = pa.schema([*held, ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
 
     def run(batches):
         pair = tokenizer_pair(a_path, b_path)
         for batch in batches:
             for part in byte_slices(batch, "segment", CHUNK_BYTES):
                 if part.num_rows:
-                    a, b = zip(*pair.encode(part.column("segment").to_pylist()))
-                    yield pa.RecordBatch.from_arrays([part.column("segment"), part.column("n"), pa.array(a, schema[2].type), pa.array(b, schema[3].type)], schema=schema)
+                    ids = zip(*pair.encode(part.column("segment").to_pylist()))
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c, _ in held), *(pa.array(x, pa.list_(pa.int32())) for x in ids)], schema=schema)
 
-    return segments.mapInArrow(run, "segment string, n long, a array<int>, b array<int>")
+    return segments.select("uid", "segment", "n").mapInArrow(run, "uid long, segment string, n long, a array<int>, b array<int>")
 
 
 def token_sizes(spark: SparkSession, a_path: str, b_path: str) -> DataFrame:
@@ -203,18 +205,26 @@ def heaviest(rows: DataFrame, by: str, most: int) -> DataFrame:
 
 
 def aligned_segments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """segment, n, NUMBERS and groups of every segment with tokens."""
+    """segment, n, NUMBERS and groups of every segment with tokens.  Segments are dealt into buckets once, as strings; all that is worked
+    out of them is written where it lies, so that the last join needs no shuffle either."""
     spark = docs.sparkSession
     counted = materialize(segment_counts(docs, a_path, b_path), "counted")
-    with bucketed(spark, max(4, -(-counted.count() // BUCKET_ROWS))) as keep:
-        segments = keep(encoded(counted, a_path, b_path).filter(F.size("a") > 0).withColumn("uid", F.monotonically_increasing_id()), "uid")
-        found = materialize(align(segments, token_sizes(spark, a_path, b_path)).join(segments.select("uid", "segment", "n"), "uid"), "aligned")
-        links = found.select("uid", "n", F.explode("links").alias("link")).select("uid", "n", "link.*")
+    parts = max(4, -(-counted.count() // BUCKET_ROWS))
+    with bucketed(spark, parts) as keep:
+        dealt = counted.withColumn("uid", F.monotonically_increasing_id()).repartition(parts, "uid")
+        segments = keep(encoded(dealt, a_path, b_path).filter(F.size("a") > 0), "uid", dealt=True)
+        found = keep(align(segments, token_sizes(spark, a_path, b_path)), "uid", dealt=True)
+        links = found.select("uid", F.explode("links").alias("link")).join(segments.select("uid", "n"), "uid").select("uid", "n", "link.a", "link.b")
         pairs = pair_counts(links)
         frequent = F.broadcast(heaviest(pairs, "count", HEAVY_PAIRS))
-        counted_links = links.join(frequent, ["a", "b"]).unionByName(links.join(frequent, ["a", "b"], "left_anti").join(pairs, ["a", "b"]))
-        sums = counted_links.groupBy("uid").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-        return materialize(found.drop("links").join(sums, "uid").select("segment", "n", *NUMBERS, "groups"), "results")
+        links = links.drop("n")
+        sums = [F.sum("best").alias("n_best"), F.sum("count").alias("count_sum")]
+        near = links.join(frequent, ["a", "b"]).groupBy("uid").agg(*sums)
+        far = materialize(links.join(frequent, ["a", "b"], "left_anti").join(pairs, ["a", "b"]).groupBy("uid").agg(*sums), "sums")
+        both = near.join(far.select("uid", *(F.col(c).alias(f"far_{c}") for c in ("n_best", "count_sum"))), "uid", "full")
+        total = [(F.coalesce(c, F.lit(0)) + F.coalesce(f"far_{c}", F.lit(0))).alias(c) for c in ("n_best", "count_sum")]
+        sums = keep(both.select("uid", *total), "uid")
+        return segments.select("uid", "segment", "n").join(found.drop("links"), "uid").join(sums, "uid").select("segment", "n", *NUMBERS, "groups")
 
 
 class Laid:
@@ -271,13 +281,25 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, heavy: int = HEAV
     rare = rare.join(results.select("segment", F.struct(*columns).alias("found")), "segment")
     rare = rare.groupBy("k1", "k2").agg(F.collect_set("found").alias("rare"))
     out_schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in NUMBERS), ("groups", pa.string())])
+    packed_schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("size", pa.int64()), ("packed", pa.binary())])
 
-    def laid_out(batches):
-        pair = tokenizer_pair(a_path, b_path)
+    def packed(batches):  # texts are shuffled once, at about half of what the shuffle's own compression leaves
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in _text_slices(batches):
-            own = {r["segment"]: r for r in batch.column("rare").flatten().to_pylist()}
-            laid = shared.value.with_rows(pa.Table.from_struct_array(pa.array(own.values(), row_type)))
-            sums, groups = laid.sums_and_groups([pair.segments(text) for text in str_texts(batch.column("text"))])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(sums[:, i]) for i in range(len(NUMBERS))), groups], schema=out_schema)
+            texts = byte_texts(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "k1", "k2")), pa.array(map(len, texts), pa.int64()), pa.array(map(squeeze, texts), pa.binary())], schema=packed_schema)
 
-    return docs.select("doc_id", "text", *key).join(rare, ["k1", "k2"], "left").select("doc_id", "text", "rare").mapInArrow(laid_out, RESULT)
+    def laid_out(batches):
+        pair, unsqueeze = tokenizer_pair(a_path, b_path), zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            sizes = batch.column("size").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // CHUNK_BYTES)) + 1).tolist(), batch.num_rows]
+            for first, last in itertools.pairwise(cuts):
+                part = batch.slice(first, last - first)
+                own = {r["segment"]: r for r in part.column("rare").flatten().to_pylist()}
+                laid = shared.value.with_rows(pa.Table.from_struct_array(pa.array(own.values(), row_type)))
+                sums, groups = laid.sums_and_groups([pair.segments(unsqueeze(p).decode()) for p in part.column("packed").to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(sums[:, i]) for i in range(len(NUMBERS))), groups], schema=out_schema)
+
+    texts = docs.select("doc_id", "text", *key).mapInArrow(packed, "doc_id long, k1 long, k2 long, size long, packed binary")
+    return texts.join(rare, ["k1", "k2"], "left").select("doc_id", "size", "packed", "rare").mapInArrow(laid_out, RESULT)
