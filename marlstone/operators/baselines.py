@@ -11,15 +11,21 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as T
 
 
-def capture(references: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
+#: Kinds of edges whose ends are a declaration's callers and callees.
+CALLS = ("calls", "instantiates")
+
+
+def capture(references: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The present state of each reference that names one node (nodes: id, ref, body, body_hash): the recorded body hash, or else that of
-    the body, the node's id as fingerprint, and its neighbours, the first `most` by id."""
+    the body, the node's id as fingerprint, and all its callers and callees by edges(source, target, kind), in order."""
     single = nodes.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("ref"))).filter("n = 1")
-    hit = references.join(single.select("ref", "id", F.coalesce(F.when(F.col("body_hash") != "", F.col("body_hash")), T.body_hash(F.col("body"))).alias("body_hash")), "ref")
-    both = edges.select(F.col("source").alias("id"), F.col("target").alias("near")).union(edges.select("target", "source")).filter("id <> near").distinct()
-    near = both.join(hit.select("id").distinct(), "id", "left_semi").withColumn("nth", F.row_number().over(W.partitionBy("id").orderBy("near"))).filter(F.col("nth") <= most)
-    near = near.groupBy("id").agg(F.array_sort(F.collect_list("near")).alias("neighbours"))
-    return hit.join(near, "id", "left").select("doc", "ref", "body_hash", F.col("id").alias("fingerprint"), F.coalesce("neighbours", F.array().cast("array<string>")).alias("neighbours"))
+    body_hash = F.coalesce(F.when(F.col("body_hash") != "", F.col("body_hash")), T.body_hash(F.col("body")))
+    hit = references.join(single.select("ref", "id", body_hash.alias("body_hash")), "ref")
+    calls = edges.filter(F.col("kind").isin(*CALLS))
+    both = calls.select(F.col("source").alias("id"), F.col("target").alias("near")).union(calls.select("target", "source")).filter("id <> near")
+    near = both.join(hit.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("near")).alias("neighbours"))
+    neighbours = F.coalesce("neighbours", F.array().cast("array<string>")).alias("neighbours")
+    return hit.join(near, "id", "left").select("doc", "ref", "body_hash", F.col("id").alias("fingerprint"), neighbours)
 
 
 def move(baselines: DataFrame, moves: DataFrame) -> DataFrame:

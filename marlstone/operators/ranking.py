@@ -115,14 +115,31 @@ def page(rows: DataFrame, order: list, offset: int, size: int) -> DataFrame:
     return part.withColumn("truncated", more).withColumn("next_offset", F.when(more, F.lit(offset + size).cast("long")))
 
 
-def list_digest(rows: DataFrame, order: list[str], keys: list[str]) -> DataFrame:
-    """One row with a digest of the ordered keys: SHA-256 over the hashes of buckets of them, so that no task holds all.
-
-    Buckets are ranges of the first key's hash and so do not depend on partitions."""
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """rows with their place in the order (from 0, long) as `name`: dealt by ranges of the order and numbered within each, so that no
+    task holds all; the order must be total."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    held = materialize(dealt.withColumns({"_part": F.shiftright("_at", 33), "_nth": F.col("_at").bitwiseAND((1 << 33) - 1)}).drop("_at"), "numbered")
+    counts = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row a partition
+    before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return held.join(F.broadcast(before), "_part").withColumn(name, F.col("_nth") + F.col("_before")).drop("_part", "_nth", "_before")
+
+
+def list_digest(rows: DataFrame, order: list, keys: list[str], filter_key: str = "", run: int = 4096) -> DataFrame:
+    """One row with a digest of the filter and of the keys in their order: SHA-256 over runs of `run` places, then over runs of those
+    digests until one is left, so that no task holds more than a run.  It does not depend on partitions; ties of the order are broken by
+    the keys."""
     line = F.concat_ws("\x1f", *(F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys))
-    hashed = rows.select(F.sha2(line, 256).alias("h"))
-    buckets = hashed.groupBy(F.substring("h", 1, 3).alias("bucket")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("d"))
-    return buckets.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "d"))), lambda s: F.concat(s["bucket"], s["d"])), ""), 256).alias("digest"))
+    held = numbered(rows.select("*", line.alias("_line")), [*order, *keys], "_place").select(F.col("_place").alias("place"), F.sha2("_line", 256).alias("d"))
+    count = held.count()
+    while True:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "d"))), lambda s: s["d"]), "")
+        held = held.groupBy(F.floor(F.col("place") / run).alias("place")).agg(F.sha2(joined, 256).alias("d"))
+        count = -(-count // run)
+        if count <= 1:
+            break
+        held = materialize(held, "digests")
+    return held.agg(F.sha2(F.concat_ws("\n", F.lit(filter_key), F.max("d")), 256).alias("digest"))
 
 
 class StaleCursor(ValueError):
@@ -141,10 +158,14 @@ def read_cursor(cursor: str | None, revision: str) -> int:
     return int(offset)
 
 
-def cursor_page(rows: DataFrame, order: list, keys: list[str], size: int, cursor: str | None = None) -> tuple[DataFrame, str | None]:
-    """(page, next cursor): the page is bound to the list's digest."""
-    revision = list_digest(rows, order, keys).first()["digest"][:16]
+def cursor_page(rows: DataFrame, order: list, keys: list[str], size: int, cursor: str | None = None, filter_key: str = "") -> tuple[DataFrame, str | None]:
+    """(page, next cursor): the page is bound to the list's keys in their order and to the filter that made it (in words of the caller):
+    a cursor of a re-sorted, re-filtered or changed list is refused, and so is one past its end."""
+    order = [*order, *keys]
+    revision = list_digest(rows, order, keys, filter_key).first()["digest"][:16]
     offset = read_cursor(cursor, revision)
+    if offset and rows.orderBy(*order).offset(offset - 1).limit(1).isEmpty():
+        raise StaleCursor(cursor)
     found = page(rows, order, offset, size)
     after = rows.orderBy(*order).offset(offset + size).limit(1).isEmpty()
     return found, None if after else f"c1_{offset + size}_{revision}"

@@ -184,11 +184,17 @@ def admit(scored: DataFrame, files: DataFrame, nodes: DataFrame, max_files: int
     return rows.groupBy("all").applyInPandas(choose, "id string, file_path string, place long, why string")
 
 
-def strength(found: DataFrame) -> DataFrame:
-    """One row: strong with an exact hit and three channels, moderate with either, weak with any, none."""
-    a = found.agg(F.countDistinct(F.substring_index("channel", ":", 1)).alias("channels"), F.coalesce(F.bool_or(F.col("channel") == "exact"), F.lit(False)).alias("exact"), F.count(F.lit(1)).alias("n"))
-    level = F.when(F.col("n") == 0, "none").when(F.col("exact") & (F.col("channels") >= 3), "strong").when(F.col("exact") | (F.col("channels") >= 3), "moderate").otherwise("weak")
-    return a.select(level.alias("strength"), "channels", "n")
+def strength(asked: DataFrame, files: DataFrame, path_terms: list[str]) -> DataFrame:
+    """asked(task) with strength and covered: strong where a chosen file of files(task, exact, terms) is exact, or where they cover three
+    of the task's path terms (all, if those are fewer); moderate where they cover any; weak with files alone; none without."""
+    wanted = F.array(*map(F.lit, dict.fromkeys(path_terms))).cast("array<string>")
+    held = files.select("task", "exact", F.array_intersect(F.coalesce("terms", F.array().cast("array<string>")), wanted).alias("terms"))
+    terms = held.select("task", F.explode("terms").alias("term")).distinct().groupBy("task").agg(F.count(F.lit(1)).alias("covered"))
+    found = held.groupBy("task").agg(F.coalesce(F.bool_or("exact"), F.lit(False)).alias("exact"))
+    rows = asked.select("task").join(found, "task", "left").join(terms, "task", "left").withColumn("covered", F.coalesce("covered", F.lit(0).cast("long")))
+    enough = F.col("covered") >= min(3, len(set(path_terms)))
+    level = F.when(F.col("exact").isNull(), "none").when(F.col("exact") | enough, "strong").when(F.col("covered") > 0, "moderate").otherwise("weak")
+    return rows.select("task", level.alias("strength"), "covered")
 
 
 def scope(nodes: DataFrame, text: str, *more: DataFrame) -> DataFrame:

@@ -26,10 +26,10 @@ def _hits(v: Views):
     return hits.drop("o_orderkey"), over
 
 
-@query("sc_8_regions", f"""WITH {HITS} SELECT id, round(max(score), 6) AS score FROM (SELECT id, least(1.2, greatest(n_concepts - 1, 0) * 0.18 + n_name * 0.32 + CASE WHEN start_line BETWEEN first AND last THEN 0.08 WHEN start_line <= first AND end_line >= last THEN 0.04 ELSE 0 END + least(abs(rank) * 2, 0.1) + 20.0 / (61 + hit + place)) AS score
+@query("sc_8_regions", f"""WITH {HITS} SELECT id, round(max(score), 9) AS score FROM (SELECT id, least(1.2, greatest(n_concepts - 1, 0) * 0.18 + n_name * 0.32 + CASE WHEN start_line BETWEEN first AND last THEN 0.08 WHEN start_line <= first AND end_line >= last THEN 0.04 ELSE 0 END + least(abs(rank) * 2, 0.1) + 20.0 / (61 + hit + place)) AS score
     FROM over JOIN hits USING (hit)) GROUP BY id""")
 def _(v: Views):
-    return R.region_alignment(*_hits(v)).select("id", F.round("score", 6).alias("score"))
+    return R.region_alignment(*_hits(v)).select("id", F.round("score", 9).alias("score"))
 
 
 @query("sc_11_seeds", """, pref AS (SELECT id, file_path, min(t) AS t, min_by(r, t) AS r FROM (SELECT 'part:' || p_partkey AS id, 'brand/' || p_brand AS file_path, p_partkey % 3 AS t, p_partkey AS r FROM part WHERE p_size = 7) GROUP BY ALL),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marlstone.functions import text as T
 from marlstone.operators import scope as S
 from marlstone.plans.registry import query
 from marlstone.plans.views import Views
@@ -52,7 +53,7 @@ def _(v: Views):
 
 
 @query("sc_2_concepts", """SELECT * FROM (VALUES ('cold', 'cold', 1.0::double), ('widget', 'widget', 1.0), ('get', 'get', 1.0), ('orders', 'orders', 1.0), ('orders', 'order', 0.55), ('small', 'small', 1.0), ('widgets', 'widgets', 1.0), ('widgets', 'widget', 1.0),
-    ('supplier#000000007', 'supplier', 1.15), ('supplier#000000007', '000000007', 1.15)) t(concept, term, weight) WHERE (SELECT count(*) FROM part) > 0""")
+    ('supplier#000000007', 'supplier', 1.15), ('supplier#000000007', '000000007', 1.15)) t(concept, term, weight)""")
 def _(v: Views):
     plan = S.plan_query(TASK)
     return v._spark.createDataFrame([(k, t, float(plan.terms[t])) for k, ts in plan.concepts.items() for t in ts], "concept string, term string, weight double")
@@ -76,9 +77,15 @@ def _(v: Views):
     return S.scope(v.g_nodes, TASK).select("id", "file_path", "place")
 
 
-@query("sc_18_strength", "SELECT 'strong' AS strength")
+PATH_TERMS = ("from", "with", "nicht", "para", "dans")
+
+
+@query("sc_18_strength", """WITH f AS (SELECT doc_id, doc_id % 5 AS pick, doc_id % 50 = 7 AS exact, list_filter(regexp_split_to_array(lower(substr(text, 1, 400)), '[^a-z0-9à-ÿ]+'), lambda w: w IN ('from', 'with', 'nicht', 'para', 'dans')) AS terms FROM documents)
+    SELECT doc_id // 5 AS task, CASE WHEN count(*) FILTER (pick < 3) = 0 THEN 'none' WHEN bool_or(exact AND pick < 3) OR n >= 3 THEN 'strong' WHEN n > 0 THEN 'moderate' ELSE 'weak' END AS strength, n AS covered
+    FROM f JOIN (SELECT doc_id // 5 AS task, len(list_distinct(flatten(list(CASE WHEN pick < 3 THEN terms ELSE [] END)))) AS n FROM f GROUP BY 1) c ON c.task = doc_id // 5 GROUP BY doc_id // 5, n""")
 def _(v: Views):
-    return S.strength(S.evidence(v.g_nodes, S.plan_query(TASK))).select("strength")
+    d = v.documents.select((F.col("doc_id") / 5).cast("long").alias("task"), (F.col("doc_id") % 5).alias("pick"), (F.col("doc_id") % 50 == 7).alias("exact"), T.words(F.substring("text", 1, 400)).alias("terms"))
+    return S.strength(d.select("task").distinct(), d.filter("pick < 3"), list(PATH_TERMS))
 
 
 @query("sc_9_co_called", "SELECT DISTINCT source, target FROM g_edges WHERE source IN ('order:1', 'order:2', 'order:3', 'order:4') AND target IN (SELECT id FROM g_nodes WHERE kind = 'class')", ("g_nodes", "g_edges"))

@@ -45,13 +45,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def refresh(sources: DataFrame, cache_path: str, extract: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
     """Incremental refresh: each batch of sources(path, content) is extracted only where its content hash is not in the cache
-    (path, hash, extracted columns) yet."""
+    (path, hash, extracted columns) yet.  A batch that is replayed is held against the batches before it alone, never against its own
+    rows, and so replaces its folder by the same rows."""
     spark = sources.sparkSession
 
     def each(batch: DataFrame, number: int) -> None:
         fresh = batch.withColumn("hash", F.sha2("content", 256))
         if _exists(spark, cache_path):  # not before the first batch
-            known = spark.read.parquet(cache_path).select("path", "hash")
+            known = spark.read.parquet(cache_path).filter(F.col("batch") < number).select("path", "hash")
             fresh = fresh.join(known, ["path", "hash"], "left_anti")
         extract(fresh).write.mode("overwrite").parquet(f"{cache_path}/batch={number}")
 

@@ -33,12 +33,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 @contextmanager
 def bucketed(spark: SparkSession, parts: int):
     """A function that writes a DataFrame in `parts` buckets of a column to the shared folder and reads it back, so that joins on that
-    column need no shuffle; the catalog forgets these tables at the end, the files stay."""
+    column need no shuffle; the catalog forgets these tables at the end, the files stay.  Rows that lie in these buckets already, for
+    they come from such a table by steps that keep its partitions, are written as they lie (dealt)."""
     names: list[str] = []
 
-    def keep(df: DataFrame, by: str) -> DataFrame:
+    def keep(df: DataFrame, by: str, dealt: bool = False) -> DataFrame:
         names.append(f"marlstone_{uuid.uuid4().hex}")
-        df.repartition(parts, by).write.bucketBy(parts, by).option("path", f"{shared_dir(spark)}/{names[-1]}").format("parquet").saveAsTable(names[-1])
+        rows = df if dealt else df.repartition(parts, by)
+        rows.write.bucketBy(parts, by).option("path", f"{shared_dir(spark)}/{names[-1]}").format("parquet").saveAsTable(names[-1])
         return spark.table(names[-1])
 
     try:
