@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marlstone.operators.source_ranges import admit_ranges
 from marlstone.operators.ranking import RRF, skip_to_fit
 
 # Weights of a region's evidence for a declaration, and the most it can reach.
@@ -104,18 +105,14 @@ def ledger(records: DataFrame, budget: int, order: list[str]) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("spent") <= budget).select("place", "line", "cost", "spent")
 
 
-def admit_sources(sources: DataFrame, budget: int, most: int = 200) -> DataFrame:
-    """Sources (id, file_path, first, last, cost, exact, flow_target, answer, score) that fit into their share of the budget: exact ones,
-    the first target of a flow, the best answer by meaning, then files in turns.  Lines that an earlier source of the file shows as a
-    whole cost nothing again: such a source is left out."""
+def admit_sources(sources: DataFrame, budget: int) -> DataFrame:
+    """The pieces of sources (task, id, file_path, first, costs of its lines, atomic, centred, exact, flow_target, answer, score) that
+    each task shows within the source share of its budget: exact ones, the first target of a flow, the best answer by meaning, then files
+    in turns.  A line is shown once, and only what is shown hides anything."""
     tier = F.when(F.col("exact"), 0).when(F.col("flow_target"), 1).when(F.col("answer"), 2).otherwise(3)
-    rows = sources.withColumn("tier", tier).withColumn("turn", _place(["tier", F.desc("score"), "id"], "file_path"))
+    rows = sources.withColumn("tier", tier).withColumn("turn", _place(["tier", F.desc("score"), "id"], "task", "file_path"))
     order = ["tier", F.when(F.col("tier") == 3, F.col("turn")).asc_nulls_first(), F.desc("score"), "id"]
-    rows = rows.orderBy(*order).limit(most).withColumn("at", _place(order))
-    earlier = rows.select("file_path", F.col("first").alias("first2"), F.col("last").alias("last2"), F.col("at").alias("at2"))
-    shown = rows.join(earlier, "file_path").filter((F.col("at2") < F.col("at")) & (F.col("first2") <= F.col("first")) & (F.col("last2") >= F.col("last"))).select("id").distinct()  # at most `most` rows a side
-    left = rows.join(shown, "id", "left_anti").withColumn("all", F.lit(1))
-    return skip_to_fit(left, "cost", int(budget * SOURCE_SHARE), ["at"], "all", most).select("id", "file_path", "tier", "cost")
+    return admit_ranges(rows, int(budget * SOURCE_SHARE), order)
 
 
 def cluster_context(members: DataFrame, edges: DataFrame, most: int = 12) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.operators import retrieval as R
+from marlstone.operators.source_ranges import merge_in_phase
 from marlstone.plans.registry import query
 from marlstone.plans.views import Views
 
@@ -88,16 +89,34 @@ def _(v: Views):
     return R.ledger(v.supplier.select("s_suppkey", "s_name"), 500, ["s_suppkey"]).select("place", "cost", "spent")
 
 
-@query("sc_21_source_admission", """WITH RECURSIVE s AS (SELECT 'part:' || p_partkey AS id, p_brand AS file_path, p_partkey % 40 AS first, p_partkey % 40 + p_size AS last, cast(p_size AS bigint) AS cost, p_partkey % 31 = 0 AS exact, p_partkey = 17 AS flow_target, p_partkey = 9 AS answer, cast(round(p_retailprice * 100) AS bigint) AS score FROM part WHERE p_size > 2),
-    t AS (SELECT *, CASE WHEN exact THEN 0 WHEN flow_target THEN 1 WHEN answer THEN 2 ELSE 3 END AS tier FROM s), u AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY tier, score DESC, id) AS turn FROM t),
-    o AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY tier, CASE WHEN tier = 3 THEN turn END NULLS FIRST, score DESC, id) AS at FROM u) WHERE at <= 200),
-    k AS (SELECT *, row_number() OVER (ORDER BY at) AS n FROM o WHERE id NOT IN (SELECT a.id FROM o a JOIN o b ON a.file_path = b.file_path AND b.at < a.at AND b.first <= a.first AND b.last >= a.last)),
-    run AS (SELECT 0::bigint AS n, 0::bigint AS spent, NULL::varchar AS id UNION ALL SELECT k.n, run.spent + CASE WHEN run.spent + k.cost <= 300 THEN k.cost ELSE 0 END, CASE WHEN run.spent + k.cost <= 300 THEN k.id END FROM run JOIN k ON k.n = run.n + 1)
-    SELECT id, file_path, tier, cost FROM run JOIN k USING (id)""".replace(" AS at FROM", " AS pos FROM").replace("WHERE at <= 200", "WHERE pos <= 200").replace("ORDER BY at)", "ORDER BY pos)").replace("b.at < a.at", "b.pos < a.pos"))
+@query("sc_21_source_admission", """WITH RECURSIVE s AS (SELECT 't' || (p_partkey % 20) AS task, 'part:' || p_partkey AS id, p_brand AS file_path, p_partkey % 90 AS first, p_partkey % 90 + p_size AS last, p_partkey % 7 = 0 AS atomic,
+        CASE WHEN p_partkey % 31 = 0 THEN 0 WHEN p_partkey = 17 THEN 1 WHEN p_partkey = 9 THEN 2 ELSE 3 END AS tier, cast(round(p_retailprice * 100) AS bigint) AS score FROM part),
+    u AS (SELECT *, row_number() OVER (PARTITION BY task, file_path ORDER BY tier, score DESC, id) AS turn FROM s),
+    k AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY tier, CASE WHEN tier = 3 THEN turn END NULLS FIRST, score DESC, id) AS n FROM u),
+    run AS (SELECT DISTINCT task, 0::bigint AS n, 300::bigint AS room, []::varchar[] AS shown, NULL::varchar AS id, []::bigint[] AS took, 0::bigint AS cost FROM s
+        UNION ALL SELECT task, n, room - coalesce(list_sum(costs[1:m]), 0)::bigint, list_concat(shown, list_transform(free[1:m], lambda x: file_path || ':' || x)), id, free[1:m], coalesce(list_sum(costs[1:m]), 0)::bigint FROM (
+            SELECT *, CASE WHEN total <= room THEN len(free) WHEN atomic THEN 0 ELSE len(list_filter(range(1, len(free) + 1), lambda i: list_sum(costs[1:i]) <= room)) END AS m FROM (
+                SELECT *, list_transform(free, lambda x: 1 + x % 3) AS costs, coalesce(list_sum(list_transform(free, lambda x: 1 + x % 3)), 0) AS total FROM (
+                    SELECT k.task, k.n, k.id, k.file_path, k.atomic, run.room, run.shown, list_filter(range(k.first, k.last + 1), lambda x: NOT list_contains(run.shown, k.file_path || ':' || x)) AS free FROM run JOIN k ON k.task = run.task AND k.n = run.n + 1))))
+    SELECT task, id, cast(len(took) AS bigint) AS lines, took[1] AS first, took[-1] AS last, cost FROM run WHERE len(took) > 0""")
 def _(v: Views):
     k = F.col("p_partkey")
-    rows = v.part.filter("p_size > 2").select(F.concat(F.lit("part:"), k).alias("id"), F.col("p_brand").alias("file_path"), (k % 40).alias("first"), (k % 40 + F.col("p_size")).alias("last"), F.col("p_size").cast("long").alias("cost"), (k % 31 == 0).alias("exact"), (k == 17).alias("flow_target"), (k == 9).alias("answer"), F.round(F.col("p_retailprice") * 100).cast("long").alias("score"))
-    return R.admit_sources(rows, 400)
+    first, last = k % 90, k % 90 + F.col("p_size")
+    rows = v.part.select(
+        F.concat(F.lit("t"), k % 20).alias("task"), F.concat(F.lit("part:"), k).alias("id"), F.col("p_brand").alias("file_path"), first.alias("first"), F.transform(F.sequence(first, last), lambda x: 1 + x % 3).alias("costs"),
+        (k % 7 == 0).alias("atomic"), F.lit(False).alias("centred"), (k % 31 == 0).alias("exact"), (k == 17).alias("flow_target"), (k == 9).alias("answer"), F.round(F.col("p_retailprice") * 100).cast("long").alias("score"),
+    )
+    shown = R.admit_sources(rows, 400)
+    return shown.groupBy("task", "id").agg(F.sum(F.col("last") - F.col("first") + 1).alias("lines"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("cost").alias("cost"))
+
+
+@query("sc_21_merged_phases", """SELECT task, file_path, phase, id, min(first) AS first, max(last) AS last, min(place) AS place, bool_and(atomic) AS atomic FROM (SELECT * EXCLUDE (id), first_value(id) OVER (PARTITION BY task, file_path, phase, island ORDER BY place) AS id FROM (SELECT *, sum(fresh) OVER (PARTITION BY task, file_path, phase ORDER BY first, last DESC, place ROWS UNBOUNDED PRECEDING) AS island FROM (
+    SELECT *, CASE WHEN first <= max(last) OVER (PARTITION BY task, file_path, phase ORDER BY first, last DESC, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM (
+    SELECT 't' || (l_suppkey % 10) AS task, 'f' || (l_partkey % 40) AS file_path, l_linenumber % 3 AS phase, l_orderkey || ':' || l_linenumber AS id, l_orderkey % 5000 AS first, l_orderkey % 5000 + l_linenumber * 3 AS last, l_orderkey * 10 + l_linenumber AS place, l_returnflag = 'R' AS atomic FROM lineitem)))) GROUP BY task, file_path, phase, island, id""")
+def _(v: Views):
+    o, n = F.col("l_orderkey"), F.col("l_linenumber")
+    rows = v.lineitem.select(F.concat(F.lit("t"), F.col("l_suppkey") % 10).alias("task"), F.concat(F.lit("f"), F.col("l_partkey") % 40).alias("file_path"), (n % 3).alias("phase"), F.concat_ws(":", o, n).alias("id"), (o % 5000).alias("first"), (o % 5000 + n * 3).alias("last"), (o * 10 + n).alias("place"), (F.col("l_returnflag") == "R").alias("atomic"))
+    return merge_in_phase(rows)
 
 
 @query("gr_19_cluster_context", """, both_ways AS (SELECT source AS id, target AS near FROM g_edges WHERE source <> target UNION SELECT target, source FROM g_edges WHERE source <> target), m AS (SELECT 'c' || s_nationkey AS cluster, 'supplier:' || s_suppkey AS id FROM supplier UNION ALL SELECT 'c' || n_nationkey, 'nation:' || n_nationkey FROM nation),
