@@ -37,9 +37,9 @@ from marlstone.llm.common import CHUNK_BYTES, bounded_batches, byte_slices, byte
 from marlstone.work import bucketed
 
 #: Segments whose results travel to the workers at most, id pairs whose counts do, and segments that a task counts before it hands them on.
-HEAVY, HEAVY_PAIRS, HELD = 500_000, 200_000, 400_000
-#: Segments of a bucket.
-BUCKET_ROWS = 150_000
+HEAVY, HEAVY_PAIRS, HELD = 250_000, 200_000, 400_000
+#: Segments of a bucket, and slots dealt to a bucket.
+BUCKET_ROWS, SLOTS = 150_000, 16
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 RESULT = "doc_id long, " + ", ".join(f"{c} long" for c in NUMBERS) + ", groups string"
 
@@ -141,8 +141,8 @@ def segment_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
 
 def encoded(segments: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """uid, segment, n, a, b of segments (uid, segment, n): the ids of both sides."""
-    held = [("uid", pa.int64()), ("segment", pa.string()), ("n", pa.int64())]
+    """slot, uid, segment, n, a, b of segments (slot, uid, segment, n): the ids of both sides."""
+    held = [("slot", pa.int32()), ("uid", pa.int64()), ("segment", pa.string()), ("n", pa.int64())]
     schema = pa.schema([*held, ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
 
     def run(batches):
@@ -153,7 +153,7 @@ def encoded(segments: DataFrame, a_path: str, b_path: str) -> DataFrame:
                     ids = zip(*pair.encode(part.column("segment").to_pylist()))
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c, _ in held), *(pa.array(x, pa.list_(pa.int32())) for x in ids)], schema=schema)
 
-    return segments.select("uid", "segment", "n").mapInArrow(run, "uid long, segment string, n long, a array<int>, b array<int>")
+    return segments.select(*(c for c, _ in held)).mapInArrow(run, "slot int, uid long, segment string, n long, a array<int>, b array<int>")
 
 
 def token_sizes(spark: SparkSession, a_path: str, b_path: str) -> DataFrame:
@@ -168,21 +168,23 @@ def _joined(items: str, value: str, separator: str) -> Column:
 
 
 def align(segments: DataFrame, sizes: DataFrame) -> DataFrame:
-    """For segments (uid, a, b): uid, n_a, n_b, n_groups, n_links, groups, links (structs of ids a, b).  Every step is by uid, so that
-    segments in buckets of uid are not shuffled; sizes has a row for each id of the vocabularies, which bounds its broadcast."""
+    """For segments (slot, uid, a, b): slot, uid, n_a, n_b, n_groups, n_links, groups, links (structs of ids a, b).  Every step is by slot
+    and uid, so that segments in buckets of slots are not shuffled; sizes has a row for each id of the vocabularies, which bounds its
+    broadcast."""
+    own = ["slot", "uid"]
     sides = F.array(*(F.struct(F.lit(k).alias("side"), F.col(c).alias("ids")) for k, c in enumerate("ab")))
-    tokens = segments.select("uid", F.explode(sides).alias("x")).select("uid", "x.side", F.posexplode("x.ids").alias("pos", "id"))
-    tokens = tokens.join(F.broadcast(sizes), ["side", "id"]).select("uid", "side", "id", F.sum("size").over(W.partitionBy("uid", "side").orderBy("pos")).alias("end"))
-    ends = tokens.groupBy("uid", "end").agg(*(F.max(F.when(F.col("side") == k, F.col("id"))).alias(c) for k, c in enumerate("ab")))
-    from_the_end = W.partitionBy("uid").orderBy(F.desc("end")).rowsBetween(W.unboundedPreceding, 0)
+    tokens = segments.select(*own, F.explode(sides).alias("x")).select(*own, "x.side", F.posexplode("x.ids").alias("pos", "id"))
+    tokens = tokens.join(F.broadcast(sizes), ["side", "id"]).select(*own, "side", "id", F.sum("size").over(W.partitionBy(*own, "side").orderBy("pos")).alias("end"))
+    ends = tokens.groupBy(*own, "end").agg(*(F.max(F.when(F.col("side") == k, F.col("id"))).alias(c) for k, c in enumerate("ab")))
+    from_the_end = W.partitionBy(*own).orderBy(F.desc("end")).rowsBetween(W.unboundedPreceding, 0)
     cut = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
-    over = ends.select("uid", "end", "a", "b", F.sum(cut).over(from_the_end).alias("later"), *(F.last(c, ignorenulls=True).over(from_the_end).alias(f"over_{c}") for c in "ab"))
-    own = [F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", c))).alias(f"{c}s") for c in "ab"]
-    groups = over.groupBy("uid", "later").agg(*own, F.collect_list(F.struct(F.col("over_a").alias("a"), F.col("over_b").alias("b"))).alias("links"))
+    over = ends.select(*own, "end", "a", "b", F.sum(cut).over(from_the_end).alias("later"), *(F.last(c, ignorenulls=True).over(from_the_end).alias(f"over_{c}") for c in "ab"))
+    ids = [F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", c))).alias(f"{c}s") for c in "ab"]
+    groups = over.groupBy(*own, "later").agg(*ids, F.collect_list(F.struct(F.col("over_a").alias("a"), F.col("over_b").alias("b"))).alias("links"))
     text = F.concat_ws("|", _joined("as", "a", ","), _joined("bs", "b", ","))
-    groups = groups.select("uid", F.size("as").alias("n_a"), F.size("bs").alias("n_b"), "links", F.struct((-F.col("later")).alias("at"), text.alias("ids")).alias("group"))
-    whole = groups.groupBy("uid").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.collect_list("group").alias("groups"), F.flatten(F.collect_list("links")).alias("links"))
-    return whole.select("uid", "n_a", "n_b", F.size("groups").cast("long").alias("n_groups"), F.size("links").cast("long").alias("n_links"), _joined("groups", "ids", ";").alias("groups"), "links")
+    groups = groups.select(*own, F.size("as").alias("n_a"), F.size("bs").alias("n_b"), "links", F.struct((-F.col("later")).alias("at"), text.alias("ids")).alias("group"))
+    whole = groups.groupBy(*own).agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.collect_list("group").alias("groups"), F.flatten(F.collect_list("links")).alias("links"))
+    return whole.select(*own, "n_a", "n_b", F.size("groups").cast("long").alias("n_groups"), F.size("links").cast("long").alias("n_links"), _joined("groups", "ids", ";").alias("groups"), "links")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -204,34 +206,34 @@ def heaviest(rows: DataFrame, by: str, most: int) -> DataFrame:
     return rows.filter(size_class >= least) if least is not None else rows.limit(0)
 
 
-def aligned_segments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """segment, n, NUMBERS and groups of every segment with tokens.  Segments are dealt into buckets once, as strings; all that is worked
-    out of them is written where it lies, so that the last join needs no shuffle either."""
-    spark = docs.sparkSession
-    counted = materialize(segment_counts(docs, a_path, b_path), "counted")
-    parts = max(4, -(-counted.count() // BUCKET_ROWS))
-    with bucketed(spark, parts) as keep:
-        dealt = counted.withColumn("uid", F.monotonically_increasing_id()).repartition(parts, "uid")
-        segments = keep(encoded(dealt, a_path, b_path).filter(F.size("a") > 0), "uid", dealt=True)
-        found = keep(align(segments, token_sizes(spark, a_path, b_path)), "uid", dealt=True)
-        links = found.select("uid", F.explode("links").alias("link")).join(segments.select("uid", "n"), "uid").select("uid", "n", "link.a", "link.b")
-        pairs = pair_counts(links)
-        frequent = F.broadcast(heaviest(pairs, "count", HEAVY_PAIRS))
-        links = links.drop("n")
-        sums = [F.sum("best").alias("n_best"), F.sum("count").alias("count_sum")]
-        near = links.join(frequent, ["a", "b"]).groupBy("uid").agg(*sums)
-        far = materialize(links.join(frequent, ["a", "b"], "left_anti").join(pairs, ["a", "b"]).groupBy("uid").agg(*sums), "sums")
-        both = near.join(far.select("uid", *(F.col(c).alias(f"far_{c}") for c in ("n_best", "count_sum"))), "uid", "full")
-        total = [(F.coalesce(c, F.lit(0)) + F.coalesce(f"far_{c}", F.lit(0))).alias(c) for c in ("n_best", "count_sum")]
-        sums = keep(both.select("uid", *total), "uid")
-        return segments.select("uid", "segment", "n").join(found.drop("links"), "uid").join(sums, "uid").select("segment", "n", *NUMBERS, "groups")
+def slot_of(segment: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(segment), F.lit(parts * SLOTS)).cast("int")
+
+
+def aligned_segments(counted: DataFrame, parts: int, keep, a_path: str, b_path: str) -> DataFrame:
+    """slot, segment, n, NUMBERS and groups of every segment with tokens, from counted (segment, n).  Segments are dealt into buckets of
+    slots once, as strings; all that is worked out of them is written where it lies, so that the last joins need no shuffle either."""
+    spark = counted.sparkSession
+    dealt = counted.select(slot_of("segment", parts).alias("slot"), F.monotonically_increasing_id().alias("uid"), "segment", "n").repartition(parts, "slot")
+    segments = keep(encoded(dealt, a_path, b_path).filter(F.size("a") > 0), "slot", dealt=True)
+    found = keep(align(segments, token_sizes(spark, a_path, b_path)), "slot", dealt=True)
+    own = ["slot", "uid"]
+    links = found.select(*own, F.explode("links").alias("link")).join(segments.select(*own, "n"), own).select(*own, "n", "link.a", "link.b")
+    pairs = pair_counts(links)
+    frequent = F.broadcast(heaviest(pairs, "count", HEAVY_PAIRS))
+    links = links.drop("n")
+    near = links.join(frequent, ["a", "b"]).groupBy(*own).agg(F.sum("best").alias("best"), F.sum("count").alias("count"))
+    far = links.join(frequent, ["a", "b"], "left_anti").join(pairs, ["a", "b"]).groupBy(*own).agg(F.sum("best").alias("far_best"), F.sum("count").alias("far_count"))
+    joined = segments.select(*own, "segment", "n").join(found.drop("links"), own).join(near, own, "left").join(keep(far, "slot"), own, "left")
+    sums = {name: F.coalesce(c, F.lit(0)) + F.coalesce(f"far_{c}", F.lit(0)) for name, c in (("n_best", "best"), ("count_sum", "count"))}
+    return joined.withColumns(sums).select("slot", "segment", "n", *NUMBERS, "groups")
 
 
 class Laid:
     """Results of segments as Arrow columns, found for many segments at once."""
 
     def __init__(self, rows: pa.Table):
-        self.rows = rows.combine_chunks()
+        self.rows = pa.Table.from_arrays(rows.combine_chunks().columns, names=rows.column_names)  # no field is marked as never null
 
     def places(self, segments: pa.Array) -> pa.Array:
         """The row of each segment, or null."""
@@ -258,10 +260,16 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, heavy: int = HEAV
     """doc_id, NUMBERS and groups (`a1,a2|b1;a3|b2,b3`, null without tokens) of each document."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select("doc_id", "text")
-    results = aligned_segments(docs, a_path, b_path)
+    counted = materialize(segment_counts(docs, a_path, b_path), "counted")
+    parts = max(4, -(-counted.count() // BUCKET_ROWS))
+    with bucketed(spark, parts) as keep:
+        return _laid_out(docs.select("doc_id", "text"), aligned_segments(counted, parts, keep, a_path, b_path), parts, keep, a_path, b_path, heavy)
+
+
+def _laid_out(docs: DataFrame, results: DataFrame, parts: int, keep, a_path: str, b_path: str, heavy: int) -> DataFrame:
+    """The documents with the results of their segments in order."""
     columns = ["segment", *NUMBERS, "groups"]
-    shared = spark.sparkContext.broadcast(Laid(heaviest(results, "n", heavy).select(columns).toArrow()))
+    shared = docs.sparkSession.sparkContext.broadcast(Laid(heaviest(results, "n", heavy).select(columns).toArrow()))
     row_type = pa.struct([("segment", pa.string()), *((c, pa.int64()) for c in NUMBERS), ("groups", pa.string())])
     key = [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", "doc_id", F.lit("second")).alias("k2")]
     rare_schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("segment", pa.string())])
@@ -278,7 +286,8 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, heavy: int = HEAV
             yield pa.RecordBatch.from_arrays([batch.column("k1").take(at), batch.column("k2").take(at), pa.array([s for _, s in own], pa.string())], schema=rare_schema)
 
     rare = docs.select("text", *key).mapInArrow(rare_of, "k1 long, k2 long, segment string")
-    rare = rare.join(results.select("segment", F.struct(*columns).alias("found")), "segment")
+    rare = keep(rare.withColumn("slot", slot_of("segment", parts)), "slot")
+    rare = rare.join(results.select("slot", "segment", F.struct(*columns).alias("found")), ["slot", "segment"])
     rare = rare.groupBy("k1", "k2").agg(F.collect_set("found").alias("rare"))
     out_schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in NUMBERS), ("groups", pa.string())])
     packed_schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("size", pa.int64()), ("packed", pa.binary())])
