@@ -29,6 +29,7 @@ def _load() -> None:
         delta_queries,
         drift_queries,
         graph_queries,
+        index_queries,
         knowledge_queries,
         log_queries,
         lookup_queries,
