@@ -218,10 +218,9 @@ def aligned_segments(counted: DataFrame, parts: int, keep, a_path: str, b_path:
     segments = keep(encoded(dealt, a_path, b_path).filter(F.size("a") > 0), "slot", dealt=True)
     found = keep(align(segments, token_sizes(spark, a_path, b_path)), "slot", dealt=True)
     own = ["slot", "uid"]
-    links = found.select(*own, F.explode("links").alias("link")).join(segments.select(*own, "n"), own).select(*own, "n", "link.a", "link.b")
-    pairs = pair_counts(links)
+    links = found.select(*own, F.explode("links").alias("link")).select(*own, "link.a", "link.b")
+    pairs = pair_counts(links.join(segments.select(*own, "n"), own))
     frequent = F.broadcast(heaviest(pairs, "count", HEAVY_PAIRS))
-    links = links.drop("n")
     near = links.join(frequent, ["a", "b"]).groupBy(*own).agg(F.sum("best").alias("best"), F.sum("count").alias("count"))
     far = links.join(frequent, ["a", "b"], "left_anti").join(pairs, ["a", "b"]).groupBy(*own).agg(F.sum("best").alias("far_best"), F.sum("count").alias("far_count"))
     joined = segments.select(*own, "segment", "n").join(found.drop("links"), own).join(near, own, "left").join(keep(far, "slot"), own, "left")
@@ -260,6 +259,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, heavy: int = HEAV
     """doc_id, NUMBERS and groups (`a1,a2|b1;a3|b2,b3`, null without tokens) of each document."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")  # joins by slot and uid then stay in the buckets of slots
     counted = materialize(segment_counts(docs, a_path, b_path), "counted")
     parts = max(4, -(-counted.count() // BUCKET_ROWS))
     with bucketed(spark, parts) as keep:
