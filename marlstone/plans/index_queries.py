@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marlstone.operators import vectors as E
 from marlstone.operators.textindex import NODE_FIELDS, TextIndex
+from marlstone.operators.vectorindex import VectorIndex
 from marlstone.plans.registry import query
 from marlstone.plans.views import Views
-from marlstone.work import shared_dir
+from marlstone.work import materialize, shared_dir
 
 WORDS = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9à-ÿ]+'), lambda w: w <> '')"
 
@@ -55,3 +57,28 @@ def _(v: Views):
     index = _index(v, "documents", TEXT_FIELDS).build(rows(STAY), "doc")
     index.apply(rows(CHANGED).filter("doc like 'n%' or try_cast(doc as long) % 17 <> 0"), rows(STAY).filter("try_cast(doc as long) % 17 = 0"), "doc")
     return index.search(list(TEXT_TERMS), 80).select("doc", F.round("score", 6).alias("score"), "matched")
+
+
+def _vector_index(v: Views, rows, key: str, column: str) -> VectorIndex:
+    import uuid
+
+    return VectorIndex(v._spark, f"{shared_dir(v._spark)}/vectors-{uuid.uuid4().hex}", key, column).build(rows)
+
+
+@query("vec_2_indexed_recall")
+def _(v: Views):
+    """Every fiftieth part's name against all, in the index: recall at ten and the share of the table that a query reads."""
+    rows = materialize(E.embed(v.part, "p_partkey", {"p_name": 3.0, "p_type": 1.0}).select("p_partkey", "vector"), "vectors")
+    index, asked = _vector_index(v, rows, "p_partkey", "vector"), rows.filter("p_partkey % 50 = 0")
+    top, read = index.search_read(asked, 10)
+    found = E.recall(top, E.exact_knn(rows, asked, 10, "p_partkey", "vector"), "p_partkey")
+    share = read.agg(F.avg("read").alias("read")).join(rows.agg(F.count(F.lit(1)).alias("held")))  # single rows
+    return found.join(share.select(F.round(F.col("read") / F.col("held"), 6).alias("share")))
+
+
+@query("vec_2_all_lists", """WITH d AS (SELECT vec_id, list_transform(embedding, lambda x: x::double) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.e, c.e), 9) AS similarity FROM d q JOIN d c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+    SELECT query_id, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
+def _(v: Views):
+    """All lists probed: the index gives the exact answer."""
+    index = _vector_index(v, v.embeddings, "vec_id", "embedding")
+    return index.search(v.embeddings.filter("vec_id % 50 = 0"), 10, len(index.centres())).select("query_id", "vec_id", "rank")
