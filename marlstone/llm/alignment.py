@@ -37,12 +37,13 @@ from marlstone.llm.common import CHUNK_BYTES, bounded_batches, byte_slices, byte
 from marlstone.work import bucketed
 
 #: Segments whose results travel to the workers at most, id pairs whose counts do, and segments that a task counts before it hands them on.
-HEAVY, HEAVY_PAIRS, HELD = 250_000, 200_000, 400_000
+HEAVY, HEAVY_PAIRS, HELD = 200_000, 100_000, 200_000
 #: Segments of a bucket, and slots dealt to a bucket.
-BUCKET_ROWS, SLOTS = 150_000, 16
+BUCKET_ROWS, SLOTS = 100_000, 16
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 RESULT = "doc_id long, " + ", ".join(f"{c} long" for c in NUMBERS) + ", groups string"
 
+_TWO_GAPS = ("  ", " \n", "\n ", "\n\n")
 _VISIBLE_THEN_GAP = re.compile(r"(?<=[\w!-~])(?=[ \n])")
 
 
@@ -83,18 +84,29 @@ class TokenizerPair:
         return found
 
     def segments(self, text: str | None) -> list[str]:
-        """Segments of space + text; none without tokens."""
+        """Segments of space + text, each without its leading space where a character that is no gap follows; none without tokens."""
         if not text:
             return []
         if not self.cuts:
             return [" " + text]
-        known = self.known
-        if not all(known[c] if c in known else self._same(c) for c in set(text)):
-            return []
-        return _VISIBLE_THEN_GAP.split(" " + text)
+        known, tab = self.known, False
+        for c in set(text):
+            if not (known[c] if c in known else self._same(c)):
+                return []
+            tab = tab or (c.isspace() and c not in " \n")
+        text = " " + text
+        if not tab and not any(pair in text for pair in _TWO_GAPS):  # each gap parts two words: a plain split
+            return text.replace("\n", " \n").split(" ")[1:]
+        return [s if s[0] == "\n" or s[1:2] in (" ", "\n") else s[1:] for s in _VISIBLE_THEN_GAP.split(text)]
+
+    @staticmethod
+    def whole(segment: str) -> str:
+        """The segment with its leading space."""
+        return segment if segment[:1] in (" ", "\n") else " " + segment
 
     def encode(self, segments: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         """Ids of both sides of each segment; two empty lists where the bytes differ."""
+        segments = list(map(self.whole, segments))
         first = [e.ids for e in self.a.encode_batch(segments, add_special_tokens=False)]
         if self.cuts:  # a line break takes the added space, and no piece holds it
             second = [ids[2:] for ids in self.b.encode(["\n" + s for s in segments], num_threads=1)]
