@@ -117,3 +117,31 @@ def _(v: Views):
     files = v._spark.createDataFrame([(p,) for p in ("src/a/x.ts", "src/a/y.ts", "src/a/y.js", "src/b/index.ts", "src/b/z.js", "pkg/m.py", "pkg/util/__init__.py")], "path string")
     imports = v._spark.createDataFrame([("src/a/x.ts", "./y"), ("src/a/x.ts", "../b"), ("src/a/x.ts", "../b/z"), ("src/a/x.ts", "react"), ("pkg/m.py", "./util")], "file string, module string")
     return N.resolve_imports(imports, files)
+
+
+# A program of the tables: suppliers are classes in the files of their nations, each derived from that of half its number; what they
+# deliver are methods that return other suppliers, every second of them as a promise.  Orders are calls through two such methods.
+
+
+@query("res_2_receiver_types", """WITH RECURSIVE own AS (SELECT DISTINCT l_suppkey AS s, l_partkey % 6 AS m FROM lineitem),
+    up(s, a, d) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier UNION ALL SELECT s, a // 2, d + 1 FROM up WHERE a >= 2 AND a % 5 <> 0),
+    held AS (SELECT up.s, m, arg_min(a, d) AS a FROM up JOIN own ON own.s = a GROUP BY up.s, m), gives AS (SELECT s, m, (a * 7 + m * 3) % (SELECT count(*) FROM supplier) + 1 AS t FROM held WHERE m % 3 <> 2),
+    c AS (SELECT o_orderkey, o_custkey % (SELECT count(*) FROM supplier) + 1 AS s, o_orderkey % 6 AS m1, o_orderkey // 6 % 6 AS m2, o_orderkey // 36 % 6 AS m3 FROM orders)
+    SELECT o_orderkey AS call_id, 'S' || held.a || '.m' || m3 AS target FROM c JOIN gives x ON x.s = c.s AND x.m = m1 JOIN gives y ON y.s = x.t AND y.m = m2 JOIN held ON held.s = y.t AND held.m = m3""")
+def _(v: Views):
+    from marlstone.operators import inference
+
+    tables = {"supplier": v.supplier, "lineitem": v.lineitem, "orders": v.orders}
+    sql = lambda text: v._spark.sql(text, **{n: t for n, t in tables.items() if f"{{{n}}}" in text})
+    own = "(SELECT DISTINCT l_suppkey, l_partkey % 6 AS m FROM {lineitem})"
+    returned = "(l_suppkey * 7 + m * 3) % (SELECT count(*) FROM {supplier}) + 1"
+    decls = sql(f"""SELECT 'S' || s_suppkey AS id, 'n' || s_nationkey AS file, 'S' || s_suppkey AS name, 'class' AS kind, cast(null AS string) AS owner FROM {{supplier}}
+        UNION ALL SELECT 'S' || l_suppkey || '.m' || m, 'n' || s_nationkey, 'm' || m, 'method', 'S' || l_suppkey FROM {own} JOIN {{supplier}} ON l_suppkey = s_suppkey""")
+    none = "cast(array() AS array<struct<op:string,name:string>>)"
+    facts = sql(f"""SELECT 'n' || s_nationkey AS file, 'S' || s_suppkey AS owner, '' AS name, 'extends' AS role, 'type' AS base_kind, 'S' || (s_suppkey div 2) AS base, {none} AS steps FROM {{supplier}} WHERE s_suppkey >= 2 AND s_suppkey % 5 <> 0
+        UNION ALL SELECT 'n' || s_nationkey, 'S' || l_suppkey, 'm' || m, 'returns', 'type', if(m % 2 = 1, 'Promise<S' || ({returned}) || '>', 'S' || ({returned}) || ' | undefined'), {none} FROM {own} JOIN {{supplier}} ON l_suppkey = s_suppkey WHERE m % 3 <> 2""")
+    named = facts.select("file", F.regexp_extract("base", r"S\d+", 0).alias("local")).distinct()
+    bindings = named.join(decls.filter("kind = 'class'").select(F.col("name").alias("local"), F.col("id").alias("target"), F.col("file").alias("of")), "local").filter("file <> of").select("file", "local", "target", F.lit(None).cast("string").alias("module"))
+    calls = sql("""SELECT cast(o_orderkey AS string) AS call_id, 'n' || s_nationkey AS file, 'this' AS base_kind, 'S' || s_suppkey AS base, array(named_struct('op', 'call', 'name', 'm' || o_orderkey % 6), named_struct('op', 'await', 'name', cast(null AS string)),
+        named_struct('op', 'call', 'name', 'm' || o_orderkey div 6 % 6), named_struct('op', 'await', 'name', cast(null AS string))) AS steps, 'm' || o_orderkey div 36 % 6 AS method FROM {orders} JOIN {supplier} ON s_suppkey = o_custkey % (SELECT count(*) FROM {supplier}) + 1""")
+    return inference.infer(decls, bindings, facts, calls).select(F.col("call_id").cast("long").alias("call_id"), "target")
