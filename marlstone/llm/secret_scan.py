@@ -4,7 +4,8 @@ Candidates are runs of at least WINDOW token characters.  In each run the entrop
 characters is followed by counts that change by two characters a step.  The class of a run (digits, hexadecimal, letters
 of one case, letters of both cases, letters and digits) has a limit of its own; a run with a window that reaches it is a
 span as a whole.  Runs that the allow-list matches (words and numbers joined by marks, names of capitalised words,
-UUIDs) are dropped, and so are spans inside a base span; base spans always stay.
+UUIDs) are dropped, and so are spans inside a base span; base spans always stay.  Letters of one case count as words by
+their shape alone: enough vowels, no long rows of consonants, few rare letters.
 
 Defined cases: null and empty texts have no spans; very long texts and runs are scanned whole; positions count code points;
 repeated rows are each scanned; extra columns are ignored; an empty table gives an empty result.
@@ -31,12 +32,16 @@ WINDOW = 24
 _DIGITS, _UPPER, _LOWER = set("0123456789"), set("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), set("abcdefghijklmnopqrstuvwxyz")
 _HEX_DIGITS = _DIGITS | set("abcdefABCDEF")
 #: Bits a character that a window of a class must reach; 24 random characters of a class mostly do.
-LIMITS = {"digits": 2.9, "hex": 3.0, "one case": 4.2, "letters": 4.1, "mixed": 3.9}
+LIMITS = {"digits": 2.9, "hex": 3.0, "one case": 3.6, "letters": 4.1, "mixed": 3.9}
 _PART = "(?:[A-Z]?[a-z]+[0-9]{0,3}|[A-Z]+[0-9]{0,3}|[0-9]{1,17}|v[0-9.]+)"
 _ALLOWED = (
     re.compile(rf"[-_/+]*(?:{_PART}(?:[-_/+]+{_PART})*)?[-_/+]*=*\Z"),  # words and numbers joined by marks, rules
     re.compile(r"(?i:[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12})\Z"),  # UUIDs
 )
+_VOWELS, _RARE = frozenset("aeiouyAEIOUY"), frozenset("jkqwxzJKQWXZ")
+_CONSONANTS = re.compile(r"[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]+")
+#: Shape of words: least share of vowels, most consonants in a row, greatest share of rare letters, and letters of a part between marks.
+LEAST_VOWELS, MOST_CONSONANTS, MOST_RARE, MOST_PART = 0.26, 7, 0.13, 14
 _CAPITALISED = re.compile(r"[a-z]*(?:[A-Z][a-z]+|[A-Z]+(?=[A-Z][a-z]|[0-9]|\Z))+[0-9]{0,3}\Z")
 _GAIN = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 
@@ -84,8 +89,21 @@ def _class(run: str) -> str | None:
     return "one case" if upper or lower else None
 
 
-def _allowed(run: str) -> bool:
+def _wordlike(run: str) -> bool:
+    """Whether the letters of a run of one case look like words; short parts between marks need vowels alone."""
+    parts = re.findall("[A-Za-z]+", run)
+    letters = "".join(parts)
+    vowels = sum(c in _VOWELS for c in letters) / len(letters)
+    if len(parts) > 2 and max(map(len, parts)) <= MOST_PART:
+        return vowels >= LEAST_VOWELS
+    rows = max((len(m) for m in _CONSONANTS.findall(run)), default=0)
+    return vowels >= LEAST_VOWELS and rows <= MOST_CONSONANTS and sum(c in _RARE for c in letters) <= MOST_RARE * len(letters)
+
+
+def _allowed(run: str, kind: str) -> bool:
     """Names of capitalised words have few capitals."""
+    if kind == "one case":
+        return _wordlike(run)
     if any(p.match(run) for p in _ALLOWED):
         return True
     return 4 * sum(c in _UPPER for c in run) <= len(run) and _CAPITALISED.match(run) is not None
@@ -97,7 +115,7 @@ def entropy_spans(text: str) -> list[tuple[int, int, str]]:
     for m in _RUN.finditer(text):
         run, at = m[0], m.start()
         kind = _class(run)
-        if kind is None or _allowed(run):
+        if kind is None or _allowed(run, kind):
             continue
         limit = LIMITS[kind] - 1e-9
         if any(bits >= limit for bits in window_entropies(run)):
@@ -111,8 +129,14 @@ def find_secrets(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int,
     extra = entropy_spans(text)
     if not extra:
         return base, base
-    extra = [s for s in extra if not any(b[0] <= s[0] and s[1] <= b[1] for b in base)]
-    return base, sorted(base + extra, key=lambda s: (s[0], KINDS.index(s[2])))
+    kept, at, furthest = [], 0, 0
+    for s in extra:  # both lists go by start: one sweep with the furthest end of the base spans that begin no later
+        while at < len(base) and base[at][0] <= s[0]:
+            furthest = max(furthest, base[at][1])
+            at += 1
+        if s[1] > furthest:
+            kept.append(s)
+    return base, sorted(base + kept, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def redact(text: str, mark: str = "[SECRET]") -> str:
