@@ -3,16 +3,16 @@
 Mark-up is stripped to lines, one for each block; runs of white space in a block become one space.  Lines in menus,
 headers of the page, footers, sidebars, notices, adverts, forms, comment sections and the like are noise and taken out.
 Any other line weighs as many characters as it has, or nothing if it is mostly links.  The weights are summed over a
-window of lines that slides over the page, and over each article or main element by itself.  A surge is where the
-window sum leaves zero and a dive where it returns to zero; what lies between a surge and its dive is a stretch, and the
-lines of stretches are the text.  So a run of at least WINDOW link lines ends a stretch: a long run of links is
-navigation, in an article too, while fewer between lines of text belong to it.
+window of lines that slides over the page.  A surge is where the window sum reaches SURGE and a dive where it falls below
+DIVE; the lines between a surge and its dive are the text.  So short untagged lines (navigation by words, credits,
+imprints) that lie further than a window from the paragraphs fall away, and short lines among paragraphs stay.  A page whose windows never surge keeps every line that weighs.
 
-Stretches of article and main elements are taken if there are any, with link lines at the ends of the element if they
-are fewer than WINDOW; else those of the page, which begin and end with a line that weighs.
+Where the page marks its article (article or main elements), its own bounds stand for surge and dive: all lines in
+them that are no noise are the text, link lists too, for a run's length cannot tell a list of sources from a menu.
 
 Elements are noise by their tag, or by a name in class, id, role or aria-label: a name that is one of the noise words,
-or made of noise words and words for parts of a page.  So `share-buttons` is noise and `share-price` is not.
+or made of noise words and words for parts of a page, or that begins with a word which names nothing else.  So
+`share-buttons` and `comment-list-new` are noise and `share-price` is not.
 
 The scanner takes time linear in the page.  Attribute values end as HTML has it: at their quote, or unquoted at white
 space or `>`.
@@ -32,17 +32,17 @@ from pyspark.sql import DataFrame
 
 from marlstone.llm.common import map_batches, str_texts
 
-#: Lines in the sliding window.
-WINDOW = 3
+#: Lines in the sliding window, and characters in it at a surge and at a dive.
+WINDOW, SURGE, DIVE = 3, 140, 70
 #: Share of a line's characters in links from which it weighs nothing: anywhere, and in an article or main element.
 LINK_SHARE, MAIN_LINK_SHARE = 0.6, 0.9
 
 _OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z]|/)")
 _NAME = re.compile(r"[^\s/>]*")
 _ATTRIBUTE = re.compile(r"""[\s/]*(?:([^\s/>=][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?|=)""")
-_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "title", "xmp", "noembed", "noframes", "math", "object")}
+_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "title", "xmp", "noembed", "noframes", "annotation", "annotation-xml")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo mrow mfrac msup msub msubsup msqrt mroot mtext munder mover munderover mstyle mpadded semantics".split())
 #: Tags whose end may be left out, and those that an open paragraph does not reach into.
 _CLOSING = frozenset("p li dt dd tr td th option".split())
 _PASSED = frozenset("p td th dt dd".split())
@@ -55,8 +55,10 @@ _NOISE_WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertisements advertising adbox adslot adsbygoogle banner sponsor sponsored promo promotion promotions nav navbar
     navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer header masthead topbar comment comments commentlist commentform disqus reply replies
     respond discussion cookie cookies consent gdpr notice notices alert alerts popup modal newsletter subscribe subscription share sharing social related recommended
-    recommendations widget widgets pagination pager login signup search complementary contentinfo toolbar teaser teasers outbrain taboola""".split()
+    recommendations opinions widget widgets pagination pager login signup search complementary contentinfo toolbar teaser teasers outbrain taboola""".split()
 )
+#: Noise words that name nothing else, whatever follows them in a name.
+_LEADING_NOISE = frozenset("breadcrumb breadcrumbs comment comments commentlist cookie cookies newsletter sidebar sidebars advert advertisement advertisements pagination disqus navbar".split())
 #: Words for parts of a page, which say nothing by themselves.
 _PART_WORDS = frozenset(
     """site page main global primary secondary top bottom left right upper lower box block section wrap wrapper container holder list bar link links post posts story stories
@@ -78,7 +80,7 @@ def noise_name(name: str, in_main: bool = False) -> bool:
     """Whether one name of a class, id or role stands for noise; a header in the article holds its title."""
     words = [w for w in (w.lower() for w in _WORD.findall(name)) if len(w) > 2 or w == "ad"]
     named = [w for w in words if w in _NOISE_WORDS and not (in_main and w == "header")]
-    return bool(named) and all(w in _NOISE_WORDS or w in _PART_WORDS for w in words)
+    return bool(named) and (words[0] in _LEADING_NOISE or all(w in _NOISE_WORDS or w in _PART_WORDS for w in words))
 
 
 def _is_noise(tag: str, attributes: list[tuple[str, str]], in_main: bool) -> bool:
@@ -230,31 +232,35 @@ def text_lines(html: str) -> list[tuple[str, int, int, bool]]:
     return lines
 
 
-def stretches(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
-    """[surge, dive) of each stretch of lines: a window of lines ends (surge) or begins (dive) in it while its sum is above zero."""
-    out, total, start = [], 0, None
-    n = len(weights)
-    for i in range(n + window - 1):  # the window ends at line i
-        total += weights[i] if i < n else 0
-        total -= weights[i - window] if i >= window else 0
-        if total and start is None:
-            start = i
-        elif not total and start is not None:
-            out.append((start, i - window + 1))
-            start = None
-    if start is not None:
-        last = max(i for i in range(n) if weights[i])
-        out.append((start, last + 1))
+def window_sums(weights: list[int], window: int = WINDOW) -> list[int]:
+    """The sum of each window of lines, by its first line; one window where there are fewer lines."""
+    total = sum(weights[:window])
+    out = [total]
+    for i in range(window, len(weights)):
+        total += weights[i] - weights[i - window]
+        out.append(total)
     return out
 
 
-def chosen(weights: list[int], around: bool) -> list[tuple[int, int]]:
-    """The stretches; with around, with the lines next to them that fewer than WINDOW lines without weight make."""
-    found = stretches(weights)
-    if not around:
-        return found
-    n, reach = len(weights), WINDOW - 1
-    return [(0 if a <= reach else a, n if n - b <= reach else b) for a, b in found]
+def stretches(weights: list[int], surge: int = SURGE, dive: int = DIVE, window: int = WINDOW) -> list[tuple[int, int]]:
+    """[first, end) of the lines from each surge to its dive: a stretch begins with the first line that weighs in the window that
+    surges, and ends with the last one that weighs in the window before the dive."""
+    out: list[tuple[int, int]] = []
+    start = None
+    sums = window_sums(weights, window)
+    for i, total in enumerate([*sums, -1]):
+        if start is None and total >= surge:
+            start = i
+        elif start is not None and total < dive:
+            first, last = max(start, out[-1][1] if out else 0), min(len(weights), i + window - 1)  # the window before reaches so far
+            while first < last and not weights[first]:
+                first += 1
+            while last > first and not weights[last - 1]:
+                last -= 1
+            if first < last:
+                out.append((first, last))
+            start = None
+    return out
 
 
 def extract_text(html: str) -> str:
@@ -262,13 +268,11 @@ def extract_text(html: str) -> str:
     if not html:
         return ""
     lines = [x for x in text_lines(html) if not x[3]]
-    regions: dict[int, list] = {}
-    for line in lines:
-        if line[2]:
-            regions.setdefault(line[2], []).append(line)
-    kept = [line[0] for region in regions.values() for a, b in chosen([x[1] for x in region], True) for line in region[a:b]]
+    kept = [line[0] for line in lines if line[2]]
     if not kept:
-        kept = [line[0] for a, b in chosen([x[1] for x in lines], False) for line in lines[a:b]]
+        found = stretches([x[1] for x in lines])
+        kept = [x[0] for a, b in found for x in lines[a:b]]
+        kept = kept or [line[0] for line in lines if line[1]]
     return "\n".join(kept)
 
 

@@ -44,8 +44,8 @@ def test_spans_inside_base_spans_add_nothing():
 
 def test_long_text_full_of_secrets():
     rng = random.Random(3)
-    text = " ".join("token: " + "".join(rng.choices(string.ascii_letters + string.digits, k=40)) for _ in range(43_000))
+    text = " ".join("token: " + "".join(rng.choices(string.ascii_letters + string.digits, k=40)) for _ in range(46_000))
     assert len(text) > 2 << 20
     began = time.perf_counter()
     base, _ = S.find_secrets(text)
-    assert len(base) == 43_000 and time.perf_counter() - began < 10
+    assert len(base) == 46_000 and time.perf_counter() - began < 10

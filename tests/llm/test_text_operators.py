@@ -133,7 +133,7 @@ def brute_entropy_spans(text):
             continue
         windows = [Counter(run[i : i + 24]) for i in range(len(run) - 23)]
         best = max(-sum(n / 24 * math.log2(n / 24) for n in w.values()) for w in windows)
-        if best >= secret_scan.LIMITS[kind] - 1e-9 and not secret_scan._allowed(run):
+        if best >= secret_scan.LIMITS[kind] - 1e-9 and not secret_scan._allowed(run, kind):
             out.append((m.start(), m.end()))
     return out
 
@@ -196,7 +196,9 @@ def test_html_without_main_element_keeps_the_whole_article():
         ("<article class='comment'><p>Nice post</p></article><article><p>One.</p></article>", "One."),
         ("<section class='user-comments'><article><p>Nice post</p></article></section><p>One.</p>", "One."),
         ("<article><p title=it's>One.</p><p title='a>b'>Two.</p><p title=\"it's\">Three.</p></article>", "One.\nTwo.\nThree."),
-        ("<article><p>One.</p>" + "<li><a href=x>Elsewhere</a></li>" * 3 + "<p>Two.</p></article>", "One.\nTwo."),
+        ("<article><p>One.</p>" + "<li><a href=x>Elsewhere</a></li>" * 3 + "<p>Two.</p></article>", "One.\nElsewhere\nElsewhere\nElsewhere\nTwo."),
+        ("<article><p>Let <math><mi>x</mi> <mo>=</mo> <mn>2</mn></math> be given.</p><p>An <object data=x>old player</object> too.</p></article>", "Let x = 2 be given.\nAn\nold player\ntoo."),
+        ("<p>One.</p><div class='breadcrumb-trail'>Home</div><div class='comment-list-wrapper-new'>Nice</div><section id='reader-opinions'>Bad</section>", "One."),
         ("<article><header class=entry-header><h1>Title</h1></header><p>One.</p><div class=entry-footer>Tags</div></article>", "Title\nOne."),
         ("<article><p class=ad>Buy<h2>Head</h2><p>One &#99999999999999999999; a &lt; b &amp;amp;</article>", "Head\nOne \ufffd a < b &amp;"),
         ("<article><p>1 < 2 and <3 <b unclosed", "1 < 2 and <3 <b unclosed"),
@@ -218,18 +220,45 @@ def test_html_takes_linear_time():
 
 
 def test_stretches():
-    """Against the definition: windows of WINDOW lines with a sum above zero, from the line their run begins at to the last that weighs."""
+    """Against the definition: runs of windows from one that surges on, as long as none dives, and the weighing lines they reach to."""
     rng = random.Random(4)
-    for _ in range(500):
-        weights = [rng.choice([0, 0, 0, 1, 5]) for _ in range(rng.randint(0, 14))]
-        heavy = [i for i, w in enumerate(weights) if w]
-        want: list = []
-        for i in heavy:
-            if want and i - want[-1][1] <= html_text.WINDOW:
-                want[-1][1] = i
-            else:
-                want.append([i, i])
-        assert html_text.stretches(weights) == [(a, b + 1) for a, b in want]
+    for _ in range(800):
+        weights = [rng.choice([0, 0, 0, 1, 5, 9]) for _ in range(rng.randint(0, 16))]
+        sums = [sum(weights[i : i + 3]) for i in range(max(1, len(weights) - 2))]
+        assert html_text.window_sums(weights) == sums
+        want, taken, i = [], 0, 0
+        while i < len(sums):
+            if sums[i] < 10:
+                i += 1
+                continue
+            j = i
+            while j < len(sums) and sums[j] >= 4:
+                j += 1
+            heavy = [k for k in range(max(i, taken), min(len(weights), j + 2)) if weights[k]]
+            if heavy:
+                want.append((heavy[0], heavy[-1] + 1))
+                taken = heavy[-1] + 1
+            i = j + 1
+        assert html_text.stretches(weights, 10, 4) == want
+
+
+UNTAGGED = "<div>Home of the paper</div><div>Sign in</div><div>Weather</div><div>Letters</div>" + "<h1>A title of some words</h1><p>" + "Sentences of the article go on. " * 9 + "</p><p>Short.</p><p>" + "More of them follow here. " * 9 + "</p><p>The end.</p>" + "<div>Printed on paper</div>" * 4
+
+
+def test_windows_decide_untagged_pages(monkeypatch):
+    """Short lines without tags or names of their own, apart from the paragraphs, are told by the windows alone."""
+    lines = html_text.extract_text(UNTAGGED).split("\n")
+    assert "Short." in lines and "The end." in lines and "A title of some words" in lines
+    assert "Home of the paper" not in lines and "Sign in" not in lines and lines.count("Printed on paper") < 3
+    monkeypatch.setattr(html_text, "stretches", lambda weights: [(0, len(weights))])
+    off = html_text.extract_text(UNTAGGED).split("\n")
+    assert "Home of the paper" in off and off.count("Printed on paper") == 4
+
+
+def test_windows_decide_a_table_of_pages(spark):
+    rows = [(i, f"u{i}", UNTAGGED.replace("article", f"article {i}")) for i in range(20)]
+    got = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 20 and all(not r.text.startswith("Home") and f"article {r.page_id}" in r.text for r in got)
 
 
 def brute_article(html):
