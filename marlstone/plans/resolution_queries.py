@@ -145,3 +145,30 @@ def _(v: Views):
     calls = sql("""SELECT cast(o_orderkey AS string) AS call_id, 'n' || s_nationkey AS file, 'this' AS base_kind, 'S' || s_suppkey AS base, array(named_struct('op', 'call', 'name', 'm' || o_orderkey % 6), named_struct('op', 'await', 'name', cast(null AS string)),
         named_struct('op', 'call', 'name', 'm' || o_orderkey div 6 % 6), named_struct('op', 'await', 'name', cast(null AS string))) AS steps, 'm' || o_orderkey div 36 % 6 AS method FROM {orders} JOIN {supplier} ON s_suppkey = o_custkey % (SELECT count(*) FROM {supplier}) + 1""")
     return inference.infer(decls, bindings, facts, calls).select(F.col("call_id").cast("long").alias("call_id"), "target")
+
+
+LABELLED = """d AS (SELECT 'part:' || p_partkey AS id, 'Sources/M' || (p_partkey % 6) || '/f' || (p_partkey % 4) || '.swift' AS file, 'm' || (p_partkey % 30) AS name, CASE WHEN p_partkey % 3 > 0 THEN 'T' || (p_partkey % 11) END AS container,
+        CASE WHEN p_partkey % 3 = 0 THEN 'function' WHEN p_partkey % 13 = 0 THEN 'enum_member' ELSE 'method' END AS kind, CASE p_partkey // 7 % 4 WHEN 0 THEN '' WHEN 1 THEN 'to' WHEN 2 THEN 'to:by' ELSE '_:completion' END AS labels, p_partkey % 2 = 0 AS exported, p_partkey % 6 AS m FROM part),
+    c AS (SELECT l_orderkey * 10 + l_linenumber AS call_id, 'Sources/M' || (l_suppkey % 6) || '/f' || (l_suppkey % 4) || '.swift' AS file, 'm' || (l_partkey % 30) AS base, l_suppkey % 6 AS m,
+        CASE cast(l_quantity AS bigint) % 5 WHEN 1 THEN '' WHEN 2 THEN 'to' WHEN 3 THEN 'to:*' WHEN 4 THEN '_:*' END AS labels, CASE l_orderkey % 5 WHEN 1 THEN 'self' WHEN 2 THEN 'T' || (l_partkey % 11) WHEN 3 THEN 'x' END AS receiver, CASE WHEN l_orderkey % 7 = 0 THEN 'T' || (l_suppkey % 11) END AS receiver_type, CASE WHEN l_linenumber % 2 = 0 THEN 'T' || (l_orderkey % 11) END AS container FROM lineitem)"""
+
+
+@query("res_13_labelled_calls", f"""WITH {LABELLED}, k AS (
+        SELECT call_id, 0 AS rung, id, d.file = c.file AS near, c.labels AS cl, d.labels AS dl FROM c JOIN d ON d.container = c.container AND name = base AND kind = 'method' WHERE receiver IS NULL OR receiver = 'self'
+        UNION ALL SELECT call_id, 1, id, d.file = c.file, c.labels, d.labels FROM c JOIN d ON d.container = receiver_type AND name = base AND kind = 'method'
+        UNION ALL SELECT call_id, 2, id, d.file = c.file, c.labels, d.labels FROM c JOIN d ON d.container = receiver AND name = base AND kind = 'method' WHERE receiver LIKE 'T%'
+        UNION ALL SELECT call_id, 3, id, d.file = c.file, c.labels, d.labels FROM c JOIN d ON d.container = receiver AND name = base AND kind = 'enum_member' WHERE receiver LIKE 'T%'
+        UNION ALL SELECT call_id, 4, id, d.file = c.file, c.labels, d.labels FROM c JOIN d ON name = base AND kind = 'function' AND (d.m = c.m OR (d.m = (c.m + 1) % 6 AND (exported OR c.m = 2))) WHERE receiver IS NULL),
+    f AS (SELECT *, coalesce(len(string_split(cl, ':')) = len(string_split(dl, ':')) AND (cl = '') = (dl = '') AND len(list_filter(list_zip(string_split(cl, ':'), string_split(dl, ':')), lambda x: x[1] <> '*' AND x[1] <> x[2])) = 0, false) AS fits FROM (SELECT *, min(rung) OVER (PARTITION BY call_id) AS least FROM k) WHERE rung = least),
+    g AS (SELECT * FROM (SELECT *, bool_or(fits) OVER (PARTITION BY call_id) AS any_fits, count(*) OVER (PARTITION BY call_id) AS n FROM f) WHERE n = 1 OR NOT any_fits OR fits),
+    h AS (SELECT * FROM (SELECT *, bool_or(near) OVER (PARTITION BY call_id) AS close FROM g) WHERE near OR NOT close)
+    SELECT call_id, CASE WHEN count(*) = 1 THEN min(id) END AS target_id, CASE rung WHEN 3 THEN 'references' ELSE 'calls' END AS kind, CASE rung WHEN 0 THEN 'same_container' WHEN 1 THEN 'type_annotation' WHEN 2 THEN 'qualifier_type' WHEN 3 THEN 'enum_case' ELSE 'swift-module' END AS method, count(*) AS candidates FROM h GROUP BY call_id, rung""")
+def _(v: Views):
+    from marlstone.operators import selectors
+
+    text = "WITH " + LABELLED.replace("//", "div").replace("FROM part)", "FROM {part})").replace("FROM lineitem)", "FROM {lineitem})")
+    split = "if(labels = '', cast(array() AS array<string>), split(labels, ':'))"
+    decls = v._spark.sql(f"{text} SELECT id, file, name, container, kind, {split} AS labels, exported FROM d", part=v.part, lineitem=v.lineitem)
+    calls = v._spark.sql(f"{text} SELECT call_id, file, if(labels IS NULL, base, base || '(' || if(labels = '', '', labels || ':') || ')') AS target, receiver, receiver IS NOT NULL AS is_method, receiver_type, container FROM c", part=v.part, lineitem=v.lineitem)
+    imports = calls.select("file", F.regexp_extract("file", r"M(\d)", 1).cast("int").alias("m")).distinct().select("file", F.concat(F.lit("M"), (F.col("m") + 1) % 6).alias("module"), (F.col("m") == 2).alias("testable"))
+    return selectors.resolve_calls(calls, decls, imports)
