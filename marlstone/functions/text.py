@@ -92,12 +92,17 @@ def is_low_value_path(path: Column) -> Column:
 
 
 def glob_to_regex(glob: str) -> str:
-    """A path glob as an anchored regular expression: ** crosses directories, * and ? do not."""
+    """A path glob as an anchored regular expression: ** crosses directories, * and ? do not, [a-c] and [!a-c] are one character."""
     import re
 
     out, i = "", 0
     while i < len(glob):
-        if glob.startswith("**/", i):
+        held = re.match(r"\[([!^]?)(\]?[^\]/]*)\]", glob[i:])
+        if held and held[2]:
+            out, i = out + f"[{'^/' if held[1] else ''}{re.sub(r'([\\^&~|[])', r'\\\1', held[2])}]", i + held.end()
+        elif glob[i] == "\\" and i + 1 < len(glob):
+            out, i = out + re.escape(glob[i + 1]), i + 2
+        elif glob.startswith("**/", i):
             out, i = out + "(?:.*/)?", i + 3
         elif glob.startswith("**", i):
             out, i = out + ".*", i + 2
@@ -128,15 +133,38 @@ def ignore_rule(line: str) -> tuple[str, bool] | None:
     return f"^{'' if rooted else '(?:.*/)?'}{body}{'/.*' if folder else '(?:/.*)?'}$", back
 
 
-def ignored(path: Column, rules: list[str]) -> Column:
-    """Whether an ignore file leaves a path out: the last line that matches decides, but nothing below a folder that is left out by
-    itself can be taken back."""
-    out = F.lit(False)
-    for line in rules:
-        if (rule := ignore_rule(line)) is not None:
-            pattern, back = rule
-            out = F.when(path.rlike(pattern), F.lit(not back)).otherwise(out)
-    return out
+def exact_rule(line: str, folder: str = "") -> tuple[str, bool, bool] | None:
+    """A line of the ignore file in folder as (regular expression of what it names, whether it takes back, whether it names folders
+    only); None for comments and blank lines.  A pattern with a slash inside or in front is bound to the file's folder."""
+    line = line.rstrip("\n").rstrip(" ")
+    if not line or line.startswith("#"):
+        return None
+    back = line.startswith("!")
+    pattern = line[1:] if back else line
+    only_folders = pattern.endswith("/")
+    pattern = pattern.rstrip("/")
+    rooted = "/" in pattern
+    inside = glob_to_regex(folder)[1:-1] + "/" if folder else ""
+    return f"^{inside}{'' if rooted else '(?:.*/)?'}{glob_to_regex(pattern.lstrip('/'))[1:-1]}$", back, only_folders
+
+
+def ignored(path: Column, rules: list[str] | dict[str, list[str]]) -> Column:
+    """Whether ignore files leave a path out: lines of one file at the root, or of several by their folders, of which deeper ones go
+    before.  The last line that names a path decides; nothing below a folder that is left out can be taken back."""
+    files = rules if isinstance(rules, dict) else {"": rules}
+    ordered = [(line, folder) for folder in sorted(files, key=lambda f: (f.count("/") + bool(f), f)) for line in files[folder]]
+    parsed = [r for line, folder in ordered if (r := exact_rule(line, folder)) is not None]
+    parts = F.split(path, "/")
+    places = F.sequence(F.lit(1), F.size(parts))
+
+    def out(place: Column) -> Column:
+        prefix, is_folder, decided = F.array_join(F.slice(parts, 1, place), "/"), place < F.size(parts), F.lit(False)
+        for pattern, back, only_folders in parsed:
+            named = prefix.rlike(pattern) & is_folder if only_folders else prefix.rlike(pattern)
+            decided = F.when(named, F.lit(not back)).otherwise(decided)
+        return decided
+
+    return F.exists(places, out)
 
 
 def token_estimate(text: Column, by_bytes: bool = False) -> Column:

@@ -59,10 +59,10 @@ def _(v: Views):
     return L.coverage(v.pages.select(F.concat(F.regexp_replace("url", "[?#].*", ""), ending).alias("path")), "path", ("py",))
 
 
-IGNORE = ["# built", "build/", "*.min.js", "/vendor", "docs/**/draft*", "!docs/keep/draft7", "src1*"]
+IGNORE = ["# built", "build/", "*.min.js", "/vendor", "docs/**/draft*", "!docs/keep/draft7", "!a/build/src3", "lib/vendor/[0-4]*", "src1*"]
 
 
-@query("src_1_ignore_file", r"""SELECT path, CASE WHEN path LIKE 'src1%' OR regexp_matches(path, '(^|/)src1[^/]*(/|$)') THEN true WHEN regexp_full_match(path, 'docs/keep/draft7(/.*)?') THEN false WHEN regexp_full_match(path, 'docs/(.*/)?draft[^/]*(/.*)?') THEN true WHEN regexp_full_match(path, 'vendor(/.*)?') THEN true WHEN regexp_matches(path, '(^|/)[^/]*\.min\.js(/|$)') THEN true WHEN regexp_matches(path, '(^|/)build/') THEN true ELSE false END AS ignored FROM (
+@query("src_1_ignore_file", r"""SELECT path, CASE WHEN path LIKE 'src1%' OR regexp_matches(path, '(^|/)src1[^/]*(/|$)') THEN true WHEN regexp_full_match(path, 'lib/vendor/[0-4].*') THEN true WHEN regexp_full_match(path, 'docs/keep/draft7(/.*)?') THEN false WHEN regexp_full_match(path, 'docs/(.*/)?draft[^/]*(/.*)?') THEN true WHEN regexp_full_match(path, 'vendor(/.*)?') THEN true WHEN regexp_matches(path, '(^|/)[^/]*\.min\.js(/|$)') THEN true WHEN regexp_matches(path, '(^|/)build/') THEN true ELSE false END AS ignored FROM (
     SELECT DISTINCT CASE doc_id % 7 WHEN 0 THEN 'a/build/' || source WHEN 1 THEN 'js/x' || doc_id || '.min.js' WHEN 2 THEN 'vendor/' || source WHEN 3 THEN 'docs/' || lang || '/draft' || doc_id WHEN 4 THEN 'docs/keep/draft' || (doc_id % 9) WHEN 5 THEN source || '/main.c' ELSE 'lib/vendor/' || doc_id END AS path FROM documents)""")
 def _(v: Views):
     i = F.col("doc_id")
