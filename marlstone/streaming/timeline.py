@@ -5,11 +5,12 @@ stopped; sinks are idempotent (a batch is written under its number)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 
 def event_stream(spark: SparkSession, path: str, schema, file_format: str = "json", files_per_trigger: int = 64) -> DataFrame:
@@ -59,15 +60,52 @@ def refresh(sources: DataFrame, cache_path: str, extract: Callable[[DataFrame],
     return run_to_end(sources, checkpoint, each)
 
 
-def supersede(events: DataFrame, state_path: str, checkpoint: str) -> StreamingQuery:
-    """Keep a table of events with the record that superseded each; a batch's claims reach events of earlier batches too."""
-    spark = events.sparkSession
+class Superseded(StatefulProcessor):
+    """For each record id: its first record, its own mark and the least id that claims to supersede it.  A change is given out when the
+    record comes and whenever its mark changes."""
 
-    def each(batch: DataFrame, number: int) -> None:
-        from marlstone.sources.logs import superseded
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "record string, own string, by string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        record, own, by = self.held.get() if self.held.exists() else (None, None, None)
+        before = record is not None, own or by
+        for part in rows:
+            for r, o, b in zip(part["record"], part["own"], part["by"]):
+                if isinstance(r, str) and record is None:
+                    record, own = r, o if isinstance(o, str) else None
+                if isinstance(b, str) and (by is None or b < by):
+                    by = b
+        self.held.update((record, own, by))
+        if record is not None and before != (True, own or by):
+            yield pd.DataFrame({"id": [key[0]], "record": [record], "superseded_by": [own or by]})
 
-        old = f"{state_path}/v{number - 1}"
-        rows = batch if number == 0 else spark.read.parquet(old).unionByName(batch)
-        superseded(rows).write.mode("overwrite").parquet(f"{state_path}/v{number}")
+    def close(self) -> None:
+        pass
 
-    return run_to_end(events, checkpoint, each)
+
+def supersede(events: DataFrame, changes_path: str, checkpoint: str) -> StreamingQuery:
+    """Follow events (id, supersedes, superseded_by, more) and write the changes of each batch: records as they come, and again whenever
+    a later one supersedes them, at changes_path/batch=n.  State is kept by record id in a RocksDB store, so that a batch costs what it
+    holds, however many events came before; a replayed batch replaces its folder."""
+    spark = events.sparkSession
+    record = F.to_json(F.struct(*(c for c in events.columns if c != "superseded_by")))
+    none = F.lit(None).cast("string")
+    own = events.select("id", record.alias("record"), F.col("superseded_by").cast("string").alias("own"), none.alias("by"), F.col("supersedes").alias("of"))
+    each = F.explode(F.array(F.struct("id", "record", "own", none.alias("by")), F.struct(F.col("of").alias("id"), none.alias("record"), none.alias("own"), F.col("id").alias("by"))))
+    routed = own.select(each.alias("x")).select("x.*").filter("id is not null")  # a claim goes to the record that it names
+    changes = routed.groupBy("id").transformWithStateInPandas(Superseded(), "id string, record string, superseded_by string", "Update", "None")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    usual = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return run_to_end(changes, checkpoint, append_to(changes_path), "update")
+    finally:
+        spark.conf.set(provider, usual)
+
+
+def current(spark: SparkSession, changes_path: str, schema: str) -> DataFrame:
+    """The records (schema) with superseded_by as the last of their changes says."""
+    changes = spark.read.parquet(changes_path)
+    last = changes.groupBy("id").agg(F.max_by(F.struct("record", "superseded_by"), "batch").alias("x"))
+    return last.select(F.from_json("x.record", schema).alias("r"), "x.superseded_by").select("r.*", "superseded_by")

@@ -88,3 +88,35 @@ def test_strength(spark):
     got = {r.task: (r.strength, r.covered) for r in scope.strength(asked, made, ["a", "b", "c", "d"]).collect()}
     assert got == {"exact": ("strong", 0), "three": ("strong", 3), "some": ("moderate", 1), "files": ("weak", 0), "nothing": ("none", 0)}
     assert {r.strength for r in scope.strength(asked, made, ["a"]).filter("task in ('three', 'some')").collect()} == {"strong"}
+
+
+def _forget_last(check):
+    last = max(glob.glob(f"{check}/commits/[0-9]*"), key=lambda p: int(os.path.basename(p)))
+    for path in (last, f"{os.path.dirname(last)}/.{os.path.basename(last)}.crc"):
+        if os.path.exists(path):
+            os.remove(path)
+
+
+def test_claims_reach_events_of_earlier_batches(spark, tmp_path):
+    from marlstone.sources.logs import superseded
+
+    schema = "id string, kind string, supersedes string, superseded_by string"
+    batches = [
+        [("e1", "a", None, None), ("e2", "a", None, None), ("e3", "b", "later", None), ("e4", "b", "e1", None)],
+        [("later", "c", None, None), ("e5", "c", "e2", None), ("e6", "c", None, "marked"), ("e7", "c", "e6", None)],
+        [("e0", "d", "e1", None), ("e9", "d", "e2", None), ("ea", "d", "nothing", None)],
+    ]
+    changes, seen = f"{tmp_path}/changes", []
+    for n, rows in enumerate(batches):
+        seen += rows
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        for replay in (False, True):
+            if replay:
+                _forget_last(f"{tmp_path}/check")
+            timeline.supersede(spark.readStream.schema(schema).json(f"{tmp_path}/in"), changes, f"{tmp_path}/check")
+            got = {r.id: (r.kind, r.superseded_by) for r in timeline.current(spark, changes, "id string, kind string, supersedes string").collect()}
+            want = {r.id: (r.kind, r.superseded_by) for r in superseded(spark.createDataFrame(seen, schema)).collect()}
+            assert got == want
+    sizes = {r.batch: r.n for r in spark.read.parquet(changes).groupBy("batch").agg(F.count("id").alias("n")).collect()}
+    assert sizes[2] == 4  # three new records and the one that the least claim changes; nothing else is written again
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
