@@ -59,3 +59,23 @@ def _(v: Views):
 def _(v: Views):
     count = lambda df, side: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(side).alias("side"), "n")
     return count(v.snap_old.exceptAll(v.snap_new), "old").unionByName(count(v.snap_new.exceptAll(v.snap_old), "new"))
+
+
+TREE = """SELECT lang || '/' || source || '/p' || (doc_id % 7) || CASE WHEN doc_id % 3 = 0 THEN '/deep' ELSE '' END || '/' || doc_id AS path, CASE WHEN doc_id % 97 = 5 THEN 'new' ELSE lang || n_chars END AS hash, doc_id FROM documents"""
+
+
+@query("x_26_changed_folders", f"""WITH n AS ({TREE}), o AS (SELECT path, CASE WHEN hash = 'new' THEN 'old' ELSE hash END AS hash FROM n WHERE doc_id % 89 <> 3), m AS (SELECT path, hash FROM n WHERE doc_id % 83 <> 4),
+    f AS (SELECT coalesce(o.path, m.path) AS path, o.hash AS was, m.hash AS now FROM o FULL JOIN m USING (path)),
+    p AS (SELECT array_to_string(string_split(path, '/')[1:i], '/') AS path, i = len(string_split(path, '/')) AS is_file, was, now FROM f, unnest(range(0, len(string_split(path, '/')) + 1)) t(i))
+    SELECT path, is_file, CASE WHEN count(was) = 0 THEN 'added' WHEN count(now) = 0 THEN 'removed' ELSE 'changed' END AS change FROM p GROUP BY path, is_file HAVING bool_or(was IS DISTINCT FROM now)""")
+def _(v: Views):
+    from marlstone.operators import digests
+    from marlstone.work import shared_dir
+
+    import uuid
+
+    now = v._spark.sql(TREE.replace("FROM documents", "FROM {documents}"), documents=v.documents)
+    at = f"{shared_dir(v._spark)}/trees-{uuid.uuid4().hex}"
+    digests.store_tree(now.filter("doc_id % 89 <> 3").withColumn("hash", F.when(F.col("hash") == "new", "old").otherwise(F.col("hash"))), f"{at}/old")
+    digests.store_tree(now.filter("doc_id % 83 <> 4"), f"{at}/new")
+    return digests.changed(digests.stored_tree(v._spark, f"{at}/old"), digests.stored_tree(v._spark, f"{at}/new"))
