@@ -37,7 +37,7 @@ from marlstone.llm.common import CHUNK_BYTES, bounded_batches, byte_slices, byte
 from marlstone.work import bucketed
 
 #: Segments whose results travel to the workers at most, id pairs whose counts do, and segments that a task counts before it hands them on.
-HEAVY, HEAVY_PAIRS, HELD = 200_000, 100_000, 200_000
+HEAVY, HEAVY_PAIRS, HELD = 500_000, 100_000, 200_000
 #: Segments of a bucket, and slots dealt to a bucket.
 BUCKET_ROWS, SLOTS = 100_000, 16
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -251,6 +251,7 @@ class Laid:
         return pc.index_in(segments, value_set=self.rows.column("segment"))
 
     def with_rows(self, more: pa.Table) -> Laid:
+        """These results with more, in which a segment may stand several times."""
         return Laid(pa.concat_tables([self.rows, more])) if more.num_rows else self
 
     def sums_and_groups(self, found: list[list[str]]) -> tuple[np.ndarray, pa.Array]:
@@ -292,10 +293,10 @@ def _laid_out(docs: DataFrame, results: DataFrame, parts: int, keep, a_path: str
             found = [pair.segments(text) for text in str_texts(batch.column("text"))]
             segments = pa.array(itertools.chain.from_iterable(found), pa.string())
             row = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            missing = pc.is_null(shared.value.places(segments)).to_numpy(zero_copy_only=False)
-            own = sorted(set(zip(row[missing].tolist(), segments.filter(pa.array(missing)).to_pylist())))
-            at = pa.array([r for r, _ in own], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("k1").take(at), batch.column("k2").take(at), pa.array([s for _, s in own], pa.string())], schema=rare_schema)
+            missing = pc.is_null(shared.value.places(segments))
+            own = pa.table({"row": pa.array(row).filter(missing), "segment": segments.filter(missing)}).group_by(["row", "segment"]).aggregate([]).combine_chunks()
+            at = own.column("row")
+            yield from pa.Table.from_arrays([batch.column("k1").take(at), batch.column("k2").take(at), own.column("segment")], schema=rare_schema).to_batches()
 
     rare = docs.select("text", *key).mapInArrow(rare_of, "k1 long, k2 long, segment string")
     rare = keep(rare.withColumn("slot", slot_of("segment", parts)), "slot")
@@ -317,8 +318,7 @@ def _laid_out(docs: DataFrame, results: DataFrame, parts: int, keep, a_path: str
             cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // CHUNK_BYTES)) + 1).tolist(), batch.num_rows]
             for first, last in itertools.pairwise(cuts):
                 part = batch.slice(first, last - first)
-                own = {r["segment"]: r for r in part.column("rare").flatten().to_pylist()}
-                laid = shared.value.with_rows(pa.Table.from_struct_array(pa.array(own.values(), row_type)))
+                laid = shared.value.with_rows(pa.Table.from_struct_array(part.column("rare").flatten().cast(row_type)))
                 sums, groups = laid.sums_and_groups([pair.segments(unsqueeze(p).decode()) for p in part.column("packed").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(sums[:, i]) for i in range(len(NUMBERS))), groups], schema=out_schema)
 
