@@ -93,6 +93,17 @@ def plan_query(text: str) -> Plan:
     return plan
 
 
+def query_plans(tasks: DataFrame) -> DataFrame:
+    """task, concept, term, weight of tasks (task long, text): each planned by itself, a null text as an empty one."""
+
+    def run(frames):
+        for f in frames:
+            rows = [(t, c, term, float(plan.terms[term])) for t, text in zip(f["task"], f["text"]) for plan in (plan_query(text or ""),) for c, terms in plan.concepts.items() for term in terms]
+            yield pd.DataFrame(rows, columns=["task", "concept", "term", "weight"])
+
+    return tasks.select("task", "text").mapInPandas(run, "task long, concept string, term string, weight double")
+
+
 FIELDS = {"name": 10.0, "qualified_name": 4.0}
 
 

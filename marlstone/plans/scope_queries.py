@@ -105,3 +105,9 @@ def _(v: Views):
 def _(v: Views):
     left = v._spark.createDataFrame([(f"nation:{i}",) for i in (1, 2, 3)], "id string")
     return S.bridges(v.g_edges, v.g_nodes, left, v.g_nodes.filter("kind = 'variable'").select("id"))
+
+
+@query("sc_1_task_plans", """SELECT p_partkey AS task, concept, term, weight FROM part, LATERAL (SELECT * FROM (VALUES ('orders', 'orders', 1.0::double), ('orders', 'order', 0.55), ('small', 'small', 1.0), (lower(p_brand), 'brand', 1.15), (lower(p_brand), string_split(p_brand, '#')[2], 1.15)) t(concept, term, weight)) WHERE length(term) >= 2""")
+def _(v: Views):
+    """A task a part, each planned as terms by concept."""
+    return S.query_plans(v.part.select(F.col("p_partkey").alias("task"), F.concat(F.lit("who orders small "), "p_brand").alias("text")))

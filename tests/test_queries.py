@@ -10,7 +10,9 @@ import pytest
 from marlstone.plans import registry
 from marlstone.plans.views import TABLES
 
-QUERIES, ORACLE = registry.queries(), registry.oracle_sql()
+EXAMPLES = registry.examples()
+QUERIES = registry.queries() | {name: fn for name, (fn, _) in EXAMPLES.items()}
+ORACLE = registry.oracle_sql() | {name: sql for name, (_, sql) in EXAMPLES.items() if sql is not None}
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +61,7 @@ def test_is_stable(spark, sf_dir, name):
     a, b = (rows_of(df.columns, [tuple(r) for r in df.collect()]) for df in (QUERIES[name](spark, sf_dir), QUERIES[name](spark, sf_dir)))
     assert a == b
     assert a or name in {"mh_4_candidates"}
+
+
+def test_examples_are_not_registered():
+    assert set(EXAMPLES) == registry.FIXED and not registry.FIXED & set(registry.queries())
