@@ -144,3 +144,41 @@ def _(v: Views):
     groundings = v.groundings.select("entity_id", F.when(F.col("health") == "fresh", 0).otherwise(1).alias("rank"))
     relations = v.relations.select(F.col("source_id").alias("entity_id"), F.when(F.col("type") == "supersedes", 1).otherwise(0).alias("rank"))
     return R.entity_panel(v.entities.filter("status = 'draft'").select(F.col("position").alias("entity_id")), {"groundings": groundings, "relations": relations})
+
+
+CLUSTERS = """SELECT 'customer:' || c_custkey AS id, 'function' AS kind, c_name AS qualified_name, CASE WHEN c_custkey % 3 > 0 THEN 'nation' END AS container_id, 'd' || (c_nationkey % 7) AS file_path, cast(c_custkey % 30 AS bigint) AS start_line, cast(c_custkey % 30 + c_custkey % 13 AS bigint) AS end_line, c_custkey % 4 = 1 AS is_exported, 'c' || c_nationkey AS cluster FROM customer
+    UNION ALL SELECT 'supplier:' || s_suppkey, 'method', s_name, 'nation', 'd' || (s_nationkey % 7), cast(s_suppkey % 25 AS bigint), cast(s_suppkey % 25 + 2 AS bigint), s_suppkey % 2 = 0, 'c' || s_nationkey FROM supplier"""
+
+
+def _clusters(v: Views):
+    from marlstone.operators import cluster_context as C
+
+    nodes = v._spark.sql(CLUSTERS.replace("FROM customer", "FROM {customer}").replace("FROM supplier", "FROM {supplier}"), customer=v.customer, supplier=v.supplier)
+    names = nodes.select("id", "qualified_name", "kind", "container_id", "file_path", "start_line", "end_line", "is_exported")
+    context = C.context_nodes(nodes.select("cluster", "id"), names, v.g_edges, 40)
+    files = v.documents.filter("doc_id < 7").select(F.concat(F.lit("d"), "doc_id").alias("path"), F.col("text").alias("content"))  # seven files are what the clusters name
+    return C, context, C.context_blocks(context, files)
+
+
+NODES_OF = f""", n AS ({CLUSTERS}), k AS (SELECT *, is_exported OR container_id IS NULL AS primary_node FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY primary_node DESC, file_path, start_line, id) AS place, count(*) OVER (PARTITION BY cluster) AS total FROM k),
+    callers AS (SELECT target AS id, source, row_number() OVER (PARTITION BY target ORDER BY source) AS nth FROM (SELECT DISTINCT source, target FROM g_edges WHERE kind = 'calls' AND source <> target))"""
+
+
+@query("gr_19_context_nodes", NODES_OF + """ SELECT r.cluster, place, r.id, primary_node AS "primary", total, coalesce((SELECT string_agg(source, ',' ORDER BY nth) FROM callers WHERE callers.id = r.id AND nth <= 5 AND primary_node), '') AS callers FROM r WHERE place <= 40""", ("g_edges",))
+def _(v: Views):
+    return _clusters(v)[1].select("cluster", "place", "id", "primary", "total", F.array_join("callers", ",").alias("callers"))
+
+
+@query("gr_19_context_blocks", NODES_OF + """, t AS (SELECT 'd' || doc_id AS file_path, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS lines FROM documents WHERE doc_id < 7),
+    b AS (SELECT cluster, place, id, greatest(start_line - CASE WHEN primary_node THEN 3 ELSE 0 END, 1) AS first, end_line + CASE WHEN primary_node THEN 3 ELSE 0 END AS until, lines FROM r JOIN t USING (file_path) WHERE place <= 40 AND start_line >= 1),
+    c AS (SELECT cluster, place, id, first, least(until, len(lines)) AS last, lines FROM b)
+    SELECT cluster, place, id, first, cast(last AS bigint) AS last, md5(array_to_string(lines[first:last], chr(10))) AS content FROM c WHERE first <= last AND trim(regexp_replace(array_to_string(lines[first:last], ' '), '\\s+', ' ', 'g')) <> ''""".replace("\\\\", "\\"), ("g_edges",))
+def _(v: Views):
+    return _clusters(v)[2].select("cluster", "place", "id", "first", "last", F.md5("content").alias("content"))
+
+
+@query("gr_19_fitted_context")
+def _(v: Views):
+    """Blocks within the budget; held against a plain loop in the tests."""
+    C, context, blocks = _clusters(v)
+    return C.fit_context(context, blocks, 3000).drop("content")
