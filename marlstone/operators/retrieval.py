@@ -26,6 +26,11 @@ def _place(order: list, *within: str):
     return F.row_number().over(W.partitionBy(*(within or (F.lit(1),))).orderBy(*order))
 
 
+def _top(rows: DataFrame, order: list, most: int) -> DataFrame:
+    """The first `most` rows of the order with their place: each task gives its first ones, so that one task numbers `most` rows alone."""
+    return rows.orderBy(*order).limit(most).withColumn("place", _place(order))
+
+
 def region_alignment(hits: DataFrame, overlaps: DataFrame) -> DataFrame:
     """id, score, hit: each declaration's best alignment with a source hit.  hits: hit (its place from 0), file_path, first, last, rank
     (negative is better), n_concepts (of the query, in the hit).  overlaps: hit, id, place (from 0, of the declaration in the hit),
@@ -45,14 +50,14 @@ def choose_seeds(preferred: DataFrame, pool: DataFrame) -> DataFrame:
     """id, place: preferred(id, file_path, tier, rank) by tier and rank, then the best of pool(id, file_path, rank) in each file not yet
     seen, then the best of what is left, up to the three caps."""
     first = preferred.groupBy("id").agg(F.min(F.struct("tier", "rank")).alias("at"), F.min("file_path").alias("file_path"))
-    first = first.withColumn("place", _place(["at.tier", "at.rank", "id"])).filter(F.col("place") <= SEEDS_PREFERRED)
+    first = _top(first, ["at.tier", "at.rank", "id"], SEEDS_PREFERRED)
     n_first = first.agg(F.count(F.lit(1)).alias("n"))  # one row
     rest = pool.join(first.select("id"), "id", "left_anti")
     new = rest.join(first.select("file_path").distinct(), "file_path", "left_anti").withColumn("nth", _place(["rank", "id"], "file_path")).filter("nth = 1")
-    new = new.withColumn("place", _place(["rank", "id"])).join(F.broadcast(n_first)).filter(F.col("place") + F.col("n") <= SEEDS_FILES)
+    new = _top(new, ["rank", "id"], SEEDS_FILES).join(F.broadcast(n_first)).filter(F.col("place") + F.col("n") <= SEEDS_FILES)
     two = first.select("id", F.lit(0).alias("step"), "place").unionByName(new.select("id", F.lit(1).alias("step"), "place"))
     n_two = two.agg(F.count(F.lit(1)).alias("n"))  # one row
-    last = rest.join(new.select("id"), "id", "left_anti").withColumn("place", _place(["rank", "id"])).filter(F.col("place") <= SEEDS).join(F.broadcast(n_two)).filter(F.col("place") + F.col("n") <= SEEDS)
+    last = _top(rest.join(new.select("id"), "id", "left_anti"), ["rank", "id"], SEEDS).join(F.broadcast(n_two)).filter(F.col("place") + F.col("n") <= SEEDS)
     every = two.unionByName(last.select("id", F.lit(2).alias("step"), "place"))
     return every.select("id", _place(["step", "place"]).cast("long").alias("place"))
 
@@ -60,11 +65,11 @@ def choose_seeds(preferred: DataFrame, pool: DataFrame) -> DataFrame:
 def admit_files(files: DataFrame, most: int = 6, floor: int = 3) -> DataFrame:
     """file_path, tier, place of files(file_path, pinned, bridge, strong, source_rank, score): pinned files, those of a bridge, strong
     ones, up to `floor` of the best source hits, then by score."""
-    source = F.when(F.col("source_rank").isNotNull(), _place([F.col("source_rank").asc_nulls_last(), "file_path"]))
-    tier = F.when(F.col("pinned"), 0).when(F.col("bridge"), 1).when(F.col("strong"), 2).when(source <= floor, 3).otherwise(4)
-    rows = files.withColumn("tier", tier)
+    hit = files.filter("source_rank is not null").orderBy("source_rank", "file_path").limit(floor).select("file_path", F.lit(True).alias("hit"))
+    tier = F.when(F.col("pinned"), 0).when(F.col("bridge"), 1).when(F.col("strong"), 2).when(F.col("hit"), 3).otherwise(4)
+    rows = files.join(F.broadcast(hit), "file_path", "left").withColumn("tier", tier)  # hit: floor rows
     order = ["tier", F.when(F.col("tier") == 3, F.col("source_rank")).asc_nulls_last(), F.desc("score"), "file_path"]
-    return rows.withColumn("place", _place(order).cast("long")).filter(F.col("place") <= most).select("file_path", "tier", "place")
+    return _top(rows, order, most).select("file_path", "tier", F.col("place").cast("long").alias("place"))
 
 
 def admit_declarations(found: DataFrame, facets: DataFrame, most: int = 24, per_file: int = 4) -> DataFrame:
@@ -75,7 +80,7 @@ def admit_declarations(found: DataFrame, facets: DataFrame, most: int = 24, per_
     tier = F.when(F.col("facet_weight").isNotNull(), 0).when(F.col("in_file") == 1, 1).otherwise(2)
     rows = rows.withColumn("tier", tier).filter((F.col("tier") == 0) | (F.col("in_file") <= per_file))
     order = ["tier", F.col("facet_weight").desc_nulls_last(), F.desc("score"), "id"]
-    return rows.withColumn("place", _place(order).cast("long")).filter(F.col("place") <= most).select("id", "place", (F.col("tier") < 2).alias("reserved"))
+    return _top(rows, order, most).select("id", F.col("place").cast("long").alias("place"), (F.col("tier") < 2).alias("reserved"))
 
 
 def promote(admitted: DataFrame, spine: DataFrame) -> DataFrame:
@@ -83,9 +88,11 @@ def promote(admitted: DataFrame, spine: DataFrame) -> DataFrame:
     each taken the place of the weakest file that nothing protects; files of the spine are protected."""
     on = spine.groupBy("file_path").agg(F.min("step").alias("step"))
     kept = admitted.join(on.select("file_path", F.lit(True).alias("on_spine")), "file_path", "left")
-    weak = kept.filter(~F.col("protected") & F.col("on_spine").isNull()).withColumn("turn", _place(["score", F.desc("file_path")]))
-    lacking = on.join(admitted.select("file_path"), "file_path", "left_anti").withColumn("turn", _place(["step", "file_path"]))
-    swaps = lacking.join(weak.select("turn", F.col("file_path").alias("out")), "turn")
+    lacking = on.join(admitted.select("file_path"), "file_path", "left_anti")
+    n = lacking.count()  # a flow's files
+    lacking = _top(lacking, ["step", "file_path"], n)
+    weak = _top(kept.filter(~F.col("protected") & F.col("on_spine").isNull()), ["score", F.desc("file_path")], n)
+    swaps = lacking.join(weak.select("place", F.col("file_path").alias("out")), "place")
     stay = admitted.join(swaps.select(F.col("out").alias("file_path")), "file_path", "left_anti")
     return stay.select("file_path", F.lit(False).alias("promoted")).unionByName(swaps.select("file_path", F.lit(True).alias("promoted")))
 

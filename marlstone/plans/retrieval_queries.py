@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.operators import retrieval as R
+from marlstone.operators.ranking import numbered
 from marlstone.operators.source_ranges import merge_in_phase
 from marlstone.plans.registry import query
 from marlstone.plans.views import Views
 
-# Lines of orders hit the declarations of parts: a hit is an order of one day in twenty, its place its rank by price.
-HITS = """hits AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS hit, o_orderkey % 480 AS first, o_orderkey % 480 + 79 AS last, -((o_custkey % 9) / 100.0) AS rank, o_custkey % 4 AS n_concepts FROM orders WHERE o_orderkey % 20 = 3),
+# Lines of orders hit the declarations of parts: a hit is an order, its place its rank by price.
+HITS = """hits AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS hit, o_orderkey % 480 AS first, o_orderkey % 480 + 79 AS last, -((o_custkey % 9) / 100.0) AS rank, o_custkey % 4 AS n_concepts FROM orders),
     over AS (SELECT hit, 'part:' || l_partkey AS id, row_number() OVER (PARTITION BY hit ORDER BY l_partkey) - 1 AS place, p_partkey % 499 AS start_line, p_partkey % 499 + p_size AS end_line, p_size % 3 AS n_name FROM hits JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey)"""
 
 
@@ -18,8 +19,8 @@ def _hits(v: Views):
     from pyspark.sql import Window as W
 
     k = F.col("o_orderkey")
-    place = F.row_number().over(W.orderBy(F.desc("o_totalprice"), "o_orderkey")) - 1
-    hits = v.orders.filter(k % 20 == 3).select(k, place.alias("hit"), (k % 480).alias("first"), (k % 480 + 79).alias("last"), (-(F.col("o_custkey") % 9) / 100).alias("rank"), (F.col("o_custkey") % 4).alias("n_concepts"))
+    hits = numbered(v.orders, [F.desc("o_totalprice"), "o_orderkey"], "hit")
+    hits = hits.select(k, "hit", (k % 480).alias("first"), (k % 480 + 79).alias("last"), (-(F.col("o_custkey") % 9) / 100).alias("rank"), (F.col("o_custkey") % 4).alias("n_concepts"))
     lines = v.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey")).distinct()
     over = hits.select("o_orderkey", "hit").join(lines, "o_orderkey").join(v.part, "p_partkey")
     p = F.col("p_partkey")
@@ -39,10 +40,8 @@ def _(v: Views):
     three AS (SELECT id, place FROM (SELECT id, row_number() OVER (ORDER BY rank, id) AS place FROM rest WHERE id NOT IN (SELECT id FROM two)) WHERE place + (SELECT count(*) FROM one) + (SELECT count(*) FROM two) <= 24)
     SELECT id, row_number() OVER (ORDER BY step, place) AS place FROM (SELECT id, 0 AS step, place FROM one UNION ALL SELECT id, 1, place FROM two UNION ALL SELECT id, 2, place FROM three)""", ("g_links",))
 def _(v: Views):
-    from marlstone.operators.ranking import ranked
-
     p = v.part.select(F.concat(F.lit("part:"), "p_partkey").alias("id"), F.concat(F.lit("brand/"), "p_brand").alias("file_path"), "p_partkey", "p_size", "p_retailprice")
-    pool = ranked(p.withColumn("one", F.lit(1)), [F.desc("p_retailprice"), "p_partkey"], ["one"]).select("id", "file_path", "rank")
+    pool = numbered(p, [F.desc("p_retailprice"), "p_partkey"], "rank").select("id", "file_path", (F.col("rank") + 1).alias("rank"))
     preferred = p.filter("p_size = 7").select("id", "file_path", (F.col("p_partkey") % 3).alias("tier"), F.col("p_partkey").alias("rank"))
     return R.choose_seeds(preferred, pool)
 
