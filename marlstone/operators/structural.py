@@ -49,6 +49,16 @@ def who_calls(nodes: DataFrame, edges: DataFrame, unresolved: DataFrame, name: s
     return sure.unionByName(maybe).withColumn("rn", F.row_number().over(first)).filter("rn = 1").drop("rn")
 
 
+def what_calls(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """Callees of every declaration of a name, and of the file node where the name is an indexed path; one row a callee, in the order of the
+    least id that calls it."""
+    files = nodes.filter((F.col("kind") == "file") & (F.col("file_path") == name)).select("id")
+    sources = where_defined(nodes, name).select("id").union(files).distinct()
+    found = edges.filter(F.col("kind").isin(*CALL_KINDS)).join(sources.select(F.col("id").alias("source")), "source")
+    first = found.groupBy(F.col("target").alias("id")).agg(F.min("source").alias("by"), F.min("line").alias("line"))
+    return nodes.join(first, "id").orderBy("by", "id")
+
+
 def unresolved_sites(refs: DataFrame, name: str, limit: int) -> DataFrame:
     """Call sites by this name or ending in it after a dot or colons, with the number of all of them on each row."""
     import re

@@ -177,3 +177,17 @@ def _(v: Views):
 def _(v: Views):
     pages = v.documents.select(F.col("doc_id").cast("string").alias("path"), "text")
     return L.export_bundle(pages, f"{shared_dir(v._spark)}/bundle-{uuid.uuid4().hex}", 200, 100_000).select("path")
+
+
+RECORDS = """SELECT CASE doc_id % 5 WHEN 0 THEN 'docs/adr/' WHEN 1 THEN 'adr/' WHEN 2 THEN 'docs/adr/old/' WHEN 3 THEN 'doc/adrs/' ELSE 'notes/' END || doc_id || '.md' AS path, CASE WHEN doc_id % 2 = 0 THEN '# ' || lang || ' ' || doc_id || chr(10) ELSE '' END || text AS content, doc_id FROM documents"""
+
+
+@query("src_15_decision_records", f"""WITH f AS ({RECORDS}), r AS (SELECT *, string_split(regexp_replace(content, '\n$', ''), chr(10)) AS lines FROM f WHERE doc_id % 5 IN (0, 1, 3) AND doc_id % 11 <> 4),
+    h AS (SELECT *, list_filter(lines, lambda x: trim(x) LIKE '# %') AS heads FROM r) SELECT path, 'ADR: ' || CASE WHEN len(heads) > 0 THEN trim(regexp_replace(trim(heads[1]), '^#+', '')) ELSE cast(doc_id AS varchar) END AS summary, md5(array_to_string(lines[1:15], chr(10))) AS details FROM h""".replace("\\\\", "\\"))
+def _(v: Views):
+    from marlstone.sources import harvest
+
+    files = v._spark.sql(RECORDS.replace("FROM documents", "FROM {documents}"), documents=v.documents)
+    existing = files.filter("doc_id % 11 = 4").select(F.array(F.concat(F.lit("adr:"), "path")).alias("tags"))
+    found = harvest.decision_records(files, existing)
+    return found.select(F.col("files")[0].alias("path"), "summary", F.md5("details").alias("details"))

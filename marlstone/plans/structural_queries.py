@@ -306,3 +306,9 @@ def _(v: Views):
     live = v.g_nodes.filter("kind <> 'method'").select("id")
     kept = v.g_edges.join(live.withColumnRenamed("id", "source"), "source", "left_semi").join(live.withColumnRenamed("id", "target"), "target", "left_semi")
     return kept.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("join_5_what_calls", """, s AS (SELECT id FROM g_nodes WHERE (kind = 'file' AND file_path = 'order_11') OR (kind NOT IN ('file', 'module') AND (name = 'order_11' OR qualified_name = 'order_11')))
+    SELECT e.target AS id, min(e.source) AS by, min(e.line) AS line FROM g_edges e JOIN s ON e.source = s.id JOIN g_nodes n ON n.id = e.target WHERE e.kind = 'calls' GROUP BY e.target""", ("g_nodes", "g_edges"))
+def _(v: Views):
+    return S.what_calls(v.g_nodes, v.g_edges, "order_11").select("id", "by", "line")
