@@ -29,6 +29,8 @@ from marlstone.operators.ranking import numbered
 from marlstone.work import materialize
 
 BUCKETS, LEAD, SLICE = 64, 3, 128
+#: Decimal places of scores.
+PLACES = 9
 #: Weights of a declaration's fields.
 NODE_FIELDS = {"id": 0.0, "name": 10.0, "qualified_name": 4.0, "docstring": 1.0, "signature": 2.0}
 
@@ -177,7 +179,7 @@ class TextIndex:
         scored = materialize(self._best(self._postings(terms, False, first), idf, mean, limit), "best")
         last = scored.agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s")).first()  # one row
         least = last["s"] if last["n"] >= limit else float("-inf")
-        more = bound.filter(F.col("bound") >= least * (1 - 1e-12) if least > 0 else F.lit(True)).join(first, ["gen", "slice"], "left_anti")
+        more = bound.filter(F.col("bound") >= least - 10**-PLACES if least > 0 else F.lit(True)).join(first, ["gen", "slice"], "left_anti")
         more = materialize(more, "more")
         both = scored.unionByName(self._best(self._postings(terms, False, more), idf, mean, limit))
         return both.orderBy(F.desc("score"), "doc").limit(limit), first.count() + more.count(), bound.count()
@@ -188,7 +190,8 @@ class TextIndex:
 
     def _best(self, postings: DataFrame, idf: dict[str, float], mean: float, limit: int) -> DataFrame:
         part = impact(self._idf(idf, "asked"), F.col("tf"), F.col("dl"), mean)
-        return postings.groupBy("doc").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("matched")).orderBy(F.desc("score"), "doc").limit(limit)
+        # rounded, so that the order of a sum's terms decides no tie
+        return postings.groupBy("doc").agg(F.round(F.sum(part), PLACES).alias("score"), F.count(F.lit(1)).alias("matched")).orderBy(F.desc("score"), "doc").limit(limit)
 
 
 def impact(idf: Column, tf: Column, dl: Column, mean: float) -> Column:

@@ -22,7 +22,7 @@ def _bm25(rows: str, fields: dict[str, float], terms: tuple[str, ...], limit: in
     asked = ", ".join(f"'{t}'" for t in terms)
     return f"""WITH words AS (SELECT doc, {words} FROM ({rows})), dl AS (SELECT doc, {length} AS dl FROM words), post AS (SELECT doc, term, sum(w) AS tf FROM ({hits}) WHERE term IN ({asked}) GROUP BY ALL),
     s AS (SELECT doc, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score, count(*) AS matched FROM post JOIN dl USING (doc) JOIN (SELECT term, count(*) AS df FROM post GROUP BY term) USING (term), (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl) GROUP BY doc)
-    SELECT doc, round(score, 6) AS score, matched FROM s ORDER BY s.score DESC, doc LIMIT {limit}"""
+    SELECT doc, round(score, 6) AS score, matched FROM s ORDER BY round(s.score, 9) DESC, doc LIMIT {limit}"""
 
 
 def _index(v: Views, name: str, fields: dict[str, float]) -> TextIndex:

@@ -23,7 +23,8 @@ def frame(spark, rows):
 
 
 def over_texts(df, terms, limit, prefix=False):
-    return [(r.doc, round(r.score, 9), r.matched) for r in fulltext.bm25(df, "key", FIELDS, terms, limit, prefix).collect()]
+    rows = [(r.doc, round(r.score, 9), r.matched) for r in fulltext.bm25(df, "key", FIELDS, terms, None, prefix).collect()]
+    return sorted(rows, key=lambda r: (-r[1], r[0]))[:limit]
 
 
 def found(index, terms, limit, prefix=False):
