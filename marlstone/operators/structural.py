@@ -117,16 +117,19 @@ def shared_neighbours(edges: DataFrame, given: DataFrame, least: int = 2, limit:
 
 def resolve_refs(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """ref_id, state (Missing, Resolved, Ambiguous), id of references (ref_id, ref_kind, ref_path, ref_name): within the
-    path, exact qualified names go before names of the same kind, these before any name; the first stage with a hit decides."""
-    n = nodes.select("id", F.col("file_path").alias("ref_path"), F.col("kind"), "name", "qualified_name")
-    hit = refs.join(n, "ref_path", "left").withColumn(
-        "stage",
-        F.when(F.col("qualified_name") == F.col("ref_name"), 0).when((F.col("name") == F.col("ref_name")) & T.kinds_equivalent(F.col("kind"), F.col("ref_kind")), 1).when(F.col("name") == F.col("ref_name"), 2),
-    )
-    best = hit.groupBy("ref_id").agg(F.min(F.when(F.col("stage").isNotNull(), F.struct("stage", "id"))).alias("best"), *(F.count(F.when(F.col("stage") == s, 1)).alias(f"n{s}") for s in range(3)))
-    n_best = F.when(F.col("n0") > 0, F.col("n0")).when(F.col("n1") > 0, F.col("n1")).otherwise(F.col("n2"))
+    path, exact qualified names go before names of the same kind, these before any name; the first stage with a hit decides.
+
+    Nodes are counted by path and name before the join, so that a reference meets one row a kind, however many bear its name."""
+    n = nodes.select("id", F.col("file_path").alias("ref_path"), "kind", "name", "qualified_name")
+    counts = [F.count(F.lit(1)).alias("n"), F.min("id").alias("id")]
+    full = n.groupBy("ref_path", F.col("qualified_name").alias("ref_name")).agg(*counts)
+    bare = n.groupBy("ref_path", F.col("name").alias("ref_name"), "kind").agg(*counts)
+    exact = refs.join(full, ["ref_path", "ref_name"]).select("ref_id", F.lit(0).alias("stage"), "n", "id")
+    named = refs.join(bare, ["ref_path", "ref_name"]).select("ref_id", F.when(T.kinds_equivalent(F.col("kind"), F.col("ref_kind")), 1).otherwise(2).alias("stage"), "n", "id")
+    best = exact.unionByName(named).groupBy("ref_id").agg(F.min(F.struct("stage", "id")).alias("best"), *(F.sum(F.when(F.col("stage") == s, F.col("n"))).alias(f"n{s}") for s in range(3)))
+    n_best = F.coalesce("n0", "n1", "n2", F.lit(0))
     state = F.when(n_best == 0, "Missing").when(n_best == 1, "Resolved").otherwise("Ambiguous")
-    return best.select("ref_id", state.alias("state"), F.when(n_best == 1, F.col("best.id")).alias("id"))
+    return refs.select("ref_id").distinct().join(best, "ref_id", "left").select("ref_id", state.alias("state"), F.when(n_best == 1, F.col("best.id")).alias("id"))
 
 
 def for_code(groundings: DataFrame, entities: DataFrame, wanted: DataFrame, rank_of: Column) -> DataFrame:
