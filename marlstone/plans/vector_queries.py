@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marlstone.operators import vectors as E
 from marlstone.plans.registry import query
 from marlstone.plans.views import Views
+from marlstone.work import materialize
 
 ASKED = "(SELECT embedding FROM embeddings WHERE vec_id = 7)::double[]"
 
@@ -82,10 +83,11 @@ def _(v: Views):
 def _(v: Views):
     """Recall, and the share of the table that a query looks at."""
     asked = v.embeddings.filter("vec_id % 50 = 0")
-    looked = E.candidates(v.embeddings, asked, 64).agg(F.count(F.lit(1)).alias("looked"))
+    near = E.candidates(v.embeddings, asked, 64)
+    looked = near.agg(F.count(F.lit(1)).alias("looked"))
     sizes = asked.agg(F.count(F.lit(1)).alias("asked")).join(v.embeddings.agg(F.count(F.lit(1)).alias("held")))
     share = looked.join(sizes).select(F.round(F.col("looked") / (F.col("asked") * F.col("held")), 6).alias("share"))  # single rows
-    return E.recall(E.approximate_knn(v.embeddings, asked, 10, 64), E.exact_knn(v.embeddings, asked, 10)).join(share)
+    return E.recall(E.approximate_knn(v.embeddings, asked, 10, 64, pairs=near), E.exact_knn(v.embeddings, asked, 10)).join(share)
 
 
 @query("vec_9_named_spaces", """WITH v AS (SELECT p_partkey, p_size % 7 + 1.0::double AS a, p_size % 5 + 1.0::double AS b FROM part), s AS (SELECT q.p_partkey AS query_id, c.p_partkey, round((q.a * c.a + q.b * c.b) / (sqrt(q.a * q.a + q.b * q.b) * sqrt(c.a * c.a + c.b * c.b)), 9) AS similarity FROM v q JOIN v c ON q.p_partkey % 50 = 0 AND q.p_partkey <> c.p_partkey)
@@ -97,5 +99,6 @@ def _(v: Views):
     sizes = embedders.REGISTERED.register(embedders.by_column("sizes", 2, lambda t: F.array(t.cast("int") % 7 + 1, t.cast("int") % 5 + 1), least=0.0))
     rows = v.part.select("p_partkey", F.col("p_size").cast("string").alias("size"), "p_name")
     table = embedders.stored(rows, "p_partkey", {"size": 1.0}, sizes.name).unionByName(embedders.stored(rows, "p_partkey", {"p_name": 1.0}, "hashed-v1"))
+    table = materialize(table, "spaces")
     found = embedders.nearest(table, table.filter("p_partkey % 50 = 0"), sizes.name, 5, "p_partkey")
     return found.groupBy("query_id", F.round("similarity", 9).alias("similarity")).agg(F.count(F.lit(1)).alias("n"))

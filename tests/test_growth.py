@@ -6,6 +6,8 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 
 from marlstone.operators import structural as S
+from marlstone.operators import vectors as V
+from marlstone.operators.vectorindex import VectorIndex
 
 
 @contextmanager
@@ -24,3 +26,29 @@ def test_references_of_a_hot_file(spark):
     with within(60):
         got = {r["state"]: r["n"] for r in S.resolve_refs(refs, nodes).groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert got == {"Resolved": n // 5, "Missing": n // 5, "Ambiguous": n // 5 * 3}
+
+
+def test_exact_search_of_many_pairs(spark):
+    """20 million pairs of 64 numbers; rows without a vector come last, equal ones by key."""
+    at = F.sequence(F.lit(1), F.lit(64))
+    vectors = spark.range(40_000).select(F.col("id").alias("vec_id"), F.when(F.col("id") == 7, None).otherwise(F.transform(at, lambda i: F.sin((F.col("id") % 20_000 + 1) * i))).alias("embedding"))
+    with within(60):
+        rows = V.exact_knn(vectors, vectors.filter("vec_id % 80 = 0"), 3).collect()
+    assert len(rows) == 1500 and not any(r["query_id"] == r["vec_id"] for r in rows)
+    first = {r["query_id"]: r for r in rows if r["rank"] == 1}
+    assert all(first[q]["vec_id"] == (q + 20_000) % 40_000 and abs(first[q]["similarity"] - 1) < 1e-9 for q in range(0, 40_000, 80))
+    few = V.exact_knn(vectors.filter("vec_id in (7, 8, 9)"), vectors.filter("vec_id = 8"), 3).orderBy("rank").collect()
+    assert [r["vec_id"] for r in few] == [9, 7] and few[1]["similarity"] is None
+
+
+def test_list_files(spark, tmp_path):
+    """A list is one file unless it is large, so that the files do not outnumber the lists."""
+    vectors = spark.range(3_000).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id"), F.lit(1.0)).alias("embedding"))
+    VectorIndex(spark, f"file://{tmp_path}/index").build(vectors, 20)
+    lists = list((tmp_path / "index" / "lists" / "gen=0").glob("list=*"))
+    assert lists and all(len(list(p.glob("*.parquet"))) == 1 for p in lists)
+
+
+def test_one_split_is_worked_on_by_all_cores(spark, tmp_path):
+    spark.range(100).select("id", F.lit("a text").alias("t")).coalesce(1).write.parquet(f"{tmp_path}/one")
+    assert V.embed(spark.read.parquet(f"{tmp_path}/one"), "id", {"t": 1.0}).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
