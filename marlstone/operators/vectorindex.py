@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marlstone.operators.vectors import spread
 from marlstone.work import materialize
 
 #: Sampled rows of a centroid in the fit, the most centroids, rows of a part of a list, and queries and recall of the calibration.
@@ -72,7 +73,7 @@ class VectorIndex:
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
-        rows = materialize(directions(vectors, self.key, self.column), "directions")
+        rows = materialize(directions(spread(vectors), self.key, self.column), "directions")
         n = rows.count()
         c = max(1, min(CENTROIDS, n, centroids or round(2 * math.sqrt(n))))
         sample = rows.orderBy(F.xxhash64("key"), "key").limit(c * SAMPLE).select(array_to_vector("vector").alias("features"))
@@ -97,9 +98,11 @@ class VectorIndex:
         return self
 
     def _write(self, rows: DataFrame, dead: DataFrame, gen: int) -> None:
-        placed = self.nearest(rows, 1).select("key", "vector", F.col("near").alias("list"))
-        spread = F.pmod(F.xxhash64("key"), F.lit(8))  # a hot list is written by several tasks
-        placed.repartition("list", spread).write.mode("overwrite").partitionBy("list").parquet(f"{self.path}/lists/gen={gen}")
+        placed = materialize(self.nearest(rows, 1).select("key", "vector", F.col("near").alias("list")), "placed")
+        sizes = placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("files"))  # CENTROIDS rows at most
+        placed = placed.join(F.broadcast(sizes), "list")
+        file = F.pmod(F.xxhash64("key"), F.col("files"))  # a hot list is written by several tasks, any other as one file
+        placed.repartition("list", file).drop("files").write.mode("overwrite").partitionBy("list").parquet(f"{self.path}/lists/gen={gen}")
         dead.write.mode("overwrite").parquet(f"{self.path}/deletes/gen={gen}")
 
     def nearest(self, rows: DataFrame, probes: int) -> DataFrame:
