@@ -75,38 +75,59 @@ def who_imports(bindings: DataFrame, wanted: DataFrame) -> DataFrame:
     return bindings.withColumn("key", F.explode(F.filter(keys, lambda k: k.isNotNull()))).join(wanted, "key").select("source_file", "module", "symbol").distinct()
 
 
+def _buckets(first: str, last: str, width: int) -> Column:
+    return F.explode(F.sequence(F.floor(F.col(first) / width), F.floor(F.col(last) / width)))
+
+
 def enclosing(points: DataFrame, spans: DataFrame, width: int = 64) -> DataFrame:
     """The smallest span of the same file around each point (point_id, file_path, at), by lines cut into buckets of width.
 
-    A span reaches as many buckets as it covers; a point lies in one, so the range join is an equi join with a residual."""
-    buckets = F.explode(F.sequence(F.floor(F.col("start_line") / width), F.floor(F.col("end_line") / width)))
-    s = spans.filter("end_line >= start_line").select("id", F.col("file_path").alias("span_file"), "start_line", "end_line", buckets.alias("span_bucket"))
-    hits = points.withColumn("bucket", F.floor(F.col("at") / width)).join(s, (F.col("file_path") == F.col("span_file")) & (F.col("bucket") == F.col("span_bucket")) & F.col("at").between(F.col("start_line"), F.col("end_line")))
-    return hits.groupBy("point_id").agg(F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("size"), (-F.col("start_line")).alias("later"), "id")).alias("best")).select("point_id", F.col("best.id").alias("id"))
+    A span reaches as many buckets as it covers; a point lies in one, so the range join is an equi join with a residual.  Equal spans
+    are joined as one, by their least id, and equal points as one."""
+    places = points.select("file_path", "at").distinct().withColumn("bucket", F.floor(F.col("at") / width))
+    s = spans.filter("end_line >= start_line").groupBy(F.col("file_path").alias("span_file"), "start_line", "end_line").agg(F.min("id").alias("id")).withColumn("span_bucket", _buckets("start_line", "end_line", width))
+    hits = places.join(s, (F.col("file_path") == F.col("span_file")) & (F.col("bucket") == F.col("span_bucket")) & F.col("at").between(F.col("start_line"), F.col("end_line")))
+    best = hits.groupBy("file_path", "at").agg(F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("size"), (-F.col("start_line")).alias("later"), "id")).alias("best"))
+    return points.select("point_id", "file_path", "at").join(best, ["file_path", "at"]).select("point_id", F.col("best.id").alias("id"))
 
 
 def overlapping(chunks: DataFrame, spans: DataFrame, most: int = 8, width: int = 64) -> DataFrame:
     """For each chunk (chunk_id, file_path, first, last) the declarations that overlap it: containers last, then larger
-    overlap, smaller span, id; at most `most`."""
-    bucket = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))
-    c = chunks.withColumn("bucket", bucket("first", "last"))
-    s = spans.filter("end_line >= start_line").select("id", "kind", F.col("file_path").alias("span_file"), "start_line", "end_line", bucket("start_line", "end_line").alias("span_bucket"))
+    overlap, smaller span, id; at most `most`.
+
+    Equal chunks are answered once.  Equal spans stand as one until the best `most` of a chunk are known, then as their `most` least
+    ids, which are all that can come first."""
+    same = ["file_path", "first", "last"]
+    held = spans.filter("end_line >= start_line").select("id", "kind", F.col("kind").isin(*CONTAINERS).alias("container"), F.col("file_path").alias("span_file"), "start_line", "end_line")
+    shape = ["span_file", "start_line", "end_line", "container"]
+    s = held.groupBy(*shape).agg(F.min("id").alias("least")).withColumn("span_bucket", _buckets("start_line", "end_line", width))
+    c = chunks.select(*same).distinct().withColumn("bucket", _buckets("first", "last", width))
     hit = c.join(s, (F.col("file_path") == F.col("span_file")) & (F.col("bucket") == F.col("span_bucket")) & (F.col("start_line") <= F.col("last")) & (F.col("end_line") >= F.col("first")))
     hit = hit.filter(F.col("bucket") == F.floor(F.greatest("start_line", "first") / width))  # a pair counts in the bucket that its overlap begins in
-    hit = hit.select("chunk_id", "id", "kind", (F.least("end_line", "last") - F.greatest("start_line", "first") + 1).alias("overlap"), (F.col("end_line") - F.col("start_line")).alias("span"))
-    order = W.partitionBy("chunk_id").orderBy(F.col("kind").isin(*CONTAINERS), F.desc("overlap"), "span", "id")
-    return hit.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
-
-
-def lexical_parents(spans: DataFrame) -> DataFrame:
-    """id, parent: the smallest other span of the file that holds the whole span (equal spans: the smaller id)."""
-    inner = spans.select(F.col("id").alias("point_id"), "file_path", F.col("start_line").alias("at"), F.col("end_line").alias("until"), (F.col("end_line") - F.col("start_line")).alias("own"))
-    width = 64
-    buckets = F.explode(F.sequence(F.floor(F.col("start_line") / width), F.floor(F.col("end_line") / width)))
-    outer = spans.filter("end_line >= start_line").select(F.col("id").alias("parent"), F.col("file_path").alias("span_file"), "start_line", "end_line", (F.col("end_line") - F.col("start_line")).alias("size"), buckets.alias("span_bucket"))
-    fits = (F.col("at") >= F.col("start_line")) & (F.col("until") <= F.col("end_line")) & ((F.col("size") > F.col("own")) | ((F.col("size") == F.col("own")) & (F.col("parent") < F.col("point_id"))))
-    hits = inner.join(outer, (F.col("file_path") == F.col("span_file")) & (F.floor(F.col("at") / width) == F.col("span_bucket")) & fits)
-    return hits.groupBy(F.col("point_id").alias("id")).agg(F.min(F.struct("size", "parent"))["parent"].alias("parent"))
+    hit = hit.select(*same, *shape, "least", (F.least("end_line", "last") - F.greatest("start_line", "first") + 1).alias("overlap"), (F.col("end_line") - F.col("start_line")).alias("span"))
+    order = [F.col("container"), F.desc("overlap"), F.col("span")]
+    few = hit.withColumn("place", F.row_number().over(W.partitionBy(*same).orderBy(*order, "least"))).filter(F.col("place") <= most).drop("place", "least")
+    ids = held.withColumn("nth", F.row_number().over(W.partitionBy(*shape).orderBy("id"))).filter(F.col("nth") <= most).drop("nth")
+    best = few.join(ids, shape).withColumn("rank", F.row_number().over(W.partitionBy(*same).orderBy(*order, "id"))).filter(F.col("rank") <= most)
+    return chunks.select("chunk_id", *same).join(best, same).select("chunk_id", "id", "kind", "overlap", "span", "rank")
+
+
+def lexical_parents(spans: DataFrame, width: int = 64) -> DataFrame:
+    """id, parent: the smallest other span of the file that holds the whole span (equal spans: the smaller id).
+
+    Of equal spans all but the least id have that one as their parent; what is left is a join of different spans, first for the size of
+    the smallest that holds each, then for the least id among those of this size."""
+    same = ["file_path", "start_line", "end_line"]
+    least = spans.groupBy(*same).agg(F.min("id").alias("least"))
+    size = F.col("end_line") - F.col("start_line")
+    inner = least.select("file_path", F.col("start_line").alias("at"), F.col("end_line").alias("until"), size.alias("own"), F.floor(F.col("start_line") / width).alias("bucket"))
+    outer = least.filter("end_line >= start_line").select(F.col("file_path").alias("span_file"), "start_line", "end_line", "least", size.alias("size"), _buckets("start_line", "end_line", width).alias("span_bucket"))
+    fits = (F.col("file_path") == F.col("span_file")) & (F.col("bucket") == F.col("span_bucket")) & (F.col("at") >= F.col("start_line")) & (F.col("until") <= F.col("end_line"))
+    smallest = inner.join(outer, fits & (F.col("size") > F.col("own"))).groupBy("file_path", "at", "until", "bucket").agg(F.min("size").alias("best"))
+    above = smallest.join(outer, fits & (F.col("size") == F.col("best"))).groupBy("file_path", F.col("at").alias("start_line"), F.col("until").alias("end_line")).agg(F.min("least").alias("above"))
+    held = spans.select("id", *same).join(least, same).join(above, same, "left")
+    own = (F.col("id") > F.col("least")) & (F.col("end_line") >= F.col("start_line"))
+    return held.select("id", F.when(own, F.col("least")).otherwise(F.col("above")).alias("parent")).filter("parent is not null")
 
 
 def shared_neighbours(edges: DataFrame, given: DataFrame, least: int = 2, limit: int = 64) -> DataFrame:

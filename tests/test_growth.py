@@ -5,6 +5,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
+from marlstone.operators import drift as D
+from marlstone.operators import selectors
 from marlstone.operators import structural as S
 from marlstone.operators import vectors as V
 from marlstone.operators.vectorindex import VectorIndex
@@ -52,3 +54,39 @@ def test_list_files(spark, tmp_path):
 def test_one_split_is_worked_on_by_all_cores(spark, tmp_path):
     spark.range(100).select("id", F.lit("a text").alias("t")).coalesce(1).write.parquet(f"{tmp_path}/one")
     assert V.embed(spark.read.parquet(f"{tmp_path}/one"), "id", {"t": 1.0}).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_equal_calls_and_overloads(spark):
+    """30,000 equal calls of 30,000 equal overloads, and one that its file settles."""
+    n = 30_000
+    none = F.lit(None).cast("string")
+    decls = spark.range(n).select(F.col("id").cast("string").alias("id"), F.lit("Sources/M/a.swift").alias("file"), F.lit("m").alias("name"), F.lit("method").alias("kind"), F.lit("T").alias("container"), F.array(F.lit("to")).alias("labels"), F.lit(True).alias("exported"))
+    decls = decls.unionByName(decls.limit(1).withColumns({"id": F.lit("own"), "file": F.lit("Sources/M/b.swift")}))
+    calls = spark.range(n + 1).select(F.col("id").alias("call_id"), F.when(F.col("id") == n, "Sources/M/b.swift").otherwise("Sources/M/c.swift").alias("file"), F.lit("m(to:)").alias("target"), F.lit("self").alias("receiver"), F.lit(True).alias("is_method"), none.alias("receiver_type"), F.lit("T").alias("container"))
+    imports = spark.createDataFrame([], "file string, module string, testable boolean")
+    with within(60):
+        got = {(r["target_id"], r["candidates"]): r["count"] for r in selectors.resolve_calls(calls, decls, imports).groupBy("target_id", "candidates").count().collect()}
+    assert got == {(None, n + 1): n, ("own", 1): 1}
+
+
+def test_relocation_among_equal_bodies(spark):
+    """40,000 lost symbols and 40,000 nodes of one body; every name but one stands twice."""
+    n = 40_000
+    lost = spark.range(n).select(F.col("id").alias("ref_id"), F.lit("function").alias("kind"), F.concat(F.lit("f"), F.floor(F.col("id") / 2)).alias("name"), F.lit("h").alias("recorded_hash"))
+    nodes = spark.range(n - 1).select("id", F.lit("method").alias("kind"), F.concat(F.lit("f"), F.floor(F.col("id") / 2)).alias("name"), F.lit("h").alias("body_hash"))
+    with within(60):
+        got = D.relocation_ladder(lost, nodes, spark.createDataFrame([], "ref_id long, target long, score double")).groupBy("state", "confidence").count().collect()
+    assert {(r["state"], r["confidence"]): r["count"] for r in got} == {("ambiguous", None): n - 2, ("found", 0.8): 2}
+
+
+def test_equal_spans(spark):
+    """40,000 equal spans of one file: each encloses, overlaps and holds all others."""
+    n = 40_000
+    spans = spark.range(n).select((F.col("id") + 100_000).cast("string").alias("id"), F.lit("fn").alias("kind"), F.lit("f").alias("file_path"), F.lit(3).cast("long").alias("start_line"), F.lit(9).cast("long").alias("end_line"))
+    points = spark.range(n).select(F.col("id").alias("point_id"), F.lit("f").alias("file_path"), F.lit(5).cast("long").alias("at"))
+    chunks = spark.range(n).select(F.col("id").alias("chunk_id"), F.lit("f").alias("file_path"), F.lit(1).cast("long").alias("first"), F.lit(80).cast("long").alias("last"))
+    with within(90):
+        assert S.enclosing(points, spans).groupBy("id").count().collect() == [("100000", n)]
+        assert S.lexical_parents(spans).groupBy("parent").count().collect() == [("100000", n - 1)]
+        near = S.overlapping(chunks, spans).groupBy("id", "rank", "overlap").count().orderBy("rank").collect()
+    assert [tuple(r) for r in near] == [(str(100_000 + i), i + 1, 7, n) for i in range(8)]
