@@ -6,6 +6,7 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 
 from marlstone.operators import drift as D
+from marlstone.operators import resolution as N
 from marlstone.operators import selectors
 from marlstone.operators import structural as S
 from marlstone.operators import vectors as V
@@ -90,3 +91,21 @@ def test_equal_spans(spark):
         assert S.lexical_parents(spans).groupBy("parent").count().collect() == [("100000", n - 1)]
         near = S.overlapping(chunks, spans).groupBy("id", "rank", "overlap").count().orderBy("rank").collect()
     assert [tuple(r) for r in near] == [(str(100_000 + i), i + 1, 7, n) for i in range(8)]
+
+
+def test_counted_calls(spark):
+    """20,000 calls of a name that 20,000 methods bear; on few rows the counts are those of the lists."""
+    schema = "call_id string, file string, container string, qualifier string, name string"
+    n, none = 20_000, F.lit(None).cast("string")
+    calls = spark.range(n).select(F.col("id").cast("string").alias("call_id"), F.lit("f").alias("file"), none.alias("container"), F.lit("x").alias("qualifier"), F.lit("m").alias("name"))
+    symbols = spark.range(n).select(F.concat(F.lit("s"), "id").alias("id"), F.lit("m").alias("name"), F.lit("method").alias("kind"), F.concat(F.lit("T"), "id").alias("container"), F.lit("g").alias("file"))
+    imports = spark.createDataFrame([("f", "a", "g", None), ("f", "b", "g", "m"), ("f", "b", "h", "m"), ("g", "u", "h", None)], "file string, local string, target_file string, symbol string")
+    with within(60):
+        assert [tuple(r) for r in N.count_calls(calls, symbols, imports).groupBy("state", "n").count().collect()] == [("ambiguous", n, n)]
+    few = [(f"{f}|{c}|{q}|{w}", f, c, q, w) for f in "fgh" for c in (None, "T") for q in (None, "self", "T", "U", "x") for w in ("a", "b", "m", "u", "T")]
+    held = [("1", "m", "method", "T", "f"), ("2", "m", "function", None, "h"), ("3", "T", "class", None, "h"), ("4", "a", "method", "U", "g"), ("5", "u", "function", None, "g"), ("6", "b", "function", None, "g"), ("7", "b", "function", None, "h"), ("8", "m", "method", "T", "g"), ("9", "m", "class", None, "g")]
+    small = [spark.createDataFrame(few, schema), spark.createDataFrame(held, "id string, name string, kind string, container string, file string"), imports]
+    for traits in ((), ("T", "U")):
+        lists, counts = N.resolve_calls(*small, traits), N.count_calls(*small, traits)
+        rows = lambda df, n: sorted(map(tuple, df.select("call_id", "state", "target", n.cast("long"), "kind", "confidence", "method").collect()), key=repr)
+        assert rows(lists, F.size("candidates")) == rows(counts, F.col("n"))
