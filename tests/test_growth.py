@@ -109,3 +109,16 @@ def test_counted_calls(spark):
         lists, counts = N.resolve_calls(*small, traits), N.count_calls(*small, traits)
         rows = lambda df, n: sorted(map(tuple, df.select("call_id", "state", "target", n.cast("long"), "kind", "confidence", "method").collect()), key=repr)
         assert rows(lists, F.size("candidates")) == rows(counts, F.col("n"))
+
+
+def test_markers_beside_other_letters(spark):
+    """As in its SQL, words are of ASCII letters, digits and underscores."""
+    docs = spark.createDataFrame([(1, "éTODO a\nTODOé b\nTODO\u0301 c\nxTODO d\nTODO_ e\n1TODO f\nTODO"), (2, None)], "id long, text string")
+    assert sorted((r["file"], r["line"], r["message"]) for r in D.markers(docs, "id", "text").collect()) == [("1", n, "TODO") for n in (1, 2, 3, 7)]
+
+
+def test_vectors_are_not_broadcast(spark):
+    rows = spark.range(50).select("id", F.concat(F.lit("word "), "id").alias("t"))
+    old = rows.join(V.embed(rows, "id", {"t": 1.0}).hint("merge"), "id")
+    plan = V.sync(old, rows, "id", {"t": 1.0}, ["t"])._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
