@@ -42,15 +42,18 @@ def resolve_in_symbols(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     body): of an equivalent kind, by qualified name or a bare one; candidates are narrowed to the qualified name, then the kind,
     then what lies at the top, each where that leaves any (one, for the last)."""
     plain = lambda c: F.replace(F.col(c), F.lit("::"), F.lit("."))
-    s = symbols.select("path", F.col("kind").alias("s_kind"), F.col("name").alias("s_name"), plain("qualified_name").alias("s_full"), "container", "body")
+    s = symbols.select("path", F.col("kind").alias("s_kind"), F.col("name").alias("s_name"), plain("qualified_name").alias("s_full"), F.col("container").isNull().alias("top"), T.body_hash(F.col("body")).alias("hash"))
+    s = s.groupBy("path", "s_kind", "s_name", "s_full", "top").agg(F.count(F.lit(1)).alias("members"), F.min("hash").alias("hash"))  # symbols alike meet a reference as one row
     r = refs.select("ref_id", "kind", "path", "name", plain("name").alias("full"))
     bare = ~F.contains(F.col("full"), F.lit("."))
-    hit = r.join(s, "path").filter(T.kinds_equivalent(F.col("kind"), F.col("s_kind")) & ((F.col("s_full") == F.col("full")) | (bare & (F.col("s_name") == F.col("name")))))
+    whole = r.join(s.withColumn("full", F.col("s_full")), ["path", "full"]).withColumn("is_full", F.lit(True))
+    short = r.filter(bare).join(s.withColumn("name", F.col("s_name")), ["path", "name"]).filter(~F.col("s_full").eqNullSafe(F.col("full"))).withColumn("is_full", F.when(F.col("s_full").isNotNull(), False))
+    hit = whole.unionByName(short).filter(T.kinds_equivalent(F.col("kind"), F.col("s_kind")))
     w = W.partitionBy("ref_id")
-    for test in (F.col("s_full") == F.col("full"), F.col("s_kind") == F.col("kind")):
+    for test in (F.col("is_full"), F.col("s_kind") == F.col("kind")):
         hit = hit.withColumn("is", test).withColumn("any", F.max("is").over(w)).filter(F.col("is") | ~F.col("any")).drop("is", "any")
-    hit = hit.withColumn("top", F.col("container").isNull()).withColumn("tops", F.sum(F.col("top").cast("int")).over(w)).filter((F.col("tops") != 1) | F.col("top"))
-    found = hit.groupBy("ref_id").agg(F.count(F.lit(1)).alias("n"), F.min(T.body_hash(F.col("body"))).alias("body_hash"))
+    hit = hit.withColumn("tops", F.sum(F.when(F.col("top"), F.col("members")).otherwise(0)).over(w)).filter((F.col("tops") != 1) | F.col("top"))
+    found = hit.groupBy("ref_id").agg(F.sum("members").alias("n"), F.min("hash").alias("body_hash"))
     return r.select("ref_id").join(found, "ref_id", "left").select("ref_id", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") == 1, F.col("body_hash")).alias("body_hash"))
 
 

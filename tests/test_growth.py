@@ -5,12 +5,14 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
+from marlstone.operators import baselines as B
 from marlstone.operators import drift as D
 from marlstone.operators import resolution as N
 from marlstone.operators import selectors
 from marlstone.operators import structural as S
 from marlstone.operators import vectors as V
 from marlstone.operators.vectorindex import VectorIndex
+from marlstone.plans import registry
 
 
 @contextmanager
@@ -122,3 +124,27 @@ def test_vectors_are_not_broadcast(spark):
     old = rows.join(V.embed(rows, "id", {"t": 1.0}).hint("merge"), "id")
     plan = V.sync(old, rows, "id", {"t": 1.0}, ["t"])._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_references_into_a_hot_fresh_file(spark):
+    """20,000 references to a name that 20,000 fresh symbols of a file bear, and to a qualified one of them."""
+    n = 20_000
+    refs = spark.range(n).select(F.col("id").alias("ref_id"), F.lit("function").alias("kind"), F.lit("f").alias("path"), F.when(F.col("id") == 0, "T.m7").otherwise("m").alias("name"))
+    symbols = spark.range(n).select(F.lit("f").alias("path"), F.lit("method").alias("kind"), F.lit("m").alias("name"), F.concat(F.lit("T::m"), F.when(F.col("id") == 7, "7").otherwise("x")).alias("qualified_name"), F.lit("T").alias("container"), F.lit("body").alias("body"))
+    with within(60):
+        got = B.resolve_in_symbols(refs, symbols).groupBy("n", F.col("body_hash").isNull().alias("none")).count().collect()
+    assert {tuple(r) for r in got} == {(1, False, 1), (n, True, n - 1)}
+
+
+def test_a_list_of_values_is_broadcast(spark, sf_dir):
+    plan = registry.queries()["flt_8_list_membership"](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_equal_texts_are_embedded_once(spark):
+    """200,000 rows of two texts and nulls; cells of 600 dimensions a row would be 240 million."""
+    docs = spark.range(200_000).select("id", F.when(F.col("id") % 4 == 0, "coldWidget").when(F.col("id") % 4 == 1, "widget").when(F.col("id") % 4 == 2, "none").alias("t"))
+    matrix = spark.createDataFrame([("cold", [3.0] + [0.0] * 599), ("widget", [0.0, 4.0] + [0.0] * 598)], "token string, vector array<double>")
+    with within(60):
+        got = V.static_embed(docs, "id", "t", matrix).select(F.round(F.col("vector")[0], 4).alias("a"), F.round(F.col("vector")[1], 4).alias("b")).groupBy("a", "b").count().collect()
+    assert {(r["a"] and round(r["a"], 4), r["b"] and round(r["b"], 4), r["count"]) for r in got} == {(0.6, 0.8, 50_000), (0.0, 1.0, 50_000), (None, None, 100_000)}
