@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import baselines as B
 from marlstone.operators import drift as D
+from marlstone.operators import graph as G
 from marlstone.operators import resolution as N
 from marlstone.operators import selectors
 from marlstone.operators import structural as S
@@ -148,3 +149,19 @@ def test_equal_texts_are_embedded_once(spark):
     with within(60):
         got = V.static_embed(docs, "id", "t", matrix).select(F.round(F.col("vector")[0], 4).alias("a"), F.round(F.col("vector")[1], 4).alias("b")).groupBy("a", "b").count().collect()
     assert {(r["a"] and round(r["a"], 4), r["b"] and round(r["b"], 4), r["count"]) for r in got} == {(0.6, 0.8, 50_000), (0.0, 1.0, 50_000), (None, None, 100_000)}
+
+
+def test_rounds_of_doubling_broadcast_nothing(spark, monkeypatch):
+    """Each round's table would pass through the driver."""
+    plans, keep = [], G.materialize
+
+    def seen(df, tag):
+        if tag in ("pointers", "walk"):
+            plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return keep(df, tag)
+
+    monkeypatch.setattr(G, "materialize", seen)
+    chain = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, None), (6, 5)], "id long, next long")
+    assert sorted(map(tuple, G.functional_cycles(chain).collect())) == [(1, 1, 3), (2, 1, 3), (3, 1, 3)]
+    assert sorted(map(tuple, G.chain_ordinals(chain).collect())) == [(5, 5, 0, False), (6, 5, 1, True)]
+    assert sum("SortMergeJoin" in p for p in plans) >= 6 and not any("Broadcast" in p for p in plans)
