@@ -210,10 +210,9 @@ def index_state(readable: Column, version: Column, current: int, oldest: int, di
 
 def posting_integrity(docs: DataFrame, key: str, column: str, postings: DataFrame) -> DataFrame:
     """doc, problem: documents whose terms and stored postings(doc, term) differ; none says that the index is whole."""
-    terms = docs.select(F.col(key).alias("doc"), F.explode(F.array_distinct(T.words(F.coalesce(F.col(column), F.lit(""))))).alias("term"))
-    lost = terms.join(postings.select("doc", "term"), ["doc", "term"], "left_anti").select("doc", F.lit("lost").alias("problem"))
-    extra = postings.select("doc", "term").distinct().join(terms, ["doc", "term"], "left_anti").select("doc", F.lit("extra").alias("problem"))
-    return lost.unionByName(extra).distinct()
+    terms = docs.select(F.col(key).alias("doc"), F.explode(F.array_distinct(T.words(F.coalesce(F.col(column), F.lit(""))))).alias("term"), F.lit(True).alias("held"))
+    both = terms.unionByName(postings.select("doc", "term", F.lit(False).alias("held"))).groupBy("doc", "term").agg(F.min("held").alias("least"), F.max("held").alias("most"))
+    return both.filter(F.col("least") == F.col("most")).select("doc", F.when(F.col("most"), "lost").otherwise("extra").alias("problem")).distinct()
 
 
 def explained(nodes: DataFrame, evidence: DataFrame) -> DataFrame:
