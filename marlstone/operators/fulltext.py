@@ -75,7 +75,7 @@ def term_lists(docs: DataFrame, key: str, fields: dict[str, float], terms: dict[
     """doc, score: for each weighted term (32 at most) its best per_term documents by tf, fused by weight / (60 + rank)."""
     if len(terms) > 32:
         raise ValueError("at most 32 terms")
-    p = postings_of(matches(docs, key, fields, list(terms)))
+    p = postings_of(materialize(matches(docs, key, fields, list(terms)), "matches"))  # else each use of the hits splits the texts again
     weight = reduce(lambda c, t: c.when(F.col("term") == t, float(terms[t])), list(terms), F.when(F.lit(False), 0.0))
     rank = F.row_number().over(W.partitionBy("term").orderBy(F.desc("tf"), "dl", "doc"))
     best = p.withColumn("rank", rank).filter(F.col("rank") <= per_term)
