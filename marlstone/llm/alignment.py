@@ -37,7 +37,9 @@ from marlstone.llm.common import CHUNK_BYTES, bounded_batches, byte_slices, byte
 from marlstone.work import bucketed
 
 #: Segments whose results travel to the workers at most, id pairs whose counts do, and segments that a task counts before it hands them on.
-HEAVY, HEAVY_PAIRS, HELD = 500_000, 100_000, 200_000
+HEAVY, HEAVY_PAIRS, HELD = 350_000, 100_000, 200_000
+#: Bytes of texts that a worker lays out at once: their segments stand beside the results that have travelled to it.
+SLICE_BYTES = CHUNK_BYTES // 2
 #: Segments of a bucket, and slots dealt to a bucket.
 BUCKET_ROWS, SLOTS = 100_000, 16
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -126,7 +128,13 @@ def tokenizer_pair(a_path: str, b_path: str) -> TokenizerPair:
 
 def _text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield from (s for s in byte_slices(batch, "text", CHUNK_BYTES) if s.num_rows)
+        yield from (s for s in byte_slices(batch, "text", SLICE_BYTES) if s.num_rows)
+    freed()
+
+
+def freed() -> None:
+    """Hand back what Arrow keeps of a task's batches, for the worker stays and the next stage's memory is the JVM's."""
+    pa.default_memory_pool().release_unused()
 
 
 def segment_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -164,6 +172,7 @@ def encoded(segments: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 if part.num_rows:
                     ids = zip(*pair.encode(part.column("segment").to_pylist()))
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c, _ in held), *(pa.array(x, pa.list_(pa.int32())) for x in ids)], schema=schema)
+        freed()
 
     return segments.select(*(c for c, _ in held)).mapInArrow(run, "slot int, uid long, segment string, n long, a array<int>, b array<int>")
 
@@ -315,12 +324,13 @@ def _laid_out(docs: DataFrame, results: DataFrame, parts: int, keep, a_path: str
         pair, unsqueeze = tokenizer_pair(a_path, b_path), zstandard.ZstdDecompressor().decompress
         for batch in batches:
             sizes = batch.column("size").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // CHUNK_BYTES)) + 1).tolist(), batch.num_rows]
+            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE_BYTES)) + 1).tolist(), batch.num_rows]
             for first, last in itertools.pairwise(cuts):
                 part = batch.slice(first, last - first)
                 laid = shared.value.with_rows(pa.Table.from_struct_array(part.column("rare").flatten().cast(row_type)))
                 sums, groups = laid.sums_and_groups([pair.segments(unsqueeze(p).decode()) for p in part.column("packed").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(sums[:, i]) for i in range(len(NUMBERS))), groups], schema=out_schema)
+        freed()
 
     texts = docs.select("doc_id", "text", *key).mapInArrow(packed, "doc_id long, k1 long, k2 long, size long, packed binary")
     return texts.join(rare, ["k1", "k2"], "left").select("doc_id", "size", "packed", "rare").mapInArrow(laid_out, RESULT)

@@ -3,6 +3,8 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from marlstone.llm import alignment, queries
@@ -89,3 +91,10 @@ def test_no_rows_and_heavy_bound(spark):
     for most in (0, 9, 10, 35, 50):
         kept = alignment.heaviest(results, "n", most).collect()
         assert len(kept) <= most and len(kept) > most - 10
+
+
+def test_what_travels_to_a_worker_is_small():
+    """The results that travel stand once in each worker of an executor, beside the JVM."""
+    n = alignment.HEAVY
+    rows = pa.table({"segment": [f"word{i:06}" for i in range(n)], **{c: np.arange(n) for c in alignment.NUMBERS}, "groups": ["1234,567|12345"] * n})
+    assert alignment.Laid(rows).rows.nbytes < 30e6
