@@ -285,3 +285,51 @@ def test_overrides_of_a_frequent_name(spark):
     with within(60):
         got = G.override_classes(extends, members).groupBy("class_id", "base_id", "links").count().collect()
     assert {tuple(r) for r in got} == {(0, None, 0, n), (1, 0, n, n), (-5, None, 0, 1), (-6, None, 0, 1), (-7, None, 0, 1)}
+
+
+def shuffled_rows(spark, run):
+    """Rows that the tasks of run's jobs wrote to shuffles."""
+    sc, group = spark.sparkContext, f"rows-{time.monotonic()}"
+    sc.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    store = sc._jsc.sc().statusStore()
+    jobs = [store.job(j) for j in sc.statusTracker().getJobIdsForGroup(group)]
+    stages = {s for j in jobs for s in (j.stageIds().apply(i) for i in range(j.stageIds().size()))}
+    return sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+
+
+def test_ranks_without_rounds_over_sources(spark):
+    """30,000 nodes to which nothing links: they take part in the first of the rounds alone, and the ranks are those of the plain rounds."""
+    n = 30_000
+    links = spark.range(n).select(F.concat(F.lit("s"), "id").alias("src"), F.concat(F.lit("t"), F.col("id") % 900).alias("dst"))
+    links = links.unionByName(spark.range(900).select(F.concat(F.lit("t"), "id").alias("src"), F.lit("end").alias("dst")).limit(890))
+    got = {}
+    moved = shuffled_rows(spark, lambda: got.update({r["id"]: r["rank"] for r in G.pagerank(links).collect()}))
+    assert moved < 14 * n
+    out, nodes = {}, n + 901
+    for i in range(n):
+        out.setdefault(f"s{i}", []).append(f"t{i % 900}")
+    ends = [r["src"] for r in links.filter("dst = 'end'").collect()]
+    out |= {s: ["end"] for s in ends}
+    rank = dict.fromkeys(got, 1 / nodes)
+    for _ in range(20):
+        loose = sum(r for i, r in rank.items() if i not in out)
+        fresh = dict.fromkeys(got, 0.15 / nodes + 0.85 * loose / nodes)
+        for s, ts in out.items():
+            for t in ts:
+                fresh[t] += 0.85 * rank[s] / len(ts)
+        rank = fresh
+    assert len(got) == nodes and all(abs(got[i] - rank[i]) < 1e-12 for i in rank)
+
+
+def test_ranks_of_a_cycle(spark):
+    """Walks on a cycle never end, so that all rounds run."""
+    links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
+    got = {r["id"]: r["rank"] for r in G.pagerank(links).collect()}
+    rank, out = dict.fromkeys("abcd", 0.25), {"a": "b", "b": "c", "c": "ad"}
+    for _ in range(20):
+        rank = {i: 0.15 / 4 + 0.85 * rank["d"] / 4 + 0.85 * sum(rank[s] / len(t) for s, t in out.items() if i in t) for i in "abcd"}
+    assert all(abs(got[i] - rank[i]) < 1e-12 for i in rank)
