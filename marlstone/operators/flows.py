@@ -40,12 +40,15 @@ def branches(edges: DataFrame, nodes: DataFrame, most: int = BRANCHES) -> DataFr
     return x.withColumn("place", place).filter(F.col("place") <= most).select("source", "target", "kind", "line", "rank", "weight", "place")
 
 
-def reachable(branched: DataFrame, seeds: DataFrame, hops: int = HOPS, most: int = WORK) -> DataFrame:
-    """The rows of branched that a search from seeds(id, place) can use: at most `most` nodes are opened at each hop, in their order."""
+def reachable(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, hops: int = HOPS, most: int = WORK) -> DataFrame:
+    """The branches that a search from seeds(id, place) can use: at most `most` nodes are opened at each hop, in their order.  A hop reads
+    the edges of the nodes it opens alone, and ranks no others."""
     frontier = materialize(seeds.select("id", F.col("place").cast("long").alias("at")).orderBy("place").limit(most), "frontier")
     opened, out = frontier.select("id"), None
     for _ in range(hops):
-        step = materialize(branched.join(frontier.select(F.col("id").alias("source"), "at"), "source"), "step")
+        open_now = [r["id"] for r in frontier.select("id").distinct().collect()]  # at most `most` rows
+        own = materialize(edges.filter(F.col("source").isin(open_now)), "own")
+        step = materialize(branches(own, nodes).join(frontier.select(F.col("id").alias("source"), "at"), "source"), "step")
         part = step.drop("at")
         out = part if out is None else out.unionByName(part)
         near = step.groupBy(F.col("target").alias("id")).agg(F.min(F.struct("at", "place")).alias("came"))
@@ -217,8 +220,8 @@ def flows(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, pairs: list[tupl
     """flow, step, source, target, kind, line.  edges: source, target, kind, confidence, line, rank, weight; nodes: id, file_path, name,
     exported, relevance, selected, terms; seeds: id, place; pairs: calls between hits of the whole query; weights of terms."""
     hops = min(HOPS, steps)
-    near = reachable(branches(edges, nodes), seeds, hops).distinct()
-    ends = near.select(F.col("source").alias("id")).union(near.select("target")).union(seeds.select("id")).distinct()
+    near = materialize(reachable(edges, nodes, seeds, hops).distinct(), "near")
+    ends = materialize(near.select(F.col("source").alias("id")).union(near.select("target")).union(seeds.select("id")).distinct(), "ends")  # some thousand rows
     info = nodes.join(ends, "id", "left_semi").select("id", "file_path", "name", "exported", "relevance", "selected", "terms", T.is_low_value_path(F.col("file_path")).alias("low"))
     rows = near.select(F.lit("edge").alias("what"), F.col("place").cast("long"), "source", "target", "kind", "line", "rank", "weight")
     rows = rows.unionByName(info.select(F.lit("node").alias("what"), "*"), allowMissingColumns=True)

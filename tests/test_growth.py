@@ -346,3 +346,18 @@ def test_remembered_words_are_small():
     held = tracemalloc.get_traced_memory()[0]
     tracemalloc.stop()
     assert held < 20_000 * 300
+
+
+def test_flows_rank_opened_nodes_alone(spark):
+    """40,000 edges of nodes that the search never opens are not shuffled."""
+    from marlstone.operators import flows as FL
+
+    n = 40_000
+    edge = lambda a, b: [a.alias("source"), b.alias("target"), F.lit("calls").alias("kind"), F.lit(1.0).alias("confidence"), F.lit(1).cast("long").alias("line"), F.lit(1).cast("long").alias("rank"), F.lit(1.0).alias("weight")]
+    edges = spark.range(n).select(*edge(F.concat(F.lit("x"), "id"), F.concat(F.lit("y"), F.col("id") % 7)))
+    edges = edges.unionByName(spark.range(2).select(*edge(F.concat(F.lit("a"), "id"), F.concat(F.lit("a"), F.col("id") + 1))))
+    nodes = edges.select(F.col("source").alias("id")).unionByName(spark.createDataFrame([("a2",), *((f"y{i}",) for i in range(7))], "id string"))
+    nodes = nodes.select("id", F.lit("f").alias("file_path"), F.col("id").alias("name"), F.lit(True).alias("exported"), F.lit(1.0).alias("relevance"), F.lit(False).alias("selected"), F.array("id").alias("terms"))
+    got = []
+    moved = shuffled_rows(spark, lambda: got.extend(FL.flows(edges, nodes, spark.createDataFrame([("a0", 0)], "id string, place long")).collect()))
+    assert moved < n and {(r["source"], r["target"]) for r in got} == {("a0", "a1"), ("a1", "a2")}
