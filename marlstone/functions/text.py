@@ -28,8 +28,8 @@ def identifier_components(name: Column, least: int = 2) -> Column:
     return F.array_distinct(F.filter(parts, lambda p: F.length(p) >= least))
 
 
-@F.arrow_udf(ArrayType(StringType()))
-def _split_words(texts: pa.Array) -> pa.Array:
+def split_words(texts: pa.Array) -> pa.Array:
+    """words of lower-cased texts."""
     parts = pc.split_pattern_regex(texts, "[^a-z0-9à-ÿ]+")
     flat = parts.flatten()
     held = pc.not_equal(flat, "").to_numpy(zero_copy_only=False).astype(bool)
@@ -38,6 +38,9 @@ def _split_words(texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(before[ends], pa.int32()), flat.filter(pa.array(held)), mask=parts.is_null())
 
 
+_split_words = F.arrow_udf(ArrayType(StringType()))(split_words)
+
+
 def words(text: Column) -> Column:
     """Lower-cased words of letters and digits, in order, repeats kept.
 

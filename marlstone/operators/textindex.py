@@ -19,6 +19,9 @@ import math
 import zlib
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as T
 from marlstone.operators.fulltext import B, K1
 from marlstone.operators.ranking import numbered
-from marlstone.work import materialize
+from marlstone.work import bounded_batches, materialize
 
 BUCKETS, LEAD, SLICE = 64, 3, 128
 #: Decimal places of scores.
@@ -51,6 +54,54 @@ def bucket_of_word(term: str) -> int:
     return zlib.crc32(term[:LEAD].encode()) % BUCKETS
 
 
+_COUNTED = "doc string, dl long, terms array<string>, tfs array<double>"
+_BLOCK = "term string, slice long, n int, max_tf double, min_dl long, docs array<string>, tfs array<double>, dls array<long>"
+
+
+def _counted(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
+    """doc, dl, its terms and their weighted frequencies, in one pass over the texts in which only counts leave a document."""
+    bounded_batches(docs.sparkSession)
+    weights = list(fields.values())
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            words = [T.split_words(batch.column(1 + i)) for i in range(len(weights))]
+            sizes = [pc.list_value_length(w).to_numpy(zero_copy_only=False).astype(np.int64) for w in words]
+            held = pa.concat_arrays([w.flatten() for w in words]).dictionary_encode()
+            row = np.concatenate([np.repeat(np.arange(n), s) for s in sizes])
+            weight = np.repeat(np.array(weights, np.float64), [int(s.sum()) for s in sizes])
+            kinds = max(1, len(held.dictionary))
+            pair, at = np.unique(row * kinds + held.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_inverse=True)
+            ends = pa.array(np.searchsorted(pair, np.arange(n + 1) * kinds).astype(np.int32))
+            terms = pa.ListArray.from_arrays(ends, held.dictionary.take(pa.array(pair % kinds)))
+            tfs = pa.ListArray.from_arrays(ends, pa.array(np.bincount(at, weights=weight, minlength=len(pair))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.sum(sizes, axis=0)), terms, tfs], names=["doc", "dl", "terms", "tfs"])
+
+    texts = [F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f"f{i}") for i, f in enumerate(fields)]
+    return docs.select(F.col(key).cast("string").alias("doc"), *texts).mapInArrow(run, _COUNTED)
+
+
+def _blocks(rows: pa.Table) -> pa.Table:
+    """The blocks of a slice's documents (doc, dl, terms, tfs, slice): a row a term, documents in order."""
+    rows = rows.sort_by("doc")
+    terms, tfs, doc = (rows.column(c).combine_chunks() for c in ("terms", "tfs", "doc"))
+    row = np.repeat(np.arange(rows.num_rows), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+    held = terms.flatten().dictionary_encode()
+    code = held.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(code, kind="stable")
+    code, row, tf = code[order], row[order], tfs.flatten().to_numpy(zero_copy_only=False)[order]
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    dl = rows.column("dl").to_numpy()[row]
+    ends = pa.array(np.append(first, len(code)).astype(np.int32))
+    greatest, least = (np.maximum.reduceat(tf, first), np.minimum.reduceat(dl, first)) if len(first) else (tf, dl)
+    columns = {
+        "term": held.dictionary.take(pa.array(code[first])), "slice": pa.array(np.full(len(first), rows.column("slice")[0].as_py(), np.int64)), "n": pa.array(np.diff(np.append(first, len(code))).astype(np.int32)),
+        "max_tf": pa.array(greatest), "min_dl": pa.array(least), "docs": pa.ListArray.from_arrays(ends, doc.take(pa.array(row))), "tfs": pa.ListArray.from_arrays(ends, pa.array(tf)), "dls": pa.ListArray.from_arrays(ends, pa.array(dl)),
+    }
+    return pa.table(columns)
+
+
 class TextIndex:
     """An index of documents by a string key, over fields with weights."""
 
@@ -97,23 +148,16 @@ class TextIndex:
         return self.table("documents").join(dead, ["doc", "gen"], "left_anti")
 
     def _add(self, docs: DataFrame, gone: DataFrame, key: str, gen: int) -> None:
-        words = docs.select(F.col(key).cast("string").alias("doc"), *(T.words(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f"w{i}") for i, f in enumerate(self.fields)))
-        arrays = [f"w{i}" for i in range(len(self.fields))]
-        length = reduce(lambda a, b: a + b, (F.size(w) for w in arrays)).cast("long")
-        rows = materialize(words.withColumn("dl", length), "words")
-        placed = numbered(rows.select("doc", "dl"), ["dl", "doc"], "place").select("doc", "dl", F.floor(F.col("place") / self.slice_size).alias("slice"))
+        counted = materialize(_counted(docs, key, self.fields), "words")
+        placed = numbered(counted, ["dl", "doc"], "place").withColumn("slice", F.floor(F.col("place") / self.slice_size)).drop("place")
         placed = materialize(placed, "slices")
-        hits = reduce(DataFrame.unionByName, (rows.select("doc", F.explode(w).alias("term"), F.lit(float(x)).alias("w")) for w, x in zip(arrays, self.fields.values())))
-        tf = materialize(hits.groupBy("doc", "term").agg(F.sum("w").alias("tf")).join(placed, "doc"), "tf")
-        entry = F.array_sort(F.collect_list(F.struct("doc", "tf", "dl")))  # at most a slice of documents
-        blocks = tf.groupBy("term", "slice").agg(entry.alias("e"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
-        lists = [F.col("e.doc").alias("docs"), F.col("e.tf").alias("tfs"), F.col("e.dl").alias("dls")]
-        self._write("postings", blocks.select("term", "slice", F.size("e").alias("n"), "max_tf", "min_dl", *lists, bucket_of(F.col("term")).alias("bucket")), gen)
-        terms = tf.groupBy("doc").agg(F.collect_list("term").alias("terms"))
-        self._write("documents", placed.join(terms, "doc", "left").select("doc", "slice", "dl", F.coalesce("terms", F.array().cast("array<string>")).alias("terms")), gen)
+        blocks = placed.filter("doc is not null").groupBy("slice").applyInArrow(_blocks, _BLOCK)  # at most a slice of documents
+        self._write("postings", blocks.withColumn("bucket", bucket_of(F.col("term"))), gen)
+        self._write("documents", placed.select("doc", "slice", "dl", "terms"), gen)
         dead = materialize((self.live().join(gone, "doc", "left_semi") if gen else self.spark.createDataFrame([], _SCHEMAS["documents"])), "dead")
         self._write("deletes", dead.select("doc", F.col("gen").alias("dead")), gen)
-        df = tf.select("term", F.lit(1).alias("d")).union(dead.select(F.explode("terms"), F.lit(-1))).groupBy("term").agg(F.sum("d").alias("df"))
+        held = self.spark.read.schema(_SCHEMAS["postings"]).parquet(f"{self.path}/postings/gen={gen}").select("term", F.col("n").alias("d"))
+        df = held.union(dead.select(F.explode("terms"), F.lit(-1))).groupBy("term").agg(F.sum("d").alias("df"))
         self._write("frequencies", df.filter("df <> 0").withColumn("bucket", bucket_of(F.col("term"))), gen)
         change = placed.select(F.lit(1).alias("d"), "dl").union(dead.select(F.lit(-1), "dl"))
         sizes = change.agg(F.coalesce(F.sum("d"), F.lit(0)).cast("long").alias("n"), F.coalesce(F.sum(F.col("d") * F.col("dl")), F.lit(0)).cast("long").alias("words"))
