@@ -145,10 +145,15 @@ class VectorIndex:
 
     def search_read(self, queries: DataFrame, k: int, probes: int | None = None) -> tuple[DataFrame, DataFrame]:
         """search, and query_id, read: the rows of the lists that each query probed."""
-        asked = self.nearest(directions(queries, self.key, self.column), probes or self.probes())
-        asked = materialize(asked.select(F.col("key").alias("query_id"), F.col("vector").alias("asked"), F.col("near").alias("list")), "asked")
-        wanted = [r["list"] for r in asked.select("list").distinct().collect()]  # CENTROIDS rows at most
-        held = self.stored().filter(F.col("list").isin(wanted))
+        rows, probes = directions(queries, self.key, self.column), probes or self.probes()
+        every = probes >= len(self.centres())  # all lists are one then: a query goes to each part of it, not to each list
+        near = rows.withColumn("near", F.lit(0)) if every else self.nearest(rows, probes)
+        asked = materialize(near.select(F.col("key").alias("query_id"), F.col("vector").alias("asked"), F.col("near").alias("list")), "asked")
+        if every:
+            held = self.stored().withColumn("list", F.lit(0))
+        else:
+            wanted = [r["list"] for r in asked.select("list").distinct().collect()]  # CENTROIDS rows at most
+            held = self.stored().filter(F.col("list").isin(wanted))
         sizes = materialize(held.groupBy("list").agg(F.count(F.lit(1)).alias("n")), "sizes")
         parts = F.ceil(F.col("n") / PART_ROWS).cast("int")
         read = asked.join(F.broadcast(sizes), "list").groupBy("query_id").agg(F.sum("n").alias("read"))
